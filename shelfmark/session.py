@@ -41,3 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads no more than that plus one)."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def ship_code() -> None:
+    """Pickle this package's functions by value, so executors need no installed copy of it."""
+    import shelfmark
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(shelfmark)
