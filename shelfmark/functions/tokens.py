@@ -54,7 +54,7 @@ def term_counts(term_array: Column) -> Column:
     # The one-element arrays bind an intermediate result to a lambda variable, so that
     # it is computed once per row.
     bound = F.transform(
-        F.array(F.array_sort(term_array)),
+        F.array(F.sort_array(term_array)),
         lambda s: F.struct(s.alias("s"), run_starts(s).alias("at")),
     )
     counted = F.get(F.transform(bound, runs), F.lit(0))

@@ -28,6 +28,7 @@ REQUESTS_PER_MINUTE = 1_400
 _MD5_DIGITS = 4
 #: Buckets per namespace where their number does not show in the result's quality.
 BUCKETS = 4096
+BUCKET_ROWS = 500_000
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -43,7 +44,8 @@ def with_running_total(
 
     Order is ``(bucket, *order)``. Sums per bucket are taken first (partial aggregation) and
     their prefix sums, one row per group and bucket, are joined back; the row-level window
-    then runs per bucket, not per group.
+    then runs per bucket, not per group. ``df`` is read twice: store it first when it is
+    costly to compute.
     """
     rows = df.withColumns({"_bucket": bucket, "_value": value.cast("long")})
     prefix = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +99,7 @@ def token_budget_batches(
     chunks: DataFrame,
     max_chunks: int,
     max_tokens: int,
-    buckets: int = 256,
+    buckets: int | None = None,
     by: str = "namespace",
     bucket_key: str = "file_path",
     order: tuple[str, ...] = ("file_path", "start_pos"),
@@ -106,8 +108,12 @@ def token_budget_batches(
 
     Packing is sequential, so it runs per bucket: each task streams its sorted partition
     and carries only the open batch's counters from one Arrow batch to the next. Each
-    bucket may end in a short batch, so take few buckets for a small corpus.
+    bucket may end in a short batch; without a given number, the buckets are sized to hold
+    about ``BUCKET_ROWS`` chunks of the largest namespace.
     """
+    if buckets is None:
+        largest = chunks.groupBy(by).count().agg(F.max("count").alias("n")).first()["n"] or 0
+        buckets = min(16**_MD5_DIGITS, largest // BUCKET_ROWS + 1)
     rows = chunks.withColumn("_bucket", bucket_of(F.col(bucket_key), buckets))
     ready = rows.repartition(by, "_bucket").sortWithinPartitions(by, "_bucket", *order)
     schema = T.StructType([*ready.schema.fields, T.StructField("_no", T.LongType()), T.StructField("pos", T.IntegerType())])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import explode_computed
 from ..functions.tokens import term_counts, terms
-from ..session import fits
+from ..session import fits, stored
 from .ranking import top_k
 
 K1 = 1.2
@@ -76,6 +76,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return explode_computed(queries, ["query_id"], F.array_distinct("terms"), "term")
 
 
+def _wanted_postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Postings of the wanted terms, and one row with an empty term per document for its length.
+
+    One narrow pass over the texts. It is stored because the statistics and the scores both
+    come from it; it holds the query's words only, not the corpus.
+    """
+    length_row = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
+    counted = docs.select(
+        "doc_id",
+        F.size("terms").alias("dl"),
+        F.concat(length_row, F.coalesce(term_counts(F.col("terms")), F.array())).alias("p"),
+    )
+    rows = explode_computed(counted, ["doc_id", "dl"], "p", "p").select("doc_id", "dl", "p.term", "p.tf")
+    vocabulary = wanted.select("term").distinct().unionByName(
+        wanted.sparkSession.range(1).select(F.lit("").alias("term"))
+    )
+    return stored(rows.join(F.broadcast(vocabulary), "term", "left_semi"), "postings")
+
+
 def postings_join(docs: DataFrame, queries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, term, weight)`` for every query term a document has.
 
@@ -85,17 +104,30 @@ def postings_join(docs: DataFrame, queries: DataFrame, stats: DataFrame | None =
     are shuffled by term and salt.
     """
     wanted = query_terms(queries)
-    stats = bm25_fit(docs, wanted) if stats is None else stats
     weight = idf(F.col("n_docs"), F.col("df")) * tf_weight(F.col("tf"), F.col("dl"), F.col("avg_len"))
     output = ("query_id", "doc_id", "term", weight.alias("weight"))
-    # A term has one row of statistics, so adding them does not make the query side longer.
-    weighted = wanted.join(stats, "term")
     if fits(wanted):
-        vocabulary = F.broadcast(wanted.select("term").distinct())
-        local = postings(docs).join(vocabulary, "term", "left_semi").repartition("doc_id")
-        return local.join(F.broadcast(weighted), "term").select(*output)
+        if stats is None:
+            found = _wanted_postings(docs, wanted)
+            lengths = found.filter("term = ''").agg(
+                F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len")
+            )
+            found = found.filter("term <> ''")
+            stats = found.groupBy("term").agg(F.count("*").alias("df")).select(
+                "term",
+                "df",
+                lengths.select("n_docs").scalar().alias("n_docs"),
+                lengths.select("avg_len").scalar().alias("avg_len"),
+            )
+        else:
+            vocabulary = F.broadcast(wanted.select("term").distinct())
+            found = postings(docs).join(vocabulary, "term", "left_semi")
+        # A term has one row of statistics, so the query side does not grow by this join.
+        weighted = F.broadcast(wanted.join(stats, "term"))
+        return found.repartition("doc_id").join(weighted, "term").select(*output)
+    stats = bm25_fit(docs, wanted) if stats is None else stats
     salted = postings(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = wanted.join(stats, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, ["term", "salt"]).select(*output)
 
 

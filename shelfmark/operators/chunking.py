@@ -116,7 +116,7 @@ def merge_small(units: Column, header: Column, max_tokens: int) -> Column:
     )
 
 
-def _emit(df: DataFrame, spans: str, keys: list[str], chunker: str) -> DataFrame:
+def _emit(df: DataFrame, spans: str, keys: list[str]) -> DataFrame:
     """Explode spans into chunk rows, with surrounding white space trimmed off by moving the offsets."""
     ws = F.lit(WHITESPACE)
     rows = explode_computed(df, keys, spans, "s")
@@ -137,7 +137,6 @@ def _emit(df: DataFrame, spans: str, keys: list[str], chunker: str) -> DataFrame
         (F.col("tok") + count_tokens(path)).alias("num_tokens"),
         paths.chunk_id(path, start, end).alias("chunk_id"),
         F.concat_ws("\n\n", path, "body").alias("text"),
-        F.lit(chunker).alias("chunker"),
     )
 
 
@@ -154,21 +153,10 @@ def _budgeted(df: DataFrame, max_tokens: int) -> DataFrame:
     return df.withColumn("_h", checked)
 
 
-def chunk_text(files: DataFrame, max_tokens: int) -> DataFrame:
-    """Chunks of whole lines, sentences or token runs, each within ``max_tokens`` including the path."""
-    keys = _keys(files)
-    budget = F.lit(max_tokens) - F.col("_h")
-    df = _budgeted(files, max_tokens).select(
-        *keys, "_h", F.transform(lines_of(F.col("content")), lambda t: _unit(t)).alias("_u")
-    )
-    df = df.select(*keys, pack_greedy(fine_units(F.col("_u"), budget), budget).alias("_s"))
-    return _emit(df, "_s", keys, "text")
-
-
 def _indent_of(line: Column) -> Column:
     return F.when(
         F.char_length(F.ltrim(line, F.lit(WHITESPACE))) > 0,
-        F.char_length(F.regexp_extract(line, r"^[ \t]*", 0)),
+        F.char_length(line) - F.char_length(F.ltrim(line, F.lit(" \t"))),
     )
 
 
@@ -239,23 +227,6 @@ def _code_units(lines: Column, budget: Column) -> Column:
     )
 
 
-def chunk_code(files: DataFrame, max_tokens: int) -> DataFrame:
-    """Chunks of syntactic blocks, small neighbours merged; blank files give none."""
-    keys = _keys(files)
-    budget = F.lit(max_tokens) - F.col("_h")
-    df = _budgeted(files, max_tokens).select(
-        *keys,
-        "_h",
-        F.transform(
-            lines_of(F.col("content")),
-            lambda l: F.struct(l.alias("text"), count_tokens(l).alias("tok"), _indent_of(l).alias("ind")),
-        ).alias("_l"),
-    )
-    df = df.select(*keys, "_h", _code_units(F.col("_l"), budget).alias("_u"))
-    df = df.select(*keys, merge_small(F.col("_u"), F.col("_h"), max_tokens).alias("_s"))
-    return _emit(df, "_s", keys, "code")
-
-
 def notebook_code(content: Column) -> Column:
     """The code cells of a notebook joined by newlines; ``source`` may be a string or an array of lines."""
     as_text = F.from_json(content, "cells array<struct<cell_type:string,source:string>>")["cells"]
@@ -272,20 +243,45 @@ def notebook_code(content: Column) -> Column:
     return F.array_join(F.transform(code, lambda c: c["code"]), "\n")
 
 
+def _chunk(files: DataFrame, max_tokens: int, route: Column) -> DataFrame:
+    """All chunkers in one pass over the files: which one runs is a CASE inside the row."""
+    keys = [*_keys(files), "chunker"]
+    budget = F.lit(max_tokens) - F.col("_h")
+    df = _budgeted(files, max_tokens).withColumn("chunker", route)
+    content = F.when(F.col("chunker") == "notebook", notebook_code(F.col("content"))).otherwise(F.col("content"))
+    df = df.select(
+        *keys,
+        "_h",
+        F.transform(
+            lines_of(content),
+            lambda l: F.struct(l.alias("text"), count_tokens(l).alias("tok"), _indent_of(l).alias("ind")),
+        ).alias("_l"),
+    )
+    units = F.transform("_l", lambda x: _unit(x["text"], x["tok"]))
+    spans = F.when(
+        F.col("chunker") == "text", pack_greedy(fine_units(units, budget), budget)
+    ).otherwise(merge_small(_code_units(F.col("_l"), budget), F.col("_h"), max_tokens))
+    return _emit(df.select(*keys, spans.alias("_s")), "_s", keys)
+
+
+def chunk_text(files: DataFrame, max_tokens: int) -> DataFrame:
+    """Chunks of whole lines, sentences or token runs, each within ``max_tokens`` including the path."""
+    return _chunk(files, max_tokens, F.lit("text"))
+
+
+def chunk_code(files: DataFrame, max_tokens: int) -> DataFrame:
+    """Chunks of syntactic blocks, small neighbours merged; blank files give none."""
+    return _chunk(files, max_tokens, F.lit("code"))
+
+
 def chunk_notebook(files: DataFrame, max_tokens: int) -> DataFrame:
-    code = files.withColumn("content", notebook_code(F.col("content")))
-    return chunk_code(code, max_tokens).withColumn("chunker", F.lit("notebook"))
+    """The code cells of notebooks, chunked as code; paths stay those of the notebooks."""
+    return _chunk(files, max_tokens, F.lit("notebook"))
 
 
 def chunk_any(files: DataFrame, max_tokens: int) -> DataFrame:
     """Each file by the chunker its name asks for."""
-    route = route_chunker(F.col("file_path"))
-    parts = {"notebook": chunk_notebook, "code": chunk_code, "text": chunk_text}
-    out = None
-    for name, chunker in parts.items():
-        chunks = chunker(files.filter(route == name), max_tokens)
-        out = chunks if out is None else out.unionByName(chunks)
-    return out
+    return _chunk(files, max_tokens, route_chunker(F.col("file_path")))
 
 
 def merge_small_chunks(chunks: DataFrame, max_tokens: int) -> DataFrame:

@@ -30,6 +30,12 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def _with_vector(rows):
+    """Rows whose vector is not null. Dropped here and not by a filter in front, which would
+    compute an embedding expression once more."""
+    return rows.filter(rows.column("embedding").is_valid())
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -119,14 +125,14 @@ def _by_broadcast(
     corpus: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool
 ) -> DataFrame:
     spark_schema, arrow_schema = _near_schema(corpus, queries)
-    table = queries.toArrow()
+    table = _with_vector(queries.toArrow())
     if table.num_rows == 0:
         return corpus.sparkSession.createDataFrame([], spark_schema)
     shared = corpus.sparkSession.sparkContext.broadcast((_ids(table["query_id"]), _matrix(table["embedding"])))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _BestK(*shared.value, k, metric, exclude_self)
-        for batch in batches:
+        for batch in map(_with_vector, batches):
             if batch.num_rows:
                 best.add(_ids(batch.column("doc_id")), _matrix(batch.column("embedding")))
         yield from best.table(arrow_schema).to_batches(max_chunksize=10_000)
@@ -148,6 +154,7 @@ def _by_blocks(
     right = corpus.withColumn("cb", block("doc_id", nc)).withColumn("qb", all_of(nq))
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        q, c = _with_vector(q), _with_vector(c)
         if not q.num_rows or not c.num_rows:
             return arrow_schema.empty_table()
         best = _BestK(_ids(q["query_id"]), _matrix(q["embedding"]), k, metric, exclude_self)
@@ -176,8 +183,8 @@ def nearest(
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    corpus = corpus.select("doc_id", "embedding").filter("embedding is not null")
-    queries = queries.select("query_id", "embedding").filter("embedding is not null")
+    corpus = corpus.select("doc_id", "embedding")
+    queries = queries.select("query_id", "embedding")
     total = queries.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
     if 8 * total <= query_bytes:
         found = _by_broadcast(corpus, queries, k, metric, exclude_self)

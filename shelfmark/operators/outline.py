@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.paths import ancestors, path_order
 from ..functions.rows import explode_computed
 from ..functions.tokens import count_tokens, truncate_tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 INDENT = 4
 TOKEN_LIMIT = 150_000
@@ -22,16 +22,30 @@ SMALL_CORPUS_FILES = 200
 VARIANTS = (("methods", True, True), ("classes", True, False), ("files", False, False))
 
 
-def symbol_paths(symbols: DataFrame, classes: bool, methods: bool) -> DataFrame:
-    """Paths of symbols below their file; a method keeps its class in the path."""
-    wanted = F.lit(False)
-    if classes:
-        wanted = wanted | F.col("method_name").isNull()
-    if methods:
-        wanted = wanted | (F.col("method_name").isNotNull() & ~F.col("method_name").startswith("_"))
-    return symbols.filter(wanted).select(
-        "namespace", F.concat_ws("/", "file_path", "class_name", "method_name").alias("node_path")
+def symbol_nodes(symbols: DataFrame, classes: bool, methods: bool) -> DataFrame:
+    """Nodes below the files ``(namespace, node_path, depth, name, need)``, not yet distinct.
+
+    A method's class is part of its path, so it is a node wherever the method is. ``need`` is
+    1 for a class listed for itself and 0 for what only the methods ask for.
+    """
+    path, cls, fun = F.col("file_path"), F.col("class_name"), F.col("method_name")
+    depth = F.size(F.split(path, "/"))
+    public = fun.isNotNull() & ~fun.startswith("_") & F.lit(methods)
+    listed = fun.isNull() & F.lit(classes)
+
+    def node(when: Column, node_path: Column, at: Column, name: Column, need: Column) -> Column:
+        return F.when(
+            when,
+            F.struct(node_path.alias("node_path"), at.alias("depth"), name.alias("name"), need.alias("need")),
+        )
+
+    nodes = F.array_compact(
+        F.array(
+            node(cls.isNotNull() & (listed | public), F.concat_ws("/", path, cls), depth, cls, fun.isNull().cast("int")),
+            node(public, F.concat_ws("/", path, cls, fun), F.when(cls.isNull(), depth).otherwise(depth + 1), fun, F.lit(0)),
+        )
     )
+    return explode_computed(symbols, ["namespace"], nodes, "a").select("namespace", "a.*")
 
 
 def path_ancestors(paths: DataFrame, path: str = "file_path") -> DataFrame:
@@ -48,10 +62,10 @@ def render_tree(
     files: DataFrame, symbols: DataFrame | None = None, classes: bool = True, methods: bool = True
 ) -> DataFrame:
     """Outline lines ``(namespace, node_path, depth, line)``; sort by ``path_order(node_path)``."""
-    paths = files.select("namespace", F.col("file_path").alias("node_path"))
+    nodes = path_ancestors(files)
     if symbols is not None and (classes or methods):
-        paths = paths.unionByName(symbol_paths(symbols, classes, methods))
-    nodes = path_ancestors(paths, "node_path")
+        below = symbol_nodes(symbols, classes, methods).drop("need").distinct()
+        nodes = nodes.unionByName(below)
     return nodes.select("namespace", "node_path", "depth", _line(F.col("name"), F.col("depth")).alias("line"))
 
 
@@ -65,19 +79,14 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def _leveled_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """All lines with the leanest variant that shows them: 2 files, 1 classes, 0 methods.
-
-    A class that is only the parent of a method is part of the path in the method variant
-    too, so a node takes the highest level among the paths that run through it.
-    """
-    file_paths = files.select("namespace", F.col("file_path").alias("node_path"), F.lit(2).alias("need"))
-    classes = symbol_paths(symbols, True, False).withColumn("need", F.lit(1))
-    methods = symbol_paths(symbols, False, True).withColumn("need", F.lit(0))
-    paths = file_paths.unionByName(classes).unionByName(methods)
-    rows = explode_computed(paths, ["namespace", "need"], ancestors(F.col("node_path")), "a")
-    nodes = rows.groupBy("namespace", "a.node_path", "a.depth", "a.name").agg(F.max("need").alias("need"))
-    return nodes.select(
-        "namespace", "node_path", "need", _line(F.col("name"), F.col("depth")).alias("line")
+    """All lines with the leanest variant that shows them: 2 files, 1 classes, 0 methods."""
+    nodes = path_ancestors(files).withColumn("need", F.lit(2))
+    below = symbol_nodes(symbols, True, True).groupBy("namespace", "node_path", "depth", "name").agg(
+        F.max("need").alias("need")
+    )
+    line = _line(F.col("name"), F.col("depth"))
+    return nodes.unionByName(below).select(
+        "namespace", "node_path", "need", line.alias("line"), count_tokens(line).alias("tokens")
     )
 
 
@@ -88,7 +97,8 @@ def fit_tree(files: DataFrame, symbols: DataFrame, max_tokens: int = TOKEN_LIMIT
     sorted over all tasks and their running token counts taken in two steps (per task, then
     within it), so the lines of a large namespace are never together in one task.
     """
-    lines = _leveled_lines(files, symbols).withColumn("tokens", count_tokens(F.col("line")))
+    # Stored once: the sizes, the sampling for the sort and the sort itself all read it.
+    lines = stored(_leveled_lines(files, symbols), "outline")
     # need: 2 = in all variants, 1 = from classes up, 0 = only with methods.
     sums = lines.groupBy("namespace").agg(
         *[

@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import fix_path
 from ..functions.rows import explode_computed
-from ..session import cut_lineage
+from ..session import BROADCAST_ROWS, cut_lineage
 
 MAX_EDIT_DISTANCE = 10
 #: (distance, gram length) of the search rounds. Small distances allow long, rare grams, and
 #: a guess leaves the search with the first round that finds a path for it.
-ROUNDS = ((2, 5), (4, 4), (6, 3), (10, 2))
+ROUNDS = ((2, 5), (5, 3), (10, 2))
 
 
 def _grams(text: Column, q: int) -> Column:
@@ -35,13 +35,14 @@ def _signatures(strings: DataFrame, frequency: DataFrame, q: int, distance: int,
     needed = q * distance + 1
     grams = strings.select("namespace", "s", _grams(F.col("s"), q).alias("g"))
     rows = explode_computed(grams, ["namespace", "s"], "g", "gram")
-    ranked = rows.join(frequency, ["namespace", "gram"], "left").withColumn(
-        "place",
-        F.row_number().over(
-            Window.partitionBy("namespace", "s").orderBy(F.coalesce("n", F.lit(0)), "gram")
-        ),
+    # A string has few grams, so they are sorted as an array of the string.
+    weighed = (
+        rows.join(frequency, ["namespace", "gram"], "left")
+        .groupBy("namespace", "s")
+        .agg(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
     )
-    rare = ranked.filter(F.col("place") <= needed).select("namespace", "s", F.concat(F.lit("g:"), "gram").alias("sig"))
+    rarest = F.transform(F.slice(F.sort_array("g"), 1, needed), lambda x: F.concat(F.lit("g:"), x["gram"]))
+    rare = explode_computed(weighed, ["namespace", "s"], rarest, "sig")
     length = F.char_length("s")
     reach = distance if widen else 0
     lengths = F.transform(
@@ -91,10 +92,11 @@ def nearest_path(guesses: DataFrame, paths: DataFrame, max_distance: int = MAX_E
     for distance, q in rounds:
         if max_distance < 1 or left.isEmpty():
             break
-        # The few found pairs are kept apart from the lineage of the search, and the rest goes on.
-        hit = cut_lineage(_round(left, paths, distance, q))
+        # Only namespaces that still have open guesses are cut into grams.
+        some = paths.join(left.select("namespace").distinct(), "namespace", "left_semi")
+        hit = cut_lineage(_round(left, some, distance, q))
         found = found.unionByName(hit)
-        left = left.join(hit, ["namespace", "guess"], "left_anti")
+        left = cut_lineage(left.join(hit, ["namespace", "guess"], "left_anti"))
     return found
 
 
@@ -127,6 +129,8 @@ def validate_paths(
     return (ranked if k is None else ranked.filter(F.col("rank") <= k)).drop("position")
 
 
-def hydrate_files(chosen: DataFrame, files: DataFrame) -> DataFrame:
-    """Full documents for chosen paths."""
-    return chosen.join(files.select("file_path", "content"), "file_path")
+def hydrate_files(chosen: DataFrame, files: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Full documents for chosen paths; ``at_most`` bounds the number of choices, if known."""
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return files.select("file_path", "content").join(chosen, "file_path")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokens import terms
+from ..session import BROADCAST_ROWS
 
 RRF_CONSTANT = 60
 DEFAULT_RERANKED = 5
@@ -58,10 +59,10 @@ def hybrid_rrf(dense: DataFrame, sparse: DataFrame, alpha: float, k: int) -> Dat
 
 def min_max(hits: DataFrame) -> DataFrame:
     """Scores scaled to [0, 1] per query; all equal scores become 1."""
-    bounds = hits.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    spread = F.col("hi") - F.col("lo")
-    scaled = F.when(spread > 0, (F.col("score") - F.col("lo")) / spread).otherwise(1.0)
-    return hits.join(bounds, "query_id").select("query_id", "doc_id", scaled.alias("scaled"))
+    query = Window.partitionBy("query_id")
+    lo, hi = F.min("score").over(query), F.max("score").over(query)
+    scaled = F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0)
+    return hits.select("query_id", "doc_id", scaled.alias("scaled"))
 
 
 def hybrid_weighted(dense: DataFrame, sparse: DataFrame, alpha: float, k: int) -> DataFrame:
@@ -87,23 +88,33 @@ def token_overlap(query: Column, text: Column) -> Column:
     return F.round(F.when(F.size(wanted) > 0, found / F.size(wanted)).otherwise(0.0), 6)
 
 
+def with_metadata(hits: DataFrame, docs: DataFrame, columns: list[str], at_most: int | None = None) -> DataFrame:
+    """Adds columns of the documents to the hits.
+
+    ``at_most`` is the caller's bound on the number of hits, as a rule k times the number of
+    questions. Hits bounded to few rows are broadcast, so the documents are not shuffled.
+    """
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
+    return docs.select("doc_id", *columns).join(hits, "doc_id").select(*hits.columns, *columns)
+
+
 def rerank_topn(
     hits: DataFrame,
     queries: DataFrame,
     docs: DataFrame,
     n: int = DEFAULT_RERANKED,
     scorer: Callable[[Column, Column], Column] = token_overlap,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Score the retrieved pairs again and keep the n best of each query.
 
     ``scorer`` takes the question and text columns and returns a column: a native
-    expression or a pandas UDF around a model. Only retrieved pairs reach it.
+    expression or a pandas UDF around a model. Only retrieved pairs reach it. ``at_most``
+    bounds the number of hits as in ``with_metadata``.
     """
-    pairs = (
-        hits.select("query_id", "doc_id")
-        .join(queries.select("query_id", "question"), "query_id")
-        .join(docs.select("doc_id", "text"), "doc_id")
-    )
+    asked = hits.select("query_id", "doc_id").join(queries.select("query_id", "question"), "query_id")
+    pairs = with_metadata(asked, docs, ["text"], at_most)
     scored = pairs.select("query_id", "doc_id", scorer(F.col("question"), F.col("text")).alias("score"))
     return top_k(scored, n)
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import detect_language
-from ..functions.tokens import path_terms
+from ..functions.tokens import path_terms, terms
 from ..functions.vectors import hashed_embedding
 from . import bm25, dense, path_match
+from .ranking import with_metadata
 from .symbols import symbol_array
 
 
@@ -18,21 +19,19 @@ def embedded_questions(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", hashed_embedding(F.col("question")).alias("embedding"))
 
 
-def with_metadata(hits: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
-    return hits.join(docs.select("doc_id", *columns), "doc_id")
-
-
 def retrieve_dense(docs: DataFrame, queries: DataFrame, k: int, columns: list[str], **options) -> DataFrame:
     """``docs`` has ``(doc_id, embedding, *columns)``; metadata is joined to the k hits only."""
-    return with_metadata(dense.topk_cosine(docs, queries, k, **options), docs, columns)
+    hits = dense.topk_cosine(docs, queries, k, **options)
+    return with_metadata(hits, docs, columns, at_most=k * queries.count())
 
 
 def retrieve_sparse(
     docs: DataFrame, questions: DataFrame, k: int, columns: list[str], stats: DataFrame | None = None
 ) -> DataFrame:
     """``docs`` has ``(doc_id, text, *columns)``, ``questions`` ``(query_id, question)``."""
-    asked = bm25.term_frame(questions, "query_id", "question").withColumnRenamed("doc_id", "query_id")
-    return with_metadata(bm25.topk_bm25(bm25.term_frame(docs), asked, k, stats), docs, columns)
+    asked = questions.select("query_id", terms(F.col("question")).alias("terms"))
+    hits = bm25.topk_bm25(bm25.term_frame(docs), asked, k, stats)
+    return with_metadata(hits, docs, columns, at_most=k * questions.count())
 
 
 def path_documents(files: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import BRACE_LANGUAGES, detect_language
 from ..functions.rows import explode_computed
-from ..functions.tokens import WHITESPACE
 
 _SCOPE = "struct<ind:int,kind:string,name:string>"
 _SYMBOL = "struct<class_name:string,method_name:string>"
@@ -16,6 +15,9 @@ _SYMBOL = "struct<class_name:string,method_name:string>"
 _RUN = 256
 
 # Declarations as they start a line.
+PY_BLOCK = (
+    r"(?m)^[ \t]*(?:class|def|async|if|elif|else|for|while|try|except|finally|with|match|case)\b[^\n]*"
+)
 PY_CLASS = r"^\s*class\s+([\p{L}_][\p{L}\p{N}_]*)"
 PY_DEF = r"^\s*(?:async\s+)?def\s+([\p{L}_][\p{L}\p{N}_]*)"
 JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\p{L}_$][\p{L}\p{N}_$]*)"
@@ -27,32 +29,41 @@ JS_METHOD = (
 
 
 def _declaration(line: Column, brace: Column) -> Column:
-    cls = F.when(brace, F.regexp_extract(line, JS_CLASS, 1)).otherwise(F.regexp_extract(line, PY_CLASS, 1))
-    fun = F.when(brace, F.regexp_extract(line, JS_METHOD, 1)).otherwise(F.regexp_extract(line, PY_DEF, 1))
-    return F.struct(F.nullif(cls, F.lit("")).alias("cls"), F.nullif(fun, F.lit("")).alias("fun"))
+    """Names declared by the line. The plain substring tests spare most lines the patterns."""
+
+    def name(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+
+    cls = F.when(line.contains("class"), F.when(brace, name(JS_CLASS)).otherwise(name(PY_CLASS)))
+    fun = F.when(brace, F.when(line.contains("("), name(JS_METHOD))).otherwise(
+        F.when(line.contains("def"), name(PY_DEF))
+    )
+    return F.struct(cls.alias("cls"), fun.alias("fun"))
 
 
 def symbol_array(content: Column, language: Column) -> Column:
     """``array<struct<class_name, method_name>>``; functions are not descended into.
 
-    Each line closes the scopes that are not less indented than itself. For brace languages
-    the depth of open braces plays the part of the indentation.
+    Each line closes the scopes that are not less indented than itself. Only lines that open
+    a block can stand between a scope and a deeper declaration, so the others are left out.
+    For brace languages the depth of open braces plays the part of the indentation and
+    every line counts.
     """
     brace = F.coalesce(language.isin(*BRACE_LANGUAGES), F.lit(False))
 
     def facts(line: Column) -> Column:
-        braces = F.char_length(line) - F.char_length(F.replace(line, F.lit("{"), F.lit("")))
-        closes = F.char_length(line) - F.char_length(F.replace(line, F.lit("}"), F.lit("")))
+        opened = F.char_length(line) - F.char_length(F.replace(line, F.lit("{"), F.lit("")))
+        closed = F.char_length(line) - F.char_length(F.replace(line, F.lit("}"), F.lit("")))
         decl = _declaration(line, brace)
         return F.struct(
-            F.char_length(F.regexp_extract(line, r"^[ \t]*", 0)).alias("ind"),
-            (braces - closes).alias("net"),
+            (F.char_length(line) - F.char_length(F.ltrim(line, F.lit(" \t")))).alias("ind"),
+            F.when(brace, opened - closed).otherwise(0).alias("net"),
             decl["cls"].alias("cls"),
             decl["fun"].alias("fun"),
         )
 
-    lines = F.filter(
-        F.split(content, r"\r?\n"), lambda l: F.char_length(F.ltrim(l, F.lit(WHITESPACE))) > 0
+    lines = F.when(brace, F.split(content, r"\n")).otherwise(
+        F.regexp_extract_all(content, F.lit(PY_BLOCK), F.lit(0))
     )
     zero = F.struct(
         F.lit(0).alias("depth"),

@@ -27,7 +27,7 @@ from ..operators import (
     retrieval,
     symbols as symbol_ops,
 )
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import batches as batch_io, benchmark as benchmark_io, issues as issue_io, rules as rule_io
 from ..streaming.upsert import stream_upsert
 from . import pipelines, views
@@ -117,7 +117,7 @@ def _symbols(spark, sf_dir) -> DataFrame:
 
 
 def _batched(spark, sf_dir) -> DataFrame:
-    return batching.assign_batches(_text_chunks(spark, sf_dir), BATCH)
+    return batching.assign_batches(stored(_text_chunks(spark, sf_dir), "chunks"), BATCH)
 
 
 def _terms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -130,6 +130,10 @@ def _sparse_hits(spark, sf_dir, k: int = DEPTH) -> DataFrame:
     return bm25.topk_bm25(*_terms(spark, sf_dir), k)
 
 
+def _hit_bound(spark, sf_dir, k: int = DEPTH) -> int:
+    return k * _questions(spark, sf_dir).count()
+
+
 def _dense_docs(spark, sf_dir) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", vectors.hashed_embedding(F.col("text")).alias("embedding"))
 
@@ -458,7 +462,10 @@ def embedding_size(spark, sf_dir):
 @query
 def source_links(spark, sf_dir):
     files = pipelines.with_urls(_paths(spark, sf_dir))
-    return context.source_links(retrieval.with_metadata(_sparse_hits(spark, sf_dir), files, ["file_path", "url"]))
+    hits = _sparse_hits(spark, sf_dir)
+    return context.source_links(
+        ranking.with_metadata(hits, files, ["file_path", "url"], _hit_bound(spark, sf_dir))
+    )
 
 
 # --- D. row generators ------------------------------------------------------------------
@@ -574,8 +581,9 @@ def join_qrels(spark, sf_dir):
 @query
 def hydrate_files(spark, sf_dir):
     files = _files(spark, sf_dir)
-    best = _sparse_hits(spark, sf_dir, 3).join(files.select("doc_id", "file_path"), "doc_id")
-    return path_match.hydrate_files(best.select("query_id", "rank", "file_path"), pipelines.with_urls(files)).select(
+    bound = _hit_bound(spark, sf_dir, 3)
+    best = ranking.with_metadata(_sparse_hits(spark, sf_dir, 3), files, ["file_path"], bound)
+    return path_match.hydrate_files(best.select("query_id", "rank", "file_path"), files, bound).select(
         "query_id", "rank", "file_path", "content"
     )
 
@@ -721,7 +729,12 @@ def topk_bm25(spark, sf_dir):
 
 @query
 def rerank_topn(spark, sf_dir):
-    return ranking.rerank_topn(_sparse_hits(spark, sf_dir), _questions(spark, sf_dir), _documents(spark, sf_dir))
+    return ranking.rerank_topn(
+        _sparse_hits(spark, sf_dir),
+        _questions(spark, sf_dir),
+        _documents(spark, sf_dir),
+        at_most=_hit_bound(spark, sf_dir),
+    )
 
 
 @query
@@ -812,7 +825,7 @@ REGISTRY["stream_upsert"] = REGISTRY.pop("stream_upsert_index")
 @query
 def embed_chunks(spark, sf_dir):
     embedded = embedding.embed_chunks(_documents(spark, sf_dir))
-    return embedded.select("doc_id", F.posexplode("embedding").alias("dim", "v")).select(
+    return embedded.select("doc_id", F.posexplode_outer("embedding").alias("dim", "v")).select(
         "doc_id", "dim", F.round(F.col("v").cast("double"), 6).alias("value")
     )
 
@@ -876,7 +889,9 @@ def rerank_fallback(spark, sf_dir):
     """Reranked hits where the scorer failed for documents in French."""
     hits = _sparse_hits(spark, sf_dir)
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    pairs = hits.join(docs, "doc_id").join(_questions(spark, sf_dir), "query_id")
+    pairs = ranking.with_metadata(hits, docs, ["text", "lang"], _hit_bound(spark, sf_dir)).join(
+        _questions(spark, sf_dir), "query_id"
+    )
     return ranking.rerank_fallback(
         pairs.select(
             "query_id",
@@ -934,7 +949,9 @@ def standalone_question(spark, sf_dir):
 
 @query
 def rag_prompt(spark, sf_dir):
-    hits = retrieval.with_metadata(_sparse_hits(spark, sf_dir, 3), _documents(spark, sf_dir), ["text"])
+    hits = ranking.with_metadata(
+        _sparse_hits(spark, sf_dir, 3), _documents(spark, sf_dir), ["text"], _hit_bound(spark, sf_dir, 3)
+    )
     questions = _questions(spark, sf_dir).withColumn("history", F.lit(""))
     return context.rag_prompt(hits, questions)
 

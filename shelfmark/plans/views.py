@@ -98,11 +98,20 @@ def comments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Python file per order, one method per line number."""
+    """One Python file per order, one method per line number.
+
+    The number of partitions is given, because the keys are small and the texts made from
+    them are not: adaptive execution would put all keys of a small table into one task.
+    """
     order = F.col("l_orderkey")
     k, n = order.cast("string"), lambda m: m.cast("string")
-    keys = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set("l_linenumber")).alias("lines")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_linenumber")
+        .repartition(partitions, "l_orderkey")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_set("l_linenumber")).alias("lines"))
     )
 
     def method(m: Column) -> Column:
