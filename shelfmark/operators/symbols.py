@@ -15,11 +15,13 @@ _SYMBOL = "struct<class_name:string,method_name:string>"
 _RUN = 256
 
 # Declarations as they start a line.
+PY_NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
+PY_CLASS = rf"^[ \t]*class[ \t]+{PY_NAME}[ \t]*[\[(:]"
+PY_DEF = rf"^[ \t]*(?:async[ \t]+)?def[ \t]+{PY_NAME}[ \t]*[\[(]"
 PY_BLOCK = (
-    r"(?m)^[ \t]*(?:class|def|async|if|elif|else|for|while|try|except|finally|with|match|case)\b[^\n]*"
+    rf"(?m)(?:{PY_CLASS}|{PY_DEF}"
+    r"|^[ \t]*(?:async|if|elif|else|for|while|try|except|finally|with|match|case)\b[^\n]*[:(\[{][ \t]*(?:#[^\n]*)?$)[^\n]*"
 )
-PY_CLASS = r"^\s*class\s+([\p{L}_][\p{L}\p{N}_]*)"
-PY_DEF = r"^\s*(?:async\s+)?def\s+([\p{L}_][\p{L}\p{N}_]*)"
 JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\p{L}_$][\p{L}\p{N}_$]*)"
 JS_METHOD = (
     r"^\s*(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*\*?\s*"
