@@ -42,13 +42,16 @@ def _literal_match(rules: list, path: Column) -> Column:
     )
 
 
-def _matching(files: DataFrame, rules: DataFrame, keep_matches: bool) -> DataFrame:
+def _few(rules: DataFrame) -> tuple[DataFrame, list | None]:
+    """Normalised rules, and their rows when they are few enough to become literals."""
     rules = rules.select("kind", _normal(F.col("kind"), F.col("value")).alias("value")).distinct()
-    few = rules.limit(LITERAL_RULES + 1).collect()
+    rows = rules.limit(LITERAL_RULES + 1).collect()
+    return rules, rows if len(rows) <= LITERAL_RULES else None
+
+
+def _paths_that_match(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct paths with a rule, by a join."""
     path = F.col("file_path")
-    if len(few) <= LITERAL_RULES:
-        matched = _literal_match(few, path)
-        return files.filter(matched if keep_matches else ~matched)
     keys = files.select(
         "file_path",
         F.explode(
@@ -63,8 +66,16 @@ def _matching(files: DataFrame, rules: DataFrame, keep_matches: bool) -> DataFra
             )
         ).alias("k"),
     ).select("file_path", "k.*")
-    hit = keys.join(rules, ["kind", "value"], "left_semi").select("file_path").distinct()
-    return files.join(hit, "file_path", "left_semi" if keep_matches else "left_anti")
+    return keys.join(rules, ["kind", "value"], "left_semi").select("file_path").distinct()
+
+
+def _matching(files: DataFrame, rules: DataFrame, keep_matches: bool) -> DataFrame:
+    rules, rows = _few(rules)
+    if rows is not None:
+        matched = _literal_match(rows, F.col("file_path"))
+        return files.filter(matched if keep_matches else ~matched)
+    how = "left_semi" if keep_matches else "left_anti"
+    return files.join(_paths_that_match(files, rules), "file_path", how)
 
 
 def filter_include(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,9 +106,28 @@ def excluded_paths(files: DataFrame, included: DataFrame) -> DataFrame:
     return files.select("file_path").subtract(included.select("file_path"))
 
 
-def filter_audit(files: DataFrame, included: DataFrame) -> DataFrame:
-    """Every path with the flag whether the rules kept it."""
-    kept = included.select("namespace", "file_path", F.lit(True).alias("kept")).distinct()
-    return files.join(kept, ["namespace", "file_path"], "left").select(
-        "namespace", "file_path", F.coalesce("kept", F.lit(False)).alias("included")
+def filter_audit(
+    files: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None
+) -> DataFrame:
+    """Every path with the flag whether the rules keep it; a narrow projection for few rules."""
+    if include is not None and exclude is not None:
+        raise ValueError("give either inclusion or exclusion rules, not both")
+    kept = ~paths.is_hidden(F.col("file_path"))
+    rules = include if include is not None else exclude
+    if rules is None:
+        return files.select("namespace", "file_path", kept.alias("included"))
+    rules, rows = _few(rules)
+    if rows is not None:
+        matched = _literal_match(rows, F.col("file_path"))
+    else:
+        hits = _paths_that_match(files, rules).withColumn("_hit", F.lit(True))
+        files = files.join(hits, "file_path", "left")
+        matched = F.coalesce("_hit", F.lit(False))
+    return files.select(
+        "namespace", "file_path", (kept & (matched if include is not None else ~matched)).alias("included")
     )
+
+
+def write_audit(audit: DataFrame, path: str) -> None:
+    """Included and excluded path lists per namespace, as folders."""
+    audit.write.mode("overwrite").partitionBy("namespace", "included").text(path)

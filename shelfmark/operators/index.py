@@ -2,7 +2,9 @@
 
 Writes only ever add a commit folder, and a commit is rewritten as a whole when it is
 repeated, so a retried or replayed write changes nothing. Nothing is read and
-overwritten in one job.
+overwritten in one job. Ids are unique within a commit, so the oldest commit, which holds
+the bulk, is only scanned: reads resolve the versions of the later commits and take their
+ids out of it.
 """
 
 from __future__ import annotations
@@ -54,34 +56,63 @@ class Index:
         self.spark, self.path = spark, f"{root}/{name}"
         self.schema = schema
 
-    def upsert(self, rows: DataFrame, commit: int) -> None:
-        """Write one commit. Repeating a commit number replaces that commit."""
-        known = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+    def upsert(self, rows: DataFrame, commit: int, unique: bool = False) -> None:
+        """Write one commit. Repeating a commit number replaces that commit.
+
+        Rows that have an id more than once are reduced to one, unless the caller knows
+        that there are none.
+        """
+        columns = [
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in self.schema
+        ]
+        rows = rows.select(*columns)
+        if not unique:
+            rows = newest(rows.withColumn("_same", F.lit(0)), self.KEYS, "_same").drop("_same")
         # The rebalance hint lets adaptive execution split a large namespace and join small ones.
         (
-            rows.select(*known)
-            .hint("rebalance", "namespace")
+            rows.hint("rebalance", "namespace")
             .write.mode("overwrite")
             .partitionBy("namespace")
             .parquet(f"{self.path}/commit={commit}")
         )
 
+    def commits(self) -> list[int]:
+        """Numbers of the finished commits."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        done = [n for n in names if n.startswith("commit=") and fs.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n.removeprefix("commit=")) for n in done)
+
     def versions(self) -> DataFrame:
-        """All commits; a filter on namespace or commit is a partition filter."""
+        """All finished commits; a filter on namespace or commit is a partition filter."""
         schema = T.StructType([*self.schema.fields, T.StructField("commit", T.LongType())])
-        return self.spark.read.schema(schema).parquet(self.path)
+        commits = self.commits()
+        if not commits:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", self.path)
+        return rows.parquet(*[f"{self.path}/commit={n}" for n in commits])
 
     def read(self, namespace: str | None = None) -> DataFrame:
         """The newest version of every chunk, of one namespace or of all."""
-        rows = self.versions()
+        rows, commits = self.versions(), self.commits()
         if namespace is not None:
             rows = namespace_filter(rows, namespace)
-        return newest(rows, self.KEYS, "commit").drop("commit")
+        if len(commits) < 2:
+            return rows.drop("commit")
+        first = rows.filter(F.col("commit") == commits[0])
+        later = newest(rows.filter(F.col("commit") > commits[0]), self.KEYS, "commit")
+        untouched = first.join(later.select(*self.KEYS), self.KEYS, "left_anti")
+        return untouched.unionByName(later).drop("commit")
 
     def compact(self, root: str, name: str) -> Index:
         """The newest versions as the only commit of a new index."""
         target = Index(self.spark, root, name, self.schema)
-        target.upsert(self.read(), 0)
+        target.upsert(self.read(), 0, unique=True)
         return target
 
     def search(self, queries: DataFrame, k: int, metric: str = "cosine", namespace: str | None = None) -> DataFrame:

@@ -36,7 +36,8 @@ def build_index(index: Index, commit: int = 0, **sources) -> Index:
     rows = index_rows(**sources)
     if "error" in rows.columns:
         rows, _ = embedding.split_errors(rows)
-    index.upsert(rows, commit)
+    # Chunk ids follow from path and offsets, so one scan gives each id once.
+    index.upsert(rows, commit, unique=True)
     return index
 
 

@@ -279,9 +279,7 @@ def write_eval_report(spark, sf_dir):
 
 @query
 def filter_audit(spark, sf_dir):
-    files = _paths(spark, sf_dir)
-    kept = filters.apply_rules(files, exclude=views.rules(spark, views.EXCLUDE_RULES))
-    return filters.filter_audit(files, kept)
+    return filters.filter_audit(_paths(spark, sf_dir), exclude=views.rules(spark, views.EXCLUDE_RULES))
 
 
 @query

@@ -179,13 +179,10 @@ def passage_matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
             F.concat(F.lit("\u0001"), F.lower(F.substring("passage", 1, 1))),
         ),
     )
-    lowered = F.lower("text")
-    signature = F.array_distinct(
-        F.concat(
-            terms(F.col("text")),
-            F.transform(F.array_distinct(F.split(lowered, "")), lambda c: F.concat(F.lit("\u0001"), c)),
-        )
-    )
+    signature = F.array_distinct(terms(F.col("text")))
+    if not keyed.filter(F.col("key").startswith("\u0001")).isEmpty():
+        letters = F.array_distinct(F.split(F.lower("text"), ""))
+        signature = F.concat(signature, F.transform(letters, lambda c: F.concat(F.lit("\u0001"), c)))
     candidates = (
         explode_computed(documents, ["doc_id"], signature, "key")
         .join(keyed.select("query_id", "key"), "key")

@@ -66,7 +66,9 @@ def test_many_rules_take_the_join(spark, sf_dir, monkeypatch):
     paths_ = views.files_v(spark, sf_dir)
     some = views.rules(spark, views.EXCLUDE_RULES)
     literal = names(filters.filter_exclude(paths_, some)), names(filters.filter_include(paths_, some))
+    audit = filters.filter_audit(paths_, exclude=some)
     monkeypatch.setattr(filters, "LITERAL_RULES", 1)
+    assert audit.exceptAll(filters.filter_audit(paths_, exclude=some)).isEmpty()
     assert literal == (names(filters.filter_exclude(paths_, some)), names(filters.filter_include(paths_, some)))
 
 
@@ -179,6 +181,25 @@ def test_index_versions_and_stream(spark, sf_dir, tmp_path):
     assert streamed.read().count() == index.read().count()
 
 
+def test_empty_and_repeated_index(spark, tmp_path):
+    index = index_ops.Index(spark, str(tmp_path), "none")
+    assert index.commits() == [] and index.read().isEmpty()
+    rows = spark.createDataFrame([("n", "a", 1), ("n", "a", 2), ("m", "a", 3)], "namespace string, chunk_id string, num_tokens int")
+    index.upsert(rows, 3)
+    assert index.commits() == [3]
+    assert sorted((r.namespace, r.num_tokens) for r in index.read().collect()) == [("m", 3), ("n", 2)]
+    plan = index.read("n").select("chunk_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ReadSchema: struct<chunk_id:string>" in plan
+
+
+def test_audit_is_written_per_namespace(spark, sf_dir, tmp_path):
+    audit = filters.filter_audit(views.files_v(spark, sf_dir), include=views.rules(spark, views.INCLUDE_RULES))
+    filters.write_audit(audit, str(tmp_path / "audit"))
+    back = spark.read.text(str(tmp_path / "audit"))
+    assert back.count() == audit.count()
+    assert back.filter("included = 'true'").count() == audit.filter("included").count() > 0
+
+
 def test_newest_is_independent_of_order(spark):
     rows = [("n", "a", 2, "x"), ("n", "a", 2, "y"), ("n", "a", 1, "z")]
     schema = "namespace string, id string, version int, v string"
