@@ -37,31 +37,27 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return (digits.cast("int") % buckets).cast("int")
 
 
-def with_running_total(
-    df: DataFrame, by: list[str], bucket: Column, order: list[str], value: Column, name: str
+def with_running_totals(
+    df: DataFrame, by: list[str], bucket: Column, order: list[str], totals: dict[str, Column]
 ) -> DataFrame:
-    """Adds the sum of ``value`` over all rows of the group up to and including this one.
+    """Adds, for each named value, its sum over the group's rows up to and including this one.
 
     Order is ``(bucket, *order)``. Sums per bucket are taken first (partial aggregation) and
     their prefix sums, one row per group and bucket, are joined back; the row-level window
     then runs per bucket, not per group. ``df`` is read twice: store it first when it is
     costly to compute.
     """
-    rows = df.withColumns({"_bucket": bucket, "_value": value.cast("long")})
+    value, before, local = (lambda n: f"_value_{n}"), (lambda n: f"_before_{n}"), (lambda n: f"_local_{n}")
+    rows = df.withColumns({"_bucket": bucket, **{value(n): c.cast("long") for n, c in totals.items()}})
     prefix = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*by, "_bucket")
-        .agg(F.sum("_value").alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(prefix), F.lit(0)))
-        .drop("_sum")
-    )
-    local = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumn("_local", F.sum("_value").over(local))
-        .join(offsets, [*by, "_bucket"])
-        .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_value", "_local", "_before")
+    sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(value(n)).alias(value(n)) for n in totals])
+    offsets = sums.select(
+        *by, "_bucket", *[F.coalesce(F.sum(value(n)).over(prefix), F.lit(0)).alias(before(n)) for n in totals]
     )
+    within = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumns({local(n): F.sum(value(n)).over(within) for n in totals}).join(offsets, [*by, "_bucket"])
+    helpers = ["_bucket", *[f(n) for n in totals for f in (value, before, local)]]
+    return joined.withColumns({n: F.col(before(n)) + F.col(local(n)) for n in totals}).drop(*helpers)
 
 
 def assign_batches(
@@ -73,8 +69,8 @@ def assign_batches(
     order: tuple[str, ...] = ("file_path", "start_pos"),
 ) -> DataFrame:
     """Dense batches per namespace: only the last one is short. Id is ``namespace/batch_no``."""
-    numbered = with_running_total(
-        chunks, [by], bucket_of(F.col(bucket_key), buckets), list(order), F.lit(1), "_rn"
+    numbered = with_running_totals(
+        chunks, [by], bucket_of(F.col(bucket_key), buckets), list(order), {"_rn": F.lit(1)}
     )
     index = F.col("_rn") - 1
     return numbered.withColumns(
@@ -158,9 +154,13 @@ def rate_windows(
     Input has one row per batch ``(batch_id, n_tokens)``. The limits hold for the account,
     so the totals run over all namespaces.
     """
-    key = bucket_of(F.col("batch_id"), buckets)
-    totals = with_running_total(batches, [], key, ["batch_id"], F.col("n_tokens"), "tokens_so_far")
-    totals = with_running_total(totals, [], key, ["batch_id"], F.lit(1), "requests_so_far")
+    totals = with_running_totals(
+        batches,
+        [],
+        bucket_of(F.col("batch_id"), buckets),
+        ["batch_id"],
+        {"tokens_so_far": F.col("n_tokens"), "requests_so_far": F.lit(1)},
+    )
     minute = F.greatest(
         F.floor((F.col("tokens_so_far") - F.col("n_tokens")) / tokens_per_minute),
         F.floor((F.col("requests_so_far") - 1) / requests_per_minute),

@@ -30,12 +30,14 @@ def source_links(hits: DataFrame) -> DataFrame:
     )
 
 
-def history_context(turns: DataFrame) -> DataFrame:
+def history_context(turns: DataFrame, last: int | None = None) -> DataFrame:
     """For each user message the turns before it, ``(conv_id, turn, text, history)``.
 
-    A conversation is the unit of work here, as a file is for chunking.
+    A conversation is the unit of work here, as a file is for chunking. ``last`` limits the
+    history to that many turns, for conversations that do not end.
     """
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.unboundedPreceding if last is None else -last
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(first, -1)
     lines = F.transform(
         F.collect_list(F.struct("role", "text")).over(before),
         lambda t: F.concat(t["role"], F.lit(": "), t["text"]),

@@ -64,7 +64,10 @@ def embed_chunks(
 
 
 def split_errors(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with vectors, and the error table."""
+    """Rows with vectors, and the error table.
+
+    Both read ``embedded``: store it first, or the model is called twice.
+    """
     return (
         embedded.filter(F.col("error").isNull()).drop("error"),
         embedded.filter(F.col("error").isNotNull()).drop("embedding"),

@@ -78,11 +78,12 @@ LANGUAGE = (
 CTES: dict[str, tuple[list[str], str]] = {}
 
 
-def cte(name: str, sql: str, *needs: str, recursive: bool = False) -> None:
+def cte(name: str, sql: str, *needs: str) -> None:
     CTES[name] = (list(needs), sql)
 
 
 def compose(final: str, *needs: str) -> str:
+    """The final select behind all pieces it needs, in order."""
     seen: list[str] = []
 
     def visit(name: str) -> None:
@@ -93,12 +94,7 @@ def compose(final: str, *needs: str) -> str:
 
     for need in needs:
         visit(need)
-    if not seen:
-        return final
-    parts = []
-    for name in seen:
-        head = name if not CTES[name][1].startswith("(") else name
-        parts.append(f"{head} AS ({CTES[name][1]})")
+    parts = [f"{name} AS ({CTES[name][1]})" for name in seen]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
 
 
@@ -190,38 +186,51 @@ cte(
 # --- chunking -------------------------------------------------------------------------
 
 
-def _chunk_text(prefix: str, limit: int) -> None:
-    cte(
-        f"{prefix}_lines",
-        f"""SELECT namespace, file_path, {limit} - {tok('file_path')} AS b, unnest(range(1, len(l) + 1)) AS i,
- unnest(list_transform(l, lambda x, j: CASE WHEN j < len(l) THEN x||chr(10) ELSE x END)) AS t
- FROM (SELECT *, string_split(content, chr(10)) AS l FROM files_v)""",
-        "files_v",
-    )
+def _packed(prefix: str, lines: str, keys: list[str]) -> None:
+    """Lines ``(namespace, *keys, b, i, t)`` to units ``(…, u, t, c)`` and their groups ``(*keys, u, g)``."""
+    k, same = ", ".join(keys), " AND ".join(f"x.{c} = r.{c}" for c in keys)
     cte(
         f"{prefix}_sentences",
-        f"""SELECT namespace, file_path, b, i, unnest(range(1, len(s) + 1)) AS j, unnest(s) AS t FROM (SELECT *, CASE
+        f"""SELECT namespace, {k}, b, i, unnest(range(1, len(s) + 1)) AS j, unnest(s) AS t FROM (SELECT *, CASE
  WHEN {tok('t')} <= b THEN [t] ELSE string_split(regexp_replace(t, '([.!?])(\\s)', '\\1'||chr(1)||'\\2', 'g'), chr(1)) END AS s
- FROM {prefix}_lines)""",
-        f"{prefix}_lines",
+ FROM {lines})""",
+        lines,
     )
     cte(
         f"{prefix}_units",
-        f"""SELECT namespace, file_path, b, t, {tok('t')} AS c, row_number() OVER (PARTITION BY file_path ORDER BY i, j, m) AS u
- FROM (SELECT namespace, file_path, b, i, j, unnest(range(1, len(p) + 1)) AS m, unnest(p) AS t FROM (SELECT *, CASE
+        f"""SELECT namespace, {k}, b, t, {tok('t')} AS c, row_number() OVER (PARTITION BY {k} ORDER BY i, j, m) AS u
+ FROM (SELECT namespace, {k}, b, i, j, unnest(range(1, len(p) + 1)) AS m, unnest(p) AS t FROM (SELECT *, CASE
  WHEN {tok('t')} <= b THEN [t] ELSE list_transform(range(CAST(ceil(len(regexp_extract_all(t, '{PIECE}')) / b) AS BIGINT)),
  lambda g: array_to_string(list_slice(regexp_extract_all(t, '{PIECE}'), g * b + 1, g * b + b), '')) END AS p
  FROM {prefix}_sentences))""",
         f"{prefix}_sentences",
     )
+    x = ", ".join(f"x.{c}" for c in keys)
     cte(
         f"{prefix}_packed",
-        f"""SELECT file_path, u, 0 AS g, c AS cur FROM {prefix}_units WHERE u = 1 UNION ALL
- SELECT x.file_path, x.u, CASE WHEN r.cur + x.c <= x.b THEN r.g ELSE r.g + 1 END,
+        f"""SELECT {k}, u, 0 AS g, c AS cur FROM {prefix}_units WHERE u = 1 UNION ALL
+ SELECT {x}, x.u, CASE WHEN r.cur + x.c <= x.b THEN r.g ELSE r.g + 1 END,
  CASE WHEN r.cur + x.c <= x.b THEN r.cur + x.c ELSE x.c END
- FROM {prefix}_packed r JOIN {prefix}_units x ON x.file_path = r.file_path AND x.u = r.u + 1""",
+ FROM {prefix}_packed r JOIN {prefix}_units x ON {same} AND x.u = r.u + 1""",
         f"{prefix}_units",
     )
+
+
+def _lines(prefix: str, source: str, limit: int) -> None:
+    cte(
+        f"{prefix}_lines",
+        f"""SELECT namespace, file_path, {limit} - {tok('file_path')} AS b, i, t, {tok('t')} AS c,
+ CASE WHEN trim(t, {WS}) <> '' THEN length(t) - length(ltrim(t, ' '||chr(9))) END AS ind
+ FROM (SELECT namespace, file_path, unnest(range(1, len(l) + 1)) AS i,
+ unnest(list_transform(l, lambda x, j: CASE WHEN j < len(l) THEN x||chr(10) ELSE x END)) AS t
+ FROM (SELECT *, string_split(content, chr(10)) AS l FROM {source}))""",
+        source,
+    )
+
+
+def _chunk_text(prefix: str, limit: int, source: str = "files_v") -> None:
+    _lines(prefix, source, limit)
+    _packed(prefix, f"{prefix}_lines", ["file_path"])
     _trimmed(prefix, f"SELECT x.*, r.g FROM {prefix}_units x JOIN {prefix}_packed r USING (file_path, u)", f"{prefix}_packed")
 
 
@@ -258,17 +267,9 @@ cte(
 )
 
 
-def _chunk_code(prefix: str, source: str) -> None:
-    """Blocks at the first and second indentation level; no block of the data needs the text fallback."""
-    cte(
-        f"{prefix}_lines",
-        f"""SELECT namespace, file_path, {q.CODE_TOKENS} - {tok('file_path')} AS b, i, t, {tok('t')} AS c,
- CASE WHEN trim(t, {WS}) <> '' THEN length(regexp_extract(t, '^[ \\t]*')) END AS ind
- FROM (SELECT namespace, file_path, unnest(range(1, len(l) + 1)) AS i,
- unnest(list_transform(l, lambda x, j: CASE WHEN j < len(l) THEN x||chr(10) ELSE x END)) AS t
- FROM (SELECT *, string_split(content, chr(10)) AS l FROM {source}))""",
-        source,
-    )
+def _chunk_code(prefix: str, source: str, limit: int) -> None:
+    """Blocks at the first and second indentation level, what is still too long as text, then the merge."""
+    _lines(prefix, source, limit)
     cte(
         f"{prefix}_first",
         f"""SELECT *, sum(CASE WHEN ind = m THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY i) AS b1 FROM (SELECT *,
@@ -283,17 +284,27 @@ def _chunk_code(prefix: str, source: str) -> None:
         f"{prefix}_first",
     )
     cte(
-        f"{prefix}_units",
-        f"""SELECT namespace, file_path, {tok('file_path')} AS h, string_agg(t, '' ORDER BY i) AS t, sum(c) AS c,
- row_number() OVER (PARTITION BY file_path ORDER BY min(i)) AS u FROM {prefix}_second
- GROUP BY namespace, file_path, CASE WHEN whole <= b THEN 0 ELSE b1 END, CASE WHEN whole <= b OR block <= b THEN 0 ELSE b2 END""",
+        f"{prefix}_blocks",
+        f"""SELECT *, sum(c) OVER (PARTITION BY file_path, k1, k2) AS n FROM (SELECT *, CASE WHEN whole <= b THEN 0 ELSE b1 END AS k1,
+ CASE WHEN whole <= b OR block <= b THEN 0 ELSE b2 END AS k2 FROM {prefix}_second)""",
         f"{prefix}_second",
     )
+    cte(f"{prefix}_long", f"SELECT namespace, file_path, k1, k2, b, i, t FROM {prefix}_blocks WHERE n > b", f"{prefix}_blocks")
+    _packed(f"{prefix}_rest", f"{prefix}_long", ["file_path", "k1", "k2"])
+    cte(
+        f"{prefix}_units",
+        f"""SELECT namespace, file_path, {tok('file_path')} AS h, t, c, row_number() OVER (PARTITION BY file_path ORDER BY k1, k2, g) AS u
+ FROM (SELECT namespace, file_path, k1, k2, 0 AS g, string_agg(t, '' ORDER BY i) AS t, sum(c) AS c FROM {prefix}_blocks
+ WHERE n <= b GROUP BY ALL UNION ALL SELECT namespace, file_path, k1, k2, g, string_agg(t, '' ORDER BY u), sum(c)
+ FROM {prefix}_rest_units JOIN {prefix}_rest_packed USING (file_path, k1, k2, u) GROUP BY ALL)""",
+        f"{prefix}_rest_packed",
+    )
+    # White space in front of the first token is in no group and only moves the offsets.
     cte(
         f"{prefix}_merged",
         f"""SELECT file_path, u, 0 AS g, c AS cur FROM {prefix}_units WHERE u = 1 UNION ALL
- SELECT x.file_path, x.u, CASE WHEN x.c = 0 OR 2 * x.h + r.cur + x.c < {q.CODE_TOKENS - 50} THEN r.g ELSE r.g + 1 END,
- CASE WHEN x.c = 0 OR 2 * x.h + r.cur + x.c < {q.CODE_TOKENS - 50} THEN r.cur + x.c ELSE x.c END
+ SELECT x.file_path, x.u, CASE WHEN x.c = 0 OR r.cur = 0 OR 2 * x.h + r.cur + x.c < {limit - 50} THEN r.g ELSE r.g + 1 END,
+ CASE WHEN x.c = 0 OR r.cur = 0 OR 2 * x.h + r.cur + x.c < {limit - 50} THEN r.cur + x.c ELSE x.c END
  FROM {prefix}_merged r JOIN {prefix}_units x ON x.file_path = r.file_path AND x.u = r.u + 1""",
         f"{prefix}_units",
     )
@@ -302,38 +313,53 @@ def _chunk_code(prefix: str, source: str) -> None:
     )
 
 
-_chunk_code("code_chunks", "code_v")
+_chunk_code("code_chunks", "code_v", q.CODE_TOKENS)
 cte(
     "notebook_files",
     "SELECT namespace, replace(file_path, '.py', '.ipynb') AS file_path, rtrim(content, chr(10)) AS content FROM code_v",
     "code_v",
 )
-_chunk_code("notebook_chunks", "notebook_files")
-
-cte(
-    "issue_costs",
-    f"""SELECT html_url, title, bodies, n, '# Issue: '||title AS line, CASE WHEN {tok("'# Issue: '||title||chr(10)||body")} > {q.ISSUE_TOKENS}
- THEN '# Issue: '||title||chr(10)||{cut('body', f"{q.ISSUE_TOKENS - 20} - {tok('title')}")}
- ELSE '# Issue: '||title||chr(10)||body END AS head FROM issues_v""",
-    "issues_v",
-)
+_chunk_code("notebook_chunks", "notebook_files", q.CODE_TOKENS)
+cte("text_files", f"SELECT * FROM files_v WHERE coalesce({LANGUAGE}, 'text only') = 'text only'", "files_v")
+cte("code_files", f"SELECT * FROM files_v WHERE {LANGUAGE} <> 'text only'", "files_v")
+_chunk_text("text_parts", q.TEXT_TOKENS, "text_files")
+_chunk_code("code_parts", "code_files", q.TEXT_TOKENS)
 cte(
-    "issue_packed",
-    f"""SELECT html_url, 0::BIGINT AS i, 0::BIGINT AS g, 0::BIGINT AS a, {tok('head')} AS cur FROM issue_costs UNION ALL
- SELECT r.html_url, r.i + 1, CASE WHEN r.cur + {tok('x.bodies[r.i + 1]')} + 20 > {q.ISSUE_TOKENS} THEN r.g + 1 ELSE r.g END,
- CASE WHEN r.cur + {tok('x.bodies[r.i + 1]')} + 20 > {q.ISSUE_TOKENS} THEN r.i ELSE r.a END,
- CASE WHEN r.cur + {tok('x.bodies[r.i + 1]')} + 20 > {q.ISSUE_TOKENS} THEN {tok('x.line')} ELSE r.cur END + 4 + {tok('x.bodies[r.i + 1]')}
- FROM issue_packed r JOIN issue_costs x ON x.html_url = r.html_url AND r.i < x.n""",
-    "issue_costs",
+    "any_chunks",
+    "SELECT *, 'text' AS chunker FROM text_parts UNION ALL SELECT *, 'code' FROM code_parts",
+    "text_parts",
+    "code_parts",
 )
-cte(
-    "issue_chunks",
-    f"""SELECT html_url||'_'||a||'_'||e AS chunk_id, html_url AS url, a AS start_comment, e AS end_comment,
+
+def _chunk_issue(prefix: str, limit: int) -> None:
+    cte(
+        f"{prefix}_costs",
+        f"""SELECT html_url, title, bodies, n, '# Issue: '||title AS line, CASE WHEN {tok("'# Issue: '||title||chr(10)||body")} > {limit}
+ THEN '# Issue: '||title||chr(10)||{cut('body', f"{limit - 20} - {tok('title')}")}
+ ELSE '# Issue: '||title||chr(10)||body END AS head FROM issues_v""",
+        "issues_v",
+    )
+    cte(
+        f"{prefix}_packed",
+        f"""SELECT html_url, 0::BIGINT AS i, 0::BIGINT AS g, 0::BIGINT AS a, {tok('head')} AS cur FROM {prefix}_costs UNION ALL
+ SELECT r.html_url, r.i + 1, CASE WHEN r.cur + {tok('x.bodies[r.i + 1]')} + 20 > {limit} THEN r.g + 1 ELSE r.g END,
+ CASE WHEN r.cur + {tok('x.bodies[r.i + 1]')} + 20 > {limit} THEN r.i ELSE r.a END,
+ CASE WHEN r.cur + {tok('x.bodies[r.i + 1]')} + 20 > {limit} THEN {tok('x.line')} ELSE r.cur END + 4 + {tok('x.bodies[r.i + 1]')}
+ FROM {prefix}_packed r JOIN {prefix}_costs x ON x.html_url = r.html_url AND r.i < x.n""",
+        f"{prefix}_costs",
+    )
+    cte(
+        prefix,
+        f"""SELECT html_url||'_'||a||'_'||e AS chunk_id, html_url AS url, a AS start_comment, e AS end_comment,
  {tok('text')} AS num_tokens, text FROM (SELECT *, CASE WHEN g = 0 THEN head ELSE line END||chr(10)||chr(10)
  ||array_to_string(list_transform(list_slice(bodies, a + 1, e), lambda c: '## Comment: '||c), chr(10)||chr(10)) AS text
- FROM (SELECT html_url, g, max(a) AS a, max(i) AS e FROM issue_packed GROUP BY html_url, g) JOIN issue_costs USING (html_url))""",
-    "issue_packed",
-)
+ FROM (SELECT html_url, g, max(a) AS a, max(i) AS e FROM {prefix}_packed GROUP BY html_url, g) JOIN {prefix}_costs USING (html_url))""",
+        f"{prefix}_packed",
+    )
+
+
+_chunk_issue("issue_chunks", q.ISSUE_TOKENS)
+_chunk_issue("indexed_issue_chunks", q.TEXT_TOKENS)
 
 # --- batches --------------------------------------------------------------------------
 
@@ -651,6 +677,13 @@ def oracle_sql() -> dict[str, str]:
             """SELECT batch_id, pos, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM vector_batches""",
             "vector_batches",
         ),
+        "write_eval_report": compose(
+            """SELECT 'cosine' AS run_id, query_id, round(rprec, 6) AS rprec, round(map, 6) AS map, round(mrr, 6) AS mrr,
+ string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS documents FROM cosine_scores JOIN cosine USING (query_id)
+ GROUP BY query_id, rprec, map, mrr""",
+            "cosine_scores",
+            "cosine",
+        ),
         "filter_audit": compose(
             f"SELECT namespace, file_path, {VISIBLE} AND NOT {exclude} AS included FROM files_v", "files_v"
         ),
@@ -739,6 +772,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "notebook_code": compose("SELECT file_path, content AS code FROM notebook_files", "notebook_files"),
         "chunk_issue": compose("SELECT * FROM issue_chunks", "issue_chunks"),
+        "chunk_any": compose(
+            "SELECT file_path, chunker, start_pos, end_pos, num_tokens, text FROM any_chunks", "any_chunks"
+        ),
         "extract_symbols": compose("SELECT file_path, class_name, method_name FROM symbols_v", "symbols_v"),
         "path_ancestors": compose(f"SELECT DISTINCT * FROM ({prefixes('files_v', 'file_path')})", "files_v"),
         # E
@@ -863,6 +899,12 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_weighted": compose("SELECT * FROM weighted", "weighted"),
         "retrieve_by_path": compose("SELECT query_id, doc_id AS file_path, score, rank FROM by_path", "by_path"),
         "rerank_fallback": compose("SELECT query_id, doc_id, score, fell_back, rank FROM fallback", "fallback"),
+        "build_index": compose(
+            f"""SELECT namespace, {CHUNK_ID} AS chunk_id, num_tokens, text FROM any_chunks WHERE {VISIBLE} AND NOT {exclude}
+ UNION ALL SELECT 'acme/chat/issues', chunk_id, num_tokens, text FROM indexed_issue_chunks""",
+            "any_chunks",
+            "indexed_issue_chunks",
+        ),
         # L
         "render_tree": compose("SELECT namespace, node_path, depth, line FROM tree_lines", "tree_lines"),
         "render_tree_methods_only": compose(

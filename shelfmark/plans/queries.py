@@ -274,7 +274,15 @@ def write_eval_report(spark, sf_dir):
     report = evaluation.report_json(scores, judged, {"metric": "cosine", "k": str(K)}, "cosine")
     path = scratch_path(spark, "report")
     evaluation.write_eval_report(report, path)
-    return spark.read.json(path).select("run_id", "query_id", "report")
+    metrics = ("rprec", "map", "mrr")
+    written = "query_id bigint, hits array<struct<doc_id:bigint>>, " + ", ".join(f"{m} double" for m in metrics)
+    back = spark.read.json(path).select("run_id", F.from_json("report", written).alias("r")).select("run_id", "r.*")
+    return back.select(
+        "run_id",
+        "query_id",
+        *[F.round(m, 6).alias(m) for m in metrics],
+        F.array_join(F.transform("hits", lambda h: h["doc_id"].cast("string")), ",").alias("documents"),
+    )
 
 
 @query
@@ -841,7 +849,7 @@ class _FlakyEmbedder:
 def embed_retry(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     embedded = embedding.embed_chunks(docs, _FlakyEmbedder(), batch_size=1, attempts=2, first_pause=0.0)
-    good, errors = embedding.split_errors(embedded)
+    good, errors = embedding.split_errors(stored(embedded, "embedded"))
     n = F.get("embedding", F.lit(0)).cast("long")
     return good.select("doc_id", n.alias("n_chars"), F.lit(None).cast("string").alias("error")).unionByName(
         errors.select("doc_id", F.lit(None).cast("long").alias("n_chars"), "error")

@@ -220,6 +220,30 @@ def test_build_index_from_a_tree(spark, tree, tmp_path):
         pipelines.index_rows(None, None, 50)
 
 
+def test_failed_chunks_are_kept_apart(spark, tmp_path):
+    rows = [("o/r", "o/r/a.txt", "fine"), ("o/r", "o/r/b.txt", "poison")]
+    corpus = spark.createDataFrame(rows, "namespace string, file_path string, content string")
+
+    def model(texts):
+        if any("poison" in t for t in texts):
+            raise RuntimeError("no")
+        return [[1.0] for _ in texts]
+
+    index = pipelines.build_index(
+        index_ops.Index(spark, str(tmp_path), "i"),
+        files=corpus,
+        issues=None,
+        max_tokens=50,
+        embedder=model,
+        batch_size=1,
+        attempts=2,
+        first_pause=0.0,
+    )
+    assert [r.file_path for r in index.read().collect()] == ["o/r/a.txt"]
+    errors = spark.read.parquet(f"{index.path}.errors").collect()
+    assert [(r.file_path, r.error) for r in errors] == [("o/r/b.txt", "RuntimeError: no")]
+
+
 def test_outline_variants(spark):
     f = spark.createDataFrame([("o/r", "o/r/a/m.py"), ("o/r", "o/r/z.md")], "namespace string, file_path string")
     s = spark.createDataFrame(
