@@ -1,7 +1,7 @@
 """Personal data by patterns, and by a skip-chain conditional random field on top.
 
 Four patterns give certain spans. The field labels the other tokens of a document that hold digits
-or an ``@``, or are the local part of a found address. Its nodes are these tokens, its edges join
+or an ``@``, or are the local part of a found address. Its nodes are these tokens and the certain spans, its edges join
 neighbours (the chain) and tokens that are the same but for case and punctuation (the skips), each
 to the next one like it. Loopy belief propagation passes labels along both, so that a number which
 the patterns know in one place is found in another where it is written differently.
@@ -18,9 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-import xxhash
 
 # The patterns of the certain spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -86,35 +86,30 @@ class Graph:
         spans = sorted((a, b, k + 1) for k, own in enumerate(base) for a, b in own)
         locals_ = {text[a:b].split("@")[0].lower() for a, b in base[0]}
         locals_ = {w for w in locals_ if len(w) >= SKIP_LEAST}
-        self.spans: list[tuple[int, int]] = []
-        self.shapes: list[int] = []
-        keys: list[str] = []
-        places: list[int] = []
-        labels: list[int] = []
-        at = 0
-        for number, m in enumerate(_TOKEN.finditer(text)):
-            token = m.group()
-            a, b = m.span()
-            stripped = token.rstrip(".)-").lstrip("(-.")
-            if not stripped:
+        nodes: list[tuple[int, int, int]] = []
+        for a, b, label in spans:  # of overlapping spans the first
+            if not nodes or a >= nodes[-1][1]:
+                nodes.append((a, b, label))
+        certain, at = list(nodes), 0
+        for m in _TOKEN.finditer(text):
+            stripped = m.group().rstrip(".)-").lstrip("(-.")
+            if not stripped or not (_DIGIT.search(stripped) or "@" in stripped or stripped.lower() in locals_):
                 continue
-            a, b = a + token.index(stripped), a + token.index(stripped) + len(stripped)
-            if not _DIGIT.search(token) and "@" not in token and stripped.lower() not in locals_:
-                continue
-            while at < len(spans) and spans[at][1] <= a:
+            a = m.start() + m.group().index(stripped)
+            while at < len(certain) and certain[at][1] <= a:
                 at += 1
-            # Of overlapping spans the first that has the token, the longest kinds being listed first.
-            labels.append(next((k for s, e, k in spans[at : at + 8] if s < b and e > a), 0))
-            self.spans.append((a, b))
-            self.shapes.append(shape(token))
-            bare = _BARE.sub("", stripped.lower())
-            keys.append(bare.split("@")[0] if "@" in bare else bare)
-            places.append(number)
-        self.known = np.array(labels, dtype=np.int64)
-        self.chain = [(i, i + 1) for i in range(len(places) - 1) if places[i + 1] == places[i] + 1]
+            if at == len(certain) or certain[at][0] >= a + len(stripped):
+                nodes.append((a, a + len(stripped), 0))
+        nodes.sort()
+        self.spans = [(a, b) for a, b, _ in nodes]
+        self.shapes = [shape(text[a:b]) for a, b in self.spans]
+        self.known = np.array([label for *_, label in nodes], dtype=np.int64)
+        self.chain = [(i, i + 1) for i in range(len(nodes) - 1) if not text[nodes[i][1] : nodes[i + 1][0]].strip()]
         last: dict[str, int] = {}
         self.skips = []
-        for i, key in enumerate(keys):
+        for i, (a, b) in enumerate(self.spans):
+            bare = _BARE.sub("", text[a:b].lower())
+            key = bare.split("@")[0] if "@" in bare else bare
             if len(key) >= SKIP_LEAST:
                 if key in last:
                     self.skips.append((last[key], i))
@@ -284,5 +279,7 @@ def digests(found: DataFrame) -> DataFrame:
             F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
         )
 
-    counted = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counted, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    def counted(number, name):
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long").alias(f"n_{name}")
+
+    return found.select("doc_id", *[counted(k, name) for k, name in enumerate(KINDS)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))

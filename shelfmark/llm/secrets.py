@@ -27,23 +27,24 @@ BASE = ["assign", "access", "hex"]
 
 IDENTIFIER = r"""(?i:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,}"""
-#: Forty characters of base 64, or a hexadecimal run too short to be certain.
-WEAK = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"
+#: Runs of base 64 characters; weak strings are those of forty, and hexadecimal ones too short to be certain.
+RUN = r"[A-Za-z0-9+/]{16,}"
+WEAK_LENGTH, WEAK_HEX = 40, 23
 KINDS = [*BASE, "weak", "identifier", "endpoint"]
 
 #: Characters between a weak string and the parts that it is linked with.
 SCOPE = 200
-_RUN = 256
+_STEP = 256
 _NO_SPANS = "cast(array() as array<struct<start:int,end:int,kind:int>>)"
 
 
 def starts(gaps: Column, matches: Column) -> Column:
     """Where each match starts, given the pieces of text between matches.
 
-    Running sums in runs of ``_RUN``, as a single fold would copy its result at every match.
+    Running sums in runs of ``_STEP``, as a single fold would copy its result at every match.
     """
     step = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(0))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _RUN).cast("int")), lambda r: F.slice(step, r * _RUN + 1, _RUN))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _STEP).cast("int")), lambda r: F.slice(step, r * _STEP + 1, _STEP))
     add = lambda a, x: a + x
     total = lambda xs: F.aggregate(xs, F.lit(0), add)
     sums = F.transform(runs, total)
@@ -91,8 +92,11 @@ def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     Within a text at most ``scope`` parts of a kind begin in one block, so no group is large.
     """
     text = F.col("_text")
-    df = _texts(docs).where(text.rlike(WEAK)).distinct()
-    df = _found(df, "_weak", WEAK, 3, F.lit(True))
+    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    is_weak = lambda r: (F.length(r) == WEAK_LENGTH) | (F.length(r) <= WEAK_HEX) & ~r.rlike("[^0-9a-f]")
+    df = _texts(docs).where(F.when(text.rlike(RUN), F.exists(runs, is_weak)).otherwise(False)).distinct()
+    df = _found(df, "_weak", RUN, 3, F.lit(True))
+    df = df.withColumn("_weak", F.filter("_weak", lambda s: is_weak(F.substring(text, s["start"] + 1, s["end"] - s["start"]))))
     df = _found(df, "_identifier", IDENTIFIER, 4, F.lit(True))
     df = _found(df, "_access", ACCESS, 4, F.contains("_text", F.lit("AKIA")))
     df = _found(df, "_endpoint", ENDPOINT, 5, F.contains("_text", F.lit("://")))
