@@ -29,8 +29,11 @@ def is_hidden(path: Column) -> Column:
 
 
 def file_url(path: Column, namespace: Column, host: str = "https://github.com", branch: str = "main") -> Column:
-    inner = F.substring(path, F.length(namespace) + 2, F.length(path))
-    return F.concat(F.lit(host + "/"), namespace, F.lit(f"/blob/{branch}/"), inner)
+    """The web page of a file. Paths begin with ``owner/repo``; a commit behind it in the namespace is the version shown."""
+    repo = F.concat_ws("/", F.slice(F.split(namespace, "/"), 1, 2))
+    commit = F.get(F.split(namespace, "/", 3), F.lit(2))
+    inner = F.substring(path, F.length(repo) + 2, F.length(path))
+    return F.concat(F.lit(host + "/"), repo, F.lit("/blob/"), F.coalesce(commit, F.lit(branch)), F.lit("/"), inner)
 
 
 def ascii_only(text: Column) -> Column:
@@ -38,7 +41,10 @@ def ascii_only(text: Column) -> Column:
 
 
 def chunk_id(path: Column, start: Column, end: Column) -> Column:
-    return F.concat_ws("_", ascii_only(path), start.cast("string"), end.cast("string"))
+    """Only ASCII is kept of the path; where that drops characters, part of the whole path's hash keeps ids apart."""
+    plain = ascii_only(path)
+    name = F.when(plain == path, plain).otherwise(F.concat_ws("~", plain, F.substring(F.md5(path), 1, 16)))
+    return F.concat_ws("_", name, start.cast("string"), end.cast("string"))
 
 
 def chunk_content(path: Column, content: Column, start: Column, end: Column) -> Column:

@@ -320,7 +320,12 @@ def merge_small_chunks(chunks: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:
-    return chunks.dropDuplicates(["file_path", "start_pos", "end_pos"])
+    """One row per chunk: the same place of the same file in the same namespace, or the same id.
+
+    Issue chunks have no path and no offsets; their id tells them apart.
+    """
+    keys = ["namespace", "chunk_id", "file_path", "start_pos", "end_pos"]
+    return chunks.dropDuplicates([k for k in keys if k in chunks.columns])
 
 
 def drop_stored_text(chunks: DataFrame) -> DataFrame:
@@ -330,11 +335,18 @@ def drop_stored_text(chunks: DataFrame) -> DataFrame:
 
 
 def hydrate_text(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Rebuild the text of chunk rows that were stored without it."""
-    source = files.select("file_path", F.col("content").alias("_content"))
-    rebuilt = paths.chunk_content(F.col("file_path"), F.col("_content"), F.col("start_pos"), F.col("end_pos"))
+    """Rebuild the text of chunk rows that were stored without it.
+
+    Files are told apart by namespace and path where both sides have a namespace. The offsets of
+    a notebook's chunks count in its code, so that is what they are cut from.
+    """
+    keys = [k for k in ("namespace", "file_path") if k in chunks.columns and k in files.columns]
+    chunker = F.col("chunker") if "chunker" in chunks.columns else route_chunker(F.col("file_path"))
+    source = files.select(*keys, F.col("content").alias("_content"))
+    content = F.when(chunker == "notebook", notebook_code(F.col("_content"))).otherwise(F.col("_content"))
+    rebuilt = paths.chunk_content(F.col("file_path"), content, F.col("start_pos"), F.col("end_pos"))
     return (
-        chunks.join(source, "file_path", "left")
+        chunks.join(source, keys, "left")
         .withColumn("text", F.coalesce("text", rebuilt))
         .drop("_content")
     )

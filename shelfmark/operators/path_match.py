@@ -130,7 +130,11 @@ def validate_paths(
 
 
 def hydrate_files(chosen: DataFrame, files: DataFrame, at_most: int | None = None) -> DataFrame:
-    """Full documents for chosen paths; ``at_most`` bounds the number of choices, if known."""
+    """Full documents for chosen paths, by namespace too where both sides have one.
+
+    ``at_most`` bounds the number of choices, if known.
+    """
     if at_most is not None and at_most <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    return files.select("file_path", "content").join(chosen, "file_path")
+    keys = [k for k in ("namespace", "file_path") if k in chosen.columns and k in files.columns]
+    return files.select(*keys, "content").join(chosen, keys)

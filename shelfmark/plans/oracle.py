@@ -732,8 +732,9 @@ def oracle_sql() -> dict[str, str]:
             "files_v",
         ),
         "chunk_id": compose(
-            """SELECT doc_id, regexp_replace(file_path||'/'||string_split(content, ' ')[1], '[^\\x00-\\x7F]', '', 'g')
- ||'_0_'||length(content) AS chunk_id, length(content) AS length FROM files_v""",
+            """SELECT doc_id, CASE WHEN plain = p THEN p ELSE plain||'~'||substr(md5(p), 1, 16) END||'_0_'||length(content) AS chunk_id,
+ length(content) AS length FROM (SELECT *, regexp_replace(p, '[^\\x00-\\x7F]', '', 'g') AS plain FROM
+ (SELECT *, file_path||'/'||string_split(content, ' ')[1] AS p FROM files_v))""",
             "files_v",
         ),
         "issue_text": compose(

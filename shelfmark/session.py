@@ -14,13 +14,16 @@ BROADCAST_ROWS = 500_000
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (a local test) gets a temporary one.
+    The cluster names it in ``spark.checkpoint.dir``. A local session without that setting, as in
+    tests, gets a temporary one; on a cluster executors would not find it, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shelfmark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

@@ -43,6 +43,15 @@ def parse_batch_results(lines: DataFrame) -> DataFrame:
     ).withColumnRenamed("index", "pos")
 
 
+def batch_result_errors(lines: DataFrame) -> DataFrame:
+    """``(batch_id, line, reason)`` of the lines that give no vectors: no JSON, or a response without data."""
+    result = F.from_json("value", RESULT_SCHEMA)
+    parsed = lines.select(F.col("value").alias("line"), result.alias("r")).filter(F.trim("line") != "")
+    no_id, no_data = F.col("r.custom_id").isNull(), F.coalesce(F.size("r.response.body.data"), F.lit(-1)) < 1
+    reason = F.when(no_id, "no batch result").when(no_data, "no vectors")
+    return parsed.select(F.col("r.custom_id").alias("batch_id"), "line", reason.alias("reason")).filter("reason is not null")
+
+
 def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
     return parse_batch_results(spark.read.text(path))
 

@@ -37,14 +37,21 @@ def scan_question_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def predictions(hits: DataFrame, n: int = 3) -> DataFrame:
-    """``(id, documents)``: the n best documents per query as a JSON array."""
+def predictions(hits: DataFrame, n: int = 3, questions: DataFrame | None = None) -> DataFrame:
+    """``(id, documents)``: the n best documents per query as a JSON array.
+
+    With ``questions(query_id, …)`` each of them has a row, with an empty array where nothing was found.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc"))))
     top = hits.filter(F.col("rank") <= n)
-    return top.groupBy(F.col("query_id").alias("id")).agg(
+    found = top.groupBy(F.col("query_id").alias("id")).agg(
         F.to_json(F.transform(ordered, lambda x: x["doc"])).alias("documents")
     )
+    if questions is None:
+        return found
+    asked = questions.select(F.col("query_id").alias("id")).distinct()
+    return asked.join(found, "id", "left").withColumn("documents", F.coalesce("documents", F.lit("[]")))
 
 
-def write_predictions_csv(hits: DataFrame, path: str, n: int = 3) -> None:
-    predictions(hits, n).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_predictions_csv(hits: DataFrame, path: str, n: int = 3, questions: DataFrame | None = None) -> None:
+    predictions(hits, n, questions).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -207,3 +207,28 @@ def test_symbols_of_a_file_with_very_many(spark):
     content = "class C:\n" + "".join(f"    def m{i}(self): pass\n" for i in range(5000))
     rows = symbols.extract_symbols(files(spark, [("big.py", content)])).collect()
     assert [r.method_name for r in rows] == [None] + [f"m{i}" for i in range(5000)]
+
+
+def test_dedup_keeps_issue_chunks_and_namespaces(spark):
+    rows = [
+        ("o/r", "a.py_0_5", "a.py", 0, 5),
+        ("o/r", "a.py_0_5", "a.py", 0, 5),
+        ("o/r/c2", "a.py_0_5", "a.py", 0, 5),
+        ("o/r", "issue/1_0_1", None, None, None),
+        ("o/r", "issue/1_1_2", None, None, None),
+        ("o/r", "issue/1_1_2", None, None, None),
+    ]
+    chunks = spark.createDataFrame(rows, "namespace string, chunk_id string, file_path string, start_pos int, end_pos int")
+    assert chunking.dedup_chunks(chunks).count() == 4
+
+
+def test_notebooks_and_two_commits_are_rebuilt(spark):
+    cells = [{"cell_type": "markdown", "source": "# t"}, {"cell_type": "code", "source": "def f():\n    return 1"}]
+    nb = json.dumps({"cells": cells})
+    rows = [("o/r", "n.ipynb", nb), ("o/r", "a.txt", "first commit"), ("o/r/c2", "a.txt", "other words here")]
+    docs = spark.createDataFrame(rows, "namespace string, file_path string, content string")
+    chunks = chunking.chunk_any(docs, MAX)
+    assert chunks.count() == 3
+    rebuilt = chunking.hydrate_text(chunking.drop_stored_text(chunks), docs)
+    columns = ["namespace", "chunk_id", "text"]
+    assert rebuilt.count() == 3 and rebuilt.select(columns).exceptAll(chunks.select(columns)).isEmpty()

@@ -6,8 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import session
 from shelfmark.functions import paths
-from shelfmark.operators import embedding, evaluation, filters, index as index_ops, outline
+from shelfmark.operators import embedding, evaluation, filters, index as index_ops, outline, path_match
 from shelfmark.plans import pipelines, views
 from shelfmark.sources import batches, benchmark, files, issues, rules
 from shelfmark.streaming.upsert import stream_upsert
@@ -73,8 +74,12 @@ def test_many_rules_take_the_join(spark, sf_dir, monkeypatch):
 
 
 def test_default_rules(spark):
-    counts = {r.kind: r["count"] for r in rules.default_rules(spark).groupBy("kind").count().collect()}
-    assert counts == {"dir": 21, "ext": 65, "file": 7}
+    found = rules.default_rules(spark)
+    assert found.distinct().count() == found.count()
+    assert {r.kind for r in found.collect()} == set(rules.KINDS)
+    paths_ = spark.createDataFrame([("o/r/a.py",), ("o/r/node_modules/x.js",), ("o/r/p.png",), ("o/r/yarn.lock",)], "file_path string")
+    kept = filters.filter_exclude(paths_.withColumn("namespace", F.lit("o/r")), found)
+    assert names(kept) == ["o/r/a.py"]
 
 
 def test_paths(spark):
@@ -210,8 +215,9 @@ def test_newest_is_independent_of_order(spark):
 
 def test_build_index_from_a_tree(spark, tree, tmp_path):
     index = index_ops.Index(spark, str(tmp_path), "code")
+    left_out = spark.createDataFrame([("dir", "vendor"), ("ext", ".json"), ("file", "__init__.py")], "kind string, value string")
     pipelines.build_index(
-        index, files=files.scan_files(spark, tree, "o/r"), issues=None, max_tokens=50, exclude=rules.default_rules(spark)
+        index, files=files.scan_files(spark, tree, "o/r"), issues=None, max_tokens=50, exclude=left_out
     )
     rows = index.read("o/r").collect()
     assert sorted(r.file_path for r in rows) == ["o/r/pkg/_private.py"]
@@ -271,3 +277,38 @@ def test_report_is_written_per_run(spark, tmp_path):
     evaluation.write_eval_report(report, str(tmp_path / "reports"))
     row = spark.read.json(str(tmp_path / "reports")).first()
     assert row.run_id == "r1" and json.loads(row.report)["hits"][0]["doc_id"] == "a"
+
+
+def test_links_and_ids_of_versions_and_other_alphabets(spark):
+    df = spark.createDataFrame([("o/r/src/é.txt", "o/r"), ("o/r/src/è.txt", "o/r/abc123")], "p string, n string")
+    rows = df.select(paths.file_url(F.col("p"), F.col("n")).alias("u"), paths.chunk_id(F.col("p"), F.lit(0), F.lit(3)).alias("i")).collect()
+    assert [r.u for r in rows] == ["https://github.com/o/r/blob/main/src/é.txt", "https://github.com/o/r/blob/abc123/src/è.txt"]
+    assert rows[0].i != rows[1].i and all(r.i.startswith("o/r/src/.txt~") and r.i.endswith("_0_3") for r in rows)
+
+
+def test_files_of_two_commits_are_hydrated_apart(spark):
+    files_ = spark.createDataFrame([("o/r", "a", "one"), ("o/r/c2", "a", "two")], "namespace string, file_path string, content string")
+    chosen = spark.createDataFrame([("o/r/c2", "a", 1)], "namespace string, file_path string, rank int")
+    assert [r.content for r in path_match.hydrate_files(chosen, files_).collect()] == ["two"]
+
+
+def test_questions_without_hits_and_failed_results(spark):
+    hits = spark.createDataFrame([(1, "x", 1)], "query_id long, doc_id string, rank int")
+    questions = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, question string")
+    found = {r.id: r.documents for r in benchmark.predictions(hits, questions=questions).collect()}
+    assert found == {1: '["x"]', 2: "[]"}
+    good = json.dumps({"custom_id": "n/0", "response": {"body": {"data": [{"index": 0, "embedding": [1.0]}]}}})
+    bad = json.dumps({"custom_id": "n/1", "response": {"body": {"error": "x"}}})
+    lines = spark.createDataFrame([(good,), (bad,), ("no json",)], "value string")
+    assert batches.parse_batch_results(lines).count() == 1
+    errors = sorted((r.batch_id or "", r.reason) for r in batches.batch_result_errors(lines).collect())
+    assert errors == [("", "no batch result"), ("n/1", "no vectors")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Fake())
