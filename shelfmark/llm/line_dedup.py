@@ -221,6 +221,7 @@ class _Pass:
         """``(set, first, words)`` of the sets in ``sets(set)``: the first line that has each, and its words, rare ones first."""
         counts, spark = self.counts, sets.sparkSession
         sent = None
+        sets = stored(sets, "sets")
         if sets.count() <= SENT_SETS:
             sent = spark.sparkContext.broadcast(np.sort(np.array([r["set"] for r in sets.toLocalIterator()], dtype=np.int64)))
 
@@ -249,7 +250,7 @@ class _Pass:
 
 
 def likely_sets(read: _Pass) -> DataFrame:
-    """``(set)`` of all sets that have another within the filters at some prefix word."""
+    """``(set, token)`` of all sets that have another within the filters at some prefix word, with these words."""
 
     def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
         identity, parity = columns["set"], columns["parity"].view(np.uint64)
@@ -263,13 +264,12 @@ def likely_sets(read: _Pass) -> DataFrame:
             near &= np.bitwise_count(parity[i] ^ parity[j]) <= n + m - 2 * shared
             likely[i[near]] = True
             likely[j[near]] = True
-        found = np.unique(identity[likely])
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found)], ["set"])
+        if likely.any():
+            yield pa.RecordBatch.from_arrays([pa.array(identity[likely]), pa.array(columns["token"][likely])], ["set", "token"])
 
     crowded = large_keys(read.prefixes(SAMPLE), "token", SAMPLE)
     placed = tiled(read.prefixes(), crowded, "token", "set")
-    return scan_groups(placed, "token", [], work, "set bigint").distinct()
+    return scan_groups(placed, "token", [], work, "set bigint, token bigint").distinct()
 
 
 def shared_words(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -282,16 +282,17 @@ def shared_words(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray
     return np.bincount(key[1:][key[1:] == key[:-1]] // unit, minlength=len(i))
 
 
-def later_sets(lines: DataFrame) -> DataFrame:
-    """``(set)`` of the rows of ``lines(set, first, words)`` that are similar enough to an earlier row."""
-    n = F.size("words")
-    prefix = n - F.ceil(n * SIMILAR[0] / SIMILAR[1]).cast("int") + 1
+def later_sets(lines: DataFrame, likely: DataFrame) -> DataFrame:
+    """``(set)`` of the rows of ``lines(set, first, words)`` that are similar enough to an earlier row.
+
+    Rows meet at the words of ``likely(set, token)`` only, as every similar pair is likely at each prefix word it shares.
+    """
     # Rows without id come first.
     doc = F.coalesce("first.doc_id", F.lit(-(2**63)))
-    flat = lines.select("set", "words", doc.alias("doc_id"), "first.text_key", "first.line", prefix.alias("prefix"))
+    flat = lines.select("set", "words", doc.alias("doc_id"), "first.text_key", "first.line")
 
     def rows(some: DataFrame) -> DataFrame:
-        return some.select(F.explode_outer(F.slice("words", 1, F.col("prefix"))).alias("token"), "set", "words", "doc_id", "text_key", "line")
+        return some.join(likely, "set").select("token", "set", "words", "doc_id", "text_key", "line")
 
     def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
         identity = columns["set"]
@@ -317,7 +318,7 @@ def later_sets(lines: DataFrame) -> DataFrame:
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(found)], ["set"])
 
-    crowded = large_keys(rows(flat.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0)), "token", SAMPLE)
+    crowded = large_keys(likely.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0), "token", SAMPLE)
     placed = tiled(rows(flat), crowded, "token", "set")
     return scan_groups(placed, "token", [], work, "set bigint").distinct()
 
@@ -326,7 +327,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, lines)``: the numbers of the removed lines of each row that has any, sorted."""
     read = _Pass(docs)
     likely = stored(likely_sets(read), "likely-sets")
-    gone = stored(later_sets(stored(read.chosen(likely), "likely-lines")), "later-sets").withColumn("gone", F.lit(True))
+    chosen = stored(read.chosen(likely.select("set").distinct()), "likely-lines")
+    gone = stored(later_sets(chosen, likely), "later-sets").withColumn("gone", F.lit(True))
     lines = stored(read.lines(), "lines")
     here = F.struct("doc_id", "text_key", "line")
     counted = lines.groupBy("set").agg(F.min(here).alias("first"), F.count("*").alias("n"))
