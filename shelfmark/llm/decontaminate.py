@@ -155,14 +155,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """``docs`` without the contaminated rows, by the rule of :func:`contamination`; all other rows stay as they are."""
     found = hits(docs, benchmark, window)
     # Only rows with hits can be dropped, so only their words are counted.
-    names = [f"`{c}`" for c in docs.columns]
     bad = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.size(_hit_words(F.col("spans"))).alias("_hit"))
-    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), ANY_GAP), ""))
-    return docs.join(
-        hinted(bad, "hits"),
-        docs["doc_id"].eqNullSafe(F.col("_doc")) & (_text_key(docs["text"]) == F.col("_key")) & (F.col("_hit") * HIT_SHARE >= n_words),
-        "left_anti",
-    ).select(names)
+    n_words = F.size(F.array_remove(F.split(F.coalesce(docs["text"], F.lit("")), ANY_GAP), ""))
+    bad = hinted(bad, "hits")
+    same = docs["doc_id"].eqNullSafe(bad["_doc"]) & (_text_key(docs["text"]) == bad["_key"])
+    return docs.join(bad, same & (bad["_hit"] * HIT_SHARE >= n_words), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -170,16 +167,17 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     found = hits(docs, benchmark, window).select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), _hit_words(F.col("spans")).alias("_covered")
     )
+    found = hinted(found, "hits")
     pieces = F.split("text", ANY_GAP)
     gaps = F.split("text", ANY_GAP.replace("[", "[^").removesuffix("+") + "+")
     # The first word is empty when the text begins with a gap; then the first gap is not.
     shift = F.when(F.element_at(pieces, 1) == "", 1).otherwise(0)
-    kept = F.transform(pieces, lambda w, i: F.when(F.array_contains("_covered", i - shift), "").otherwise(w))
+    kept = F.transform(pieces, lambda w, i: F.when(F.array_contains(found["_covered"], i - shift), "").otherwise(w))
     woven = F.when(
         F.startswith("text", F.lit("")) & (shift == 1),
         F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i + 1), F.lit("")))),
     ).otherwise(F.transform(kept, lambda w, i: F.concat(w, F.coalesce(F.get(gaps, i + 1), F.lit("")))))
-    text = F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(woven, ""))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (_text_key(docs["text"]) == F.col("_key"))
-    joined = docs.join(hinted(found, "hits"), same, "left")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(found["_covered"].isNull(), F.col("text")).otherwise(F.array_join(woven, ""))
+    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (_text_key(docs["text"]) == found["_key"])
+    joined = docs.join(found, same, "left")
+    return joined.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])

@@ -368,8 +368,9 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     All rows stay; a text whose lines all go becomes empty, a null text stays null.
     """
     gone = removed_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("lines").alias("_lines"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key"))
-    joined = docs.join(gone, same, "left").drop("_doc", "_key")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"])
+    # The names of the columns are those of ``docs`` whatever they are, and one that only the next step reads.
+    joined = docs.join(gone, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], gone["_lines"].alias("_removed_lines"))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

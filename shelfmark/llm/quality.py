@@ -403,7 +403,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
 
 
 def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of ``docs``, and one with a leading ``_`` for the probability of each question."""
+    """All columns of ``docs``, and one with a leading ``_quality_`` for the probability of each question."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # 2**FEATURE_BITS numbers per question and at most CUES words
     names = docs.columns
     at = names.index("text")
@@ -414,10 +414,10 @@ def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
         for batch in slices(batches, "text", BATCH_BYTES):
             found = own.score(reader, batch.column(at))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(found[q]) for q in QUESTIONS)], [*names, *(f"_{q}" for q in QUESTIONS)]
+                [*batch.columns, *(pa.array(found[q]) for q in QUESTIONS)], [*names, *(f"_quality_{q}" for q in QUESTIONS)]
             )
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_{q}", T.DoubleType()) for q in QUESTIONS)])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_quality_{q}", T.DoubleType()) for q in QUESTIONS)])
     return docs.mapInArrow(run, schema)
 
 
@@ -436,12 +436,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = scores(own, train(own, labels))
     return scored.select(
         "doc_id",
-        *[F.col(f"_{q}").alias(q) for q in QUESTIONS],
-        (F.greatest(*[f"_{q}" for q in QUESTIONS]) < THRESHOLD).alias("keep"),
+        *[F.col(f"_quality_{q}").alias(q) for q in QUESTIONS],
+        (F.greatest(*[f"_quality_{q}" for q in QUESTIONS]) < THRESHOLD).alias("keep"),
     )
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`classify` does not keep."""
     scored = scores(docs, train(docs.select("doc_id", "text"), labels))
-    return scored.where(F.greatest(*[f"_{q}" for q in QUESTIONS]) < THRESHOLD).drop(*[f"_{q}" for q in QUESTIONS])
+    return scored.where(F.greatest(*[f"_quality_{q}" for q in QUESTIONS]) < THRESHOLD).drop(*[f"_quality_{q}" for q in QUESTIONS])

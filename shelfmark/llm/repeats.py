@@ -343,6 +343,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_digest", "_kept"])
 
     left = cuts.select("digest", "kept").mapInArrow(run, "_digest binary, _kept string")
-    joined = docs.join(left, _digest(docs["text"]) == F.col("_digest"), "left")
-    text = F.when(docs["text"].isNotNull(), F.coalesce("_kept", docs["text"]))
+    joined = docs.join(left, _digest(docs["text"]) == left["_digest"], "left")
+    text = F.when(docs["text"].isNotNull(), F.coalesce(left["_kept"], docs["text"]))
     return joined.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])

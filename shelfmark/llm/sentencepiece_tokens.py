@@ -277,7 +277,8 @@ class Codec:
         ids = self._flat[ranges(low, high)]
         before = lambda values: np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])]
         same = np.diff(before(~self._same[numbers])) == 0
-        exact = np.diff(before(~self._exact[numbers])) == 0
+        # A mark in a text comes back as a blank.
+        exact = (np.diff(before(~self._exact[numbers])) == 0) & ~pc.match_substring(column, MARK).to_numpy(zero_copy_only=False)
         return ids, before(high - low)[1:], same, exact
 
     def decode(self, ids: list[list[int]]) -> list[str]:

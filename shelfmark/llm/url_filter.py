@@ -118,5 +118,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
 def allowed(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """The rows of ``pages`` whose verdict is allow. Rows with one ``page_id`` and url share it."""
     bad = judge(pages, rules).where("verdict = 'block'").select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
-    same = (host(pages["url"]) == F.col("_host")) & (path(pages["url"]) == F.col("_path"))
+    same = (host(pages["url"]) == bad["_host"]) & (path(pages["url"]) == bad["_path"])
     return pages.join(bad, same, "left_anti")
