@@ -141,14 +141,14 @@ class Counts:
         return own
 
     def potentials(self) -> tuple[np.ndarray, np.ndarray]:
-        """Logarithms: of a label's probability given the shape, and of how much more often than by chance two labels meet."""
+        """Logarithms: of a label's probability given the shape, and of how much more often two labels
+        meet over an edge than two tokens drawn from all would have them."""
         prior = self.shapes.sum(axis=0) + 1
         prior = prior / prior.sum()
         nodes = np.log((self.shapes + 2 * prior) / (self.shapes.sum(axis=1, keepdims=True) + 2))
         pairs = self.pairs + np.swapaxes(self.pairs, 1, 2) + 0.5
         pairs = pairs / pairs.sum(axis=(1, 2), keepdims=True)
-        side = pairs.sum(axis=2)
-        return nodes, np.log(pairs) - np.log(side)[:, :, None] - np.log(side)[:, None, :]
+        return nodes, np.log(pairs) - np.log(prior)[:, None] - np.log(prior)[None, :]
 
 
 def marginals(graph: Graph, potentials: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
