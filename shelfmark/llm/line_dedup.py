@@ -34,7 +34,7 @@ from .groups import index_pairs, large_keys, ranges, scan_groups, tiled
 SIMILAR = (4, 5)
 COUNT_BITS = 18
 COUNT_CHUNK = 1 << 12
-#: One in so many documents is used to estimate which words are crowded.
+#: One in so many sets is used to estimate which words are crowded.
 SAMPLE = 32
 #: Sets with likely partners that are sent to all tasks; more are joined.
 SENT_SETS = 1_000_000
@@ -55,6 +55,19 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the odd factor and of its inverse, modulo 2 ** 64; kept for the next batch."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        for name, base in (("up", int(_FACTOR)), ("down", pow(int(_FACTOR), -1, 2**64))):
+            steps = np.full(1 << max(0, n - 1).bit_length(), base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
 class Lines:
     """The words and lines of a batch of texts.
 
@@ -92,30 +105,29 @@ class Lines:
 
     @staticmethod
     def _hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(start), dtype=np.uint64)
-        order = np.argsort(length, kind="stable")
-        start, length = start[order], length[order]
-        at, own = 0, np.zeros(len(start), dtype=np.uint64)
-        for k in range(int(length[-1]) if len(length) else 0):
-            at = int(np.searchsorted(length, k, side="right"))
-            own[at:] = (own[at:] + _LETTER[data[start[at:] + k]]) * _FACTOR
-        value[order] = mixed(own)
-        return value
+        """A polynomial of each word's bytes: a difference of running sums, taken back to the power zero."""
+        up, down = powers(len(data))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_LETTER[data] * up, dtype=np.uint64)])
+        return mixed((sums[start + length] - sums[start]) * down[start])
 
     def ordered(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(line, token, place)`` of the distinct words of each line, rare ones first.
 
         A token is the rarity of a word above 55 bits of its hash.
         """
-        rarity = np.minimum(255, np.floor(8 * np.log2(counts[(self.word & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)] + 1.0)))
-        token = (rarity.astype(np.uint64) << np.uint64(55) | self.word >> np.uint64(9)).astype(np.uint64)
-        order = np.lexsort((token, self.line))
-        line, token = self.line[order], token[order]
-        new = np.ones(len(line), dtype=bool)
-        new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-        line, token = line[new], token[new]
-        starts = np.searchsorted(line, line, side="left")
-        return line, (token ^ np.uint64(1 << 63)).view(np.int64), np.arange(len(line)) - starts
+        number, words = pd.factorize(self.word)
+        rarity = np.minimum(255, np.floor(8 * np.log2(counts[(words & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)] + 1.0)))
+        # Words that differ only below the 55 bits are one token.
+        tokens, rank = np.unique(rarity.astype(np.uint64) << np.uint64(55) | words >> np.uint64(9), return_inverse=True)
+        unit = max(1, len(tokens))
+        key = np.sort(self.line * unit + rank[number])
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        line, rank = np.divmod(key[new], unit)
+        at = np.arange(len(line))
+        begins = np.ones(len(line), dtype=bool)
+        begins[1:] = line[1:] != line[:-1]
+        return line, (tokens[rank] ^ np.uint64(1 << 63)).view(np.int64), at - np.maximum.accumulate(np.where(begins, at, 0))
 
 
 def least_shared(n: np.ndarray, m: np.ndarray | int = 0) -> np.ndarray:
@@ -170,52 +182,55 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 class _Pass:
-    """One reading of all texts; the counts are sent to the tasks once."""
+    """Readings of all texts; the counts are sent to the tasks once."""
 
     def __init__(self, docs: DataFrame):
         self.docs = _keyed(docs)
         self.counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))  # 2**COUNT_BITS numbers
+        self.lines = stored(self._lines(), "lines")
 
-    def prefixes(self, share: int = 1) -> DataFrame:
-        """``(token, set, parity, size, place)`` for the prefix of each distinct set of a batch."""
+    def _lines(self) -> DataFrame:
+        """``(set, parity, size, doc_id, text_key, line, prefix)`` for every line that has words, lines numbered from 0.
+
+        ``prefix`` has the first words of a set, and is null where the same batch has the set before.
+        """
         counts = self.counts
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", BATCH_BYTES):
-                own = Lines(batch.column(0))
+                own = Lines(batch.column(2))
                 line, token, place = own.ordered(counts.value)
                 size, identity, parity = sketches(line, token, own.lines)
                 full = np.flatnonzero(size)
+                first = np.zeros(len(full), dtype=bool)
+                first[np.unique(identity[full], return_index=True)[1]] = True
                 chosen = np.zeros(own.lines, dtype=bool)
-                chosen[full[np.unique(identity[full], return_index=True)[1]]] = True
+                chosen[full[first]] = True
                 kept = chosen[line] & (place < prefix_length(size)[line])
-                of = line[kept]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (token[kept], identity[of], parity[of], size[of].astype(np.int32), place[kept].astype(np.int32))],
-                    ["token", "set", "parity", "size", "place"],
-                )
-
-        docs = self.docs.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(share)) == 0) if share > 1 else self.docs
-        return docs.select("text").mapInArrow(run, "token bigint, set bigint, parity bigint, size int, place int")
-
-    def lines(self) -> DataFrame:
-        """``(set, doc_id, text_key, line)`` for every line that has words, lines numbered from 0."""
-        counts = self.counts
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", BATCH_BYTES):
-                own = Lines(batch.column(2))
-                line, token, _ = own.ordered(counts.value)
-                size, identity, _ = sketches(line, token, own.lines)
-                full = np.flatnonzero(size)
+                ends = np.cumsum(np.where(first, prefix_length(size[full]), 0))
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([~first, [False]]))
                 doc = np.searchsorted(own.first_line, full, side="right") - 1
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(identity[full]), batch.column(0).take(at), batch.column(1).take(at), pa.array((full - own.first_line[doc]).astype(np.int32))],
-                    ["set", "doc_id", "text_key", "line"],
+                    [
+                        *(pa.array(x) for x in (identity[full], parity[full], size[full].astype(np.int32))),
+                        batch.column(0).take(at),
+                        batch.column(1).take(at),
+                        pa.array((full - own.first_line[doc]).astype(np.int32)),
+                        pa.ListArray.from_arrays(offsets, pa.array(token[kept])),
+                    ],
+                    ["set", "parity", "size", "doc_id", "text_key", "line", "prefix"],
                 )
 
-        return self.docs.mapInArrow(run, "set bigint, doc_id bigint, text_key bigint, line int")
+        schema = "set bigint, parity bigint, size int, doc_id bigint, text_key bigint, line int, prefix array<bigint>"
+        return self.docs.mapInArrow(run, schema)
+
+    def prefixes(self, share: int = 1) -> DataFrame:
+        """``(token, set, parity, size, place)`` for the prefix of each distinct set of a batch."""
+        sets = self.lines.where("prefix is not null")
+        if share > 1:
+            sets = sets.where(F.pmod(F.xxhash64("set"), F.lit(share)) == 0)
+        return sets.select("set", "parity", "size", F.posexplode("prefix").alias("place", "token"))
 
     def chosen(self, sets: DataFrame) -> DataFrame:
         """``(set, first, words)`` of the sets in ``sets(set)``: the first line that has each, and its words, rare ones first."""
@@ -329,7 +344,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     likely = stored(likely_sets(read), "likely-sets")
     chosen = stored(read.chosen(likely.select("set").distinct()), "likely-lines")
     gone = stored(later_sets(chosen, likely), "later-sets").withColumn("gone", F.lit(True))
-    lines = stored(read.lines(), "lines")
+    lines = read.lines.select("set", "doc_id", "text_key", "line")
     here = F.struct("doc_id", "text_key", "line")
     counted = lines.groupBy("set").agg(F.min(here).alias("first"), F.count("*").alias("n"))
     # Of sets that occur once and are not removed nothing goes, so they need not meet their lines again.
