@@ -226,11 +226,13 @@ class _Pass:
         return self.docs.mapInArrow(run, schema)
 
     def prefixes(self, share: int = 1) -> DataFrame:
-        """``(token, set, parity, size, place)`` for the prefix of each distinct set of a batch."""
+        """``(token, set, parity, size, place, prior)`` for the prefix of each distinct set of a batch; ``prior`` is the token before."""
         sets = self.lines.where("prefix is not null")
         if share > 1:
             sets = sets.where(F.pmod(F.xxhash64("set"), F.lit(share)) == 0)
-        return sets.select("set", "parity", "size", F.posexplode("prefix").alias("place", "token"))
+        rows = sets.select("set", "parity", "size", "prefix", F.posexplode("prefix").alias("place", "token"))
+        prior = F.when(F.col("place") > 0, F.get("prefix", F.col("place") - 1)).otherwise(0)
+        return rows.select("token", "set", "parity", "size", "place", prior.alias("prior"))
 
     def chosen(self, sets: DataFrame) -> DataFrame:
         """``(set, first, words)`` of the sets in ``sets(set)``: the first line that has each, and its words, rare ones first."""
@@ -247,7 +249,8 @@ class _Pass:
                 size, identity, _ = sketches(line, token, own.lines)
                 wanted = size > 0
                 if sent is not None:
-                    wanted &= np.isin(identity, sent.value)
+                    at = np.minimum(np.searchsorted(sent.value, identity), len(sent.value) - 1)
+                    wanted &= sent.value[at] == identity if len(sent.value) else False
                 full = np.flatnonzero(wanted)
                 doc = np.searchsorted(own.first_line, full, side="right") - 1
                 at = pa.array(doc)
@@ -265,18 +268,28 @@ class _Pass:
 
 
 def likely_sets(read: _Pass) -> DataFrame:
-    """``(set, token)`` of all sets that have another within the filters at some prefix word, with these words."""
+    """``(set, token)`` of all sets that have another within the filters at some prefix word, with these words.
+
+    Two sets with the same word before this one have met there, and are not compared again.
+    """
+    a, b = SIMILAR
 
     def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
-        identity, parity = columns["set"], columns["parity"].view(np.uint64)
-        size, place = columns["size"].astype(np.int64), columns["place"].astype(np.int64)
+        identity, prior = columns["set"], columns["prior"]
+        parity = columns["parity"].view(np.uint64)
+        size, place = columns["size"].astype(np.int32), columns["place"].astype(np.int32)
         likely = np.zeros(len(identity), dtype=bool)
         for i, j in index_pairs(starts, ends, columns["side"]):
+            # What the sketches leave is little, so that the other filters see few pairs.
+            differing = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int32)
+            near = np.flatnonzero(differing * (a + b) <= (size[i] + size[j]) * (b - a))
+            i, j, differing = i[near], j[near], differing[near]
             n, m = size[i], size[j]
             shared = least_shared(n, m)
-            near = (identity[i] != identity[j]) & (SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m))
-            near &= 1 + np.minimum(n - place[i], m - place[j]) - 1 >= shared
-            near &= np.bitwise_count(parity[i] ^ parity[j]) <= n + m - 2 * shared
+            near = (identity[i] != identity[j]) & (b * np.minimum(n, m) >= a * np.maximum(n, m))
+            near &= np.minimum(n - place[i], m - place[j]) >= shared
+            near &= differing <= n + m - 2 * shared
+            near &= (prior[i] != prior[j]) | (place[i] == 0) | (place[j] == 0)
             likely[i[near]] = True
             likely[j[near]] = True
         if likely.any():
@@ -300,7 +313,7 @@ def shared_words(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray
 def later_sets(lines: DataFrame, likely: DataFrame) -> DataFrame:
     """``(set)`` of the rows of ``lines(set, first, words)`` that are similar enough to an earlier row.
 
-    Rows meet at the words of ``likely(set, token)`` only, as every similar pair is likely at each prefix word it shares.
+    Rows meet at the words of ``likely(set, token)`` only, as every similar pair is likely at the first prefix word it shares.
     """
     # Rows without id come first.
     doc = F.coalesce("first.doc_id", F.lit(-(2**63)))
