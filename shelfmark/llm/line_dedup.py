@@ -38,7 +38,7 @@ COUNT_CHUNK = 1 << 12
 SAMPLE = 32
 #: Sets with likely partners that are sent to all tasks; more are joined.
 SENT_SETS = 1_000_000
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 #: Words of pairs that are verified at a time.
 VERIFIED_WORDS = 4_000_000
 

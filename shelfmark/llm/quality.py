@@ -51,7 +51,7 @@ SHAPES = {"symbols": 1, "upper": 1, "distinct": 20, "most": 20, "echo": 5, "deco
 PERCENT = 100
 LEAST_WORDS = 50
 THRESHOLD = 0.5
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 ABSTAIN, YES, NO = 0, 1, 2
 #: A-Z in lower case, white space as blanks.

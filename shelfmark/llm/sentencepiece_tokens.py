@@ -30,7 +30,7 @@ from .groups import ranges
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text that is worked on at a time in a task, in bytes.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 #: Distinct words that a worker remembers between batches.
 REMEMBERED = 500_000
 #: Words that are put into one text when they are encoded.
