@@ -29,6 +29,8 @@ _MD5_DIGITS = 4
 #: Buckets per namespace where their number does not show in the result's quality.
 BUCKETS = 4096
 BUCKET_ROWS = 500_000
+#: Batches of a namespace that are numbered together in a plan of minutes.
+BLOCK_BATCHES = 1024
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -138,7 +140,7 @@ def token_budget_batches(
 
 
 def batch_sizes(batched: DataFrame) -> DataFrame:
-    return batched.groupBy("namespace", "batch_id").agg(
+    return batched.groupBy("namespace", "batch_no", "batch_id").agg(
         F.count("*").alias("n_chunks"), F.sum("num_tokens").alias("n_tokens")
     )
 
@@ -149,20 +151,32 @@ def rate_windows(
     requests_per_minute: int = REQUESTS_PER_MINUTE,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """The minute in which each batch may be sent: the later one of the token and the request limit.
+    """The minute in which each batch may be sent, so that no minute exceeds either limit.
 
-    Input has one row per batch ``(batch_id, n_tokens)``. The limits hold for the account,
-    so the totals run over all namespaces.
+    Input has one row per batch ``(namespace, batch_no, batch_id, n_tokens)``. The limits hold for
+    the account, so the totals run over all namespaces; a namespace's batches go by number.
+
+    A batch costs its share of a minute by the stricter limit. A batch of at most half a minute goes
+    to the half in which it starts, so the batches of a half fill one minute at most; a larger one
+    has a minute of its own, and only one over the whole token limit exceeds it, alone.
     """
+    half = tokens_per_minute * requests_per_minute // 2
+    cost = F.greatest(F.col("n_tokens") * requests_per_minute, F.lit(tokens_per_minute).cast("long"))
+    large = cost > half
+    block = F.floor(F.col("batch_no") / BLOCK_BATCHES).cast("long") * buckets
     totals = with_running_totals(
         batches,
         [],
-        bucket_of(F.col("batch_id"), buckets),
-        ["batch_id"],
-        {"tokens_so_far": F.col("n_tokens"), "requests_so_far": F.lit(1)},
-    )
-    minute = F.greatest(
-        F.floor((F.col("tokens_so_far") - F.col("n_tokens")) / tokens_per_minute),
-        F.floor((F.col("requests_so_far") - 1) / requests_per_minute),
+        block + bucket_of(F.col("namespace"), buckets),
+        ["namespace", "batch_no"],
+        {
+            "tokens_so_far": F.col("n_tokens"),
+            "requests_so_far": F.lit(1),
+            "_small": F.when(large, 0).otherwise(cost),
+            "_large": F.when(large, 1).otherwise(0),
+        },
     )
-    return totals.withColumn("minute", minute.cast("long"))
+    # A large batch takes the odd minute behind the minutes of all smaller ones before it.
+    before = F.col("_small") - F.when(large, 0).otherwise(cost)
+    minute = (before - before % half) / half + 2 * F.col("_large") - F.when(large, 1).otherwise(0)
+    return totals.withColumn("minute", minute.cast("long")).drop("_small", "_large")

@@ -850,9 +850,14 @@ def oracle_sql() -> dict[str, str]:
             "SELECT chunk_id, namespace||'/'||bk||'/'||no AS batch_id, pos FROM budget_packed", "budget_packed"
         ),
         "rate_windows": compose(
-            f"""SELECT *, greatest((tokens_so_far - n_tokens) // 20000, (requests_so_far - 1) // 12) AS minute FROM (SELECT batch_id, n_tokens,
- CAST(sum(n_tokens) OVER (ORDER BY b, batch_id) AS BIGINT) AS tokens_so_far, row_number() OVER (ORDER BY b, batch_id) AS requests_so_far
- FROM (SELECT batch_id, {bucket('batch_id', 4096)} AS b, CAST(sum(num_tokens) AS BIGINT) AS n_tokens FROM batched GROUP BY batch_id))""",
+            f"""SELECT batch_id, n_tokens, tokens_so_far, requests_so_far,
+ CASE WHEN large THEN small_before // 120000 + 2 * large_before + 1 ELSE small_before // 120000 + 2 * large_before END AS minute FROM (
+ SELECT batch_id, n_tokens, large, CAST(sum(n_tokens) OVER w AS BIGINT) AS tokens_so_far, count(*) OVER w AS requests_so_far,
+ CAST(sum(CASE WHEN large THEN 0 ELSE cost END) OVER w AS BIGINT) - CASE WHEN large THEN 0 ELSE cost END AS small_before,
+ CAST(sum(large::INT) OVER w AS BIGINT) - large::INT AS large_before
+ FROM (SELECT *, cost > 120000 AS large FROM (SELECT *, greatest(n_tokens * 12, 20000) AS cost FROM (
+ SELECT namespace, batch_no, batch_id, CAST(sum(num_tokens) AS BIGINT) AS n_tokens FROM batched GROUP BY ALL)))
+ WINDOW w AS (ORDER BY batch_no // 1024, {bucket('namespace', 4096)}, namespace, batch_no ROWS UNBOUNDED PRECEDING))""",
             "batched",
         ),
         "rank_hits": compose(

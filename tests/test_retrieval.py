@@ -140,13 +140,21 @@ def test_budget_batches_hold_both_limits(spark, buckets):
         assert sorted(r.pos for r in batch) == list(range(len(batch)))
 
 
-def test_rate_windows(spark):
-    batches = spark.createDataFrame([(f"b{i}", 10) for i in range(100)], "batch_id string, n_tokens long")
-    rows = batching.rate_windows(batches, tokens_per_minute=100, requests_per_minute=7, buckets=4).collect()
-    per_minute = {}
-    for r in rows:
-        per_minute[r.minute] = per_minute.get(r.minute, 0) + 1
-    assert set(per_minute.values()) == {7, 2} and len(per_minute) == 15
+@pytest.mark.parametrize("tokens, requests", [(900, 7), (900, 1), (97, 3), (100_000, 5)])
+def test_no_minute_exceeds_a_limit(spark, tokens, requests):
+    r = random.Random(3)
+    rows = [(n, i, f"{n}/{i}", r.choice([1, 40, 333, 450, 451, 800, 1600])) for n in ("a", "b") for i in range(1500 if n == "a" else 40)]
+    batches = spark.createDataFrame(rows, "namespace string, batch_no long, batch_id string, n_tokens long")
+    found = batching.rate_windows(batches, tokens, requests, buckets=4).collect()
+    minutes, last = {}, {}
+    for x in found:
+        minutes.setdefault(x.minute, []).append(x.n_tokens)
+    for sizes in minutes.values():
+        assert len(sizes) <= requests and (sum(sizes) <= tokens or len(sizes) == 1)
+    assert len(found) == len(rows) and min(minutes) >= 0
+    for x in sorted(found, key=lambda x: (x.namespace, x.batch_no)):
+        assert x.minute >= last.get(x.namespace, 0)
+        last[x.namespace] = x.minute
 
 
 def test_metrics_by_hand(spark):
