@@ -28,7 +28,8 @@ REQUESTS_PER_MINUTE = 1_400
 _MD5_DIGITS = 4
 #: Buckets per namespace where their number does not show in the result's quality.
 BUCKETS = 4096
-BUCKET_ROWS = 500_000
+#: Buckets per namespace where each may end in a short batch.
+PACKING_BUCKETS = 256
 #: Batches of a namespace that are numbered together in a plan of minutes.
 BLOCK_BATCHES = 1024
 
@@ -97,7 +98,7 @@ def token_budget_batches(
     chunks: DataFrame,
     max_chunks: int,
     max_tokens: int,
-    buckets: int | None = None,
+    buckets: int = PACKING_BUCKETS,
     by: str = "namespace",
     bucket_key: str = "file_path",
     order: tuple[str, ...] = ("file_path", "start_pos"),
@@ -106,12 +107,9 @@ def token_budget_batches(
 
     Packing is sequential, so it runs per bucket: each task streams its sorted partition
     and carries only the open batch's counters from one Arrow batch to the next. Each
-    bucket may end in a short batch; without a given number, the buckets are sized to hold
-    about ``BUCKET_ROWS`` chunks of the largest namespace.
+    bucket may end in a short batch. The number of buckets is a parameter and never follows
+    from the data, so a namespace's batches do not change when another one grows.
     """
-    if buckets is None:
-        largest = chunks.groupBy(by).count().agg(F.max("count").alias("n")).first()["n"] or 0
-        buckets = min(16**_MD5_DIGITS, largest // BUCKET_ROWS + 1)
     rows = chunks.withColumn("_bucket", bucket_of(F.col(bucket_key), buckets))
     ready = rows.repartition(by, "_bucket").sortWithinPartitions(by, "_bucket", *order)
     schema = T.StructType([*ready.schema.fields, T.StructField("_no", T.LongType()), T.StructField("pos", T.IntegerType())])

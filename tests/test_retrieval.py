@@ -127,7 +127,7 @@ def test_batches_are_dense(spark):
         assert mine == [(i // 32, i % 32) for i in range(len(mine))]
 
 
-@pytest.mark.parametrize("buckets", [3, None])
+@pytest.mark.parametrize("buckets", [3, batching.PACKING_BUCKETS])
 def test_budget_batches_hold_both_limits(spark, buckets):
     chunks = chunk_rows(spark, 500, ["a", "a", "b"])
     rows = batching.token_budget_batches(chunks, 10, 120, buckets).collect()
