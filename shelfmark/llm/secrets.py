@@ -4,7 +4,8 @@ Three patterns are certain and always reported. Beyond them there are weak parts
 identifiers, random-looking strings and endpoints, which mean little by themselves. A weak string is
 reported only when an identifier or an endpoint stands within ``SCOPE`` characters of it, and these
 parts are reported with it. Parts meet in an interval join: each text is divided into blocks of
-``SCOPE`` characters, strings look into their own block and the ones beside it.
+``SCOPE`` characters, parts are filed where they start and where they end, and strings look into
+their own blocks and the ones beside them.
 
 Positions are code points. They are found from the pieces that a pattern cuts a text into, as
 lengths of gaps and matches add up to where a match starts.
@@ -89,7 +90,7 @@ def certain(docs: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``(doc_id, _key, _linked)`` of the rows in which weak strings stand near complementary parts, with the spans of both.
 
-    Within a text at most ``scope`` parts of a kind begin in one block, so no group is large.
+    Within a text at most ``scope`` parts of a kind begin in one block and as many end in it, so no group is large.
     """
     text = F.col("_text")
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
@@ -105,8 +106,10 @@ def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = parts.select("doc_id", "_key", F.explode_outer("_weak").alias("w")).select(
         "doc_id", "_key", F.col("w"), F.explode_outer(F.sequence(block(F.col("w.start")) - 1, block(F.col("w.end")) + 1)).alias("block")
     )
+    # A part behind a string begins in a block that the string looks into, one before it ends in such a block.
+    ends = F.array_distinct(F.array(block(F.col("p.start")), block(F.col("p.end"))))
     near = parts.select("doc_id", "_key", F.explode_outer(F.concat("_identifier", "_access", "_endpoint")).alias("p")).select(
-        F.col("doc_id").alias("_doc"), F.col("_key").alias("_other"), "p", block(F.col("p.start")).alias("_block")
+        F.col("doc_id").alias("_doc"), F.col("_key").alias("_other"), "p", F.explode(ends).alias("_block")
     )
     # The part that starts within the scope behind a string, or before it and ends within the scope.
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_other")) & (F.col("block") == F.col("_block"))

@@ -203,6 +203,22 @@ def test_secrets(spark):
     assert found[15]["spans"] == ",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(700))
 
 
+def test_parts_meet_strings_wherever_blocks_begin(spark):
+    """All parts before and behind a string, by the distance alone."""
+    weak, rows, expected = "0123456789abcdef01", [], {}
+    for length in (9, 60, 199, 290, 900):
+        part = ("http://" + "x" * length)[:length] if length > 20 else "user=abcd"
+        for gap in (1, 10, 150, 185, 200, 201):
+            for shift in range(0, 200, 23):
+                before = f"{'-' * shift} {part}{' ' * gap}{weak}"
+                behind = f"{'-' * shift} {weak}{' ' * gap}{part}"
+                for text, at, other in ((before, shift + 1, shift + 1 + length + gap), (behind, shift + 19 + gap, shift + 1)):
+                    rows.append((len(rows), text))
+                    expected[len(expected)] = {(at, at + length), (other, other + 18)} if gap <= 200 else set()
+    found = {r["doc_id"]: {(s["start"], s["end"]) for s in r["linked"]} for r in secrets.find_secrets(odd(spark, rows)).collect()}
+    assert found == expected
+
+
 def test_url_rules_and_trust(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
     rows = [
