@@ -5,7 +5,7 @@ identifiers, random-looking strings and endpoints, which mean little by themselv
 reported only when an identifier or an endpoint stands within ``SCOPE`` characters of it, and these
 parts are reported with it. Parts meet in an interval join: each text is divided into blocks of
 ``SCOPE`` characters, parts are filed where they start and where they end, and strings look into
-their own blocks and the ones beside them.
+the blocks of their ends and the ones beside them.
 
 Positions are code points. They are found from the pieces that a pattern cuts a text into, as
 lengths of gaps and matches add up to where a match starts.
@@ -31,6 +31,11 @@ ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|am
 #: Runs of base 64 characters; weak strings are those of forty, and hexadecimal ones too short to be certain.
 RUN = r"[A-Za-z0-9+/]{16,}"
 WEAK_LENGTH, WEAK_HEX = 40, 23
+#: Runs of the characters of keys, the url-safe ones included, with their padding. Weak strings are also
+#: those, at any length, that mix classes: digits with letters, or a capital directly behind a small letter;
+#: and those of one class with at least ``ENTROPY`` bits a character.
+KEY = r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+ENTROPY = 3.5
 KINDS = [*BASE, "weak", "identifier", "endpoint"]
 
 #: Characters between a weak string and the parts that it is linked with.
@@ -87,26 +92,51 @@ def certain(docs: DataFrame) -> DataFrame:
     return _found(df, "_hex", HEX, 2, F.lit(True)).drop("_text")
 
 
+def entropy(text: Column) -> Column:
+    """Bits a character by how often each character occurs in a text that is not empty."""
+    n = F.length(text)
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
+    return F.log2(n) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + F.when(c > 0, c * F.log2(c)).otherwise(0.0)) / n
+
+
+def _short(run: Column) -> Column:
+    """Weak by its length: forty characters, or hexadecimal and too short to be certain."""
+    return (F.length(run) == WEAK_LENGTH) | (F.length(run) <= WEAK_HEX) & ~run.rlike("[^0-9a-f]")
+
+
+def _key(run: Column) -> Column:
+    """Weak by its characters. What :func:`_short` has or a certain pattern reports whole is not found again."""
+    core = F.rtrim(run, F.lit("="))
+    plain = (F.length(core) == WEAK_LENGTH) & ~core.rlike("[_-]") | (F.length(core) <= WEAK_HEX) & ~core.rlike("[^0-9a-f]")
+    whole = core.rlike(f"^(?:{HEX}|{ACCESS})$")
+    mixed = core.rlike("[0-9]") & core.rlike("[A-Za-z]") | core.rlike("[a-z][A-Z]")
+    return F.when(plain | whole, False).when(mixed, True).otherwise(entropy(core) >= ENTROPY)
+
+
 def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``(doc_id, _key, _linked)`` of the rows in which weak strings stand near complementary parts, with the spans of both.
 
     Within a text at most ``scope`` parts of a kind begin in one block and as many end in it, so no group is large.
     """
     text = F.col("_text")
-    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    is_weak = lambda r: (F.length(r) == WEAK_LENGTH) | (F.length(r) <= WEAK_HEX) & ~r.rlike("[^0-9a-f]")
-    df = _texts(docs).where(F.when(text.rlike(RUN), F.exists(runs, is_weak)).otherwise(False)).distinct()
-    df = _found(df, "_weak", RUN, 3, F.lit(True))
-    df = df.withColumn("_weak", F.filter("_weak", lambda s: is_weak(F.substring(text, s["start"] + 1, s["end"] - s["start"]))))
+    # Without a part there is nothing to link, which costs less to find out.
+    parted = F.contains("_text", F.lit("://")) | F.contains("_text", F.lit("AKIA")) | text.rlike(IDENTIFIER)
+    df = _texts(docs).where(F.when(parted, text.rlike(KEY)).otherwise(False)).distinct()
+    own = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    df = _found(df, "_short", RUN, 3, F.lit(True)).withColumn("_short", F.filter("_short", lambda s: _short(own(s))))
+    df = _found(df, "_long", KEY, 3, F.lit(True)).withColumn("_long", F.filter("_long", lambda s: _key(own(s))))
+    df = df.withColumn("_weak", F.concat("_short", "_long")).drop("_short", "_long").where(F.size("_weak") > 0)
     df = _found(df, "_identifier", IDENTIFIER, 4, F.lit(True))
     df = _found(df, "_access", ACCESS, 4, F.contains("_text", F.lit("AKIA")))
     df = _found(df, "_endpoint", ENDPOINT, 5, F.contains("_text", F.lit("://")))
     parts = stored(df.drop("_text"), "parts")
     block = lambda at: F.floor(at / scope).cast("int")
+    # A part before a string ends in the block where the string begins or the one before; a part behind it
+    # begins in the block where the string ends or the next one.
+    first, last = block(F.col("w.start")), block(F.col("w.end"))
     weak = parts.select("doc_id", "_key", F.explode_outer("_weak").alias("w")).select(
-        "doc_id", "_key", F.col("w"), F.explode_outer(F.sequence(block(F.col("w.start")) - 1, block(F.col("w.end")) + 1)).alias("block")
+        "doc_id", "_key", F.col("w"), F.explode(F.array_distinct(F.array(first - 1, first, last, last + 1))).alias("block")
     )
-    # A part behind a string begins in a block that the string looks into, one before it ends in such a block.
     ends = F.array_distinct(F.array(block(F.col("p.start")), block(F.col("p.end"))))
     near = parts.select("doc_id", "_key", F.explode_outer(F.concat("_identifier", "_access", "_endpoint")).alias("p")).select(
         F.col("doc_id").alias("_doc"), F.col("_key").alias("_other"), "p", F.explode(ends).alias("_block")
@@ -132,7 +162,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     ``base`` has the spans of the certain patterns, ``linked`` those of weak strings and of the
     identifiers and endpoints they are linked with, both as ``(start, end, kind)`` with the number of the kind in ``KINDS``.
 
-    * Null counts as empty; empty texts have no spans. Matches of a kind do not overlap; spans of different kinds may.
+    * Null counts as empty; empty texts have no spans. Matches of a kind do not overlap; spans of different
+      kinds may, and a weak string of forty characters may lie in a longer one.
     * Repeated rows give repeated result rows; a row without ``doc_id`` is scanned like others.
     * An empty table gives an empty result; other columns are ignored whatever their names.
     """
