@@ -2,12 +2,14 @@
 
 Four patterns give certain spans. The field labels the other tokens of a document that hold digits
 or an ``@``, or are the local part of a found address. Its nodes are these tokens and the certain spans, its edges join
-neighbours (the chain) and tokens that are the same but for case and punctuation (the skips), each
-to the next one like it. Loopy belief propagation passes labels along both, so that a number which
-the patterns know in one place is found in another where it is written differently.
+neighbours (the chain) and tokens that are the same but for case and punctuation, or numbers that
+end in the same digits (the skips), each to the next one like it. Groups of digits with blanks
+between them are one node where they make up a number. Loopy belief propagation passes labels along
+both, so that a number which the patterns know in one place is found in another where it is written
+differently.
 
 Potentials are trained piecewise, from counts over all documents in which the certain spans are the
-labels: how often a token of a shape has a label, and how often labels meet over either kind of
+labels, without the tokens like a certain span: how often a token of a shape has a label, and how often labels meet over either kind of
 edge. Shapes are hashed to a fixed number of classes, so the counts have a fixed size.
 """
 
@@ -34,6 +36,12 @@ LABELS = 1 + len(KINDS)
 SHAPES = 4096
 #: Least characters of a token, without punctuation, that skips join.
 SKIP_LEAST = 6
+#: Digits at the end that similar numbers share.
+SUFFIX = 7
+#: Most digits of a number, and most in each of its groups where no certain span tells its extent.
+NUMBER_MOST, GROUP_MOST = 19, 5
+#: Most groups of a number.
+GROUPS = 8
 #: A label is given when its probability exceeds this.
 SURE = 0.9
 ROUNDS = 20
@@ -42,6 +50,8 @@ DAMPING = 0.3
 _TOKEN = re.compile(r"[^\s,;:!?\"'<>\[\]{}|#$%&*]+")
 _DIGIT = re.compile(r"[0-9]")
 _BARE = re.compile(r"[^0-9a-z@]+")
+_GROUP = re.compile(r"[0-9()+-]+")
+_BETWEEN = re.compile(r"\)?[\x20\t]{1,2}\(?")
 
 
 def luhn(digits: str) -> bool:
@@ -79,6 +89,59 @@ def shape(token: str) -> int:
     return xxhash.xxh64_intdigest(runs[:48]) % SHAPES
 
 
+def _digits(text: str) -> str:
+    return "".join(_DIGIT.findall(text))
+
+
+def disproved(token: str) -> list[int]:
+    """The labels of which a token has the form but not what their pattern checks."""
+    out = []
+    if IP.fullmatch(token) and any(len(p) > 3 or int(p) > 255 for p in token.split(".")):
+        out.append(1 + KINDS.index("ip"))
+    digits = _digits(token)
+    if 16 <= len(digits) <= 19 and not luhn(digits):
+        out.append(1 + KINDS.index("card"))
+    return out
+
+
+def grouped(text: str, tokens: list[tuple[int, int]], endings: set[str]) -> list[tuple[int, int]]:
+    """Tokens, of which groups of digits that run over blanks are put together.
+
+    Groups make up a number when their digits are the end of a certain one (``endings``), or else
+    when all groups between two other tokens are short and have the digits of a number in all.
+    """
+    out: list[tuple[int, int]] = []
+    at = 0
+    while at < len(tokens):
+        end = at + 1
+        if _GROUP.fullmatch(text, *tokens[at]):
+            while end < len(tokens) and _GROUP.fullmatch(text, *tokens[end]) and _BETWEEN.fullmatch(text, tokens[end - 1][1], tokens[end][0]):
+                end += 1
+        run = tokens[at:end]
+        at = end
+        digits = [_digits(text[a:b]) for a, b in run]
+        i, rest = 0, 0
+        while i < len(run):
+            sizes = range(min(GROUPS, len(run) - i), 1, -1) if endings else ()
+            n = next((n for n in sizes if "".join(digits[i : i + n]) in endings), 0)
+            if n:
+                out += _whole(text, run[rest:i])
+                out.append((run[i][0], run[i + n - 1][1]))
+                rest = i + n
+            i += n or 1
+        out += _whole(text, run[rest:])
+    return out
+
+
+def _whole(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A run of groups as one number where it may be one."""
+    if not 1 < len(run) <= GROUPS:
+        return run
+    number = text[run[0][0] : run[-1][1]]
+    short = all(len(g) <= GROUP_MOST for g in re.findall("[0-9]+", number))
+    return [(run[0][0], run[-1][1])] if short and SUFFIX <= len(_digits(number)) <= NUMBER_MOST else run
+
+
 class Graph:
     """The labelled graph of one document."""
 
@@ -91,6 +154,7 @@ class Graph:
             if not nodes or a >= nodes[-1][1]:
                 nodes.append((a, b, label))
         certain, at = list(nodes), 0
+        free: list[tuple[int, int]] = []
         for m in _TOKEN.finditer(text):
             stripped = m.group().rstrip(".)-").lstrip("(-.")
             if not stripped or not (_DIGIT.search(stripped) or "@" in stripped or stripped.lower() in locals_):
@@ -99,21 +163,26 @@ class Graph:
             while at < len(certain) and certain[at][1] <= a:
                 at += 1
             if at == len(certain) or certain[at][0] >= a + len(stripped):
-                nodes.append((a, a + len(stripped), 0))
+                free.append((a, a + len(stripped)))
+        numbers = [_digits(text[a:b]) for a, b, label in certain if KINDS[label - 1] in ("card", "phone")]
+        endings = {d[i:] for d in numbers for i in range(len(d) - SUFFIX + 1)}
+        nodes += [(a, b, 0) for a, b in grouped(text, free, endings)]
         nodes.sort()
         self.spans = [(a, b) for a, b, _ in nodes]
         self.shapes = [shape(text[a:b]) for a, b in self.spans]
         self.known = np.array([label for *_, label in nodes], dtype=np.int64)
         self.chain = [(i, i + 1) for i in range(len(nodes) - 1) if not text[nodes[i][1] : nodes[i + 1][0]].strip()]
+        self.not_ = [(i, label) for i, (a, b, known) in enumerate(nodes) if not known for label in disproved(text[a:b])]
         last: dict[str, int] = {}
         self.skips = []
         for i, (a, b) in enumerate(self.spans):
             bare = _BARE.sub("", text[a:b].lower())
             key = bare.split("@")[0] if "@" in bare else bare
             if len(key) >= SKIP_LEAST:
-                if key in last:
-                    self.skips.append((last[key], i))
-                last[key] = i
+                # The same but for its writing, and the same end of a number; often both are one node.
+                like = {key, f"…{key[-SUFFIX:]}"} if key.isdigit() and len(key) >= SUFFIX else {key}
+                self.skips += sorted({(last[k], i) for k in like if k in last})
+                last.update(dict.fromkeys(like, i))
 
 
 class Counts:
@@ -124,10 +193,17 @@ class Counts:
         self.pairs = np.zeros((2, LABELS, LABELS))
 
     def add(self, graph: Graph) -> None:
-        np.add.at(self.shapes, (graph.shapes, graph.known), 1)
+        # A token like a certain span has no label that is known, least of all none: it does not count.
+        seen = np.ones(len(graph.known), dtype=bool)
+        if graph.skips and graph.known.any():
+            a, b = np.array(graph.skips).T
+            for x, y in ((a, b), (b, a)):
+                seen[x[(graph.known[x] == 0) & (graph.known[y] > 0)]] = False
+        np.add.at(self.shapes, (np.array(graph.shapes)[seen], graph.known[seen]), 1)
         for kind, edges in enumerate((graph.chain, graph.skips)):
             if edges:
                 a, b = np.array(edges).T
+                a, b = a[seen[a] & seen[b]], b[seen[a] & seen[b]]
                 np.add.at(self.pairs[kind], (graph.known[a], graph.known[b]), 1)
 
     def flat(self) -> np.ndarray:
@@ -152,12 +228,15 @@ class Counts:
 
 
 def marginals(graph: Graph, potentials: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """``(tokens, labels)``: probabilities by loopy sum-product messages; certain labels are fixed."""
+    """``(tokens, labels)``: probabilities by loopy sum-product messages; certain labels are fixed, disproved ones count as none."""
     nodes, pairs = potentials
     unary = nodes[graph.shapes].copy()
     fixed = np.flatnonzero(graph.known)
     unary[fixed] = -50.0
     unary[fixed, graph.known[fixed]] = 0.0
+    for i, label in graph.not_:
+        unary[i, 0] = np.logaddexp(unary[i, 0], unary[i, label])
+        unary[i, label] = -50.0
     edges = [(a, b, 0) for a, b in graph.chain] + [(a, b, 1) for a, b in graph.skips]
     if not edges:
         return _normal(unary)
@@ -192,20 +271,19 @@ def _normal(log: np.ndarray) -> np.ndarray:
 def added_spans(text: str, base: list[list[tuple[int, int]]], potentials: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
     """``(kind, start, end)`` of tokens that the field labels and the patterns do not have, neighbours of one kind joined.
 
-    Only tokens that a skip joins to another can get a label that their shape alone would not give them for certain.
+    Shape, chain and skips count in every document, whether or not a pattern matches in it.
     """
-    if not any(base):
+    if "@" not in text and not _DIGIT.search(text):
         return []
     graph = Graph(text, base)
-    if not graph.skips or not (graph.known == 0).any():
+    if not (graph.known == 0).any():
         return []
     p = marginals(graph, potentials)
-    joined = {i for edge in graph.skips for i in edge}
     out: list[tuple[int, int, int]] = []
     last = -2
     for i in np.flatnonzero(graph.known == 0).tolist():
         label = int(p[i, 1:].argmax()) + 1
-        if i not in joined or p[i, label] <= SURE:
+        if p[i, label] <= SURE:
             continue
         a, b = graph.spans[i]
         if out and last == i - 1 and out[-1][0] == label - 1 and not text[out[-1][2] : a].strip():
@@ -247,7 +325,7 @@ def find_personal_data(docs: DataFrame, counts: Counts | None = None) -> DataFra
     all of ``docs`` unless ``counts`` are given.
 
     * Null counts as empty; empty texts have no spans. Texts are read whole, however long.
-    * Equal tokens are joined each to the next one only, so many repeats make no more edges than tokens.
+    * Equal tokens, and numbers with one end, are joined each to the next one only, so many repeats make at most two edges a token.
     * Repeated rows count as often as they occur and give repeated result rows; a row without
       ``doc_id`` is scanned like others. An empty table gives an empty result; other columns are ignored.
     """

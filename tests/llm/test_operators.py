@@ -170,6 +170,35 @@ def test_repeated_numbers_get_the_label_of_the_certain_one(spark):
     assert [s["kind"] for s in found["base"]] == [0, 2]
 
 
+def test_known_numbers_are_found_however_they_are_written(spark):
+    told = "call +1 (555) 0{0:02}-{1:04}, +1 (555) 0{0:02}-{1:04} or 555 0{0:02} {1:04}, row {1} of 17 and 2{1:04} more"
+    counts = pii.train(odd(spark, [(i, told.format(i % 90, 4 * i + 1001)) for i in range(400)]))
+    forms = ["555-123-4567", "555 123 4567", "(555) 123-4567", "555.123.4567", "123-4567", "1 555 123 4567", "0555 123-4567", "5551234567"]
+    rows = [(i, f"call +1 (555) 123-4567, then {form}, not 777 of 12") for i, form in enumerate(forms)]
+    found = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["added"]] for r in
+             pii.find_personal_data(odd(spark, rows), counts).join(odd(spark, rows).select("doc_id", "text"), "doc_id").collect()}
+    assert [found[i] for i in range(len(forms))] == [[f.lstrip("(")] for f in forms]
+
+
+def test_nodes_of_digit_groups():
+    nodes = lambda text: [text[a:b] for a, b in pii.Graph(text, pii.base_spans(text)).spans]
+    assert nodes("at 12 555 123 4567, +1 (555) 123-4567") == ["12", "555 123 4567", "+1 (555) 123-4567"]
+    assert nodes("555 123 4567 x 12 5551234 7 8 and 1 2\n3 4567 8901") == ["555 123 4567", "12", "5551234", "7", "8", "1", "2", "3 4567 8901"]
+    graph = pii.Graph("0151 1234567, 49-151-1234567, " + "1234567 " * 1000, [[], [], [], []])
+    assert graph.skips[:3] == [(1, 2), (1, 3), (2, 3)] and graph.skips[3:] == [(i, i + 1) for i in range(3, 1002)]
+
+
+def test_the_field_runs_without_a_certain_span_and_without_skips():
+    counts = pii.Counts()
+    for i in range(300):
+        text = f"ip 10.0.{i % 200}.7 and 10.0.{i % 200}.7"
+        counts.add(pii.Graph(text, pii.base_spans(text)))
+    counts.shapes[pii.shape("77-88")] = [1, 0, 0, 0, 300]
+    assert pii.added_spans("only 11-22 here", [[], [], [], []], counts.potentials()) == [(3, 5, 10)]
+    # What a pattern's check has refused gets no label of that pattern.
+    assert pii.added_spans("ip 10.0.256.7", pii.base_spans("ip 10.0.256.7"), counts.potentials()) == []
+
+
 def test_messages_agree_with_enumeration():
     rng = np.random.default_rng(0)
     counts = pii.Counts.of(rng.integers(0, 20, pii.SHAPES * pii.LABELS + 2 * pii.LABELS**2).astype(float))
