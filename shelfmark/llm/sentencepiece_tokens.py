@@ -5,8 +5,8 @@ white-space marker, scores and byte fallback is built from it. Unigram models ke
 in models of merges the score of a piece is the priority of the merge that makes it. When no piece
 has the white-space marker behind another character, pieces never cross the beginning of a word;
 then a batch's distinct words are encoded once each, in several threads, and put together by
-number. Each distinct word is also encoded by the sentencepiece library, and whether both agree is
-reported per document.
+number. Each whole text is also encoded by the sentencepiece library, and its ids are decoded again;
+whether the ids agree and whether the text comes back is reported per document.
 """
 
 from __future__ import annotations
@@ -145,6 +145,8 @@ def build(model: Model) -> Tokenizer:
 def words_apart(model: Model) -> bool:
     """True when texts can be cut before each run of blanks without changing the result."""
     plain = not model.charsmap and not model.remove_extra_whitespaces and model.add_dummy_prefix and model.escape_whitespaces
+    # Where the mark is no piece, unknown characters of two words would be one piece.
+    plain = plain and any(p == MARK for p, _, _ in model.pieces)
     return plain and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
 
 
@@ -177,25 +179,12 @@ class Codec:
         if self.by_word and any(p == MARK for p, _, _ in self.model.pieces):
             self.glued = build(self.model)
             self.glued.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-        bytes_of = []
-        for piece, _, kind in self.model.pieces:
-            if kind == BYTE:
-                bytes_of.append(bytes([int(piece[3:-1], 16)]))
-            elif kind == CONTROL:
-                bytes_of.append(b"")
-            elif kind == UNKNOWN:
-                bytes_of.append(b" \xe2\x81\x87 ")
-            else:
-                bytes_of.append(piece.replace(MARK, " ").encode())
-        self._bytes = bytes_of
         self._forget()
 
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
         self._flat = np.zeros(0, dtype=np.int32)
         self._starts = np.zeros(1, dtype=np.int64)
-        self._same = np.zeros(0, dtype=bool)
-        self._exact = np.zeros(0, dtype=bool)
 
     def _encoded(self, words: list[str]) -> list[list[int]]:
         """The ids of words that lack their first blank, by the tokenizers library."""
@@ -233,27 +222,28 @@ class Codec:
         if not new:
             return
         ours = self._encoded(new)
-        # By the library a blank alone is the last piece of a blank behind a word.
-        theirs = self.reference.encode([w.replace(MARK, " ") if w else "a " for w in new], num_threads=2)
         at = len(self._known)
         self._known.update(zip(new, range(at, at + len(new))))
-        self._same = np.append(self._same, [a == (b if w else b[-1:]) for w, a, b in zip(new, ours, theirs)])
-        pieces = self._bytes
-        self._exact = np.append(self._exact, [b"".join([pieces[i] for i in a]) == b" " + w.encode() for w, a in zip(new, ours)])
         self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ours), dtype=np.int32)])
         self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum([len(ids) for ids in ours])])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(ids of all texts, ends, parity, round trip)``: ``ends`` has where each text's ids end, ``parity`` whether
-        the sentencepiece library agrees, ``round trip`` whether the pieces put together give the text.
-        An empty text has no ids."""
+        the sentencepiece library gives a whole text the same ids, ``round trip`` whether the decoded ids are
+        the text. An empty text has no ids."""
+        ids, ends = self._ids(texts)
+        bounds = np.concatenate([[0], ends]).tolist()
+        rows = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        same = np.array([a == b for a, b in zip(rows, self.reference.encode(texts, num_threads=2))], dtype=bool)
+        exact = np.array([a == b for a, b in zip(self.decode(rows), texts)], dtype=bool)
+        return ids, ends, same, exact
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts, ends)``."""
         if not self.by_word:
             ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            theirs = self.reference.encode(texts, num_threads=2)
             ids = [e.ids if t else [] for e, t in zip(ours, texts)]
-            same = np.array([a == b for a, b in zip(ids, theirs)], dtype=bool)
-            exact = np.array([self.joined(a) == t.encode() for a, t in zip(ids, texts)], dtype=bool)
-            return np.array([i for a in ids for i in a], dtype=np.int32), np.cumsum([len(a) for a in ids]), same, exact
+            return np.array([i for a in ids for i in a], dtype=np.int32), np.cumsum([len(a) for a in ids])
         column = pa.array(texts, pa.large_string())
         odd = pc.or_(pc.match_substring(column, "  "), pc.or_(pc.starts_with(column, " "), pc.match_substring(column, MARK)))
         odd = pc.or_(odd, pc.equal(column, "")).to_numpy(zero_copy_only=False)
@@ -276,19 +266,11 @@ class Codec:
         low, high = self._starts[numbers], self._starts[numbers + 1]
         ids = self._flat[ranges(low, high)]
         before = lambda values: np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])]
-        same = np.diff(before(~self._same[numbers])) == 0
-        # A mark in a text comes back as a blank.
-        exact = (np.diff(before(~self._exact[numbers])) == 0) & ~pc.match_substring(column, MARK).to_numpy(zero_copy_only=False)
-        return ids, before(high - low)[1:], same, exact
+        return ids, before(high - low)[1:]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The texts of lists of ids, by the tokenizers library."""
-        return self.tokenizer.decode_batch([list(map(int, i)) for i in ids], skip_special_tokens=False)
-
-    def joined(self, ids: list[int]) -> bytes:
-        """The bytes of a list of ids put together piece by piece, without the blank that encoding added."""
-        found = b"".join([self._bytes[i] for i in ids])
-        return found[1:] if self.model.add_dummy_prefix and found[:1] == b" " else found
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 @lru_cache(maxsize=4)
@@ -304,8 +286,8 @@ def read_model(path: str = MODEL_PATH) -> bytes:
 def encode(docs: DataFrame, raw: bytes) -> DataFrame:
     """``(doc_id, ids, n_tokens, n_bytes, parity, round_trip)`` for every row of ``docs(doc_id, text, …)``.
 
-    ``raw`` is the content of a model file. ``parity``: the sentencepiece library gives the same
-    ids. ``round_trip``: the pieces of the ids put together give the text; not so where the model's
+    ``raw`` is the content of a model file. ``parity``: the sentencepiece library gives the whole
+    text the same ids. ``round_trip``: the ids, decoded as in :func:`decode`, give the text; not so where the model's
     normaliser changes the text, or the text holds the white-space marker itself.
 
     * Null and empty texts have no tokens, parity and a round trip.

@@ -328,6 +328,23 @@ def test_tokens_agree_with_the_library(spark):
     assert all(decoded[d] == t for d, t in enumerate(texts) if d > 3)
 
 
+def test_rows_are_decoded_and_compared_as_whole_texts():
+    codec = sentencepiece_tokens.Codec(sentencepiece_tokens.read_model())
+    texts, seen = ["one two", "", "two  three ", "a▁b"], []
+    encode, decode = codec.reference.encode, codec.decode
+
+    class Library:
+        def encode(self, texts, **options):
+            seen.extend(texts)
+            return encode(texts, **options)
+
+    codec.reference = Library()
+    assert codec.encode(texts)[2].all() and seen == texts
+    assert codec.encode(texts)[3].tolist() == [t == d for t, d in zip(texts, decode([encode(t) for t in texts]))] == [True, True, True, False]
+    codec.decode = lambda ids: [t + "!" if len(i) > 3 else t for i, t in zip(ids, decode(ids))]
+    assert codec.encode(["one two", "one two three four five"])[3].tolist() == [True, False]
+
+
 def test_unigram_models_are_rebuilt():
     import sentencepiece
 
