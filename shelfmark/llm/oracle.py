@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, topk, url_filter
+from . import decontaminate, prefix_trie, secrets, topk, url_filter
 from .common import LOWER, UPPER
 
 SQL: dict[str, str] = {}
@@ -140,3 +140,31 @@ text AS (SELECT r, count(*) FILTER (base AND kind = 0) AS a, count(*) FILTER (ba
 SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN text USING (r)
 """
+
+#: CRC-32 of a decimal number, bit by bit: a character is mixed in (its code), then eight steps follow (-1 each).
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(
+  list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END))"""
+
+SQL["op12_prefix_trie"] = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS n FROM t),
+h AS (SELECT c, c - c % {prefix_trie.FAMILY} AS base, {_CRC32.format("CAST(c AS VARCHAR)")} % {prefix_trie.BORROWED} AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, o.n AS k, role, text FROM h JOIN o ON o.c = h.base AND o.n <= h.h
+  UNION ALL SELECT h.c, 1000000000 + o.n, role, text FROM h JOIN o ON o.c = h.c AND o.n > h.h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, role, text FROM r),
+l AS (SELECT h.c, coalesce(max(d), 0) AS len FROM h LEFT JOIN s USING (c) GROUP BY h.c),
+p AS (SELECT c, 0 AS d, '' AS key, 0 AS size FROM l
+  UNION ALL SELECT c, d, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d), strlen(text) FROM s),
+m AS (SELECT key, d, min(size) AS size, min(c) AS conv_id, count(*) AS n,
+  coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '') AS ends FROM p JOIN l USING (c) GROUP BY key, d),
+x AS (SELECT *, left(key, (d - 1) * 64) AS up FROM m),
+k AS (SELECT up AS key, d - 1 AS d, count(*) AS children FROM x WHERE d > 0 GROUP BY ALL),
+y AS (SELECT x.*, coalesce(children, 0) AS children, a.conv_id AS parent
+  FROM x LEFT JOIN k USING (key, d) LEFT JOIN m a ON x.d > 0 AND a.d = x.d - 1 AND a.key = x.up),
+z AS (SELECT a.key, sum((u.n - 1) * u.size) AS saved, count(*) FILTER (u.children = 0) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM y) u JOIN y a ON a.d = e AND a.key = left(u.key, e * 64) GROUP BY a.key)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, children AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM y JOIN z USING (key)
+"""

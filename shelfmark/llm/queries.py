@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, pii, quality, repeats, secrets, sentencepiece_tokens, simhash, topk, url_filter
+from . import decontaminate, line_dedup, pii, prefix_trie, quality, repeats, secrets, sentencepiece_tokens, simhash, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked parts of credentials in all documents."""
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("key", "parent_key")
