@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, pii, prefix_trie, quality, repeats, secrets, sentencepiece_tokens, simhash, topk, url_filter
+from . import bpe_chunks, decontaminate, line_dedup, pii, prefix_trie, quality, repeats, secrets, sentencepiece_tokens, simhash, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by a byte-pair tokenizer, and what they decode to."""
+    model = bpe_chunks.read_model()
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"), model, bpe_chunks.digests(model))
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all rebuilt conversations."""
