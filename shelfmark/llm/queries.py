@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, decontaminate, line_dedup, pii, prefix_trie, quality, repeats, secrets, sentencepiece_tokens, simhash, topk, url_filter
+from . import alignment, bpe_chunks, decontaminate, line_dedup, pii, prefix_trie, quality, repeats, secrets, sentencepiece_tokens, simhash, topk, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,9 @@ def op11_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all rebuilt conversations."""
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("key", "parent_key")
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in all documents."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), *alignment.read_models())
