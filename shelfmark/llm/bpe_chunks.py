@@ -15,6 +15,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .common import slices, utf8
+from .groups import ranges
 
 MODEL_PATH = "/opt/tokenizers/word_bpe_49k.json"
 #: Text that is worked on at a time in a task, in bytes.
@@ -48,20 +50,70 @@ def read_model(path: str = MODEL_PATH) -> str:
         return f.read()
 
 
+class Codec:
+    """Encodes and decodes lists of texts with one tokenizer."""
+
+    def __init__(self, model: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_str(model)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.by_unit = cuttable(model)
+        # Without a decoder the library puts blanks between the tokens.
+        self.tokens = None
+        if self.own.decoder is None:
+            names = {i: t for t, i in self.own.get_vocab(with_added_tokens=True).items()}
+            names = [f"{names.get(i, '')} ".encode() for i in range(max(names) + 1)]
+            self.tokens = pa.array(names, pa.large_binary())
+            self.sizes = np.array([len(t) for t in names], dtype=np.int64)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, ends)``: the ids of all texts, one after the other, and where each text's ids end.
+
+        By the library, special tokens only where their strings are in the text. Where the tokenizer can be cut at
+        blanks, what stands between two of them is encoded once for all its places in ``texts``.
+        """
+        if not self.by_unit:
+            ids = [e.ids for e in self.own.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return flat(ids)
+        data = b"".join(texts)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        array = np.frombuffer(data, dtype=np.uint8)
+        blanks = blanks_behind_words(array) if len(array) > 1 else np.zeros(0, dtype=np.int64)
+        edges = np.unique(np.concatenate([[0], blanks, ends]))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        known = [e.ids for e in self.own.encode_batch_fast([u.decode() for u in units.dictionary.to_pylist()], add_special_tokens=False)]
+        ids, until = flat(known)
+        code = units.indices.to_numpy(zero_copy_only=False)
+        low, high = np.concatenate([[0], until])[code], until[code] if len(until) else code
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        return ids[ranges(low, high)], total[np.searchsorted(edges, ends)]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts that ids decode to, special tokens included."""
+        bounds = np.concatenate([[0], ends])
+        if self.tokens is None:
+            return self.own.decode_batch([ids[a:b].tolist() for a, b in zip(bounds, ends)], skip_special_tokens=False)
+        joined = memoryview(self.tokens.take(pa.array(ids)).buffers()[2] or b"").cast("B")
+        places = np.concatenate([[0], np.cumsum(self.sizes[ids])])[bounds].tolist()
+        return [str(joined[a : max(a, b - 1)], "utf-8") for a, b in zip(places, places[1:])]
+
+
 @lru_cache(maxsize=2)
-def tokenizer(model: str):
-    os.environ.setdefault("RAYON_NUM_THREADS", "2")
-    from tokenizers import Tokenizer
+def codec(model: str) -> Codec:
+    return Codec(model)
+
 
-    own = Tokenizer.from_str(model)
-    own.no_truncation()
-    own.no_padding()
-    return own
+def flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and where each list ends."""
+    ends = np.cumsum([len(i) for i in ids], dtype=np.int64)
+    return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(ends[-1]) if len(ends) else 0), ends
 
 
-def encoded(model: str, texts: list[str]) -> list[list[int]]:
-    """The ids of texts by the tokenizers library, special tokens only where their strings are in the text."""
-    return [e.ids for e in tokenizer(model).encode_batch_fast(texts, add_special_tokens=False)]
+def parts_of(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def cut_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,10 +134,12 @@ def cut_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def blanks_behind_words(data: np.ndarray) -> np.ndarray:
-    """Places of a blank, tab or newline right behind a visible ASCII character, where texts can be cut without changing ids."""
+    """Places of a blank, tab or newline right behind a visible ASCII character or one of two bytes that is no white
+    space, where texts can be cut without changing ids."""
     blank = (data == 32) | (data == 9) | (data == 10)
-    word = (data > 32) & (data < 127)
-    return np.flatnonzero(blank[1:] & word[:-1]) + 1
+    places = np.flatnonzero(blank[1:]) + 1
+    before, lead = data[places - 1], data[np.maximum(places - 2, 0)]
+    return places[(before > 32) & (before < 127) | (before > 127) & (lead >= 0xC3) & (lead <= 0xDF)]
 
 
 class Layout:
@@ -147,15 +201,17 @@ def chunk_filter(shared: DataFrame) -> np.ndarray:
     return bits
 
 
-Output = Callable[[list[list[int]]], list[pa.Array]]
+Output = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
 
 
 def ids_and_texts(model: str) -> tuple[Output, str]:
     """Output columns of :func:`encode`: the ids, their number, and the text that they decode to."""
 
-    def columns(ids: list[list[int]]) -> list[pa.Array]:
-        texts = decoded(model, ids)
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(texts, pa.string())]
+    def columns(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        texts = codec(model).decode(ids, ends)
+        bounds = np.concatenate([[0], ends])
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+        return [lists, pa.array(np.diff(bounds), pa.int64()), pa.array(texts, pa.string())]
 
     return columns, "ids array<int>, n_tokens bigint, decoded string"
 
@@ -164,28 +220,25 @@ def digests(model: str) -> tuple[Output, str]:
     """Output columns of :func:`encode`: the number of ids, the SHA-256 of the ids as little-endian
     unsigned 32-bit integers, and that of the text they decode to."""
 
-    def columns(ids: list[list[int]]) -> list[pa.Array]:
-        texts = decoded(model, ids)
+    def columns(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        texts = codec(model).decode(ids, ends)
         sha = lambda data: hashlib.sha256(data).hexdigest()
+        packed = ids.astype("<u4", copy=False)
         return [
-            pa.array([len(i) for i in ids], pa.int64()),
-            pa.array([sha(np.array(i, dtype="<u4").tobytes()) for i in ids], pa.string()),
+            pa.array(np.diff(ends, prepend=0), pa.int64()),
+            pa.array([sha(i.tobytes()) for i in parts_of(packed, ends)], pa.string()),
             pa.array([sha(t.encode()) for t in texts], pa.string()),
         ]
 
     return columns, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def decoded(model: str, ids: list[list[int]]) -> list[str]:
-    return tokenizer(model).decode_batch(ids, skip_special_tokens=False)
-
-
 def decode(tokens: DataFrame, model: str) -> DataFrame:
     """``(doc_id, text)`` for every row of ``tokens(doc_id, ids, …)``; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = decoded(model, [i or [] for i in batch.column(1).to_pylist()])
+            texts = codec(model).decode(*flat([i or [] for i in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
@@ -232,13 +285,13 @@ def encode(docs: DataFrame, model: str, output: tuple[Output, str] | None = None
     docs = docs.select("doc_id", "text")
     names = ["doc_id", *(f.split(" ")[0] for f in schema.split(", "))]
 
-    def result(doc_ids: pa.Array, ids: list[list[int]], extra: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
+    def result(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, extra: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
         extra = extra or {}
-        return pa.RecordBatch.from_arrays([doc_ids, *columns(ids), *extra.values()], [*names, *extra])
+        return pa.RecordBatch.from_arrays([doc_ids, *columns(ids, ends), *extra.values()], [*names, *extra])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
-            yield result(batch.column(0), encoded(model, [t or "" for t in batch.column(1).to_pylist()]))
+            yield result(batch.column(0), *codec(model).encode(utf8(batch.column(1))))
 
     if not cuttable(model):
         return docs.mapInArrow(whole, f"doc_id {kind}, {schema}")
@@ -265,8 +318,7 @@ def encode(docs: DataFrame, model: str, output: tuple[Output, str] | None = None
             hit = np.flatnonzero(_in_filter(layout.digests, bits.value))
             held = np.unique(layout.text[hit])
             plain = np.setdiff1d(np.arange(len(texts)), held)
-            ids = encoded(model, [texts[i].decode() for i in plain.tolist()])
-            done = result(batch.column(0).take(pa.array(plain)), ids)
+            done = result(batch.column(0).take(pa.array(plain)), *codec(model).encode([texts[i] for i in plain.tolist()]))
             if own is None:
                 own = pa.schema([*done.schema, *moved_arrow])
             yield filled(dict(zip(done.schema.names, done.columns)) | {"kind": pa.array(["done"] * len(plain))}, len(plain), own)
@@ -285,14 +337,14 @@ def encode(docs: DataFrame, model: str, output: tuple[Output, str] | None = None
             strings += [data[a:b] for a, b in zip(second_last[ending].tolist(), layout.ends[text_of[ending]].tolist())]
             strings += [data[a:b] for a, b in zip(first.tolist(), second.tolist())]
             strings += [data[a:b] for a, b in zip(second_last.tolist(), last.tolist())]
-            coded = encoded(model, [s.decode() for s in strings])
+            coded = parts_of(*codec(model).encode(strings))
             k, m = len(hit), int(ending.sum())
             before, behind, begin, end = coded[:k], coded[k : k + m], coded[k + m : 2 * k + m], coded[2 * k + m :]
             starts = np.flatnonzero(new_text).tolist()
             gaps, lengths = [], []
             for t, (i, j) in enumerate(zip(starts, [*starts[1:], k])):
                 windows = [*before[i:j], behind[t]]
-                gaps.append(np.concatenate([np.array(w, dtype="<u4") for w in windows]).tobytes())
+                gaps.append(np.concatenate(windows).astype("<u4", copy=False).tobytes())
                 # Of every window: its ids, those shared with the chunk on its left, and on its right.
                 left, right = [0, *(len(e) for e in end[i:j])], [*(len(b) for b in begin[i:j]), 0]
                 lengths.append([n for three in zip((len(w) for w in windows), left, right) for n in three])
@@ -315,8 +367,7 @@ def encode(docs: DataFrame, model: str, output: tuple[Output, str] | None = None
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", BATCH_BYTES):
-            ids = encoded(model, batch.column(2).to_pylist())
-            packed = [np.array(i, dtype="<u4").tobytes() for i in ids]
+            packed = [i.astype("<u4", copy=False).tobytes() for i in parts_of(*codec(model).encode(utf8(batch.column(2))))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["h1", "h2", "gaps"])
 
     # Frequent chunks go to several parts; there are at most PARTS of these chunks.
@@ -347,13 +398,16 @@ def encode(docs: DataFrame, model: str, output: tuple[Output, str] | None = None
                     joined = join_chunks(held["gaps"], held["lengths"], held["chunks"])
                     doc_ids.append(held["doc"])
                     agree.append(joined is not None)
-                    texts.append(joined.tolist() if joined is not None else [])
+                    texts.append(joined if joined is not None else own[:0])
                     size += len(texts[-1])
                     if size > BATCH_BYTES // 4:
-                        yield result(pa.array(doc_ids, doc_type), texts, {"agree": pa.array(agree)})
+                        yield result(pa.array(doc_ids, doc_type), *together(texts), {"agree": pa.array(agree)})
                         doc_ids, texts, agree, size = [], [], [], 0
         if doc_ids:
-            yield result(pa.array(doc_ids, doc_type), texts, {"agree": pa.array(agree)})
+            yield result(pa.array(doc_ids, doc_type), *together(texts), {"agree": pa.array(agree)})
+
+    def together(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(arrays), np.cumsum([len(a) for a in arrays], dtype=np.int64)
 
     doc_type = pa.schema(_arrow_type(docs, "doc_id")).field("doc_id").type
     joined = stored(dealt.mapInArrow(assemble, f"doc_id {kind}, {schema}, agree boolean"), "chunk-joined")
