@@ -2,16 +2,14 @@
 
 The model file is parsed directly (a protocol buffer), and a tokenizer with the same normaliser,
 white-space marker, scores and byte fallback is built from it. Unigram models keep their scores;
-in models of merges the score of a piece is the priority of the merge that makes it. When no piece
-has the white-space marker behind another character, pieces never cross the beginning of a word;
-then a batch's distinct words are encoded once each, in several threads, and put together by
-number. Each whole text is also encoded by the sentencepiece library, and its ids are decoded again;
-whether the ids agree and whether the text comes back is reported per document.
+in models of merges the score of a piece is the priority of the merge that makes it. Batches of whole
+texts are encoded in several threads. Each text is also encoded by the sentencepiece library, and its
+ids are decoded again; whether the ids agree and whether the text comes back is reported per document.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,21 +18,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from .common import slices
-from .groups import ranges
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Text that is worked on at a time in a task, in bytes.
 BATCH_BYTES = 1_000_000
-#: Distinct words that a worker remembers between batches.
-REMEMBERED = 500_000
-#: Words that are put into one text when they are encoded.
-GLUED = 128
 
 # Fixed values of the file format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -142,138 +134,63 @@ def build(model: Model) -> Tokenizer:
     return tokenizer
 
 
-def words_apart(model: Model) -> bool:
-    """True when texts can be cut before each run of blanks without changing the result."""
-    plain = not model.charsmap and not model.remove_extra_whitespaces and model.add_dummy_prefix and model.escape_whitespaces
-    # Where the mark is no piece, unknown characters of two words would be one piece.
-    plain = plain and any(p == MARK for p, _, _ in model.pieces)
-    return plain and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
-
-
-_WORD = re.compile(r"[ ▁]+[^ ▁]*")
-
-
-def _words(text: str) -> list[str]:
-    """A text cut before each run of blanks; the blank that each word begins with, the one that
-    encoding adds to the first included, is left out."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or MARK in text:
-        return [w[1:] for w in _WORD.findall(" " + text)]
-    return text.split(" ")
+def spelled(model: Model) -> list[bytes]:
+    """The bytes that each piece stands for."""
+    pieces = []
+    for piece, _, kind in model.pieces:
+        pieces.append(bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode())
+    return pieces
 
 
 class Codec:
     """Encodes and decodes lists of texts with one model."""
 
     def __init__(self, raw: bytes):
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         import sentencepiece
 
         self.model = parse(raw)
         self.tokenizer = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.by_word = words_apart(self.model)
-        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
-        # With the mark as a piece, every word of a text shows where its ids begin.
-        self.glued = None
-        if self.by_word and any(p == MARK for p, _, _ in self.model.pieces):
-            self.glued = build(self.model)
-            self.glued.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known: dict[str, int] = {}
-        self._flat = np.zeros(0, dtype=np.int32)
-        self._starts = np.zeros(1, dtype=np.int64)
-
-    def _encoded(self, words: list[str]) -> list[list[int]]:
-        """The ids of words that lack their first blank, by the tokenizers library."""
-        if self.glued is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast([w.replace(MARK, " ") for w in words], add_special_tokens=False)]
-        plain = [i for i, w in enumerate(words) if w and " " not in w and MARK not in w]
-        out: list[list[int]] = [[]] * len(words)
-        texts = [" ".join([words[i] for i in plain[at : at + GLUED]]) for at in range(0, len(plain), GLUED)]
-        at = 0
-        for encoding in self.glued.encode_batch_fast(texts, add_special_tokens=False):
-            ids = encoding.ids
-            cuts = np.flatnonzero(self.begins[np.array(ids)]).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(ids)]):
-                out[plain[at]] = ids[a:b]
-                at += 1
-        chosen = set(plain)
-        rest = [i for i in range(len(words)) if i not in chosen]
-        # An empty word is a blank by itself, which the library gives no ids for at the end of an empty text.
-        texts = [words[i].replace(MARK, " ") for i in rest]
-        for i, encoding in zip(rest, self.tokenizer.encode_batch_fast([t or " " for t in texts], add_special_tokens=False)):
-            out[i] = encoding.ids
-        mark = [self._mark_id()]
-        for i in rest:
-            if not words[i]:
-                out[i] = mark
-        return out
-
-    def _mark_id(self) -> int:
-        return next(i for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self._known) > REMEMBERED:
-            self._forget()
-        new = [w for w in words if w not in self._known]
-        if not new:
-            return
-        ours = self._encoded(new)
-        at = len(self._known)
-        self._known.update(zip(new, range(at, at + len(new))))
-        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ours), dtype=np.int32)])
-        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum([len(ids) for ids in ours])])
+        pieces = spelled(self.model)
+        self._pieces = pa.array(pieces, pa.large_binary())
+        self._sizes = np.array([len(p) for p in pieces], dtype=np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(ids of all texts, ends, parity, round trip)``: ``ends`` has where each text's ids end, ``parity`` whether
         the sentencepiece library gives a whole text the same ids, ``round trip`` whether the decoded ids are
         the text. An empty text has no ids."""
-        ids, ends = self._ids(texts)
-        bounds = np.concatenate([[0], ends]).tolist()
-        rows = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        rows = [e.ids if t else [] for e, t in zip(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts)]
         same = np.array([a == b for a, b in zip(rows, self.reference.encode(texts, num_threads=2))], dtype=bool)
-        exact = np.array([a == b for a, b in zip(self.decode(rows), texts)], dtype=bool)
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        ids = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]) if len(ends) else 0)
+        exact = np.array([a == b for a, b in zip(self.texts(ids, ends), texts)], dtype=bool)
         return ids, ends, same, exact
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids of all texts, ends)``."""
-        if not self.by_word:
-            ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [e.ids if t else [] for e, t in zip(ours, texts)]
-            return np.array([i for a in ids for i in a], dtype=np.int32), np.cumsum([len(a) for a in ids])
-        column = pa.array(texts, pa.large_string())
-        odd = pc.or_(pc.match_substring(column, "  "), pc.or_(pc.starts_with(column, " "), pc.match_substring(column, MARK)))
-        odd = pc.or_(odd, pc.equal(column, "")).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(pc.if_else(pa.array(odd), "", column), " ")
-        coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        own = {i: _words(texts[i]) for i in np.flatnonzero(odd).tolist()}
-        self._learn(set(distinct).union(*own.values()))
-        known = self._known
-        number = np.array([known[w] for w in distinct], dtype=np.int64)
-        numbers = number[coded.indices.to_numpy(zero_copy_only=False)]
-        counts = np.diff(split.offsets.to_numpy())
-        if own:  # each of these is one empty word so far
-            parts = np.split(numbers, np.cumsum(counts)[:-1])
-            for i, words in own.items():
-                parts[i] = np.array([known[w] for w in words], dtype=np.int64)
-            counts = np.array([len(p) for p in parts])
-            numbers = np.concatenate(parts)
-        ends = np.cumsum(counts)
-        low, high = self._starts[numbers], self._starts[numbers + 1]
-        ids = self._flat[ranges(low, high)]
-        before = lambda values: np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])]
-        return ids, before(high - low)[1:]
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids that lie one after the other: what the pieces spell, without the added blank.
+
+        Byte pieces that make no characters are left to the library.
+        """
+        joined = memoryview(self._pieces.take(pa.array(ids)).buffers()[2] or b"").cast("B")
+        places = np.concatenate([[0], np.cumsum(self._sizes[ids])])[np.concatenate([[0], ends])].tolist()
+        out = []
+        for i, (a, b) in enumerate(zip(places, places[1:])):
+            try:
+                text = str(joined[a:b], "utf-8")
+            except UnicodeDecodeError:
+                text = self.decode([ids[ends[i - 1] if i else 0 : ends[i]].tolist()])[0]
+            else:
+                text = text.removeprefix(" ") if self.model.add_dummy_prefix else text
+            out.append(text)
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The texts of lists of ids, by the tokenizers library."""
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def codec(raw: bytes) -> Codec:
     return Codec(raw)
 
