@@ -39,6 +39,8 @@ CUE_SHARE = 0.8
 CUES = 1_000
 #: Hashed features; each word has two of them, so words that share one are still told apart.
 FEATURE_BITS = 18
+#: Training rows that are looked at together.
+FIT_ROWS = 500
 #: Steps of the training at most, the steps that the curvature is estimated from, and the weight of large weights in the loss.
 ROUNDS = 60
 MEMORY = 8
@@ -295,21 +297,32 @@ def fit(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.iloc[np.random.default_rng(0).permutation(np.argsort([hash_row(i) for i in rows["indices"]], kind="stable"))]
     yes = rows["yes"].to_numpy()
     sizes = rows["indices"].str.len().to_numpy()
-    place = np.concatenate(rows["indices"].to_numpy()).astype(np.int64)
+    place = np.concatenate(rows["indices"].to_numpy()).astype(np.int32)
     x = np.concatenate(rows["weights"].to_numpy())
+    n = len(rows)
+    del rows
     common = np.bincount(place, minlength=1 << FEATURE_BITS)[place] >= LEAST_ROWS
-    sizes = np.bincount(np.repeat(np.arange(len(rows)), sizes)[common], minlength=len(rows))
+    sizes = np.bincount(np.repeat(np.arange(n), sizes)[common], minlength=n)
     place, x = place[common], x[common]
     # Both answers weigh the same in total, if there are any of both.
     balance = np.where(yes > 0.5, 0.5 / max(yes.mean(), 1e-3), 0.5 / max(1 - yes.mean(), 1e-3))
     used, column = np.unique(place, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    column = column.astype(np.int32)
+    del place, common
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    # Some rows at a time, so that what is only needed for a step stays small.
+    blocks = [(a, min(a + FIT_ROWS, n)) for a in range(0, n, FIT_ROWS)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        linear = np.bincount(owner, weights=w[column] * x, minlength=len(rows)) + w[-1]
-        value = (balance * (np.logaddexp(0, linear) - yes * linear)).mean() + RIDGE / 2 * (w[:-1] @ w[:-1])
-        error = balance * (1 / (1 + np.exp(-np.clip(linear, -500, 500))) - yes) / len(rows)
-        gradient = np.append(np.bincount(column, weights=error[owner] * x, minlength=len(used)) + RIDGE * w[:-1], error.sum())
+        value, gradient = RIDGE / 2 * (w[:-1] @ w[:-1]), np.append(RIDGE * w[:-1], 0.0)
+        for a, b in blocks:
+            here = slice(ends[a], ends[b])
+            owner = np.repeat(np.arange(b - a), sizes[a:b])
+            linear = np.bincount(owner, weights=w[column[here]] * x[here], minlength=b - a) + w[-1]
+            value += (balance[a:b] * (np.logaddexp(0, linear) - yes[a:b] * linear)).sum() / n
+            error = balance[a:b] * (1 / (1 + np.exp(-np.clip(linear, -500, 500))) - yes[a:b]) / n
+            gradient[:-1] += np.bincount(column[here], weights=error[owner] * x[here], minlength=len(used))
+            gradient[-1] += error.sum()
         return value, gradient
 
     w = minimum(loss, np.zeros(len(used) + 1))
@@ -403,21 +416,26 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
 
 
 def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of ``docs``, and one with a leading ``_quality_`` for the probability of each question."""
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # 2**FEATURE_BITS numbers per question and at most CUES words
+    """All columns of ``docs``, and one more at the end for the probability of each question, under names that ``docs`` does not have."""
+    # 2**FEATURE_BITS numbers per question and at most CUES words; plain values, as workers need not know this module.
+    sent = docs.sparkSession.sparkContext.broadcast((scorer.cues, scorer.weights, scorer.constants))
     names = docs.columns
     at = names.index("text")
+    mark = "_quality_"
+    while any(f"{mark}{q}" in names for q in QUESTIONS):
+        mark = f"_{mark}"
+    added = [f"{mark}{q}" for q in QUESTIONS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = Scorer(*sent.value)
         reader = Reader(own.cues)
         for batch in slices(batches, "text", BATCH_BYTES):
             found = own.score(reader, batch.column(at))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(found[q]) for q in QUESTIONS)], [*names, *(f"_quality_{q}" for q in QUESTIONS)]
+                [*batch.columns, *(pa.array(found[q]) for q in QUESTIONS)], [*names, *added]
             )
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_quality_{q}", T.DoubleType()) for q in QUESTIONS)])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added)])
     return docs.mapInArrow(run, schema)
 
 
@@ -444,4 +462,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`classify` does not keep."""
     scored = scores(docs, train(docs.select("doc_id", "text"), labels))
-    return scored.where(F.greatest(*[f"_quality_{q}" for q in QUESTIONS]) < THRESHOLD).drop(*[f"_quality_{q}" for q in QUESTIONS])
+    kept = scored.where(F.greatest(*[F.col(c) for c in scored.columns[-len(QUESTIONS) :]]) < THRESHOLD)
+    return kept.drop(*scored.columns[-len(QUESTIONS) :])
