@@ -47,18 +47,23 @@ SELECT query_id, rank, vec_id, score FROM k WHERE rank <= {topk.K}
 
 
 def _spread(name: str, seeds: str, src: str, dst: str) -> str:
-    """The rounds of one propagation as common table expressions."""
+    """The rounds of one propagation, and its result after the first round that moves little, as common table expressions."""
     units, damping = url_filter.UNITS, url_filter.DAMPING
     home = units - units * damping // 100
-    out = [
-        f"{name}_e AS (SELECT {src} AS a, {dst} AS b, count(*) OVER (PARTITION BY {src}) AS degree FROM links)",
-        f"{name}_0 AS (SELECT host, CAST({units} AS BIGINT) AS mass FROM {seeds})",
-    ]
-    for k in range(1, url_filter.ROUNDS + 1):
-        passed = f"SELECT b AS host, CAST(floor(floor(mass * {damping} / 100) / degree) AS BIGINT) AS mass FROM {name}_e JOIN {name}_{k - 1} p ON p.host = a"
-        start = f"SELECT host, CAST({home} AS BIGINT) AS mass FROM {seeds} WHERE EXISTS (FROM links) UNION ALL FROM {name}_0 WHERE NOT EXISTS (FROM links)"
-        out.append(f"{name}_{k} AS (SELECT host, CAST(sum(mass) AS BIGINT) AS mass FROM ({passed} UNION ALL {start}) GROUP BY host)")
-    return ",\n".join(out)
+    return f"""
+{name}_n AS (SELECT count(*)::HUGEINT AS n FROM {seeds}),
+{name}_e AS (SELECT {src} AS a, {dst} AS b, count(*) OVER (PARTITION BY {src})::HUGEINT AS degree FROM links),
+{name}_r AS (SELECT 0 AS k, host, {units}::HUGEINT // n AS mass FROM {seeds}, {name}_n
+  UNION ALL SELECT k, host, sum(mass)::HUGEINT FROM (
+    SELECT k + 1 AS k, b AS host, mass // degree * {damping} // 100 AS mass FROM {name}_r JOIN {name}_e ON a = host
+    UNION ALL SELECT k + 1, s.host, {home}::HUGEINT // n FROM (SELECT DISTINCT k FROM {name}_r), {seeds} s, {name}_n)
+  WHERE k < 70 AND EXISTS (FROM links) GROUP BY k, host),
+{name}_moved AS (SELECT k, sum(abs(mass - before)) AS moved FROM (
+    SELECT k, host, sum(mass) AS mass, sum(before) AS before FROM (
+      SELECT k, host, mass, 0::HUGEINT AS before FROM {name}_r WHERE k > 0 UNION ALL SELECT k + 1, host, 0, mass FROM {name}_r WHERE k < 70) GROUP BY k, host)
+  GROUP BY k),
+{name} AS (SELECT host, mass FROM {name}_r WHERE k = (SELECT CASE WHEN EXISTS (FROM links) THEN min(k) ELSE 0 END FROM {name}_moved
+  WHERE moved * {url_filter.SETTLED} <= {units}::HUGEINT))"""
 
 
 def _rule() -> tuple[str, str]:
@@ -76,19 +81,19 @@ def _host(url: str) -> str:
 
 _RULE, _VERDICT = _rule()
 SQL["op5_url_filter"] = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, {_host("coalesce(url, '')")} AS host,
+WITH RECURSIVE p AS (SELECT page_id, coalesce(html, '') AS html, {_host("coalesce(url, '')")} AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 ruled AS (SELECT page_id, host, path, {_RULE} AS rule, {_VERDICT} AS by_rule FROM p),
 kinds AS (SELECT host, bool_or(by_rule = 'allow') AS good, bool_or(by_rule = 'block') AS bad FROM ruled WHERE rule IS NOT NULL GROUP BY host),
 found AS (SELECT host AS src, unnest(regexp_extract_all(html, {_quoted(url_filter.LINK)}, 1)) AS link FROM p),
-links AS (SELECT DISTINCT src, {_host("link")} AS dst FROM found WHERE src <> '' AND {_host("link")} <> '' AND src <> {_host("link")}),
+links AS (SELECT DISTINCT src, dst FROM (SELECT src, {_host("'x://'||regexp_replace(link, '^.*//', '')")} AS dst FROM found)
+  WHERE src <> '' AND dst <> '' AND src <> dst),
 good AS (SELECT host FROM kinds WHERE good AND NOT bad), bad AS (SELECT host FROM kinds WHERE bad AND NOT good),
 {_spread("t", "good", "src", "dst")},
 {_spread("u", "bad", "dst", "src")}
 SELECT page_id, r.host, path, rule,
-  coalesce(by_rule, CASE WHEN coalesce(u.mass, 0) * 100 > coalesce(t.mass, 0) * {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
-  CAST(coalesce(t.mass, 0) AS BIGINT) AS trust, CAST(coalesce(u.mass, 0) AS BIGINT) AS distrust
-FROM ruled r LEFT JOIN t_{url_filter.ROUNDS} t ON t.host = r.host LEFT JOIN u_{url_filter.ROUNDS} u ON u.host = r.host
+  coalesce(by_rule, CASE WHEN coalesce(u.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN t ON t.host = r.host LEFT JOIN u ON u.host = r.host
 """
 
 _SPACE = "chr(32)||chr(9)||chr(11)||chr(12)||chr(13)"

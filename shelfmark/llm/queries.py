@@ -46,7 +46,7 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages, by rule or by the trust of their host."""
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 @query
