@@ -1,12 +1,18 @@
 """Cutting files into token-bounded chunks.
 
-A file is one row and stays one row until its chunks are exploded: splitting, packing and
-merging are array expressions, so chunking adds no shuffle, whatever the size of a namespace.
+A file is one row and stays one row until its chunks are exploded, so chunking adds no shuffle, whatever
+the size of a namespace. Texts are split and counted by array expressions. Where the cuts are is found from the
+counts alone, in running sums and in one pass with a stack over the indentations, and takes time in
+proportion to the lines of a file.
 Offsets are characters, 0-based and end-exclusive, relative to the whole file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +25,6 @@ from ..functions.tokens import WHITESPACE, count_tokens, pieces
 MERGE_SLACK = 50
 COMMENT_SLACK = 20
 
-_UNIT = "struct<text:string,tok:int>"
-_SPAN = "struct<start:int,text:string,tok:int>"
-
 
 def _bind(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once per row."""
@@ -48,72 +51,136 @@ def _cut_by_tokens(text: Column, budget: Column) -> Column:
     return _bind(pieces(text), cut)
 
 
-def fine_units(units: Column, budget: Column) -> Column:
-    """Units over the budget are cut after sentence ends, and what is still over it every ``budget`` tokens."""
+def fine_units(lines: Column, budget: Column) -> Column:
+    """Lines ``(text, tok, ind)`` as units of the same shape: what is over the budget is cut after sentence
+    ends, and what is still over it every ``budget`` tokens. Only the first unit of a line has its indentation,
+    -1 stands for a blank line and -2 for a continuation."""
 
-    def by_sentence(u: Column) -> Column:
-        sentences = F.transform(F.split(u["text"], r"(?<=[.!?])(?=\s)"), lambda t: _unit(t))
-        return F.flatten(
+    def by_sentence(line: Column) -> Column:
+        sentences = F.transform(F.split(line["text"], r"(?<=[.!?])(?=\s)"), lambda t: _unit(t))
+        cut = F.flatten(
             F.transform(
                 sentences,
                 lambda s: F.when(s["tok"] <= budget, F.array(s)).otherwise(_cut_by_tokens(s["text"], budget)),
             )
         )
+        indent = lambda i: F.when(i == 0, F.coalesce(line["ind"], F.lit(-1))).otherwise(-2)
+        return F.transform(cut, lambda u, i: F.struct(u["text"].alias("text"), u["tok"].alias("tok"), indent(i).alias("ind")))
 
-    return F.flatten(
-        F.transform(units, lambda u: F.when(u["tok"] <= budget, F.array(u)).otherwise(by_sentence(u)))
-    )
+    whole = lambda x: F.array(F.struct(x["text"].alias("text"), x["tok"].alias("tok"), F.coalesce(x["ind"], F.lit(-1)).alias("ind")))
+    return F.flatten(F.transform(lines, lambda x: F.when(x["tok"] <= budget, whole(x)).otherwise(by_sentence(x))))
 
 
-def _fold_spans(units: Column, joins) -> Column:
-    """Left-to-right fold of consecutive units into spans.
+def packed(tokens: np.ndarray, limit: int, first: int = 0) -> Iterator[tuple[int, int]]:
+    """Runs ``[a, b)`` of consecutive units with at most ``limit`` tokens each; a larger unit stays alone.
 
-    ``joins(open_tokens, unit_tokens)`` says whether a unit is added to the open span.
-    Units without tokens are white space: they extend the open span at no cost.
+    Units without tokens are white space: they go with the run before them, and in front of the
+    first run they are left out. Each end is found by a binary search in the running sums.
     """
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(None).cast(_SPAN).alias("open"),
-        F.array().cast(f"array<{_SPAN}>").alias("done"),
-    )
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    at = int(np.searchsorted(total, 0, side="right")) - 1
+    while at < len(tokens):
+        end = int(np.searchsorted(total, max(total[at] + limit, total[at + 1]), side="right")) - 1
+        yield first + at, first + end
+        at = end
 
-    def step(acc: Column, u: Column) -> Column:
-        span = acc["open"]
-        extend = span.isNotNull() & ((u["tok"] == 0) | joins(span["tok"], u["tok"]))
-        fresh = F.struct(acc["pos"].alias("start"), u["text"].alias("text"), u["tok"].alias("tok"))
-        grown = F.struct(
-            span["start"].alias("start"),
-            F.concat(span["text"], u["text"]).alias("text"),
-            (span["tok"] + u["tok"]).alias("tok"),
-        )
-        return F.struct(
-            (acc["pos"] + F.char_length(u["text"])).alias("pos"),
-            F.when(extend, grown).when((u["tok"] == 0), span).otherwise(fresh).alias("open"),
-            F.when(extend | span.isNull(), acc["done"])
-            .otherwise(F.array_append(acc["done"], span))
-            .alias("done"),
-        )
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
+def outline(indent: np.ndarray) -> np.ndarray:
+    """Where the block of each line ends: at the next line that is not deeper. One pass with a stack of open blocks.
 
-    return F.aggregate(units, zero, step, finish)
+    Blank lines (negative) are no blocks and end none; their own entry is the next line.
+    """
+    ends = np.arange(1, len(indent) + 1)
+    open_: list[int] = []
+    for i, depth in enumerate(indent.tolist()):
+        if depth < 0:
+            continue
+        while open_ and indent[open_[-1]] >= depth:
+            ends[open_.pop()] = i
+        open_.append(i)
+    ends[open_] = len(indent)
+    return ends
+
+
+def blocks(tokens: np.ndarray, indent: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs ``[a, b)`` of units: the outermost blocks within the limit, cut from the top down at any depth.
+
+    A block that is too long gives its first line and then the blocks inside of it. ``indent`` is that of the
+    line a unit begins, -1 for a blank line and -2 for the continuation of a line that was cut as text.
+    """
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    n = len(tokens)
+    if total[-1] <= limit:
+        yield 0, n
+        return
+    lines = np.flatnonzero(indent > -2)
+    bounds = np.concatenate([lines, [n]])
+    ends = bounds[outline(indent[lines])]
+    depth = indent[lines]
+    k = 0
+    if len(lines) and lines[0] > 0:
+        yield 0, int(lines[0])
+    while k < len(lines):
+        a = int(lines[k])
+        if depth[k] >= 0 and total[ends[k]] - total[a] <= limit:
+            yield a, int(ends[k])
+            k = int(np.searchsorted(lines, ends[k]))
+            continue
+        # The line with the blank ones behind it.
+        k += 1
+        while k < len(lines) and depth[k] < 0:
+            k += 1
+        b = int(bounds[k])
+        if total[b] - total[a] <= limit:
+            yield a, b
+        else:
+            yield from packed(tokens[a:b], limit, a)
+
+
+def merged(runs: list[tuple[int, int]], tokens: np.ndarray, header: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Neighbours put together while both, headers included, stay clear of the limit.
 
+    Token counts add up across units, so the stricter first test implies that the merged
+    text (one header only) is within the limit.
+    """
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    low = high = -1
+    for a, b in runs:
+        own = total[b] - total[a]
+        if low >= 0 and (own == 0 or 2 * header + total[high] - total[low] + own < limit - MERGE_SLACK):
+            high = b
+        elif own:
+            if low >= 0:
+                yield low, high
+            low, high = a, b
+    if low >= 0:
+        yield low, high
 
-def pack_greedy(units: Column, limit: Column) -> Column:
-    """Spans of consecutive units with at most ``limit`` tokens each; a larger unit stays alone."""
-    return _fold_spans(units, lambda open_tok, tok: open_tok + tok <= limit)
 
+_RUNS = "array<struct<first:int,n:int,start:int,tok:int>>"
 
-def merge_small(units: Column, header: Column, max_tokens: int) -> Column:
-    """Merge neighbours while both together, headers included, stay clear of the limit.
 
-    Token counts add up across units, so the stricter first test implies that the merged
-    text (one header only) is within ``max_tokens``.
+def _runs(limit: int):
+    """``(tokens, lengths, indents, header, chunker)`` of the units of files to the runs that are their chunks.
+
+    Numbers only: texts stay where they are.
     """
-    return _fold_spans(
-        units, lambda open_tok, tok: (header * 2 + open_tok + tok < max_tokens - MERGE_SLACK)
-    )
+
+    @F.pandas_udf(_RUNS)
+    def cut(tokens: pd.Series, lengths: pd.Series, indents: pd.Series, header: pd.Series, chunker: pd.Series) -> pd.Series:
+        out = []
+        for tok, size, ind, h, kind in zip(tokens, lengths, indents, header, chunker):
+            tok = np.asarray(tok if tok is not None else [], dtype=np.int64)
+            if kind == "text":
+                runs = packed(tok, limit - h)
+            else:
+                runs = merged(list(blocks(tok, np.asarray(ind, dtype=np.int64), limit - h)), tok, h, limit) if len(tok) else []
+            start = np.concatenate([[0], np.cumsum(np.asarray(size if size is not None else [], dtype=np.int64))])
+            total = np.concatenate([[0], np.cumsum(tok)])
+            out.append([{"first": a, "n": b - a, "start": int(start[a]), "tok": int(total[b] - total[a])} for a, b in runs])
+        return pd.Series(out)
+
+    return cut
 
 
 def _emit(df: DataFrame, spans: str, keys: list[str]) -> DataFrame:
@@ -160,73 +227,6 @@ def _indent_of(line: Column) -> Column:
     )
 
 
-def _tokens_in(block: Column) -> Column:
-    return F.aggregate(block, F.lit(0), lambda acc, x: acc + x["tok"])
-
-
-def _min_indent(block: Column, above: Column | None = None) -> Column:
-    kept = block if above is None else F.filter(block, lambda x: x["ind"] > above)
-    return F.array_min(F.transform(kept, lambda x: x["ind"]))
-
-
-def _blocks_at(lines: Column, level: Column) -> Column:
-    """Cut an array of lines in front of every line of the given indentation."""
-
-    def cut(starts: Column) -> Column:
-        return F.transform(
-            starts,
-            lambda s, j: F.slice(lines, s + 1, F.coalesce(F.get(starts, j + 1), F.size(lines)) - s),
-        )
-
-    at_level = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["ind"] == level)
-    )
-    return _bind(at_level, cut)
-
-
-def _whole(block: Column) -> Column:
-    return _unit(F.array_join(F.transform(block, lambda x: x["text"]), ""), _tokens_in(block))
-
-
-def _text_units(block: Column, budget: Column) -> Column:
-    units = F.transform(block, lambda x: _unit(x["text"], x["tok"]))
-    return F.transform(
-        pack_greedy(fine_units(units, budget), budget), lambda s: _unit(s["text"], s["tok"])
-    )
-
-
-def _code_units(lines: Column, budget: Column) -> Column:
-    """Blocks by indentation: top level, then one level deeper where needed, then as text.
-
-    Leading white space is kept in the units, so they rejoin to the exact file.
-    """
-
-    def second(block: Column) -> Column:
-        deeper = _min_indent(block, above=_min_indent(block))
-        split = _bind(
-            deeper,
-            lambda level: F.flatten(
-                F.transform(
-                    _blocks_at(block, level),
-                    lambda b: F.when(_tokens_in(b) <= budget, F.array(_whole(b))).otherwise(_text_units(b, budget)),
-                )
-            ),
-        )
-        return F.when(deeper.isNull(), _text_units(block, budget)).otherwise(split)
-
-    def first(level: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                _blocks_at(lines, level),
-                lambda b: F.when(_tokens_in(b) <= budget, F.array(_whole(b))).otherwise(second(b)),
-            )
-        )
-
-    return F.when(_tokens_in(lines) <= budget, F.array(_whole(lines))).otherwise(
-        _bind(_min_indent(lines), first)
-    )
-
-
 def notebook_code(content: Column) -> Column:
     """The code cells of a notebook joined by newlines; ``source`` may be a string or an array of lines."""
     as_text = F.from_json(content, "cells array<struct<cell_type:string,source:string>>")["cells"]
@@ -249,19 +249,17 @@ def _chunk(files: DataFrame, max_tokens: int, route: Column) -> DataFrame:
     budget = F.lit(max_tokens) - F.col("_h")
     df = _budgeted(files, max_tokens).withColumn("chunker", route)
     content = F.when(F.col("chunker") == "notebook", notebook_code(F.col("content"))).otherwise(F.col("content"))
-    df = df.select(
-        *keys,
-        "_h",
-        F.transform(
-            lines_of(content),
-            lambda l: F.struct(l.alias("text"), count_tokens(l).alias("tok"), _indent_of(l).alias("ind")),
-        ).alias("_l"),
-    )
-    units = F.transform("_l", lambda x: _unit(x["text"], x["tok"]))
-    spans = F.when(
-        F.col("chunker") == "text", pack_greedy(fine_units(units, budget), budget)
-    ).otherwise(merge_small(_code_units(F.col("_l"), budget), F.col("_h"), max_tokens))
-    return _emit(df.select(*keys, spans.alias("_s")), "_s", keys)
+    lines = F.transform(lines_of(content), lambda l: F.struct(l.alias("text"), count_tokens(l).alias("tok"), _indent_of(l).alias("ind")))
+    units = df.select(*keys, "_h", fine_units(lines, budget).alias("_u"))
+    of = lambda field: F.transform("_u", lambda u: u[field])
+    sizes = F.transform("_u", lambda u: F.char_length(u["text"]))
+    runs = units.withColumn("_r", _runs(max_tokens)(of("tok"), sizes, of("ind"), F.col("_h"), F.col("chunker")))
+
+    def span(r: Column) -> Column:
+        text = F.array_join(F.transform(F.slice("_u", r["first"] + 1, r["n"]), lambda u: u["text"]), "")
+        return F.struct(r["start"].alias("start"), text.alias("text"), r["tok"].alias("tok"))
+
+    return _emit(runs.select(*keys, F.transform("_r", span).alias("_s")), "_s", keys)
 
 
 def chunk_text(files: DataFrame, max_tokens: int) -> DataFrame:
@@ -320,7 +318,7 @@ def merge_small_chunks(chunks: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: the same place of the same file in the same namespace, or the same id.
+    """One row per chunk: the same id at the same place of the same file in the same namespace.
 
     Issue chunks have no path and no offsets; their id tells them apart.
     """

@@ -1,127 +1,271 @@
-"""Class and method names from source code, by indentation or brace depth."""
+"""Class and method names from source code, by indentation, by braces or by ``end``.
+
+Strings, comments and templates are blanked first, by one pass of an alternation that takes whichever
+begins first, so nothing in them is read as code. What is left is reduced to the tokens that
+matter, declarations and the ends of scopes, and a fold with a stack of scopes goes over these.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.languages import BRACE_LANGUAGES, detect_language
+from ..functions.languages import detect_language
 from ..functions.rows import explode_computed
 
 _SCOPE = "struct<ind:int,kind:string,name:string>"
 _SYMBOL = "struct<class_name:string,method_name:string>"
+_STATE = "struct<kind:string,name:string>"
 #: Symbols are appended to small runs, and full runs to the result, so that the fold over a
 #: file with very many symbols does not copy its whole output at each step.
 _RUN = 256
 
-# Declarations as they start a line.
+NAME = r"([#\p{L}_$][\p{L}\p{N}_$]*)"
+
+
+def _quoted(quote: str, inside: str = r"[^\n]") -> str:
+    """From a quote to the next one that an even number of backslashes stands before."""
+    return rf"{quote}{inside}*?(?<!\\)(?:\\\\)*+{quote}"
+
+
+# What is blanked. The longer beginnings come first.
+_ANY = r"[\s\S]"
+_LINE, _BLOCK = r"//[^\n]*", rf"/\*{_ANY}*?(?:\*/|\z)"
+_HASH = r"#[^\n]*"
+_TRIPLE = rf'"""{_ANY}*?(?:"""|\z)'
+_CHAR = r"'(?:\\[^\n']{1,9}|[^\\'\n]|\\')'"
+_STRING, _APOSTROPHE = _quoted('"'), _quoted("'")
+LEXERS = {
+    "python": "|".join([rf'"""{_ANY}*?(?<!\\)(?:\\\\)*+"""', rf"'''{_ANY}*?(?<!\\)(?:\\\\)*+'''", _STRING, _APOSTROPHE, _HASH]),
+    "script": "|".join([_LINE, _BLOCK, _quoted("`", _ANY), _STRING, _APOSTROPHE]),
+    "java": "|".join([_LINE, _BLOCK, _TRIPLE, rf'@"(?:[^"]|"")*+"', _STRING, _CHAR]),
+    "go": "|".join([_LINE, _BLOCK, r"`[^`]*`", _STRING, _CHAR]),
+    "php": "|".join([_LINE, _BLOCK, _HASH, _quoted('"', _ANY), _quoted("'", _ANY)]),
+    "hash": "|".join([r"(?m:^)=begin\b[\s\S]*?(?m:^)=end\b", _HASH, _STRING, _APOSTROPHE]),
+}
+
+# Declarations of the languages.
+_PARAMETERS = r"\([^(){};]*+(?:\([^(){};]*+\)[^(){};]*+)*+\)"
+_CONTROL = "if|for|foreach|while|switch|catch|function|return|new|else|do|try|with|super|using|lock|synchronized|fixed|when"
+_MEMBER = rf"(?<![\p{{L}}\p{{N}}_$.#])(?<!\bnew\s)(?!(?:{_CONTROL})\b){NAME}\s*(?:<[^<>(){{}};]*+>)?\s*{_PARAMETERS}"
+
+
+@dataclass(frozen=True)
+class Syntax:
+    """How a language declares things. ``members``: functions are members without a keyword, so only what
+    stands in a class body is one. ``bare`` classes are scopes that are no symbols by themselves."""
+
+    lexer: str
+    classes: str
+    functions: str
+    bare: str = r"(?!)"
+    members: bool = False
+    ends: str = ""  # openers of blocks that ``end`` closes
+    over: str = ";"  # what ends a declaration without a body
+
+
+# A function that is an expression up to the end of its line.
+_EXPRESSION = r";|\)\s*(?::[^\n{}()=]*+)?=(?![=>])[^\n{}]*+(?=\n|\z)"
+
+_SCRIPT = Syntax(
+    "script", rf"\bclass\s+(?!extends\b|implements\b){NAME}", _MEMBER + r"\s*(?::[^{};=()]*+)?\s*(?=\{)", members=True
+)
+SYNTAX = {
+    **dict.fromkeys(("javascript", "jsx", "typescript", "tsx"), _SCRIPT),
+    "java": Syntax("java", rf"\b(?:class|interface|enum|record)\s+{NAME}", _MEMBER + r"\s*(?:throws\s[^{};()]*+)?(?=\{)", members=True),
+    "c#": Syntax(
+        "java",
+        rf"\b(?:class|interface|enum|struct|record)\s+{NAME}",
+        _MEMBER + rf"\s*(?:where\s[^{{}};]*+)?(?::\s*(?:base|this)\s*{_PARAMETERS}\s*)?(?=\{{|=>)",
+        members=True,
+    ),
+    "kotlin": Syntax("java", rf"\b(?:class|interface|object)\s+{NAME}", rf"\bfun\s+(?:<[^<>]*+>\s*)?(?:[\p{{L}}\p{{N}}_<>?]+\.)*{NAME}", over=_EXPRESSION),
+    "scala": Syntax("java", rf"\b(?:class|object|trait)\s+{NAME}", rf"\bdef\s+{NAME}", over=_EXPRESSION),
+    "swift": Syntax(
+        "java", rf"\b(?:class|struct|enum|protocol|extension|actor)\s+(?!func\b|var\b|let\b){NAME}", rf"\bfunc\s+{NAME}"
+    ),
+    "php": Syntax("php", rf"\b(?:class|interface|trait|enum)\s+(?!extends\b){NAME}", rf"\bfunction\s+&?\s*{NAME}"),
+    "go": Syntax("go", rf"\btype\s+{NAME}(?:\[[^\]]*\])?\s+(?:struct|interface)\b", rf"\bfunc\s+(?:\([^()]*\)\s*)?{NAME}"),
+    "rust": Syntax(
+        "java",
+        rf"\b(?:struct|enum|trait|union)\s+{NAME}",
+        rf"\bfn\s+{NAME}",
+        rf"\bimpl\b\s*(?:<[^{{}};]*?>\s*)?(?:[^{{}};]*?\bfor\s+)?{NAME}",
+    ),
+    "bash": Syntax("hash", r"(?!)", rf"(?m:^)[ \t]*(?:function[ \t]+{NAME}|(?!function\b){NAME}[ \t]*\([ \t]*\))"),
+    "ruby": Syntax(
+        "hash",
+        rf"(?m:^)[ \t]*class[ \t]+(?:[\p{{L}}\p{{N}}_]+::)*{NAME}",
+        rf"(?m:^)[ \t]*(?:private[ \t]+|public[ \t]+|protected[ \t]+)?def[ \t]+(?:self\.)?{NAME}[?!=]?",
+        rf"(?m:^)[ \t]*module[ \t]+{NAME}",
+        ends=r"(?m:^)[ \t]*(?:if|unless|while|until|for|begin|case|class[ \t]*<<)\b|=[ \t]*(?:if|unless|case|begin)\b|\bdo\b",
+    ),
+}
+
+# Declarations of the language that scopes by indentation, as they start a line.
 PY_NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
 PY_CLASS = rf"^[ \t]*class[ \t]+{PY_NAME}[ \t]*[\[(:]"
 PY_DEF = rf"^[ \t]*(?:async[ \t]+)?def[ \t]+{PY_NAME}[ \t]*[\[(]"
 PY_BLOCK = (
     rf"(?m)(?:{PY_CLASS}|{PY_DEF}"
-    r"|^[ \t]*(?:async|if|elif|else|for|while|try|except|finally|with|match|case)\b[^\n]*[:(\[{][ \t]*(?:#[^\n]*)?$)[^\n]*"
-)
-JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\p{L}_$][\p{L}\p{N}_$]*)"
-JS_METHOD = (
-    r"^\s*(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*\*?\s*"
-    r"(?!(?:if|for|while|switch|catch|function|return|new|else|do|try|with|super)\b)"
-    r"([\p{L}_$#][\p{L}\p{N}_$]*)\s*(?:<[^>]*>)?\([^;]*\{\s*(?:[^}]*\}\s*)?$"
+    r"|^[ \t]*(?:async|if|elif|else|for|while|try|except|finally|with|match|case)\b[^\n]*[:(\[{][ \t]*$)[^\n]*"
 )
+INDENTED = ("python", "cython")
+
+
+def blanked(content: Column, lexer: str) -> Column:
+    """The text with every string, comment and template replaced by a blank."""
+    return F.regexp_replace(content, LEXERS[lexer], " ")
+
+
+def _name(token: Column, pattern: str) -> Column:
+    """What the last group of a declaration's name holds; look-arounds behind the token cannot be asked again."""
+    return F.nullif(F.regexp_extract(token, pattern, 1), F.lit(""))
+
+
+def _bound(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _emitted(acc: Column, emits: Column, symbol: Column) -> tuple[Column, Column]:
+    """The runs of symbols after one more, if it is one."""
+    full = F.size(acc["run"]) >= _RUN
+    run = F.when(emits & full, F.array(symbol)).when(emits, F.array_append(acc["run"], symbol)).otherwise(acc["run"])
+    return run.alias("run"), F.when(emits & full, F.array_append(acc["runs"], acc["run"])).otherwise(acc["runs"]).alias("runs")
 
 
-def _declaration(line: Column, brace: Column) -> Column:
-    """Names declared by the line. The plain substring tests spare most lines the patterns."""
+def _symbol(class_name: Column, method_name: Column) -> Column:
+    return F.struct(class_name.alias("class_name"), method_name.alias("method_name"))
 
-    def name(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
 
-    cls = F.when(line.contains("class"), F.when(brace, name(JS_CLASS)).otherwise(name(PY_CLASS)))
-    fun = F.when(brace, F.when(line.contains("("), name(JS_METHOD))).otherwise(
-        F.when(line.contains("def"), name(PY_DEF))
+def _scoped(content: Column, syntax: Syntax) -> Column:
+    """Symbols of a language with braces or ends, functions not descended into.
+
+    A declaration waits for the brace that opens it, and is over at the next semicolon or closing brace without one.
+    """
+    closed_by_end = bool(syntax.ends)
+    opener = syntax.ends if closed_by_end else r"\{"
+    closer = r"\bend\b" if closed_by_end else r"\}"
+    token = "|".join([syntax.classes, syntax.functions, syntax.bare, opener, closer, syntax.over])
+    starts = lambda pattern: pattern.replace(r"(?m:^)", "^").replace("(?<!", "(?!^)(?<!")
+
+    def facts(t: Column) -> Column:
+        bare_name = _name(t, r"([#\p{L}_$][\p{L}\p{N}_$]*)[?!=]?\s*$")
+        member_name = _name(t, NAME + r"\s*(?:<[^<>(){};]*+>)?\s*\(")
+        declared = F.trim(t, F.lit(" \t\n"))
+        is_class = declared.rlike("^(?:" + syntax.classes.replace(r"(?m:^)[ \t]*", "").replace(r"\b", "", 1) + ")")
+        is_bare = declared.rlike("^(?:" + syntax.bare.replace(r"(?m:^)[ \t]*", "").replace(r"\b", "", 1) + ")")
+        is_opener = (declared == "{") if not closed_by_end else t.rlike("^(?:" + starts(syntax.ends) + ")$")
+        go = _name(t, r"^\s*func\s*\(\s*(?:[\p{L}\p{N}_]+\s+)?\*?\s*([\p{L}\p{N}_]+)")
+        class_name = _name(declared, "^" + syntax.classes.replace(r"(?m:^)[ \t]*", "").replace(r"\b", "", 1))
+        kind = (
+            F.when(declared == ("end" if closed_by_end else "}"), "close")
+            .when((declared == ";") | declared.startswith(")"), "over")
+            .when(is_opener, "block")
+            .when(is_class, "class")
+            .when(is_bare, "bare")
+            .otherwise("def")
+        )
+        function = member_name if syntax.members else F.coalesce(_name(t, NAME + r"[ \t]*\([ \t]*\)\s*$"), bare_name)
+        return F.struct(kind.alias("kind"), F.coalesce(F.when(is_class, class_name), function, bare_name).alias("name"), go.alias("of"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"))
+    zero = F.struct(
+        _empty(_STATE).alias("scopes"), nothing.alias("waits"), _empty(_SYMBOL).alias("run"), _empty(f"array<{_SYMBOL}>").alias("runs")
     )
-    return F.struct(cls.alias("cls"), fun.alias("fun"))
 
+    def step(acc: Column, t: Column) -> Column:
+        waits, scopes = acc["waits"], acc["scopes"]
+        same = (acc["run"].alias("run"), acc["runs"].alias("runs"))
+        top = F.when(F.size(scopes) > 0, F.slice(scopes, 1, F.greatest(F.size(scopes) - 1, F.lit(0)))).otherwise(scopes)
+        pushed = F.array_append(scopes, F.struct(F.coalesce(waits["kind"], F.lit("block")).alias("kind"), waits["name"].alias("name")))
+        block = F.struct(F.lit("block").alias("kind"), F.lit(None).cast("string").alias("name"))
+        opened = F.array_append(scopes, block) if closed_by_end else pushed
+        return (
+            F.when(t["kind"] == "close", F.struct(top.alias("scopes"), nothing.alias("waits"), *same))
+            .when(t["kind"] == "block", F.struct(opened.alias("scopes"), nothing.alias("waits"), *same))
+            .when(t["kind"] == "over", F.struct(scopes.alias("scopes"), nothing.alias("waits"), *same))
+            .otherwise(declared(acc, t, scopes))
+        )
 
-def symbol_array(content: Column, language: Column) -> Column:
-    """``array<struct<class_name, method_name>>``; functions are not descended into.
+    def declared(acc: Column, t: Column, scopes: Column) -> Column:
+        inside_function = F.exists(scopes, lambda s: s["kind"] == "def")
+        parent = F.try_element_at(F.filter(scopes, lambda s: s["kind"].isin("class", "bare")), F.lit(-1))["name"]
+        in_class = F.coalesce(F.try_element_at(scopes, F.lit(-1))["kind"].isin("class", "bare"), F.lit(False))
+        is_class, is_function = t["kind"] == "class", t["kind"] == "def"
+        declares = ~is_function | in_class if syntax.members else F.lit(True)
+        symbol = _symbol(
+            F.when(is_class, t["name"]).otherwise(F.coalesce(t["of"], parent)), F.when(is_function, t["name"])
+        )
+        run, runs = _emitted(acc, declares & (is_class | is_function) & ~inside_function, symbol)
+        scope = F.struct(F.when(declares, t["kind"]).otherwise("block").alias("kind"), t["name"].alias("name"))
+        if closed_by_end:
+            return F.struct(F.array_append(scopes, scope).alias("scopes"), nothing.alias("waits"), run, runs)
+        return F.struct(scopes.alias("scopes"), scope.alias("waits"), run, runs)
+
+    tokens = F.regexp_extract_all(blanked(content, syntax.lexer), F.lit(token), F.lit(0))
+    return F.aggregate(F.transform(tokens, facts), zero, step, lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"])))
+
+
+def _indented(content: Column) -> Column:
+    """Symbols of a language with indentation, functions not descended into.
 
     Each line closes the scopes that are not less indented than itself. Only lines that open
     a block can stand between a scope and a deeper declaration, so the others are left out.
-    For brace languages the depth of open braces plays the part of the indentation and
-    every line counts.
     """
-    brace = F.coalesce(language.isin(*BRACE_LANGUAGES), F.lit(False))
 
     def facts(line: Column) -> Column:
-        opened = F.char_length(line) - F.char_length(F.replace(line, F.lit("{"), F.lit("")))
-        closed = F.char_length(line) - F.char_length(F.replace(line, F.lit("}"), F.lit("")))
-        decl = _declaration(line, brace)
         return F.struct(
             (F.char_length(line) - F.char_length(F.ltrim(line, F.lit(" \t")))).alias("ind"),
-            F.when(brace, opened - closed).otherwise(0).alias("net"),
-            decl["cls"].alias("cls"),
-            decl["fun"].alias("fun"),
+            F.when(line.contains("class"), _name(line, PY_CLASS)).alias("cls"),
+            F.when(line.contains("def"), _name(line, PY_DEF)).alias("fun"),
         )
 
-    lines = F.when(brace, F.split(content, r"\n")).otherwise(
-        F.regexp_extract_all(content, F.lit(PY_BLOCK), F.lit(0))
-    )
-    zero = F.struct(
-        F.lit(0).alias("depth"),
-        F.array().cast(f"array<{_SCOPE}>").alias("scopes"),
-        F.array().cast(f"array<{_SYMBOL}>").alias("run"),
-        F.array().cast(f"array<array<{_SYMBOL}>>").alias("runs"),
-    )
+    zero = F.struct(_empty(_SCOPE).alias("scopes"), _empty(_SYMBOL).alias("run"), _empty(f"array<{_SYMBOL}>").alias("runs"))
 
     def step(acc: Column, l: Column) -> Column:
-        here = F.when(brace, acc["depth"]).otherwise(l["ind"])
-        kept = F.filter(acc["scopes"], lambda s: s["ind"] < here)
-        depth = (acc["depth"] + l["net"]).alias("depth")
-        plain = F.struct(depth, kept.alias("scopes"), acc["run"].alias("run"), acc["runs"].alias("runs"))
+        kept = F.filter(acc["scopes"], lambda s: s["ind"] < l["ind"])
+        plain = F.struct(kept.alias("scopes"), acc["run"].alias("run"), acc["runs"].alias("runs"))
         # Most lines declare nothing and only close scopes.
-        return F.when(l["cls"].isNull() & l["fun"].isNull(), plain).otherwise(
-            F.get(F.transform(F.array(kept), lambda k: declared(acc, l, here, k, depth)), F.lit(0))
-        )
+        return F.when(l["cls"].isNull() & l["fun"].isNull(), plain).otherwise(_bound(kept, lambda k: declared(acc, l, k)))
 
-    def declared(acc: Column, l: Column, here: Column, kept: Column, depth: Column) -> Column:
+    def declared(acc: Column, l: Column, kept: Column) -> Column:
         inside_function = F.exists(kept, lambda s: s["kind"] == "def")
         parent = F.try_element_at(F.filter(kept, lambda s: s["kind"] == "class"), F.lit(-1))["name"]
         is_class = l["cls"].isNotNull()
-        # In brace languages only what stands in a class body is a method.
-        declares = is_class | ~brace | parent.isNotNull()
-        emits = declares & ~inside_function
-        symbol = F.struct(
-            F.when(is_class, l["cls"]).otherwise(parent).alias("class_name"),
-            F.when(~is_class, l["fun"]).alias("method_name"),
-        )
+        run, runs = _emitted(acc, ~inside_function, _symbol(F.when(is_class, l["cls"]).otherwise(parent), F.when(~is_class, l["fun"])))
         scope = F.struct(
-            here.alias("ind"),
-            F.when(is_class, F.lit("class")).otherwise("def").alias("kind"),
-            F.coalesce(l["cls"], l["fun"]).alias("name"),
-        )
-        full = F.size(acc["run"]) >= _RUN
-        return F.struct(
-            depth,
-            F.when(declares, F.array_append(kept, scope)).otherwise(kept).alias("scopes"),
-            F.when(emits & full, F.array(symbol))
-            .when(emits, F.array_append(acc["run"], symbol))
-            .otherwise(acc["run"])
-            .alias("run"),
-            F.when(emits & full, F.array_append(acc["runs"], acc["run"])).otherwise(acc["runs"]).alias("runs"),
+            l["ind"].alias("ind"), F.when(is_class, F.lit("class")).otherwise("def").alias("kind"), F.coalesce(l["cls"], l["fun"]).alias("name")
         )
+        return F.struct(F.array_append(kept, scope).alias("scopes"), run, runs)
 
-    return F.aggregate(
-        F.transform(lines, facts),
-        zero,
-        step,
-        lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"])),
-    )
+    lines = F.regexp_extract_all(blanked(content, "python"), F.lit(PY_BLOCK), F.lit(0))
+    return F.aggregate(F.transform(lines, facts), zero, step, lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"])))
+
+
+def symbol_array(content: Column, language: Column) -> Column:
+    """``array<struct<class_name, method_name>>``; empty for languages without a known syntax."""
+    cases = F.when(language.isin(*INDENTED), _indented(content))
+    grouped: dict[Syntax, list[str]] = {}
+    for name, syntax in SYNTAX.items():
+        grouped.setdefault(syntax, []).append(name)
+    cases = reduce(lambda c, item: c.when(language.isin(*item[1]), _scoped(content, item[0])), grouped.items(), cases)
+    return cases.otherwise(_empty(_SYMBOL))
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """One row per class ``(class_name, null)`` and per method ``(class or null, method_name)``."""
+    """One row per class ``(class_name, null)`` and per method ``(class or null, method_name)``.
+
+    Languages whose functions have no keyword (Java, C#, the JavaScript family) give the members of classes only.
+    """
     language = detect_language(F.col("file_path"))
-    code = files.filter(language.isNotNull() & (language != "text only"))
+    code = files.filter(language.isin(*INDENTED, *SYNTAX))
     keys = [c for c in ("namespace", "file_path") if c in files.columns]
     return explode_computed(code, keys, symbol_array(F.col("content"), language), "s").select(*keys, "s.*")

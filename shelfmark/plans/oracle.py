@@ -6,7 +6,7 @@ pieces shared by several queries; ``CTES`` maps a piece to the pieces it reads a
 
 from __future__ import annotations
 
-from ..functions.languages import LANGUAGE_BY_EXTENSION
+from ..functions.languages import LANGUAGE_BY_EXTENSION, LANGUAGE_BY_NAME
 from ..functions.tokens import PIECE, TERM, TOKEN
 from ..functions.vectors import DIMENSIONS, FAMILY_DIMENSIONS, MODEL_DIMENSIONS
 from ..operators import context
@@ -69,11 +69,13 @@ def matches(rules) -> str:
 
 
 VISIBLE = "NOT regexp_matches(file_path, '(^|/)\\.')"
-LANGUAGE = (
-    "CASE " + raw_ext("file_path") + " "
-    + " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in LANGUAGE_BY_EXTENSION.items())
-    + " END"
-)
+
+
+def _case(value: str, table: dict[str, str]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+LANGUAGE = f"coalesce({_case(file_name('file_path'), LANGUAGE_BY_NAME)}, {_case(raw_ext('file_path'), LANGUAGE_BY_EXTENSION)})"
 
 CTES: dict[str, tuple[list[str], str]] = {}
 
@@ -165,6 +167,14 @@ cte(
  UNION ALL SELECT DISTINCT 'acme/code', 'acme/code/o'||k||'.py', NULL, 'helper_'||k FROM code_keys WHERE k % 2 = 0""",
     "code_keys",
 )
+_POLYGLOT_PATH = f"'acme/code/p'||k||({_list(p[0] for p in views.POLYGLOT)})[1 + k % {len(views.POLYGLOT)}]"
+cte(
+    "polyglot_symbols",
+    f"""SELECT DISTINCT {_POLYGLOT_PATH} AS file_path, 'Order'||k AS class_name, NULL AS method_name FROM code_keys
+ UNION ALL SELECT {_POLYGLOT_PATH}, 'Order'||k, 'line_'||n FROM code_keys
+ UNION ALL SELECT DISTINCT {_POLYGLOT_PATH}, NULL, 'helper_'||k FROM code_keys WHERE k % {len(views.POLYGLOT)} >= {views.MEMBERS_ONLY}""",
+    "code_keys",
+)
 cte(
     "qrels_v",
     "SELECT b.item_id AS query_id, d.doc_id, 1 AS relevance FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
@@ -268,26 +278,33 @@ cte(
 
 
 def _chunk_code(prefix: str, source: str, limit: int) -> None:
-    """Blocks at the first and second indentation level, what is still too long as text, then the merge."""
+    """Blocks by indentation at any depth, what is still too long as text, then the merge."""
     _lines(prefix, source, limit)
     cte(
-        f"{prefix}_first",
-        f"""SELECT *, sum(CASE WHEN ind = m THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY i) AS b1 FROM (SELECT *,
- min(ind) OVER (PARTITION BY file_path) AS m, sum(c) OVER (PARTITION BY file_path) AS whole FROM {prefix}_lines)""",
+        f"{prefix}_ends",
+        f"""SELECT *, coalesce((SELECT min(y.i) FROM {prefix}_lines y WHERE y.file_path = x.file_path AND y.i > x.i AND y.ind <= x.ind), 1000000000) AS e
+ FROM {prefix}_lines x WHERE ind IS NOT NULL""",
         f"{prefix}_lines",
     )
+    # A line belongs to the outermost block around it that fits, or else is a piece by itself.
     cte(
-        f"{prefix}_second",
-        f"""SELECT *, sum(CASE WHEN ind = m2 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path, b1 ORDER BY i) AS b2
- FROM (SELECT *, sum(c) OVER (PARTITION BY file_path, b1) AS block,
- min(CASE WHEN ind > m THEN ind END) OVER (PARTITION BY file_path, b1) AS m2 FROM {prefix}_first)""",
-        f"{prefix}_first",
+        f"{prefix}_sums",
+        f"""SELECT x.file_path, x.i, x.e, (SELECT sum(y.c) FROM {prefix}_lines y WHERE y.file_path = x.file_path AND y.i >= x.i AND y.i < x.e) AS block
+ FROM {prefix}_ends x""",
+        f"{prefix}_ends",
+    )
+    cte(
+        f"{prefix}_keys",
+        f"""SELECT x.file_path, x.i, coalesce(min(a.i), x.i) AS k FROM {prefix}_ends x
+ LEFT JOIN {prefix}_sums a ON a.file_path = x.file_path AND a.i <= x.i AND x.i < a.e AND a.block <= x.b GROUP BY x.file_path, x.i""",
+        f"{prefix}_sums",
     )
     cte(
         f"{prefix}_blocks",
-        f"""SELECT *, sum(c) OVER (PARTITION BY file_path, k1, k2) AS n FROM (SELECT *, CASE WHEN whole <= b THEN 0 ELSE b1 END AS k1,
- CASE WHEN whole <= b OR block <= b THEN 0 ELSE b2 END AS k2 FROM {prefix}_second)""",
-        f"{prefix}_second",
+        f"""SELECT *, sum(c) OVER (PARTITION BY file_path, k1, k2) AS n FROM (SELECT *, 0 AS k2,
+ CASE WHEN whole <= b THEN 0 ELSE coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY i), 0) END AS k1
+ FROM (SELECT l.*, sum(c) OVER (PARTITION BY file_path) AS whole, k FROM {prefix}_lines l LEFT JOIN {prefix}_keys USING (file_path, i)))""",
+        f"{prefix}_keys",
     )
     cte(f"{prefix}_long", f"SELECT namespace, file_path, k1, k2, b, i, t FROM {prefix}_blocks WHERE n > b", f"{prefix}_blocks")
     _packed(f"{prefix}_rest", f"{prefix}_long", ["file_path", "k1", "k2"])
@@ -776,7 +793,12 @@ def oracle_sql() -> dict[str, str]:
         "chunk_any": compose(
             "SELECT file_path, chunker, start_pos, end_pos, num_tokens, text FROM any_chunks", "any_chunks"
         ),
-        "extract_symbols": compose("SELECT file_path, class_name, method_name FROM symbols_v", "symbols_v"),
+        "extract_symbols": compose(
+            """SELECT file_path, class_name, method_name FROM symbols_v
+ UNION ALL SELECT file_path, class_name, method_name FROM polyglot_symbols""",
+            "symbols_v",
+            "polyglot_symbols",
+        ),
         "path_ancestors": compose(f"SELECT DISTINCT * FROM ({prefixes('files_v', 'file_path')})", "files_v"),
         # E
         "join_batch_results": "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings",

@@ -525,7 +525,9 @@ def chunk_any(spark, sf_dir):
 
 @query
 def extract_symbols(spark, sf_dir):
-    return _symbols(spark, sf_dir).select("file_path", "class_name", "method_name")
+    """Symbols of all code, by indentation, braces and ends."""
+    found = _symbols(spark, sf_dir).unionByName(symbol_ops.extract_symbols(views.polyglot_v(spark, sf_dir)))
+    return found.select("file_path", "class_name", "method_name")
 
 
 @query

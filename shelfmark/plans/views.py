@@ -132,6 +132,91 @@ def code_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The languages of ``polyglot_v`` by order number: extension, what stands before the members, a member, what
+#: stands behind them. ``{k}`` is the order, ``{n}`` the line; comments and strings hold what is no code.
+POLYGLOT = [
+    (
+        ".java",
+        "// class Fake{k} {\npublic class Order{k} extends Base {\n    String s = \"} class Wrong {\";\n",
+        "    public int line_{n}(int a, List<T> b) throws E {\n        if (a > 0) { return call(a); }\n        return {n};\n    }\n",
+        "}\n",
+    ),
+    (
+        ".cs",
+        "namespace N\n{\n    /* class Fake{k} { */\n    public class Order{k} : Base\n    {\n        string p = @\"C:\\{\";\n",
+        "        public int line_{n}<T>(T a) where T : new()\n        {\n            while (a) { }\n            return {n};\n        }\n",
+        "    }\n}\n",
+    ),
+    (
+        ".kt",
+        "open class Order{k}(val x: Int) : Base(x) {\n    val s = \"class Wrong {\"\n",
+        "    fun line_{n}(a: Int): Int {\n        fun nested() = 1\n        return {n}\n    }\n",
+        "}\nfun helper_{k}(a: Int) = a\n",
+    ),
+    (
+        ".scala",
+        "// def none = {\nclass Order{k}(x: Int) extends Base {\n",
+        "  def line_{n}(a: Int): Int = {\n    def nested = 2\n    {n}\n  }\n",
+        "}\ndef helper_{k}(a: Int) = a\n",
+    ),
+    (
+        ".php",
+        "<?php\n# class Fake{k} {\nclass Order{k} extends Base {\n",
+        "    public function line_{n}($a) {\n        return function($x) { return '}'; };\n    }\n",
+        "}\nfunction helper_{k}() { return 1; }\n",
+    ),
+    (
+        ".swift",
+        "class Order{k}: Base {\n    let s = \"func none() {\"\n",
+        "    func line_{n}(a: Int) -> Int {\n        func nested() { }\n        return {n}\n    }\n",
+        "}\nfunc helper_{k}() { }\n",
+    ),
+    (
+        ".go",
+        "package main\ntype Order{k} struct {\n    x int\n}\n",
+        "func (o *Order{k}) line_{n}(a int) int {\n    s := `} func none() {`\n    return {n}\n}\n",
+        "func helper_{k}() { }\n",
+    ),
+    (
+        ".rs",
+        "pub struct Order{k} { x: i32 }\nimpl<'a> Order{k} {\n",
+        "    pub fn line_{n}(&'a self) -> i32 {\n        let c = '{'; /* fn none() { */\n        {n}\n    }\n",
+        "}\nfn helper_{k}() { }\n",
+    ),
+    (
+        ".rb",
+        "# class Fake{k}\nclass Order{k} < Base\n",
+        "  def line_{n}(a)\n    if a\n      b.each do |x| puts 'end' end\n    end\n    {n}\n  end\n",
+        "end\ndef helper_{k}\n  1\nend\n",
+    ),
+]
+#: Languages of it without functions outside of classes.
+MEMBERS_ONLY = 2
+
+
+def polyglot_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per order in one of several languages, one method per line number."""
+    order = F.col("l_orderkey")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_linenumber")
+        .repartition(partitions, "l_orderkey")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_set("l_linenumber")).alias("lines"))
+    )
+    put = lambda text, key, value: F.replace(text, F.lit(key), value.cast("string"))
+    which = (order % len(POLYGLOT)).cast("int")
+    of = lambda i: F.get(F.array(*[F.lit(p[i]) for p in POLYGLOT]), which)
+    members = F.array_join(F.transform("lines", lambda n: put(of(2), "{n}", n)), "")
+    return keys.select(
+        "l_orderkey",
+        F.lit(f"{OWNER}/code").alias("namespace"),
+        F.concat(F.lit(f"{OWNER}/code/p"), order.cast("string"), of(0)).alias("file_path"),
+        put(F.concat(of(1), members, of(3)), "{k}", order).alias("content"),
+    )
+
+
 def notebooks_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notebook form of the code: a code cell per line of it, markdown between, both shapes of ``source``."""
     files = code_v(spark, sf_dir)

@@ -1,8 +1,11 @@
 """Chunkers: limits, offsets, and that no visible character is lost."""
 
 import json
+import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +212,147 @@ def test_symbols_of_a_file_with_very_many(spark):
     assert [r.method_name for r in rows] == [None] + [f"m{i}" for i in range(5000)]
 
 
+def test_symbols_of_other_languages(spark):
+    sources = {
+        "a.java": """// class Fake {
+public class Order1 extends Base {
+    private String s = "} class Wrong {"; char c = '{';
+    Order1(int x) { this.x = x; }
+    public int line_1(int a, List<String> b) throws Exception {
+        if (a > 0) { return foo(a); }
+        new Runnable() { public void run() { } };
+    }
+    static class Inner { void f() { } }
+}""",
+        "a.kt": """open class A(val x: Int) : Base(x) {
+    private fun <T> two(b: T) = b
+    companion object { fun make(): Int { fun nested() {} } }
+}
+fun String.ext() { }""",
+        "a.go": "type T struct {\n x int\n}\nfunc (o *T) m(a int) int { s := `} func no() {` }\nfunc h[K any]() { }",
+        "a.rs": "struct U;\nimpl<'a> Show for U { fn fmt(&'a self, c: char) { let y = '{'; } }\nfn h() { }",
+        "a.rb": "# class Fake\nmodule M\n  class O < B\n    def one(a)\n      if a then x end\n      b.each do |x| y end\n    end\n    def self.two; end\n  end\nend\ndef h?\nend",
+        "a.sh": "# foo() {\nbuild() {\n  inner() { :; }\n}\nfunction other { echo '}'; }",
+        "a.py": 'def f(x="""\nclass B:\n    def no(self): pass\n"""):\n    """\nclass C: pass\n    """\nclass D:\n    # def z(self):\n    def h(self): pass',
+        "a.ts": 'class A<T> { // class Q {\n  x = `${"class Z {"}`;\n  get v(): Map<string, T> { return 1; }\n  #p(a = f(1)) { if (a) { b(); } }\n}\nconst c = class extends D { };',
+        "Rakefile": "def task_one\nend",
+        "a.md": "class A:\n    def f(self): pass",
+    }
+    rows = symbols.extract_symbols(files(spark, list(sources.items()))).collect()
+    found = {path: [(r.class_name, r.method_name) for r in rows if r.file_path == path] for path in sources}
+    assert found == {
+        "a.java": [("Order1", None), ("Order1", "Order1"), ("Order1", "line_1"), ("Inner", None), ("Inner", "f")],
+        "a.kt": [("A", None), ("A", "two"), ("A", "make"), (None, "ext")],
+        "a.go": [("T", None), ("T", "m"), (None, "h")],
+        "a.rs": [("U", None), ("U", "fmt"), (None, "h")],
+        "a.rb": [("O", None), ("O", "one"), ("O", "two"), (None, "h")],
+        "a.sh": [(None, "build"), (None, "other")],
+        "a.py": [(None, "f"), ("D", None), ("D", "h")],
+        "a.ts": [("A", None), ("A", "v"), ("A", "#p")],
+        "Rakefile": [(None, "task_one")],
+        "a.md": [],
+    }
+
+
+def test_long_strings_and_many_escapes_do_not_overflow(spark):
+    content = 'class A {\n  s = "' + '\\\\\\"x' * 50_000 + '";\n  t = `' + "\\`}" * 50_000 + "`;\n  f(" + "a, " * 20_000 + "b) { }\n}\n/*" + "*" * 100_000
+    rows = symbols.extract_symbols(files(spark, [("big.js", content)])).collect()
+    assert [(r.class_name, r.method_name) for r in rows] == [("A", None), ("A", "f")]
+
+
+def brute_blocks(tokens, indent, limit):
+    """Recursive definition: a block that is too long is its first line and the blocks below it."""
+    lines = [i for i, d in enumerate(indent) if d > -2]
+    bounds = [*lines, len(tokens)]
+
+    def cut(first, last):  # lines first..last-1
+        out, k = [], first
+        while k < last:
+            end = k + 1
+            if indent[lines[k]] >= 0:
+                while end < last and (indent[lines[end]] < 0 or indent[lines[end]] > indent[lines[k]]):
+                    end += 1
+            a, b = bounds[k], bounds[end]
+            own = k + 1
+            while own < end and indent[lines[own]] < 0:
+                own += 1
+            if indent[lines[k]] < 0:
+                while k < last and indent[lines[k]] < 0:
+                    k += 1
+                out.append((a, bounds[k]))
+                continue
+            if sum(tokens[a:b]) <= limit:
+                out.append((a, b))
+            else:
+                head = (a, bounds[own])
+                if sum(tokens[slice(*head)]) <= limit:
+                    out.append(head)
+                else:
+                    out += brute_packed(tokens, *head, limit)
+                out += cut(own, end)
+            k = end
+        return out
+
+    return [(0, len(tokens))] if sum(tokens) <= limit else cut(0, len(lines))
+
+
+def brute_packed(tokens, a, b, limit):
+    out, open_ = [], None
+    for i in range(a, b):
+        if open_ is not None and (tokens[i] == 0 or sum(tokens[open_:i]) + tokens[i] <= limit):
+            continue
+        if tokens[i] == 0:
+            continue
+        if open_ is not None:
+            out.append((open_, i))
+        open_ = i
+    return out + ([(open_, b)] if open_ is not None else [])
+
+
+def test_runs_and_blocks_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randint(1, 40)
+        tokens = [rng.choice([0, 0, 1, 2, 5, 9]) for _ in range(n)]
+        indent = [-1 if t == 0 else rng.choice([0, 2, 4, 6, 8, 10, -2]) for t in tokens]
+        indent[0] = max(indent[0], -1)
+        for i in range(1, n):  # a blank line has no continuation
+            if indent[i] == -2 and indent[i - 1] == -1:
+                indent[i] = 4
+        limit = rng.choice([9, 12, 25])
+        assert list(chunking.packed(np.array(tokens), limit)) == brute_packed(tokens, 0, n, limit)
+        drop = lambda runs: [r for r in runs if sum(tokens[slice(*r)])]
+        assert drop(chunking.blocks(np.array(tokens), np.array(indent), limit)) == drop(brute_blocks(tokens, indent, limit))
+
+
+def test_code_is_cut_at_any_depth(spark):
+    def nested(depth, at=0):
+        head = "    " * at + f"def level_{at}(a, b):\n"
+        body = "".join("    " * (at + 1) + f"value_{i} = call(a, b, {i})\n" for i in range(6))
+        return head + body + (nested(depth - 1, at + 1) * 2 if depth else "")
+
+    content = nested(5)
+    rows = chunking.chunk_code(files(spark, [("deep.py", content)]), 60 + 50).orderBy("start_pos").collect()
+    assert "".join(content[r.start_pos : r.end_pos].strip() for r in rows).replace(" ", "").replace("\n", "") == content.replace(" ", "").replace("\n", "")
+    starts = [content[r.start_pos :].splitlines()[0].strip() for r in rows]
+    # Cuts are in front of a definition, or of a line of a body that is too long by itself, but never inside a line.
+    assert all(content[r.start_pos - 1 : r.start_pos] in ("", "\n", " ") for r in rows)
+    assert sum(s.startswith("def level_5") for s in starts) >= 8 and max(r.num_tokens for r in rows) <= 110
+
+
+def test_time_a_line_does_not_grow():
+    def seconds(n):
+        tokens, indent = np.full(n, 7), np.tile([0, 4, 8, 8, 4, 8, 8], n // 7 + 1)[:n]
+        start = time.perf_counter()
+        runs = list(chunking.blocks(tokens, indent, 60))
+        list(chunking.merged(runs, tokens, 5, 200))
+        list(chunking.packed(tokens, 60))
+        return (time.perf_counter() - start) / n
+
+    seconds(10_000)
+    assert seconds(1_000_000) < 5 * min(seconds(10_000) for _ in range(3))
+
+
 def test_dedup_keeps_issue_chunks_and_namespaces(spark):
     rows = [
         ("o/r", "a.py_0_5", "a.py", 0, 5),
