@@ -227,22 +227,45 @@ def _indent_of(line: Column) -> Column:
     )
 
 
+_CELLS = "array<struct<cell_type:string,source:{0},input:{0}>>"
+_NOTEBOOK = f"cells {_CELLS}, worksheets array<struct<cells:{_CELLS}>>"
+
+
+def _cells(content: Column, source: str) -> Column:
+    """The cells of a notebook, those of all worksheets in the older format; null where it is none."""
+    book = F.from_json(content, _NOTEBOOK.format(source))
+    return F.coalesce(book["cells"], F.flatten(F.transform(book["worksheets"], lambda w: F.coalesce(w["cells"], F.array()))))
+
+
 def notebook_code(content: Column) -> Column:
-    """The code cells of a notebook joined by newlines; ``source`` may be a string or an array of lines."""
-    as_text = F.from_json(content, "cells array<struct<cell_type:string,source:string>>")["cells"]
-    as_list = F.from_json(content, "cells array<struct<cell_type:string,source:array<string>>>")["cells"]
+    """The code cells of a notebook joined by newlines; the code may be a string or an array of lines.
+
+    Null where the content is no notebook; see :func:`notebook_errors`.
+    """
     cells = F.zip_with(
-        as_text,
-        as_list,
+        _cells(content, "string"),
+        _cells(content, "array<string>"),
         lambda t, l: F.struct(
             t["cell_type"].alias("kind"),
-            F.coalesce(F.array_join(l["source"], ""), t["source"]).alias("code"),
+            F.coalesce(
+                F.array_join(l["source"], ""), t["source"], F.array_join(l["input"], ""), t["input"], F.lit("")
+            ).alias("code"),
         ),
     )
     code = F.filter(cells, lambda c: c["kind"] == "code")
     return F.array_join(F.transform(code, lambda c: c["code"]), "\n")
 
 
+def notebook_errors(files: DataFrame) -> DataFrame:
+    """``(namespace, file_path, error)`` of the notebooks that cannot be read, which the chunkers leave out."""
+    keys = [c for c in ("namespace", "file_path") if c in files.columns]
+    books = files.where(route_chunker(F.col("file_path")) == "notebook")
+    reason = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty").when(
+        F.from_json("content", "cells string, worksheets string").isNull() | ~F.trim("content").startswith("{"), "no JSON object"
+    )
+    return books.where(_cells(F.col("content"), "string").isNull()).select(*keys, F.coalesce(reason, F.lit("no cells")).alias("error"))
+
+
 def _chunk(files: DataFrame, max_tokens: int, route: Column) -> DataFrame:
     """All chunkers in one pass over the files: which one runs is a CASE inside the row."""
     keys = [*_keys(files), "chunker"]

@@ -5,12 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import hashed_embedding
+from .batching import next_cuts
 
 ATTEMPTS = 6
 #: Texts in, one vector per text out.
@@ -21,13 +23,15 @@ def embed_chunks(
     chunks: DataFrame,
     embedder: Embedder | None = None,
     batch_size: int = 128,
+    max_tokens: int | None = None,
     attempts: int = ATTEMPTS,
     first_pause: float = 1.0,
 ) -> DataFrame:
     """Adds ``embedding`` (and ``error`` when a model is called). No shuffle either way.
 
-    A model is called with ``batch_size`` texts at a time. A call that keeps failing gives
-    rows with a null vector and the error, so one bad batch does not end the job.
+    A model is called with at most ``batch_size`` texts and ``max_tokens`` tokens (``num_tokens``) at a time, a
+    longer text by itself. A call that keeps failing gives rows with a null vector and the error, so one
+    bad batch does not end the job.
     """
     if embedder is None:
         return chunks.withColumn("embedding", hashed_embedding(F.col("text")).cast("array<float>"))
@@ -53,8 +57,12 @@ def embed_chunks(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size].copy()
+            cost = frame["num_tokens"].fillna(0).to_numpy(dtype="int64") if max_tokens is not None else np.zeros(len(frame), dtype="int64")
+            cuts = next_cuts(cost, batch_size, max_tokens or 0).tolist()
+            at = 0
+            while at < len(frame):
+                begin, at = at, cuts[at]
+                part = frame.iloc[begin:at].copy()
                 vectors, error = call(part["text"].tolist())
                 part["embedding"] = pd.Series(vectors, index=part.index, dtype=object)
                 part["error"] = pd.Series([error] * len(part), index=part.index, dtype=object)

@@ -394,17 +394,17 @@ cte(
 )
 cte(
     "budget_rows",
-    f"""SELECT *, row_number() OVER (PARTITION BY namespace, bk ORDER BY file_path, start_pos) AS u
- FROM (SELECT *, {CHUNK_ID} AS chunk_id, {bucket('file_path', q.BUCKETS)} AS bk FROM chunks)""",
+    f"""SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY {bucket('file_path', 4096)}, file_path, start_pos) AS u
+ FROM (SELECT *, {CHUNK_ID} AS chunk_id FROM chunks)""",
     "chunks",
 )
 _OPEN = f"(r.pos + 2 <= {q.BATCH} AND r.cur + x.num_tokens <= {q.BATCH_TOKENS})"
 cte(
     "budget_packed",
-    f"""SELECT namespace, bk, u, chunk_id, 0::BIGINT AS no, 0::BIGINT AS pos, num_tokens AS cur FROM budget_rows WHERE u = 1 UNION ALL
- SELECT x.namespace, x.bk, x.u, x.chunk_id, CASE WHEN {_OPEN} THEN r.no ELSE r.no + 1 END,
+    f"""SELECT namespace, u, chunk_id, 0::BIGINT AS no, 0::BIGINT AS pos, num_tokens AS cur FROM budget_rows WHERE u = 1 UNION ALL
+ SELECT x.namespace, x.u, x.chunk_id, CASE WHEN {_OPEN} THEN r.no ELSE r.no + 1 END,
  CASE WHEN {_OPEN} THEN r.pos + 1 ELSE 0 END, CASE WHEN {_OPEN} THEN r.cur ELSE 0 END + x.num_tokens
- FROM budget_packed r JOIN budget_rows x ON x.namespace = r.namespace AND x.bk = r.bk AND x.u = r.u + 1""",
+ FROM budget_packed r JOIN budget_rows x ON x.namespace = r.namespace AND x.u = r.u + 1""",
     "budget_rows",
 )
 
@@ -869,7 +869,7 @@ def oracle_sql() -> dict[str, str]:
         # G
         "assign_batches": compose("SELECT chunk_id, batch_id, batch_no, pos FROM batched", "batched"),
         "token_budget_batches": compose(
-            "SELECT chunk_id, namespace||'/'||bk||'/'||no AS batch_id, pos FROM budget_packed", "budget_packed"
+            "SELECT chunk_id, namespace||'/'||no AS batch_id, pos FROM budget_packed", "budget_packed"
         ),
         "rate_windows": compose(
             f"""SELECT batch_id, n_tokens, tokens_so_far, requests_so_far,
@@ -916,9 +916,6 @@ def oracle_sql() -> dict[str, str]:
             """SELECT id AS doc_id, unnest(range(len(v))) AS dim, round(unnest(list_transform(v, lambda x: x::FLOAT))::DOUBLE, 6) AS value FROM doc_vectors""",
             "doc_vectors",
         ),
-        "embed_retry": """SELECT doc_id, CASE WHEN NOT contains(text, chr(10)||chr(10)) THEN length(text) END AS n_chars,
- CASE WHEN contains(text, chr(10)||chr(10)) THEN 'ValueError: blank line' END AS error FROM documents""",
-        # K
         "retrieve_dense": compose(
             "SELECT query_id, doc_id, score, rank, label::BIGINT AS label FROM cosine JOIN embeddings ON vec_id = doc_id", "cosine"
         ),

@@ -40,7 +40,6 @@ TEXT_TOKENS = 200
 CODE_TOKENS = 90
 ISSUE_TOKENS = 150
 BATCH = 16
-BUCKETS = 4
 BATCH_TOKENS = 3000
 DEPTH = 25
 K = 10
@@ -681,7 +680,7 @@ def assign_batches(spark, sf_dir):
 
 @query
 def token_budget_batches(spark, sf_dir):
-    packed = batching.token_budget_batches(_text_chunks(spark, sf_dir), BATCH, BATCH_TOKENS, BUCKETS)
+    packed = batching.token_budget_batches(_text_chunks(spark, sf_dir), BATCH, BATCH_TOKENS)
     return packed.select("chunk_id", "batch_id", "pos")
 
 
@@ -838,26 +837,6 @@ def embed_chunks(spark, sf_dir):
     )
 
 
-class _FlakyEmbedder:
-    """Fails for every batch that holds a text with a double newline; else counts words and characters."""
-
-    def __call__(self, texts):
-        if any("\n\n" in t for t in texts):
-            raise ValueError("blank line")
-        return [[float(len(t)), float(t.count(" "))] for t in texts]
-
-
-@query
-def embed_retry(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    embedded = embedding.embed_chunks(docs, _FlakyEmbedder(), batch_size=1, attempts=2, first_pause=0.0)
-    good, errors = embedding.split_errors(stored(embedded, "embedded"))
-    n = F.get("embedding", F.lit(0)).cast("long")
-    return good.select("doc_id", n.alias("n_chars"), F.lit(None).cast("string").alias("error")).unionByName(
-        errors.select("doc_id", F.lit(None).cast("long").alias("n_chars"), "error")
-    )
-
-
 # --- K. retrieval compositions ----------------------------------------------------------
 
 

@@ -212,6 +212,18 @@ def test_symbols_of_a_file_with_very_many(spark):
     assert [r.method_name for r in rows] == [None] + [f"m{i}" for i in range(5000)]
 
 
+def test_older_and_broken_notebooks(spark):
+    old = {"worksheets": [{"cells": [{"cell_type": "code", "input": "a = 1"}, {"cell_type": "markdown", "source": "x"}]}, {"cells": [{"cell_type": "code", "input": ["b = 2\n", "c = 3"]}]}]}
+    rows = [("old.ipynb", json.dumps(old)), ("cut.ipynb", '{"cells": [{"cell_ty'), ("none.ipynb", "[1, 2]"), ("other.ipynb", '{"a": 1}'), ("empty.ipynb", " "), ("null.ipynb", None), ("a.py", "x")]
+    df = files(spark, rows)
+    code = {r.file_path: r.code for r in df.select("file_path", chunking.notebook_code(F.col("content")).alias("code")).collect()}
+    assert code["old.ipynb"] == "a = 1\nb = 2\nc = 3" and code["none.ipynb"] is None
+    errors = {r.file_path: r.error for r in chunking.notebook_errors(df).collect()}
+    assert set(errors) == {"cut.ipynb", "none.ipynb", "other.ipynb", "empty.ipynb", "null.ipynb"}
+    assert errors["other.ipynb"] == "no cells" and errors["empty.ipynb"] == errors["null.ipynb"] == "empty" and errors["none.ipynb"] == "no JSON object"
+    assert chunking.chunk_any(df, MAX).count() == 2
+
+
 def test_symbols_of_other_languages(spark):
     sources = {
         "a.java": """// class Fake {

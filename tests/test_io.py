@@ -155,6 +155,14 @@ def test_embedder_errors_become_rows(spark):
     assert bad.first().error == "RuntimeError: no"
 
 
+def test_calls_of_an_embedder_hold_both_limits(spark):
+    costs = [5, 5, 90, 5, 5, 5, 200, 1, 1, 1, 1, 1]
+    df = spark.createDataFrame([(i, "x", c) for i, c in enumerate(costs)], "id long, text string, num_tokens int").coalesce(1)
+    sizes = lambda texts: [[float(len(texts))] for _ in texts]
+    found = embedding.embed_chunks(df, sizes, batch_size=4, max_tokens=100).collect()
+    assert [int(r.embedding[0]) for r in sorted(found)] == [3, 3, 3, 3, 3, 3, 1, 4, 4, 4, 4, 1]
+
+
 def test_index_versions_and_stream(spark, sf_dir, tmp_path):
     e = views.table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("n"), (F.col("label") % 2).cast("string")).alias("namespace"),

@@ -127,17 +127,21 @@ def test_batches_are_dense(spark):
         assert mine == [(i // 32, i % 32) for i in range(len(mine))]
 
 
-@pytest.mark.parametrize("buckets", [3, batching.PACKING_BUCKETS])
-def test_budget_batches_hold_both_limits(spark, buckets):
-    chunks = chunk_rows(spark, 500, ["a", "a", "b"])
-    rows = batching.token_budget_batches(chunks, 10, 120, buckets).collect()
+@pytest.mark.parametrize("buckets, block_rows, limits", [(3, 1, (10, 120)), (1, 16, (10, 60)), (batching.BUCKETS, 64, (3, 1000)), (2, batching.BLOCK_ROWS, (7, 90))])
+def test_budget_batches_are_those_of_a_greedy_walk(spark, buckets, block_rows, limits):
+    chunks = chunk_rows(spark, 500, ["a", "a", "b"]).withColumn("text", F.lit("t"))
+    rows = batching.token_budget_batches(chunks, *limits, buckets, block_rows=block_rows).collect()
     assert len(rows) == 500
-    batches = {}
-    for r in rows:
-        batches.setdefault(r.batch_id, []).append(r)
-    for batch in batches.values():
-        assert len(batch) <= 10 and sum(r.num_tokens for r in batch) <= 120
-        assert sorted(r.pos for r in batch) == list(range(len(batch)))
+    bucket = {r.file_path: r.b for r in chunks.select("file_path", batching.bucket_of(F.col("file_path"), buckets).alias("b")).distinct().collect()}
+    for namespace in ("a", "b"):
+        mine = sorted((bucket[r.file_path], r.file_path, r.start_pos, r.num_tokens, r.batch_no, r.pos) for r in rows if r.namespace == namespace)
+        no, count, tokens = 0, 0, 0
+        for *_, cost, batch_no, pos in mine:
+            if count and (count == limits[0] or tokens + cost > limits[1]):
+                no, count, tokens = no + 1, 0, 0
+            assert (batch_no, pos) == (no, count)
+            count, tokens = count + 1, tokens + cost
+    assert batching.token_budget_batches(chunks.where("namespace = 'x'"), *limits).count() == 0
 
 
 @pytest.mark.parametrize("tokens, requests", [(900, 7), (900, 1), (97, 3), (100_000, 5)])
