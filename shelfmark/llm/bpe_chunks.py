@@ -12,6 +12,7 @@ chunks; a document where they do not is encoded again as a whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -41,6 +42,13 @@ FILTER_BITS = 26
 PARTS = 4096
 #: Digests of chunks a task remembers to have sent.
 REMEMBERED = 1_000_000
+#: What stands between blanks is known from batch to batch until there are so many of them, or so many bytes.
+UNITS, UNIT_BYTES = 300_000, 8_000_000
+#: Units that are put into one text for the library.
+GLUED = 128
+#: Bytes of characters that no step of a tokenizer makes longer or shorter: visible ASCII without the sign that special tokens
+#: begin with, blanks, and the letters of Latin-1. Their lead byte is the only one here, so no other bytes can follow it.
+_KEPT = bytes([9, 10, 32, *(b for b in range(33, 127) if b != ord("<")), 0xC3, *range(0x80, 0xC0)])
 
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=4).digest(), "little") for i in range(256)], dtype=np.uint32)
 
@@ -61,19 +69,25 @@ class Codec:
         self.own.no_truncation()
         self.own.no_padding()
         self.by_unit = cuttable(model)
+        self._forget()
         # Without a decoder the library puts blanks between the tokens.
+        names = {i: t for t, i in self.own.get_vocab(with_added_tokens=True).items()}
+        names = [names.get(i, "") for i in range(max(names) + 1)]
         self.tokens = None
         if self.own.decoder is None:
-            names = {i: t for t, i in self.own.get_vocab(with_added_tokens=True).items()}
-            names = [f"{names.get(i, '')} ".encode() for i in range(max(names) + 1)]
-            self.tokens = pa.array(names, pa.large_binary())
-            self.sizes = np.array([len(t) for t in names], dtype=np.int64)
+            printed = [f"{t} ".encode() for t in names]
+            self.tokens = pa.array(printed, pa.large_binary())
+            self.sizes = np.array([len(t) for t in printed], dtype=np.int64)
+        # A byte is a character of a token where the tokenizer works on bytes.
+        on_bytes = '"ByteLevel"' in json.dumps(json.loads(model).get("pre_tokenizer"))
+        suffix = json.loads(model)["model"].get("end_of_word_suffix") or ""
+        self.spelled = np.array([len(t.removesuffix(suffix)) for t in names], dtype=np.int64) if on_bytes else None
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, ends)``: the ids of all texts, one after the other, and where each text's ids end.
 
         By the library, special tokens only where their strings are in the text. Where the tokenizer can be cut at
-        blanks, what stands between two of them is encoded once for all its places in ``texts``.
+        blanks, what stands between two of them is encoded once for all its places in some batches of texts.
         """
         if not self.by_unit:
             ids = [e.ids for e in self.own.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -82,14 +96,58 @@ class Codec:
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         array = np.frombuffer(data, dtype=np.uint8)
         blanks = blanks_behind_words(array) if len(array) > 1 else np.zeros(0, dtype=np.int64)
-        edges = np.unique(np.concatenate([[0], blanks, ends]))
+        is_edge = np.zeros(len(data) + 1, dtype=bool)
+        is_edge[0] = is_edge[blanks] = is_edge[ends] = True
+        edges = np.flatnonzero(is_edge)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        known = [e.ids for e in self.own.encode_batch_fast([u.decode() for u in units.dictionary.to_pylist()], add_special_tokens=False)]
-        ids, until = flat(known)
-        code = units.indices.to_numpy(zero_copy_only=False)
-        low, high = np.concatenate([[0], until])[code], until[code] if len(until) else code
+        number = self._numbers(units.dictionary.to_pylist())[units.indices.to_numpy(zero_copy_only=False)]
+        low, high = self._ends[number], self._ends[number + 1]
         total = np.concatenate([[0], np.cumsum(high - low)])
-        return ids[ranges(low, high)], total[np.searchsorted(edges, ends)]
+        return self._ids[ranges(low, high)], total[np.searchsorted(edges, ends)]
+
+    def _numbers(self, units: list[bytes]) -> np.ndarray:
+        """The number of each unit among the known ones; new ones are encoded and, in a bounded number, kept for the next batches."""
+        if len(self._known) > UNITS or self._bytes > UNIT_BYTES:
+            self._forget()
+        new = [u for u in units if u not in self._known]
+        if new:
+            ids, ends = self._encode_units(new)
+            self._known.update(zip(new, range(len(self._known), len(self._known) + len(new))))
+            self._bytes += sum(map(len, new))
+            self._ends = np.concatenate([self._ends, self._ends[-1] + ends])
+            self._ids = np.concatenate([self._ids, ids])
+        return np.array([self._known[u] for u in units], dtype=np.int64)
+
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units by the library. Many that surely keep their bytes are one text for it, cut like any other at
+        the blanks they begin with; the bytes of the tokens tell where each ends, or else the text is taken apart again."""
+        plain = []
+        if self.spelled is not None:
+            plain = [i for i, u in enumerate(units) if u[0] in b" \t\n" and u[-1] > 32 and not u.translate(None, _KEPT)]
+        found: list = [None] * len(units)
+        groups = [plain[at : at + GLUED] for at in range(0, len(plain), GLUED)]
+        texts = [b"".join([units[i] for i in group]).decode() for group in groups]
+        for group, text, encoding in zip(groups, texts, self.own.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoding.ids, dtype=np.uint32)
+            total = np.concatenate([[0], np.cumsum(self.spelled[ids])])
+            sizes = [len(units[i].translate(None, b" \t\n")) for i in group]
+            if total[-1] != sum(sizes):  # blanks may be parts of tokens
+                sizes = [len(units[i]) for i in group]
+            places = np.cumsum(sizes)
+            cuts = np.searchsorted(total, places)
+            if cuts[-1] < len(total) and np.array_equal(total[cuts], places):
+                for i, a, b in zip(group, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                    found[i] = ids[a:b]
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i, encoding in zip(rest, self.own.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False)):
+            found[i] = encoding.ids
+        return flat(found)
+
+    def _forget(self) -> None:
+        self._known: dict[bytes, int] = {}
+        self._bytes = 0
+        self._ids = np.zeros(0, dtype=np.uint32)
+        self._ends = np.zeros(1, dtype=np.int64)
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts that ids decode to, special tokens included."""
@@ -248,8 +306,6 @@ def decode(tokens: DataFrame, model: str) -> DataFrame:
 def cuttable(model: str) -> bool:
     """True when a blank behind a visible ASCII character always begins a word of its own: the tokenizer splits
     texts at blanks, no added token has blanks in or around it, and nothing is added to the beginning of a text."""
-    import json
-
     own = json.loads(model)
     steps = own.get("pre_tokenizer") or {}
     steps = steps.get("pretokenizers", [steps])
