@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import explode_computed
 from ..functions.tokens import term_counts, terms
 from ..session import fits, stored
-from .ranking import top_k
+from .ranking import DIGITS, top_k
 
 K1 = 1.2
 B = 0.75
@@ -136,6 +136,6 @@ def topk_bm25(docs: DataFrame, queries: DataFrame, k: int, stats: DataFrame | No
     scores = (
         postings_join(docs, queries, stats)
         .groupBy("doc_id", "query_id")
-        .agg(F.round(F.sum("weight"), 6).alias("score"))
+        .agg(F.round(F.sum("weight"), DIGITS).alias("score"))
     )
     return top_k(scores, k)

@@ -21,7 +21,9 @@ METRICS = ("cosine", "dot", "l2")
 QUERY_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 200_000
 _TILE = 4_000_000
-_DIGITS = 1e6
+#: Digits behind the point that scores are ranked by: sums of products differ behind these with the order of
+#: their terms, so rows that are equal up to there are ties.
+_DIGITS = 1e12
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -42,7 +44,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _similarities(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
-    """Higher is nearer, rounded to six digits; distances are negated."""
+    """Higher is nearer, to ``_DIGITS``; distances are negated."""
     if metric == "cosine":
         scores = _unit(queries) @ _unit(block).T
     else:

@@ -130,11 +130,13 @@ def validate_paths(
 
 
 def hydrate_files(chosen: DataFrame, files: DataFrame, at_most: int | None = None) -> DataFrame:
-    """Full documents for chosen paths, by namespace too where both sides have one.
+    """Full documents for chosen paths, by namespace too; either both sides have one or none has.
 
     ``at_most`` bounds the number of choices, if known.
     """
     if at_most is not None and at_most <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    keys = [k for k in ("namespace", "file_path") if k in chosen.columns and k in files.columns]
+    if ("namespace" in chosen.columns) != ("namespace" in files.columns):
+        raise ValueError("one side has a namespace and the other has none: a path alone may be in several")
+    keys = [k for k in ("namespace", "file_path") if k in files.columns]
     return files.select(*keys, "content").join(chosen, keys)

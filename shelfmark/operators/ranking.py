@@ -13,6 +13,8 @@ from ..session import BROADCAST_ROWS
 
 RRF_CONSTANT = 60
 DEFAULT_RERANKED = 5
+#: Digits behind the point that sums are ranked by; behind these they depend on the order of their terms.
+DIGITS = 12
 
 
 def by_score(score: str = "score") -> Window:
@@ -29,7 +31,7 @@ def rank_hits(hits: DataFrame, position: str = "position") -> DataFrame:
     """Score from what the retriever left: ``score``, else ``relevance_score``, else the position."""
     scored = hits.withColumn(
         "score",
-        F.coalesce("score", "relevance_score", F.round(F.lit(1.0) / (F.col(position) + 1), 6)),
+        F.coalesce("score", "relevance_score", F.lit(1.0) / (F.col(position) + 1)),
     )
     return scored.withColumn("rank", F.row_number().over(by_score()))
 
@@ -52,7 +54,7 @@ def hybrid_rrf(dense: DataFrame, sparse: DataFrame, alpha: float, k: int) -> Dat
         share(dense, alpha)
         .unionByName(share(sparse, 1 - alpha))
         .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("part"), 6).alias("score"))
+        .agg(F.round(F.sum("part"), DIGITS).alias("score"))
     )
     return top_k(fused, k)
 
@@ -76,7 +78,7 @@ def hybrid_weighted(dense: DataFrame, sparse: DataFrame, alpha: float, k: int) -
         share(dense, alpha)
         .unionByName(share(sparse, 1 - alpha))
         .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("part"), 6).alias("score"))
+        .agg(F.round(F.sum("part"), DIGITS).alias("score"))
     )
     return top_k(mixed, k)
 

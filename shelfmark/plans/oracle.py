@@ -131,13 +131,13 @@ cte(
 cte(
     "issues_raw",
     """SELECT conv_id, 'api/issue/'||conv_id AS url, 'issue/'||conv_id AS html_url,
- replace(substr(text, 1, 60), chr(10), ' ') AS title, CASE WHEN conv_id % 10 <> 0 THEN text END AS body,
+ string_split(text, chr(10))[1] AS title, CASE WHEN conv_id % 10 <> 0 THEN text END AS body,
  conv_id % 7 = 0 AS is_pull FROM conversations WHERE turn = 0""",
 )
 cte(
     "comments_v",
     "SELECT conv_id, 'issue/'||conv_id AS html_url, turn, 'issue/'||conv_id||'#'||turn AS comment_url, text AS body"
-    " FROM conversations WHERE turn >= 1",
+    " FROM conversations WHERE turn >= 1 OR conv_id % 10 = 0",
 )
 cte(
     "issues_v",
@@ -441,7 +441,7 @@ def _bm25(name: str, docs: str, asked: str, k: int, *needs: str) -> None:
         f"{name}_totals",
     )
     _ranked(
-        f"SELECT query_id, doc_id, round(sum(weight), 6) AS score FROM {name}_weights GROUP BY ALL", k, name, f"{name}_weights"
+        f"SELECT query_id, doc_id, round(sum(weight), 12) AS score FROM {name}_weights GROUP BY ALL", k, name, f"{name}_weights"
     )
 
 
@@ -485,7 +485,7 @@ def _hashed(name: str, source: str) -> None:
 _hashed("doc_vectors", "SELECT doc_id AS id, text FROM documents")
 _hashed("query_vectors", "SELECT item_id AS id, text FROM benchmark")
 _ranked(
-    "SELECT q.id AS query_id, d.id AS doc_id, round(coalesce(list_cosine_similarity(d.v, q.v), 0), 6) + 0e0 AS score FROM query_vectors q, doc_vectors d",
+    "SELECT q.id AS query_id, d.id AS doc_id, round(coalesce(list_cosine_similarity(d.v, q.v), 0), 12) + 0e0 AS score FROM query_vectors q, doc_vectors d",
     q.DEPTH,
     "dense",
     "query_vectors",
@@ -496,19 +496,19 @@ cte(
     "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings",
 )
 for _name, _score in {
-    "cosine": "round(list_cosine_similarity(a.v, b.v), 6) + 0e0",
-    "dot": "round(list_inner_product(a.v, b.v), 6) + 0e0",
-    "l2_near": "-round(list_distance(a.v, b.v), 6)",
+    "cosine": "round(list_cosine_similarity(a.v, b.v), 12) + 0e0",
+    "dot": "round(list_inner_product(a.v, b.v), 12) + 0e0",
+    "l2_near": "-round(list_distance(a.v, b.v), 12)",
 }.items():
     _ranked(
-        f"SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_score} AS score FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id",
+        f"SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_score} AS score FROM vecs a JOIN vecs b ON a.vec_id % {q.ASKED} = 0 AND a.vec_id <> b.vec_id",
         q.K,
         _name,
         "vecs",
     )
 cte("l2", "SELECT query_id, doc_id, 0e0 - score AS score, rank FROM l2_near", "l2_near")
 _ranked(
-    f"""SELECT query_id, doc_id, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank, {q.ALPHA}e0 AS w FROM dense
+    f"""SELECT query_id, doc_id, round(sum(w / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank, {q.ALPHA}e0 AS w FROM dense
  UNION ALL SELECT query_id, doc_id, rank, {1 - q.ALPHA}e0 FROM sparse) GROUP BY ALL""",
     q.DEPTH,
     "rrf",
@@ -518,7 +518,7 @@ _ranked(
 _SCALED = """SELECT query_id, doc_id, {w}e0 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1e0 END AS part FROM (SELECT *,
  min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {t})"""
 _ranked(
-    "SELECT query_id, doc_id, round(sum(part), 6) AS score FROM ("
+    "SELECT query_id, doc_id, round(sum(part), 12) AS score FROM ("
     + _SCALED.format(w=q.ALPHA, t="dense")
     + " UNION ALL "
     + _SCALED.format(w=1 - q.ALPHA, t="sparse")
@@ -579,7 +579,7 @@ for _name in ("cosine", "dot", "l2"):
         _name,
         f"""SELECT query_id, rank, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS relevance FROM {_name} h
  JOIN embeddings a ON a.vec_id = h.query_id JOIN embeddings b ON b.vec_id = h.doc_id""",
-        "SELECT vec_id AS query_id, n FROM (SELECT vec_id, count(*) OVER (PARTITION BY label) - 1 AS n FROM embeddings) WHERE n > 0",
+        f"SELECT vec_id AS query_id, n FROM (SELECT vec_id, count(*) OVER (PARTITION BY label) - 1 AS n FROM embeddings) WHERE n > 0 AND vec_id % {q.ASKED} = 0",
         _name,
     )
 cte(
@@ -655,6 +655,13 @@ def _metric(column: str) -> str:
     return compose(f"SELECT round(avg({column}), 6) AS {column} FROM cosine_scores", "cosine_scores")
 
 
+#: Queries with a column ``score``.
+SCORED = (
+    "hybrid_rrf", "hybrid_weighted", "join_qrels", "knn_cross", "multi_query_union", "rank_hits", "rerank_fallback", "rerank_topn",
+    "retrieve_by_path", "retrieve_dense", "retrieve_sparse", "topk_bm25", "topk_cosine", "topk_dot", "topk_l2",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     exclude, include = matches(views.EXCLUDE_RULES), matches(views.INCLUDE_RULES)
     models = [*MODEL_DIMENSIONS, "voyage-3", "other"]
@@ -674,16 +681,22 @@ def oracle_sql() -> dict[str, str]:
         "scan_metadata_only": compose(f"SELECT file_path, {url('file_path', 'namespace')} AS url FROM files_v", "files_v"),
         "load_rules": compose(
             f"""SELECT DISTINCT 'ext' AS kind, lower({raw_ext('file_path')}) AS value FROM files_v
- UNION ALL SELECT DISTINCT 'dir', string_split(file_path, '/')[3] FROM files_v""",
+ UNION ALL SELECT DISTINCT 'dir', unnest(string_split(file_path, '/')[:-2]) FROM files_v""",
             "files_v",
         ),
         "scan_issues": compose(
             "SELECT url, html_url, title, body, n AS n_comments, urls AS comment_urls FROM issues_v", "issues_v"
         ),
-        "scan_benchmark": compose("SELECT query_id, doc_id::VARCHAR AS doc_id, 1::BIGINT AS relevance FROM qrels_v", "qrels_v"),
+        "scan_benchmark": compose(
+            """SELECT ('0x'||substr(md5(text), 1, 15))::BIGINT AS query_id, doc_id::VARCHAR AS doc_id, 1::BIGINT AS relevance
+ FROM qrels_v JOIN benchmark ON item_id = query_id""",
+            "qrels_v",
+        ),
+        "scan_question_csv": "SELECT item_id::VARCHAR AS id, text AS question FROM benchmark",
         "write_predictions_csv": compose(
-            """SELECT query_id AS id, to_json(list(doc_id::VARCHAR ORDER BY rank))::VARCHAR AS documents FROM cosine WHERE rank <= 3 GROUP BY query_id""",
-            "cosine",
+            """SELECT item_id AS id, coalesce(to_json(list(doc_id::VARCHAR ORDER BY rank) FILTER (doc_id IS NOT NULL))::VARCHAR, '[]') AS documents
+ FROM benchmark LEFT JOIN sparse ON query_id = item_id AND rank <= 3 GROUP BY item_id""",
+            "sparse",
         ),
         "write_batch_requests": compose(
             f"""SELECT batch_id, to_json({{'custom_id': batch_id, 'method': 'POST', 'url': '{ENDPOINT}', 'body': {{'model':
@@ -743,11 +756,7 @@ def oracle_sql() -> dict[str, str]:
         # C
         "count_tokens": f"SELECT doc_id, {tok('text')} AS num_tokens FROM documents",
         "truncate_tokens": f"SELECT doc_id, {cut('text', '50')} AS text FROM documents",
-        "chunk_content": compose(
-            """SELECT file_path, file_path||chr(10)||chr(10)||substr(content, length(content) // 4 + 1,
- (length(content) * 3) // 4 - length(content) // 4) AS text FROM files_v""",
-            "files_v",
-        ),
+        "chunk_content": compose(f"SELECT {CHUNK_ID} AS chunk_id, text FROM chunks", "chunks"),
         "chunk_id": compose(
             """SELECT doc_id, CASE WHEN plain = p THEN p ELSE plain||'~'||substr(md5(p), 1, 16) END||'_0_'||length(content) AS chunk_id,
  length(content) AS length FROM (SELECT *, regexp_replace(p, '[^\\x00-\\x7F]', '', 'g') AS plain FROM
@@ -964,4 +973,6 @@ def oracle_sql() -> dict[str, str]:
         "eval_mrr": _metric("mrr"),
         "eval_report": compose("SELECT * FROM bm25_report", "bm25_report"),
     }
-    return sql
+    # Scores are ranked as they are and shown with six digits.
+    shown = lambda text: f"SELECT * REPLACE (round(score, 6) AS score) FROM ({text})"
+    return {name: shown(text) if name in SCORED else text for name, text in sql.items()}

@@ -28,7 +28,7 @@ from ..operators import (
     symbols as symbol_ops,
 )
 from ..session import scratch_path, stored
-from ..sources import batches as batch_io, benchmark as benchmark_io, issues as issue_io, rules as rule_io
+from ..sources import batches as batch_io, benchmark as benchmark_io, files as file_io, issues as issue_io, rules as rule_io
 from ..streaming.upsert import stream_upsert
 from . import pipelines, views
 
@@ -45,20 +45,23 @@ DEPTH = 25
 K = 10
 ALPHA = 0.5
 OUTLINE_TOKENS = 400
+#: Vector queries are the rows whose id is divisible by this, against all rows.
+ASKED = 20
 
 
 def query(function: Query) -> Query:
-    """Register under the function's name, with integers as long and floats as double."""
+    """Register under the function's name, with integers as long, floats as double, and scores shown with six digits."""
 
     def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = function(spark, sf_dir)
         wide = {T.IntegerType(): "long", T.ShortType(): "long", T.FloatType(): "double"}
-        return df.select(
+        plainly = df.select(
             *[
                 F.col(f.name).cast(wide[f.dataType]).alias(f.name) if f.dataType in wide else F.col(f.name)
                 for f in df.schema
             ]
         )
+        return plainly.withColumn("score", F.round("score", 6)) if "score" in df.columns else plainly
 
     REGISTRY[function.__name__] = plain
     return function
@@ -95,7 +98,7 @@ def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = views.table(spark, sf_dir, "embeddings")
     return (
         spread(e.select(F.col("vec_id").alias("doc_id"), "embedding")),
-        e.select(F.col("vec_id").alias("query_id"), "embedding"),
+        e.where(f"vec_id % {ASKED} = 0").select(F.col("vec_id").alias("query_id"), "embedding"),
     )
 
 
@@ -158,7 +161,7 @@ def _judged(spark, sf_dir, hits: DataFrame) -> DataFrame:
 def _label_totals(spark, sf_dir) -> DataFrame:
     e = views.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     sizes = e.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")).filter("n_relevant > 0")
-    return e.join(sizes, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
+    return e.where(f"vec_id % {ASKED} = 0").join(sizes, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
 
 
 def _vector_scores(spark, sf_dir, metric: str = "cosine") -> DataFrame:
@@ -175,9 +178,16 @@ def _passage_scores(spark, sf_dir) -> DataFrame:
 # --- A. scans, sources, sinks -----------------------------------------------------------
 
 
+def _namespaced(files: DataFrame) -> DataFrame:
+    """Files of a tree of several repositories, whose first two folders are the namespace."""
+    return files.withColumn("namespace", F.substring_index("file_path", "/", 2))
+
+
 @query
 def scan_files(spark, sf_dir):
-    return _files(spark, sf_dir).select("namespace", "file_path", "content")
+    """All files, read back from a tree of them."""
+    tree = views.file_tree(spark, sf_dir)
+    return _namespaced(file_io.scan_files(spark, tree, "", hidden=True)).select("namespace", "file_path", "content")
 
 
 @query
@@ -190,18 +200,20 @@ def decode_text(spark, sf_dir):
 
 @query
 def scan_metadata_only(spark, sf_dir):
-    files = pipelines.with_urls(_paths(spark, sf_dir))
-    return files.select("file_path", "url")
+    """Paths and links of all files of a tree, none of which is opened."""
+    tree = views.file_tree(spark, sf_dir)
+    files = _namespaced(file_io.scan_metadata_only(spark, tree, "", hidden=True))
+    return pipelines.with_urls(files.select("namespace", "file_path")).select("file_path", "url")
 
 
 @query
 def load_rules(spark, sf_dir):
     """Rule lines made from the distinct path parts, with comments, blanks and unknown kinds among them."""
     parts = filters.path_parts(_paths(spark, sf_dir))
-    kinds = {"ext": F.col("ext"), "dir": F.element_at("dirs", 3), "name": F.col("file_name")}
+    kinds = {"ext": F.array("ext"), "dir": F.col("dirs"), "name": F.array("file_name")}
     lines = None
-    for kind, value in kinds.items():
-        some = parts.select(F.concat(F.lit(kind + ":"), value).alias("value")).distinct()
+    for kind, values in kinds.items():
+        some = parts.select(F.explode(values).alias("v")).select(F.concat(F.lit(kind + ":"), "v").alias("value")).distinct()
         lines = some if lines is None else lines.unionByName(some)
     commented = lines.select(F.concat(F.lit("# "), "value").alias("value"))
     rules, _ = rule_io.parse_rules(lines.unionByName(commented))
@@ -222,17 +234,29 @@ def scan_issues(spark, sf_dir):
 
 @query
 def scan_benchmark(spark, sf_dir):
+    """The benchmark written as JSON with its gold documents, and read back."""
     gold = views.qrels_v(spark, sf_dir).groupBy("query_id").agg(
-        F.collect_list(F.col("doc_id").cast("string")).alias("gold")
+        F.collect_list(F.col("doc_id").cast("string")).alias("context_files")
     )
-    items = _questions(spark, sf_dir).join(gold, "query_id", "left")
-    _, qrels = benchmark_io.scan_benchmark(items)
+    path = scratch_path(spark, "benchmark")
+    _questions(spark, sf_dir).join(gold, "query_id", "left").select("question", "context_files").write.json(path)
+    _, qrels = benchmark_io.scan_benchmark(benchmark_io.read_benchmark_json(spark, path, lines=True))
     return qrels
 
 
+@query
+def scan_question_csv(spark, sf_dir):
+    """The questions written as CSV and read back."""
+    path = scratch_path(spark, "questions")
+    rows = _questions(spark, sf_dir).select(F.col("query_id").cast("string").alias("id"), "question")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return benchmark_io.scan_question_csv(spark, path)
+
+
 @query
 def write_predictions_csv(spark, sf_dir):
-    return benchmark_io.predictions(_vector_hits(spark, sf_dir))
+    """The three best documents of every question of the benchmark, those without any among them."""
+    return benchmark_io.predictions(_sparse_hits(spark, sf_dir, 3), questions=_questions(spark, sf_dir))
 
 
 @query
@@ -263,7 +287,9 @@ def _result_vectors(spark, sf_dir) -> DataFrame:
             )
         ).alias("value")
     )
-    return batch_io.parse_batch_results(lines)
+    path = scratch_path(spark, "results")
+    lines.write.text(path)
+    return batch_io.read_batch_results(spark, path)
 
 
 @query
@@ -398,14 +424,11 @@ def truncate_tokens(spark, sf_dir):
 
 @query
 def chunk_content(spark, sf_dir):
-    """The middle half of every document as a chunk."""
-    n = F.char_length("content")
-    return _files(spark, sf_dir).select(
-        "file_path",
-        paths.chunk_content(
-            F.col("file_path"), F.col("content"), F.floor(n / 4).cast("int"), F.floor(n * 3 / 4).cast("int")
-        ).alias("text"),
-    )
+    """The text of every chunk, cut from its file."""
+    where = _text_chunks(spark, sf_dir).select("namespace", "file_path", "chunk_id", "start_pos", "end_pos")
+    joined = where.join(_files(spark, sf_dir).select("namespace", "file_path", "content"), ["namespace", "file_path"])
+    cut = paths.chunk_content(F.col("file_path"), F.col("content"), F.col("start_pos"), F.col("end_pos"))
+    return joined.select("chunk_id", cut.alias("text"))
 
 
 @query
@@ -589,8 +612,8 @@ def join_qrels(spark, sf_dir):
 def hydrate_files(spark, sf_dir):
     files = _files(spark, sf_dir)
     bound = _hit_bound(spark, sf_dir, 3)
-    best = ranking.with_metadata(_sparse_hits(spark, sf_dir, 3), files, ["file_path"], bound)
-    return path_match.hydrate_files(best.select("query_id", "rank", "file_path"), files, bound).select(
+    best = ranking.with_metadata(_sparse_hits(spark, sf_dir, 3), files, ["namespace", "file_path"], bound)
+    return path_match.hydrate_files(best.select("query_id", "rank", "namespace", "file_path"), files, bound).select(
         "query_id", "rank", "file_path", "content"
     )
 

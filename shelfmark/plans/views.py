@@ -5,12 +5,17 @@ Each is a pure function of the tables; ``oracle.py`` states the same views in SQ
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.rows import explode_computed
 from ..functions.tokens import terms
+from ..session import scratch_path
 
 OWNER = "acme"
 # Folders and extensions that the file view cycles through, and the rule lists for it.
@@ -68,13 +73,14 @@ def mangled_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issue rows as an API returns them: nullable body, pull requests among them."""
+    """Issue rows as an API returns them: nullable body, pull requests among them. The title is the first
+    line; where the body is null, the whole first text is a comment."""
     first = table(spark, sf_dir, "conversations").filter("turn = 0")
     c = F.col("conv_id")
     return first.select(
         F.concat(F.lit("api/issue/"), c.cast("string")).alias("url"),
         F.concat(F.lit("issue/"), c.cast("string")).alias("html_url"),
-        F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")).alias("title"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
         F.when(c % 10 != 0, F.col("text")).alias("body"),
         F.when(c % 7 == 0, F.struct(F.concat(F.lit("api/pull/"), c.cast("string")).alias("url"))).alias(
             "pull_request"
@@ -86,7 +92,7 @@ def comments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     issue = F.concat(F.lit("issue/"), F.col("conv_id").cast("string"))
     return (
         table(spark, sf_dir, "conversations")
-        .filter("turn >= 1")
+        .filter("turn >= 1 OR conv_id % 10 = 0")
         .select(
             issue.alias("issue_url"),
             F.col("turn").alias("pos"),
@@ -240,6 +246,23 @@ def notebooks_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The files written as files of a tree in the shared folder, which has to be a mounted one; its path."""
+    root = scratch_path(spark, "tree").removeprefix("file://").removeprefix("file:")
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["file_path"], frame["content"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    files_v(spark, sf_dir).select("file_path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
 def qrels_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents contain which benchmark passage, as ``(query_id, doc_id, relevance)``."""
     return passage_matches(

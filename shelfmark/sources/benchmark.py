@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def question_id(question: Column) -> Column:
+    """60 bits of the question's hash as a number."""
+    return F.conv(F.substring(F.md5(F.coalesce(question, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def read_benchmark_json(
-    spark: SparkSession, path: str, question_field: str = "question", gold_field: str = "context_files"
+    spark: SparkSession, path: str, question_field: str = "question", gold_field: str = "context_files", lines: bool = False
 ) -> DataFrame:
+    """``(query_id, question, gold)``. The id is made from the question, so it does not depend on how
+    files are read. A file is one JSON array, or has one item a ``line``."""
     schema = f"`{question_field}` string, `{gold_field}` array<string>"
-    items = spark.read.schema(schema).option("multiLine", True).json(path)
+    items = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return items.select(
-        F.monotonically_increasing_id().alias("query_id"),
+        question_id(F.col(question_field)).alias("query_id"),
         F.col(question_field).alias("question"),
         F.col(gold_field).alias("gold"),
     )

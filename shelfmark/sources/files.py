@@ -1,14 +1,17 @@
 """Files of a directory tree as rows.
 
 Spark's own file sources skip names that start with ``_`` or ``.`` and empty files, so
-``__init__.py`` would be lost. This source lists a mounted tree, applies the path rules
-before anything is opened, and gives each task a group of files of about equal bytes.
+``__init__.py`` would be lost. This source reads a mounted tree in two levels: the driver goes down only
+until there are enough folders to share out, and tasks list what lies below theirs, apply the path rules
+before anything is opened, and read. Where there are few folders, several tasks list the same one and
+divide its files by the hash of their paths.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,15 +21,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import file_url
 
-GROUP_BYTES = 64 << 20
-GROUP_FILES = 10_000
+#: Folders that the driver looks for before tasks take over, and tasks at least.
+PLANNED_FOLDERS = 1_000
+TASKS = 32
 FLUSH_BYTES = 16 << 20
 
 
-class FileGroup(InputPartition):
-    def __init__(self, paths: list[str]):
-        super().__init__(len(paths))
-        self.paths = paths
+class FolderShare(InputPartition):
+    """One part in so many of the files below a folder, or of those directly in it."""
+
+    def __init__(self, folder: str, deep: bool, part: int, parts: int):
+        super().__init__((folder, deep, part))
+        self.folder, self.deep, self.part, self.parts = folder, deep, part, parts
 
 
 class TreeReader(DataSourceReader):
@@ -49,35 +55,43 @@ class TreeReader(DataSourceReader):
         )
         return hit == (self.mode == "include")
 
-    def _listing(self) -> Iterator[tuple[str, int]]:
-        above = [part for part in self.namespace.split("/") if part]
-        waiting = [""]
+    def _entries(self, folder: str) -> tuple[list[str], list[str]]:
+        """The folders in a folder, and the names of the files that pass the rules."""
+        parents = [part for part in f"{self.namespace}/{folder}".split("/") if part]
+        folders, names = [], []
+        with os.scandir(os.path.join(self.root, folder)) as entries:
+            for entry in entries:
+                if (self.skip_hidden and entry.name.startswith(".")) or entry.is_symlink():
+                    continue
+                path = f"{folder}/{entry.name}" if folder else entry.name
+                if entry.is_dir():
+                    folders.append(path)
+                elif self._kept(entry.name, parents):
+                    names.append(path)
+        return folders, names
+
+    def partitions(self) -> list[FolderShare]:
+        done, level = [], [""]
+        while level and len(done) + len(level) < PLANNED_FOLDERS:
+            below = [folder for above in level for folder in self._entries(above)[0]]
+            if not below:
+                break
+            done += level
+            level = below
+        parts = -(-TASKS // max(1, len(level)))
+        shares = [FolderShare(folder, False, 0, 1) for folder in done]
+        return shares + [FolderShare(folder, True, i, parts) for folder in sorted(level) for i in range(parts)]
+
+    def _files(self, share: FolderShare) -> Iterator[str]:
+        waiting = [share.folder]
         while waiting:
-            folder = waiting.pop()
-            parents = above + [part for part in folder.split("/") if part]
-            with os.scandir(os.path.join(self.root, folder)) as entries:
-                for entry in entries:
-                    if (self.skip_hidden and entry.name.startswith(".")) or entry.is_symlink():
-                        continue
-                    path = f"{folder}/{entry.name}" if folder else entry.name
-                    if entry.is_dir():
-                        waiting.append(path)
-                    elif self._kept(entry.name, parents):
-                        yield path, entry.stat().st_size
-
-    def partitions(self) -> list[FileGroup]:
-        groups, current, size = [], [], 0
-        for path, n in self._listing():
-            if current and (size + n > GROUP_BYTES or len(current) >= GROUP_FILES):
-                groups.append(FileGroup(current))
-                current, size = [], 0
-            current.append(path)
-            size += n
-        return [*groups, FileGroup(current)]
-
-    def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
+            folders, names = self._entries(waiting.pop())
+            waiting += folders if share.deep else []
+            yield from (n for n in names if share.parts == 1 or zlib.crc32(n.encode(errors="surrogateescape")) % share.parts == share.part)
+
+    def read(self, partition: FolderShare) -> Iterator[pa.RecordBatch]:
         paths, contents, size = [], [], 0
-        for path in partition.paths:
+        for path in self._files(partition):
             data = None
             if self.with_content:
                 with open(os.path.join(self.root, path), "rb") as f:
@@ -143,9 +157,10 @@ def scan_files(
     exclude: DataFrame | None = None,
     host: str = "https://github.com",
     branch: str = "main",
+    hidden: bool = False,
 ) -> DataFrame:
-    """``(namespace, file_path, url, content)`` of the text files that pass the rules."""
-    raw = _load(spark, root, namespace, rules=_rules_option(include, exclude))
+    """``(namespace, file_path, url, content)`` of the text files that pass the rules, ``hidden`` ones only on demand."""
+    raw = _load(spark, root, namespace, rules=_rules_option(include, exclude), hidden=str(hidden).lower())
     return decode_text(raw).select(
         "namespace",
         "file_path",
@@ -155,10 +170,10 @@ def scan_files(
 
 
 def scan_metadata_only(
-    spark: SparkSession, root: str, namespace: str, include: DataFrame | None = None, exclude: DataFrame | None = None
+    spark: SparkSession, root: str, namespace: str, include: DataFrame | None = None, exclude: DataFrame | None = None, hidden: bool = False
 ) -> DataFrame:
     """Paths and links; no file is opened."""
-    raw = _load(spark, root, namespace, rules=_rules_option(include, exclude), content="false")
+    raw = _load(spark, root, namespace, rules=_rules_option(include, exclude), content="false", hidden=str(hidden).lower())
     return raw.select(
         "namespace", "file_path", file_url(F.col("file_path"), F.col("namespace")).alias("url")
     )
