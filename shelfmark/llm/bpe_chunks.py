@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import slices, utf8
+from .common import digest_filter, in_filter, slices, utf8
 from .groups import ranges
 
 MODEL_PATH = "/opt/tokenizers/word_bpe_49k.json"
@@ -35,9 +35,6 @@ BATCH_BYTES = 1_000_000
 CUT_BITS = 9
 #: but not within this many bytes of another place like that.
 LEAST_BYTES = 64
-#: Bits of the filter that tells tasks which chunks occur again. Where it is too full, chunks that
-#: occur once are taken for shared ones: more is moved, the results are the same.
-FILTER_BITS = 26
 #: Chunks with more than one in so many of all occurrences are handed out in several parts.
 PARTS = 4096
 #: Digests of chunks a task remembers to have sent.
@@ -224,16 +221,6 @@ class Layout:
         self.digests = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in pieces]), dtype=np.int64).reshape(-1, 2)
 
 
-def _in_filter(digests: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    mask = (1 << FILTER_BITS) - 1
-    found = np.ones(len(digests), dtype=bool)
-    for column in (0, 1):
-        for shift in (0, FILTER_BITS):
-            place = (digests[:, column] >> shift) & mask
-            found &= (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return found
-
-
 def shared_chunks(docs: DataFrame) -> tuple[DataFrame, int]:
     """``(h1, h2, n)`` of the chunks that occur more than once in ``docs(text)``, and the number of all occurrences."""
 
@@ -247,18 +234,6 @@ def shared_chunks(docs: DataFrame) -> tuple[DataFrame, int]:
     return known, known.agg(F.sum("n")).first()[0] or 0
 
 
-def chunk_filter(shared: DataFrame) -> np.ndarray:
-    """The digests as a bit array of fixed size, made where they are and sent to the driver as at most 2^20 words."""
-    mask = (1 << FILTER_BITS) - 1
-    places = [F.col(h) if not shift else F.shiftright(F.col(h), shift) for h in ("h1", "h2") for shift in (0, FILTER_BITS)]
-    place = shared.select(F.explode(F.array(*[p.bitwiseAND(F.lit(mask)) for p in places])).alias("p"))
-    words = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b"))
-    table = words.toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    bits[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
-    return bits
-
-
 Output = Callable[[np.ndarray, np.ndarray], list[pa.Array]]
 
 
@@ -352,7 +327,8 @@ def encode(docs: DataFrame, model: str, output: tuple[Output, str] | None = None
     if not cuttable(model):
         return docs.mapInArrow(whole, f"doc_id {kind}, {schema}")
     shared, occurrences = shared_chunks(docs)
-    bits = docs.sparkSession.sparkContext.broadcast(chunk_filter(shared))
+    bits = docs.sparkSession.sparkContext.broadcast(digest_filter(shared, "h1", "h2"))
+    # Where the filter is too full, chunks that occur once are taken for shared ones: more is moved, the results are the same.
     # One pass over the texts: results of documents without shared chunks, and of the others what is encoded
     # in them ("gaps"), which chunks they hold ("ref") and the texts of these ("chunk").
     moved = "kind string, row bigint, place int, h1 bigint, h2 bigint, body string, gaps binary, lengths array<int>"
@@ -371,7 +347,7 @@ def encode(docs: DataFrame, model: str, output: tuple[Output, str] | None = None
         for batch in slices(batches, "text", BATCH_BYTES):
             texts = utf8(batch.column(1))
             layout = Layout(texts)
-            hit = np.flatnonzero(_in_filter(layout.digests, bits.value))
+            hit = np.flatnonzero(in_filter(bits.value, *np.ascontiguousarray(layout.digests.T)))
             held = np.unique(layout.text[hit])
             plain = np.setdiff1d(np.arange(len(texts)), held)
             done = result(batch.column(0).take(pa.array(plain)), *codec(model).encode([texts[i] for i in plain.tolist()]))

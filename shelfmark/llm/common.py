@@ -53,3 +53,30 @@ def slices(batches: Iterator[pa.RecordBatch], size: str, limit: int) -> Iterator
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+
+
+#: Bits of a filter of digests.
+FILTER_BITS = 26
+
+
+def digest_filter(digests: DataFrame, a: str, b: str) -> np.ndarray:
+    """Pairs of 64-bit digests as a bit array of fixed size, made where they are and sent to the driver as at most 2^20 words."""
+    mask = (1 << FILTER_BITS) - 1
+    places = [F.col(h) if not shift else F.shiftright(F.col(h), shift) for h in (a, b) for shift in (0, FILTER_BITS)]
+    place = digests.select(F.explode(F.array(*[p.bitwiseAND(F.lit(mask)) for p in places])).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b"))
+    table = words.toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    bits[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+    return bits
+
+
+def in_filter(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False for digests that are surely not in the filter."""
+    mask = (1 << FILTER_BITS) - 1
+    found = np.ones(len(a), dtype=bool)
+    for column in (a.view(np.int64), b.view(np.int64)):
+        for shift in (0, FILTER_BITS):
+            place = (column >> shift) & mask
+            found &= (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found

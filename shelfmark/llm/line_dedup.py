@@ -8,10 +8,13 @@ the filters is verified on the whole sets.
 
 Only small rows travel: the first join carries sizes, places and a 64-bit parity sketch that bounds
 the difference of two sets, and returns the sets that have any likely partner; the second carries
-whole sets, but of these few only. Words are known by 55 bits of a hash.
+whole sets, but of these few only. A prefix word that no other set has in its prefix brings no pair
+together; a bit for each class of words tells which classes have two sets, and rows of the others are
+not sent at all.
 
-Rarity is read off a table of ``2 ** COUNT_BITS`` counts over all lines, indexed by the word's hash;
-it orders words the same everywhere, which is all that correctness needs.
+A word is known by 128 bits of a hash of its bytes, and a set by 128 bits made from those of its words. Rarity is
+read off a table of counts over all lines, indexed by the word's hash and as large as the corpus asks
+for; it orders words the same everywhere, which is all that correctness needs.
 """
 
 from __future__ import annotations
@@ -22,29 +25,34 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import slices
+from .common import digest_filter, in_filter, slices
 from .groups import index_pairs, large_keys, ranges, scan_groups, tiled
 
 #: Similarity from which a later line is removed, as a fraction.
 SIMILAR = (4, 5)
-COUNT_BITS = 18
+#: The table of counts has a class for each so many bytes of text, within these numbers of bits: it takes 128 MB at most.
+BYTES_A_CLASS, COUNT_BITS = 64, (18, 27)
 COUNT_CHUNK = 1 << 12
+#: Bytes of a word's hash that sets are compared by.
+WORD_BYTES = 6
+#: Words up to this length are hashed together, longer ones each for itself.
+SHORT_WORD = 512
+#: Sets with more than one in so many of all lines are sent to all tasks; there are at most this many.
+PARTS = 4096
 #: One in so many sets is used to estimate which words are crowded.
 SAMPLE = 32
-#: Sets with likely partners that are sent to all tasks; more are joined.
-SENT_SETS = 1_000_000
 BATCH_BYTES = 1_000_000
 #: Words of pairs that are verified at a time.
 VERIFIED_WORDS = 4_000_000
 
 #: A-Z in lower case, white space other than line breaks as blanks.
 PLAIN = np.frombuffer(bytes(range(256)).lower().translate(bytes.maketrans(b"\t\x0b\x0c\r", b"    ")), dtype=np.uint8)
-_LETTER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,24 +63,34 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the odd factor and of its inverse, modulo 2 ** 64; kept for the next batch."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        for name, base in (("up", int(_FACTOR)), ("down", pow(int(_FACTOR), -1, 2**64))):
-            steps = np.full(1 << max(0, n - 1).bit_length(), base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, from eight bytes of all words at a time."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    first, second = mixed(length.astype(np.uint64), 3), mixed(length.astype(np.uint64), 17)
+    at, left = start.copy(), np.where(length > SHORT_WORD, 0, length)
+    todo = np.flatnonzero(left)
+    while len(todo):
+        lane = eight[at[todo]] & _LOW_BYTES[np.minimum(left[todo], 8)]
+        first[todo] = mixed(first[todo] ^ lane, 5)
+        second[todo] = mixed(second[todo] + lane * np.uint64(0xD6E8FEB86659FD93), 29)
+        at[todo] += 8
+        left[todo] -= 8
+        todo = todo[left[todo] > 0]
+    for i in np.flatnonzero(length > SHORT_WORD).tolist():
+        digest = xxhash.xxh3_128_intdigest(data[start[i] : start[i] + length[i]].tobytes())
+        first[i], second[i] = digest & (2**64 - 1), digest >> 64
+    return first, second
 
 
 class Lines:
     """The words and lines of a batch of texts.
 
-    ``first_line[d]`` is the number of document ``d``'s first line within the batch; ``line`` and
-    ``word`` have the line and the hash of each word.
+    ``first_line[d]`` is the number of document ``d``'s first line within the batch; ``line``, ``word``
+    and ``twin`` have the line and both hashes of each word.
     """
 
     def __init__(self, column: pa.Array):
@@ -100,26 +118,26 @@ class Lines:
         closes[:-1] &= space[1:] | edge[1:-1]
         start, stop = np.flatnonzero(begins), np.flatnonzero(closes) + 1
         self.line = np.searchsorted(line_starts, start, side="right") - 1
-        self.word = self._hashes(data, start, stop - start)
+        self.word, self.twin = word_hashes(data, start, stop - start)
         self.lines = len(line_starts)
 
-    @staticmethod
-    def _hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """A polynomial of each word's bytes: a difference of running sums, taken back to the power zero."""
-        up, down = powers(len(data))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_LETTER[data] * up, dtype=np.uint64)])
-        return mixed((sums[start + length] - sums[start]) * down[start])
+    def ordered(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(line, token, twin, place)`` of the distinct words of each line, rare ones first.
 
-    def ordered(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(line, token, place)`` of the distinct words of each line, rare ones first.
-
-        A token is the rarity of a word above 55 bits of its hash.
+        A token is the rarity of a word above 55 bits of its hash; words with one token are told apart by their other hash.
         """
         number, words = pd.factorize(self.word)
-        rarity = np.minimum(255, np.floor(8 * np.log2(counts[(words & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)] + 1.0)))
-        # Words that differ only below the 55 bits are one token.
-        tokens, rank = np.unique(rarity.astype(np.uint64) << np.uint64(55) | words >> np.uint64(9), return_inverse=True)
-        unit = max(1, len(tokens))
+        twins = np.zeros(len(words), dtype=np.uint64)
+        twins[number] = self.twin
+        if not np.array_equal(twins[number], self.twin):  # two words have one first hash
+            both, number = np.unique(np.stack([self.word, self.twin], axis=1), axis=0, return_inverse=True)
+            words, twins, number = both[:, 0], both[:, 1], number.ravel()
+        classes = (words & np.uint64(len(rarity) - 1)).astype(np.int64)
+        tokens = rarity[classes].astype(np.uint64) << np.uint64(55) | words >> np.uint64(9)
+        order = np.lexsort((twins, tokens))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        unit = max(1, len(order))
         key = np.sort(self.line * unit + rank[number])
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
@@ -127,7 +145,9 @@ class Lines:
         at = np.arange(len(line))
         begins = np.ones(len(line), dtype=bool)
         begins[1:] = line[1:] != line[:-1]
-        return line, (tokens[rank] ^ np.uint64(1 << 63)).view(np.int64), at - np.maximum.accumulate(np.where(begins, at, 0))
+        word = order[rank]
+        token = (tokens[word] ^ np.uint64(1 << 63)).view(np.int64)
+        return line, token, twins[word], at - np.maximum.accumulate(np.where(begins, at, 0))
 
 
 def least_shared(n: np.ndarray, m: np.ndarray | int = 0) -> np.ndarray:
@@ -141,71 +161,120 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-a * n // b) + 1
 
 
-def sketches(line: np.ndarray, token: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per line the number of distinct words, the identity of their set, and the parity of 64 classes of words."""
+def sketches(line: np.ndarray, token: np.ndarray, twin: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per line the number of distinct words, both numbers that identify their set, and the parity of 64 classes of words."""
     size = np.bincount(line, minlength=lines)
-    identity, parity = np.zeros(lines, dtype=np.uint64), np.zeros(lines, dtype=np.uint64)
+    out = [np.zeros(lines, dtype=np.uint64) for _ in range(3)]
     full = np.flatnonzero(size)
     if len(full):
         starts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
         bare = token.view(np.uint64) & np.uint64((1 << 55) - 1)
-        identity[full] = np.add.reduceat(mixed(bare, 11), starts)
-        parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(bare, 5) >> np.uint64(58)), starts)
-    return size, identity.view(np.int64), parity.view(np.int64)
+        out[0][full] = np.add.reduceat(mixed(twin, 11), starts)
+        out[1][full] = np.add.reduceat(mixed(mixed(twin, 13) ^ bare, 41), starts)
+        out[2][full] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(twin, 7) >> np.uint64(58)), starts)
+    return size, *(x.view(np.int64) for x in out)
+
+
+def packed(twin: np.ndarray) -> np.ndarray:
+    """The first bytes of hashes, as rows of bytes."""
+    return twin.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+
+
+def unpacked(data: bytes | memoryview) -> np.ndarray:
+    rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, WORD_BYTES)
+    wide = np.zeros((len(rows), 8), dtype=np.uint8)
+    wide[:, :WORD_BYTES] = rows
+    return wide.view("<u8").ravel()
+
+
+def token_class(token: np.ndarray, classes: int) -> np.ndarray:
+    return (mixed(token.view(np.uint64), 23) & np.uint64(classes - 1)).astype(np.int64)
+
+
+def _number(docs: DataFrame) -> Column:
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    return docs["doc_id"].cast("long") if whole else F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"]))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    """Rows by the number of their id; ids that are no numbers are known by their hash."""
+    return docs.select(_number(docs).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How many words of all lines fall on each of ``2 ** COUNT_BITS`` classes."""
-    size = 1 << COUNT_BITS
+def class_bits(docs: DataFrame) -> int:
+    """How many classes, as a power of two, the words of a corpus are counted in: by its size."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(max((size // BYTES_A_CLASS).bit_length(), COUNT_BITS[0]), COUNT_BITS[1])
+
+
+def _chunks(classes: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Sorted classes cut into chunks, each as its two-byte places followed by the bytes of their values."""
+    chunk = classes // COUNT_CHUNK
+    cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(classes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            place = (classes[a:b] % COUNT_CHUNK).astype("<u2").tobytes()
+            yield int(chunk[a]), place + b"".join(v[a:b].tobytes() for v in values)
+
+
+def _summed(rows: DataFrame, size: int, kind: str, finish) -> np.ndarray:
+    """One value for each of ``size`` classes: ``finish`` of the values of all tasks added up, chunk by chunk."""
+    width = np.dtype(kind).itemsize
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(COUNT_CHUNK, dtype=np.int64)
+        for data in frame["data"]:
+            n = len(data) // (2 + width)
+            total[np.frombuffer(data, dtype="<u2", count=n)] += np.frombuffer(data, dtype=kind, offset=2 * n)
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "data": [finish(total).tobytes()]})
+
+    out = np.tile(finish(np.zeros(COUNT_CHUNK, dtype=np.int64)), size // COUNT_CHUNK)
+    for r in rows.groupBy("chunk").applyInPandas(add, "chunk int, data binary").toLocalIterator():  # ``size`` bytes in all
+        out[r["chunk"] * COUNT_CHUNK : (r["chunk"] + 1) * COUNT_CHUNK] = np.frombuffer(r["data"], dtype=out.dtype)
+    return out
+
+
+def word_rarity(docs: DataFrame, size: int) -> np.ndarray:
+    """How frequent the words are that fall on each of ``size`` classes, as eight steps for each doubling."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint32)
         for batch in slices(batches, "text", BATCH_BYTES):
-            total += np.bincount((Lines(batch.column(0)).word & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        chunks = [total[a : a + COUNT_CHUNK].astype("<i8").tobytes() for a in range(0, size, COUNT_CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "counts"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(value, dtype="<i8") for value in rows["counts"])
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "counts": [total.tobytes()]})
+            np.add.at(total, (Lines(batch.column(0)).word & np.uint64(size - 1)).astype(np.int64), 1)
+        found = np.flatnonzero(total)
+        rows = list(_chunks(found, total[found].astype("<u4")))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["chunk", "data"])
 
-    schema = "chunk int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).collect()
-    total = np.zeros(size, dtype=np.int64)
-    for r in summed:
-        total[r["chunk"] * COUNT_CHUNK : (r["chunk"] + 1) * COUNT_CHUNK] = np.frombuffer(r["counts"], dtype="<i8")
-    return total
+    steps = lambda n: np.minimum(255, np.floor(8 * np.log2(n + 1.0))).astype(np.uint8)
+    return _summed(docs.select("text").mapInArrow(count, "chunk int, data binary"), size, "<u4", steps)
 
 
 class _Pass:
-    """Readings of all texts; the counts are sent to the tasks once."""
+    """Readings of all texts; the rarity of words is sent to the tasks once."""
 
     def __init__(self, docs: DataFrame):
         self.docs = _keyed(docs)
-        self.counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))  # 2**COUNT_BITS numbers
+        self.classes = 1 << class_bits(docs)
+        self.rarity = docs.sparkSession.sparkContext.broadcast(word_rarity(docs, self.classes))  # a byte for each class
         self.lines = stored(self._lines(), "lines")
+        self.sets = stored(self._sets(), "sets")
 
     def _lines(self) -> DataFrame:
-        """``(set, parity, size, doc_id, text_key, line, prefix)`` for every line that has words, lines numbered from 0.
+        """``(set, check, parity, size, doc_id, text_key, line, prefix)`` for every line that has words, lines numbered from 0.
 
         ``prefix`` has the first words of a set, and is null where the same batch has the set before.
         """
-        counts = self.counts
+        rarity = self.rarity
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", BATCH_BYTES):
                 own = Lines(batch.column(2))
-                line, token, place = own.ordered(counts.value)
-                size, identity, parity = sketches(line, token, own.lines)
+                line, token, twin, place = own.ordered(rarity.value)
+                size, identity, check, parity = sketches(line, token, twin, own.lines)
                 full = np.flatnonzero(size)
-                first = np.zeros(len(full), dtype=bool)
-                first[np.unique(identity[full], return_index=True)[1]] = True
                 chosen = np.zeros(own.lines, dtype=bool)
-                chosen[full[first]] = True
+                chosen[full[first_of(identity[full], check[full])]] = True
+                first = chosen[full]
                 kept = chosen[line] & (place < prefix_length(size)[line])
                 ends = np.cumsum(np.where(first, prefix_length(size[full]), 0))
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([~first, [False]]))
@@ -213,69 +282,124 @@ class _Pass:
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.array(x) for x in (identity[full], parity[full], size[full].astype(np.int32))),
+                        *(pa.array(x) for x in (identity[full], check[full], parity[full], size[full].astype(np.int32))),
                         batch.column(0).take(at),
                         batch.column(1).take(at),
                         pa.array((full - own.first_line[doc]).astype(np.int32)),
                         pa.ListArray.from_arrays(offsets, pa.array(token[kept])),
                     ],
-                    ["set", "parity", "size", "doc_id", "text_key", "line", "prefix"],
+                    ["set", "check", "parity", "size", "doc_id", "text_key", "line", "prefix"],
                 )
 
-        schema = "set bigint, parity bigint, size int, doc_id bigint, text_key bigint, line int, prefix array<bigint>"
+        schema = "set bigint, check bigint, parity bigint, size int, doc_id bigint, text_key bigint, line int, prefix array<bigint>"
         return self.docs.mapInArrow(run, schema)
 
+    def _shared_classes(self) -> np.ndarray:
+        """For each class of prefix words whether more than one line of different batches, or two sets of one, have it."""
+        size = self.classes
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size, dtype=np.uint8)
+            for batch in batches:
+                found, n = np.unique(token_class(batch.column(0).flatten().to_numpy(zero_copy_only=False), size), return_counts=True)
+                total[found] = np.minimum(2, total[found] + np.minimum(2, n)).astype(np.uint8)
+            found = np.flatnonzero(total)
+            rows = list(_chunks(found, total[found]))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["chunk", "data"])
+
+        rows = self.lines.where("prefix is not null").select("prefix").mapInArrow(count, "chunk int, data binary")
+        return _summed(rows, size, "u1", lambda n: n > 1)
+
+    def _sets(self) -> DataFrame:
+        """``(set, check, parity, size, tokens, places, priors)`` of the distinct sets with prefix words that other sets may have."""
+        size = self.classes
+        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(self._shared_classes()))  # a bit for each class
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                prefix = batch.column(4)
+                token = prefix.flatten().to_numpy(zero_copy_only=False)
+                n = np.diff(prefix.offsets.to_numpy())
+                begins = np.repeat(np.cumsum(n) - n, n)
+                place = np.arange(len(token)) - begins
+                prior = np.where(place > 0, np.concatenate([[0], token[:-1]]) if len(token) else token, 0)
+                of = token_class(token, size)
+                keep = (shared.value[of >> 3] >> (7 - (of & 7)).astype(np.uint8)) & 1 == 1
+                left = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+                some = np.flatnonzero(left)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(left[some])]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (token, place.astype(np.int32), prior)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(pa.array(some)) for i in range(4)), *lists], ["set", "check", "parity", "size", "tokens", "places", "priors"]
+                )
+
+        rows = self.lines.where("prefix is not null").select("set", "check", "parity", "size", "prefix")
+        schema = "set bigint, check bigint, parity bigint, size int, tokens array<bigint>, places array<int>, priors array<bigint>"
+        return rows.mapInArrow(run, schema).dropDuplicates(["set", "check"])
+
     def prefixes(self, share: int = 1) -> DataFrame:
-        """``(token, set, parity, size, place, prior)`` for the prefix of each distinct set of a batch; ``prior`` is the token before."""
-        sets = self.lines.where("prefix is not null")
+        """``(token, set, check, parity, size, place, prior)`` for the prefix of each distinct set; ``prior`` is the token before."""
+        sets = self.sets
         if share > 1:
             sets = sets.where(F.pmod(F.xxhash64("set"), F.lit(share)) == 0)
-        rows = sets.select("set", "parity", "size", "prefix", F.posexplode("prefix").alias("place", "token"))
-        prior = F.when(F.col("place") > 0, F.get("prefix", F.col("place") - 1)).otherwise(0)
-        return rows.select("token", "set", "parity", "size", "place", prior.alias("prior"))
+        each = sets.select("set", "check", "parity", "size", F.explode(F.arrays_zip("tokens", "places", "priors")).alias("p"))
+        return each.select(F.col("p.tokens").alias("token"), "set", "check", "parity", "size", F.col("p.places").alias("place"), F.col("p.priors").alias("prior"))
 
     def chosen(self, sets: DataFrame) -> DataFrame:
-        """``(set, first, words)`` of the sets in ``sets(set)``: the first line that has each, and its words, rare ones first."""
-        counts, spark = self.counts, sets.sparkSession
-        sent = None
-        sets = stored(sets, "sets")
-        if sets.count() <= SENT_SETS:
-            sent = spark.sparkContext.broadcast(np.sort(np.array([r["set"] for r in sets.toLocalIterator()], dtype=np.int64)))
+        """``(set, check, first, words)`` of the sets in ``sets(set, check)``: the first line that has each, and its words.
+
+        A filter of fixed size spares most other lines, an exact join the rest of them.
+        """
+        rarity = self.rarity
+        sets = stored(sets, "wanted-sets")
+        bits = sets.sparkSession.sparkContext.broadcast(digest_filter(sets, "set", "check"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", BATCH_BYTES):
                 own = Lines(batch.column(2))
-                line, token, _ = own.ordered(counts.value)
-                size, identity, _ = sketches(line, token, own.lines)
-                wanted = size > 0
-                if sent is not None:
-                    at = np.minimum(np.searchsorted(sent.value, identity), len(sent.value) - 1)
-                    wanted &= sent.value[at] == identity if len(sent.value) else False
+                line, token, twin, _ = own.ordered(rarity.value)
+                size, identity, check, _ = sketches(line, token, twin, own.lines)
+                wanted = (size > 0) & in_filter(bits.value, identity, check)
                 full = np.flatnonzero(wanted)
                 doc = np.searchsorted(own.first_line, full, side="right") - 1
                 at = pa.array(doc)
-                offsets = np.concatenate([[0], np.cumsum(size[full])])
-                words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token[wanted[line]]))
+                # The words of a set go along once a batch.
+                with_words = np.zeros(own.lines, dtype=bool)
+                with_words[full[first_of(identity[full], check[full])]] = True
+                data = packed(twin[with_words[line]]).tobytes()
+                ends = np.cumsum(np.where(with_words[full], size[full] * WORD_BYTES, 0)).tolist()
+                words = [data[a:b] if b > a else None for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(identity[full]), batch.column(0).take(at), batch.column(1).take(at), pa.array((full - own.first_line[doc]).astype(np.int32)), words],
-                    ["set", "doc_id", "text_key", "line", "words"],
-                )
+                    [
+                        pa.array(identity[full]), pa.array(check[full]), batch.column(0).take(at), batch.column(1).take(at),
+                        pa.array((full - own.first_line[doc]).astype(np.int32)), pa.array(words, pa.binary()),
+                    ],
+                    ["set", "check", "doc_id", "text_key", "line", "words"],
+                )
+
+        rows = self.docs.mapInArrow(run, "set bigint, check bigint, doc_id bigint, text_key bigint, line int, words binary")
+        found = rows.join(sets, ["set", "check"], "left_semi").groupBy("set", "check")
+        return found.agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.first("words", ignorenulls=True).alias("words"))
 
-        rows = self.docs.mapInArrow(run, "set bigint, doc_id bigint, text_key bigint, line int, words array<bigint>")
-        if sent is None:
-            rows = rows.join(sets, "set", "left_semi")
-        return rows.groupBy("set").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.first("words").alias("words"))
+
+def first_of(identity: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where each pair of numbers occurs first."""
+    order = np.lexsort((check, identity))
+    a, b = identity[order], check[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[new]
 
 
 def likely_sets(read: _Pass) -> DataFrame:
-    """``(set, token)`` of all sets that have another within the filters at some prefix word, with these words.
+    """``(set, check, token)`` of all sets that have another within the filters at some prefix word, with these words.
 
     Two sets with the same word before this one have met there, and are not compared again.
     """
     a, b = SIMILAR
 
     def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
-        identity, prior = columns["set"], columns["prior"]
+        identity, check, prior = columns["set"], columns["check"], columns["prior"]
         parity = columns["parity"].view(np.uint64)
         size, place = columns["size"].astype(np.int32), columns["place"].astype(np.int32)
         likely = np.zeros(len(identity), dtype=bool)
@@ -286,18 +410,18 @@ def likely_sets(read: _Pass) -> DataFrame:
             i, j, differing = i[near], j[near], differing[near]
             n, m = size[i], size[j]
             shared = least_shared(n, m)
-            near = (identity[i] != identity[j]) & (b * np.minimum(n, m) >= a * np.maximum(n, m))
+            near = ((identity[i] != identity[j]) | (check[i] != check[j])) & (b * np.minimum(n, m) >= a * np.maximum(n, m))
             near &= np.minimum(n - place[i], m - place[j]) >= shared
             near &= differing <= n + m - 2 * shared
             near &= (prior[i] != prior[j]) | (place[i] == 0) | (place[j] == 0)
             likely[i[near]] = True
             likely[j[near]] = True
         if likely.any():
-            yield pa.RecordBatch.from_arrays([pa.array(identity[likely]), pa.array(columns["token"][likely])], ["set", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[likely]) for x in (identity, check, columns["token"])], ["set", "check", "token"])
 
     crowded = large_keys(read.prefixes(SAMPLE), "token", SAMPLE)
     placed = tiled(read.prefixes(), crowded, "token", "set")
-    return scan_groups(placed, "token", [], work, "set bigint, token bigint").distinct()
+    return scan_groups(placed, "token", [], work, "set bigint, check bigint, token bigint").distinct()
 
 
 def shared_words(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -311,26 +435,26 @@ def shared_words(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray
 
 
 def later_sets(lines: DataFrame, likely: DataFrame) -> DataFrame:
-    """``(set)`` of the rows of ``lines(set, first, words)`` that are similar enough to an earlier row.
+    """``(set, check)`` of the rows of ``lines(set, check, first, words)`` that are similar enough to an earlier row.
 
-    Rows meet at the words of ``likely(set, token)`` only, as every similar pair is likely at the first prefix word it shares.
+    Rows meet at the words of ``likely(set, check, token)`` only, as every similar pair is likely at the first prefix word it shares.
     """
     # Rows without id come first.
     doc = F.coalesce("first.doc_id", F.lit(-(2**63)))
-    flat = lines.select("set", "words", doc.alias("doc_id"), "first.text_key", "first.line")
-
-    def rows(some: DataFrame) -> DataFrame:
-        return some.join(likely, "set").select("token", "set", "words", "doc_id", "text_key", "line")
+    flat = lines.select("set", "check", "words", doc.alias("doc_id"), "first.text_key", "first.line")
 
     def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
-        identity = columns["set"]
+        identity, check = columns["set"], columns["check"]
         doc, key, line = columns["doc_id"], columns["text_key"], columns["line"]
-        offsets = columns["words"].offsets.to_numpy().astype(np.int64)
-        numbers = np.unique(columns["words"].values.to_numpy(), return_inverse=True)[1]
+        words = columns["words"]
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        hashes = unpacked(memoryview(words.buffers()[2])[offsets[0] : offsets[-1]])
+        offsets = (offsets - offsets[0]) // WORD_BYTES
+        numbers = np.unique(hashes, return_inverse=True)[1]
         size = np.diff(offsets)
         gone = np.zeros(len(identity), dtype=bool)
         for i, j in index_pairs(starts, ends, columns["side"]):
-            near = (identity[i] != identity[j]) & (SIMILAR[1] * np.minimum(size[i], size[j]) >= SIMILAR[0] * np.maximum(size[i], size[j]))
+            near = ((identity[i] != identity[j]) | (check[i] != check[j])) & (SIMILAR[1] * np.minimum(size[i], size[j]) >= SIMILAR[0] * np.maximum(size[i], size[j]))
             i, j = i[near], j[near]
             earlier = (doc[i] < doc[j]) | (doc[i] == doc[j]) & ((key[i] < key[j]) | (key[i] == key[j]) & (line[i] < line[j]))
             late = np.where(earlier, j, i)
@@ -342,34 +466,40 @@ def later_sets(lines: DataFrame, likely: DataFrame) -> DataFrame:
                     x, y = i[open_], j[open_]
                     shared = shared_words(x, y, offsets[:-1], offsets[1:], numbers)
                     gone[late[open_[shared >= least_shared(size[x], size[y])]]] = True
-        found = np.unique(identity[gone])
+        found = np.flatnonzero(gone)
+        found = found[first_of(identity[found], check[found])]
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found)], ["set"])
+            yield pa.RecordBatch.from_arrays([pa.array(identity[found]), pa.array(check[found])], ["set", "check"])
 
+    rows = flat.join(likely, ["set", "check"]).select("token", "set", "check", "words", "doc_id", "text_key", "line")
     crowded = large_keys(likely.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0), "token", SAMPLE)
-    placed = tiled(rows(flat), crowded, "token", "set")
-    return scan_groups(placed, "token", [], work, "set bigint").distinct()
+    placed = tiled(rows, crowded, "token", "set")
+    return scan_groups(placed, "token", [], work, "set bigint, check bigint").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, lines)``: the numbers of the removed lines of each row that has any, sorted."""
     read = _Pass(docs)
     likely = stored(likely_sets(read), "likely-sets")
-    chosen = stored(read.chosen(likely.select("set").distinct()), "likely-lines")
+    chosen = stored(read.chosen(likely.select("set", "check").distinct()), "likely-lines")
     gone = stored(later_sets(chosen, likely), "later-sets").withColumn("gone", F.lit(True))
-    lines = read.lines.select("set", "doc_id", "text_key", "line")
+    lines = read.lines.select("set", "check", "doc_id", "text_key", "line")
     here = F.struct("doc_id", "text_key", "line")
-    counted = lines.groupBy("set").agg(F.min(here).alias("first"), F.count("*").alias("n"))
+    counted = lines.groupBy("set", "check").agg(F.min(here).alias("first"), F.count("*").alias("n"))
     # Of sets that occur once and are not removed nothing goes, so they need not meet their lines again.
-    marked = counted.join(gone, "set", "left").where("n > 1 or gone")
-    gone_here = lines.join(marked, "set").where(F.col("gone").isNotNull() | ~here.eqNullSafe(F.col("first")))
+    marked = stored(counted.join(gone, ["set", "check"], "left").where("n > 1 or gone"), "marked-sets")
+    # Very common lines are met where they are: there are at most PARTS of them.
+    most = max(1, lines.count() // PARTS)
+    common, others = F.broadcast(marked.where(F.col("n") > most)), marked.where(F.col("n") <= most)
+    joined = lines.join(common, ["set", "check"]).union(lines.join(others, ["set", "check"]))
+    gone_here = joined.where(F.col("gone").isNotNull() | ~here.eqNullSafe(F.col("first")))
     return gone_here.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)`` for every row of ``docs(doc_id, text, …)``.
 
-    ``doc_id`` is a whole number. Lines end at line breaks; their words are runs without white space,
+    ``doc_id`` is a whole number; other kinds of ids are ordered by their hash. Lines end at line breaks; their words are runs without white space,
     A-Z lower-cased, each counted once. A line goes when an earlier line has the same words, or words
     with a Jaccard similarity of at least 0.8; earlier means a smaller ``doc_id``, then a smaller hash of the text, then a
     smaller line number, and the earlier line may itself go. ``removed`` has the line numbers from 0, comma-joined.
@@ -379,11 +509,12 @@ def line_report(docs: DataFrame) -> DataFrame:
     * Very long lines are compared whole. An empty table gives an empty result; other columns are
       ignored whatever their names.
     """
-    own = _keyed(docs).select(
-        "doc_id", "text_key", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
+    number = _number(docs)
+    own = docs.select(
+        "doc_id", number.alias("_number"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
     )
     gone = removed_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "lines")
-    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+    joined = own.join(gone, F.col("_number").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
     removed = F.coalesce("lines", F.expr("cast(array() as array<int>)"))
     return joined.select(
         "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed")
@@ -396,7 +527,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     All rows stay; a text whose lines all go becomes empty, a null text stays null.
     """
     gone = removed_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("lines").alias("_lines"))
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"])
+    same = _number(docs).eqNullSafe(gone["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_key"])
     # The names of the columns are those of ``docs`` whatever they are, and one that only the next step reads.
     joined = docs.join(gone, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], gone["_lines"].alias("_removed_lines"))
     names, at = docs.columns, docs.columns.index("text")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfmark.llm import bpe_chunks
+from shelfmark.llm import bpe_chunks, common
 from shelfmark.llm.common import table
 
 MODEL = bpe_chunks.read_model()
@@ -54,7 +54,7 @@ def test_shared_passages(spark, path):
 
 
 def test_a_full_filter_moves_more_and_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(bpe_chunks, "chunk_filter", lambda shared: np.full(1 << (bpe_chunks.FILTER_BITS - 6), 2**64 - 1, dtype=np.uint64))
+    monkeypatch.setattr(bpe_chunks, "digest_filter", lambda shared, a, b: np.full(1 << (common.FILTER_BITS - 6), 2**64 - 1, dtype=np.uint64))
     rng, some = passages(2, 10)
     rows = [(i, " ".join(rng.sample(some, 2))) for i in range(20)]
     same(bpe_chunks.encode(frame(spark, rows), MODEL), MODEL, rows)

@@ -145,7 +145,8 @@ def test_lines_against_all_pairs(spark, monkeypatch, crowded):
         whole = line_dedup.large_keys
         monkeypatch.setattr(line_dedup, "SAMPLE", 1)
         monkeypatch.setattr(line_dedup, "large_keys", lambda s, k, share: whole(s, k, share, 6))
-        monkeypatch.setattr(line_dedup, "SENT_SETS", 0)
+        monkeypatch.setattr(line_dedup, "PARTS", 1)
+        monkeypatch.setattr(line_dedup, "in_filter", lambda bits, a, b: np.ones(len(a), dtype=bool))
     rows, expected = line_rows(), plain_lines(line_rows())
     found = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(odd(spark, rows)).collect()}
     assert found == {d: ",".join(map(str, expected[d])) for d, _ in rows}
@@ -153,6 +154,31 @@ def test_lines_against_all_pairs(spark, monkeypatch, crowded):
     assert texts == {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in expected[d]) for d, t in rows}
 
 
+def test_words_that_a_weak_hash_would_take_for_each_other(spark):
+    """Words of 1024 letters, each the complement of the other: sums of powers modulo 2**64 do not tell them apart."""
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, first), (2, first.translate(str.maketrans("ab", "ba"))), (3, first[:500]), (4, first[:500].translate(str.maketrans("ab", "ba"))), (5, first)]
+    found = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(odd(spark, rows)).collect()}
+    assert found == {1: "", 2: "", 3: "", 4: "", 5: "0"}
+
+
+def test_hashes_of_words():
+    words = ["a", "b", "aa", "a" * 8, "a" * 9, "a" * 16, "b" * 512, "b" * 513, "b" * 2000, "é", "\u2028x"]
+    lines = line_dedup.Lines(pa.array([" ".join(words), " ".join(reversed(words))]))
+    for hashes in (lines.word, lines.twin):
+        assert hashes[: len(words)].tolist() == hashes[len(words) :][::-1].tolist() and len(set(hashes.tolist())) == len(words)
+    twin = lines.twin
+    assert (line_dedup.unpacked(line_dedup.packed(twin).tobytes()) == twin & np.uint64(2**48 - 1)).all()
+
+
+def test_lines_of_documents_with_other_ids(spark):
+    rows = [("x", "one two three\none two three"), (None, "one two three"), ("z", "four")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.line_report(docs).collect()}
+    assert found == {"x": (2, 2), None: (1, 0), "z": (1, 0)}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs).collect()} == {"x": "", None: "one two three", "z": "four"}
+
+
 def test_certain_personal_data():
     text = "é a.b@c.org, 1.2.3.4 256.1.1.1 4111 1111-1111 1111 4111 1111 1111 1112 x+1 (487) 555-7209 +12345"
     found = [[text[a:b] for a, b in own] for own in pii.base_spans(text)]
