@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 # The patterns of the certain spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The same matches in time that grows with the text: a run is read from its beginning only.
+EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+EMAIL_NEXT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+IP_NEXT = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ["email", "ip", "card", "phone"]
@@ -65,14 +69,28 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of ``EMAIL``: behind one, the rest of a run may begin the next; other runs are whole."""
+    at = 0
+    while found := (EMAIL_HERE.match(text, at) if at else None) or EMAIL_NEXT.search(text, at):
+        yield found.span()
+        at = found.end()
+
+
+def small_part(part: str) -> bool:
+    """Whether a part of an address is at most 255, however long it is written."""
+    bare = part.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """The certain spans of a text per kind, as code points, the end exclusive."""
     out: list[list[tuple[int, int]]] = [[], [], [], []]
     if "@" in text:
-        out[0] = [m.span() for m in EMAIL.finditer(text)]
+        out[0] = list(emails(text))
     if _DIGIT.search(text):
         if "." in text:
-            out[1] = [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+            out[1] = [m.span() for m in IP_NEXT.finditer(text) if all(map(small_part, m.group().split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = re.sub("[ -]", "", m.group())
@@ -96,7 +114,7 @@ def _digits(text: str) -> str:
 def disproved(token: str) -> list[int]:
     """The labels of which a token has the form but not what their pattern checks."""
     out = []
-    if IP.fullmatch(token) and any(len(p) > 3 or int(p) > 255 for p in token.split(".")):
+    if IP.fullmatch(token) and not all(map(small_part, token.split("."))):
         out.append(1 + KINDS.index("ip"))
     digits = _digits(token)
     if 16 <= len(digits) <= 19 and not luhn(digits):

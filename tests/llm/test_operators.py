@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import struct
+import time
 
 import numpy as np
 import pandas as pd
@@ -186,6 +187,47 @@ def test_certain_personal_data():
     assert pii.base_spans("n 4111 1111-1111 1111.")[2] == [(2, 21)] and pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def plain_base(text):
+    """``base`` of a text by the patterns as they are given."""
+    luhn = lambda d: sum(sum(map(int, str(int(x) * (1 + i % 2)))) for i, x in enumerate(reversed(d))) % 10 == 0
+    spans = [("email", *m.span()) for m in pii.EMAIL.finditer(text)]
+    spans += [("ip", *m.span()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in pii.CARD.finditer(text):
+        digits = [c for c in m.group() if c.isdigit()]
+        if 16 <= len(digits) <= 19 and luhn(digits):
+            spans.append(("card", *m.span()))
+    return spans + [("phone", *m.span()) for m in pii.PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
+
+
+def test_base_columns_against_the_given_patterns(spark):
+    rng = random.Random(11)
+    parts = ["a.b@c.org", "x@y", "@", ".", "%", "-", "1.2.3.4", "300.1.1.1", "007.0.0.1", "5", " ", "4111 1111 1111 1111", "+1 (555) 123-4567", "+", "é", "d.e.", "12", "\n", "a", "+49"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(1, 14)))) for i in range(3000)]
+    df = odd(spark, [*rows, (5000, None), (5001, "")])
+    found = {r["doc_id"]: r for r in pii.digests(pii.find_personal_data(df)).collect()}
+    order = ["email", "ip", "card", "phone"]
+    for d, text in [*rows, (5000, ""), (5001, "")]:
+        base = plain_base(text)
+        r = found[d]
+        assert [r[f"n_{k}"] for k in order] == [sum(s[0] == k for s in base) for k in order], text
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), text
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(spans) >= set(joined.split(",") if joined else []) and len(spans) == len(set(spans))
+        keys = [(order.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in spans)]
+        assert keys == sorted(keys)
+
+
+def test_long_runs_take_no_longer_than_their_length():
+    for text in ("1" * 5000 + ".1.2.3", "0" * 5000 + "1.1.2.3"):
+        assert pii.base_spans(text)[1] == ([(0, len(text))] if text[0] == "0" else [])
+    begin = time.perf_counter()
+    for run in ("1" * 1_000_000, "a" * 1_000_000, "a." * 500_000, "1." * 500_000):
+        for text in (run, run + "@", "@" + run, f"x {run} a@b.c 1.2.3.4"):
+            pii.base_spans(text)
+    assert time.perf_counter() - begin < 16
+
+
 def test_repeated_numbers_get_the_label_of_the_certain_one(spark):
     told = "from a.writer{0}@x.org and a.writer{0}@x.org, card 4111 1111 1111 1111 or 4111 1111 1111 1111, room {0}, 17 of 90{0} rows"
     counts = pii.train(odd(spark, [(i, told.format(i)) for i in range(200)]))
