@@ -13,8 +13,10 @@ belong to more than one child of the interval on the right. A repeat that spans
 at most ``LENGTH - SEED`` bytes before it and ``LENGTH`` behind its beginning in what is
 needed here, as every removed byte lies in a window of ``LENGTH`` bytes.
 
-Texts that are equal as a whole are settled by their digest, one of them stands for all. A seed that is
-very frequent is cut into tiles (see ``groups``): every two of its occurrences meet in some tile.
+Texts that are equal as a whole are settled by their digest, one of them stands for all. Occurrences with
+the same bytes all around are one context, wherever they stand; only distinct contexts are sorted, and what is
+found for one goes back to all its places by a join. A seed with very many contexts is cut into tiles (see
+``groups``): every two of them meet in some tile.
 """
 
 from __future__ import annotations
@@ -36,8 +38,12 @@ LENGTH = 400
 SEED = 128
 #: Bytes of a text that are searched for anchors at a time.
 CHUNK = 1 << 20
-#: One in so many texts is used to estimate which seeds are crowded.
+#: One in so many contexts is used to estimate which seeds are crowded.
 SAMPLE = 32
+#: Contexts with more than one in so many of all occurrences are sent to all tasks; there are at most this many.
+PARTS = 4096
+#: Contexts that a task remembers to have sent.
+REMEMBERED = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -213,55 +219,101 @@ def _scanned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+_KEY = ["seed", "c1", "c2"]
+
+
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """``(seed, digest, before, behind, places)`` for the anchors of ``texts(digest, text, seeds)`` whose seed is listed.
+    """``(seed, c1, c2, before, behind, digest, places)`` for the anchors of ``texts(digest, text, seeds)`` whose seed is listed.
 
-    Places of a text with the same bytes all around are one row, so a periodic text has few.
+    ``c1, c2`` are the digest of the bytes around. A context is one row with its bytes, mostly once a task, and one
+    with the places it has in each text.
     """
+    names = [*_KEY, "before", "behind", "digest", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches:
             for digest, data, wanted in zip(batch.column(0), utf8(batch.column(1)), batch.column(2)):
                 place, seed = anchors(np.frombuffer(data, dtype=np.uint8))
                 keep = np.isin(seed, wanted.values.to_numpy())
-                found: dict[tuple[bytes, bytes], list[int]] = {}
-                of: dict[tuple[bytes, bytes], int] = {}
+                found: dict[bytes, list[int]] = {}
+                of: dict[bytes, int] = {}
+                bytes_of: dict[bytes, tuple[bytes, bytes]] = {}
                 for p, s in zip(place[keep].tolist(), seed[keep].tolist()):
-                    context = data[max(0, p - LENGTH + SEED) : p][::-1], data[p : p + LENGTH]
-                    found.setdefault(context, []).append(p)
-                    of[context] = s
-                if found:
-                    columns = [
-                        pa.array(list(of.values()), pa.int64()),
-                        pa.array([digest.as_py()] * len(found), pa.binary()),
-                        pa.array([c[0] for c in found], pa.binary()),
-                        pa.array([c[1] for c in found], pa.binary()),
-                        pa.array(list(found.values()), pa.list_(pa.int32())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["seed", "digest", "before", "behind", "places"])
-
-    return texts.select("digest", "text", "seeds").mapInArrow(run, "seed bigint, digest binary, before binary, behind binary, places array<int>")
-
-
-def _covered(occurrences: DataFrame, crowded: DataFrame | None) -> DataFrame:
+                    before, behind = data[max(0, p - LENGTH + SEED) : p], data[p : p + LENGTH]
+                    key = hashlib.blake2b(len(before).to_bytes(2, "little") + before + behind, digest_size=16).digest()
+                    found.setdefault(key, []).append(p)
+                    of[key] = s
+                    if key not in sent:
+                        sent.add(key)
+                        bytes_of[key] = before[::-1], behind
+                if len(sent) > REMEMBERED:
+                    sent = set()
+                if not found:
+                    continue
+                for keys, own in ((list(bytes_of), True), (list(found), False)):
+                    pair = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
+                    columns = [pa.array([of[k] for k in keys], pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
+                    if own:
+                        columns += [pa.array([bytes_of[k][i] for k in keys], pa.binary()) for i in (0, 1)]
+                        columns += [pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.list_(pa.int32()))]
+                    else:
+                        columns += [pa.nulls(len(keys), pa.binary())] * 2
+                        columns += [pa.array([digest.as_py()] * len(keys), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "seed bigint, c1 bigint, c2 bigint, before binary, behind binary, digest binary, places array<int>"
+    return texts.select("digest", "text", "seeds").mapInArrow(run, schema)
+
+
+class _Contexts:
+    """The distinct contexts of all anchors of some texts, and their places."""
+
+    def __init__(self, texts: DataFrame):
+        found = stored(_occurrences(texts), "occurrences")
+        self.places = found.where("places IS NOT NULL").select(*_KEY, "digest", "places")
+        counted = found.groupBy(*_KEY).agg(
+            F.first("before", ignorenulls=True).alias("before"),
+            F.first("behind", ignorenulls=True).alias("behind"),
+            F.sum(F.coalesce(F.size("places"), F.lit(0))).alias("n"),
+        )
+        self.contexts = stored(counted, "contexts")
+        sampled = self.contexts.where(F.pmod("c1", F.lit(SAMPLE)) == 0).select("seed")
+        self.placed = tiled(self.contexts, large_keys(sampled, "seed", SAMPLE, PART_ROWS), "seed", "c1")
+
+    def at_places(self, found: DataFrame) -> DataFrame:
+        """``found(seed, c1, c2, …)`` with ``digest`` and ``place`` of every place of the contexts."""
+        total = self.contexts.agg(F.sum("n")).first()[0] or 0
+        counts = self.contexts.select(*_KEY, "n").join(found, _KEY)
+        counts = stored(counts, "found")
+        most = max(1, total // PARTS)
+        common, others = F.broadcast(counts.where(F.col("n") > most)), counts.where(F.col("n") <= most)
+        joined = self.places.join(common, _KEY).unionByName(self.places.join(others, _KEY))
+        return joined.withColumn("place", F.explode("places")).drop("places", "n")
+
+
+def _covered(own: _Contexts) -> DataFrame:
     """``(digest, start, end)`` of the runs that repeats cover, not yet joined across anchors."""
 
     def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
         left, right = columns["before"].to_pylist(), columns["behind"].to_pylist()
-        digests, places = columns["digest"].to_pylist(), columns["places"].to_pylist()
-        out: list[tuple[bytes, int, int]] = []
+        twice = (columns["n"] > 1).tolist()
+        rows, before, behind = [], [], []
         for a, b in zip(starts.tolist(), ends.tolist()):
-            copies = [len(p) > 1 for p in places[a:b]]
-            if b - a == 1 and not copies[0]:
+            if b - a == 1 and not twice[a]:
                 continue
-            for k, (before, behind) in enumerate(reach(left[a:b], right[a:b], copies)):
-                if before + behind:
-                    out += [(digests[a + k], *span) for span in merged([(p - before, p + behind) for p in places[a + k]])]
-        if out:
-            digest, start, end = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["digest", "start", "end"])
+            for k, (x, y) in enumerate(reach(left[a:b], right[a:b], twice[a:b])):
+                if x + y:
+                    rows.append(a + k)
+                    before.append(x)
+                    behind.append(y)
+        if rows:
+            keys = [pa.array(columns[c][rows]) for c in _KEY]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(before, pa.int64()), pa.array(behind, pa.int64())], [*_KEY, "x", "y"])
 
-    return scan_groups(tiled(occurrences, crowded, "seed", "digest"), "seed", [], work, "digest binary, start bigint, end bigint")
+    reached = scan_groups(own.placed, "seed", [], work, "seed bigint, c1 bigint, c2 bigint, x bigint, y bigint")
+    reached = reached.groupBy(*_KEY).agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return own.at_places(reached).select("digest", (F.col("place") - F.col("x")).alias("start"), (F.col("place") + F.col("y")).alias("end"))
 
 
 def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -281,10 +333,9 @@ def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     here = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _digest(F.col("text")).alias("digest"))
     found = here.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("first")))
     texts = stored(found.select("digest", "text", "seeds"), "candidates")
-    # Equal rows each stand for themselves here; what they give is the same.
-    sampled = texts.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0).select(F.explode_outer("seeds").alias("seed"))
-    crowded = large_keys(sampled, "seed", SAMPLE, PART_ROWS)
-    spans = _covered(_occurrences(texts), crowded).groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    # Rows that are equal with their id are one.
+    texts = texts.dropDuplicates(["digest"])
+    spans = _covered(_Contexts(texts)).groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = texts.join(spans, "digest").select("digest", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +358,46 @@ def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return scanned, copies, cuts.join(single, "digest", "left_semi").unionByName(whole)
 
 
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """``(group, length, doc_id, start)``: the occurrences, in bytes, of every maximal repeat of at least ``LENGTH`` bytes.
+
+    A repeat longer than ``LENGTH`` bytes is looked at through windows around its anchors, so it is several groups
+    of windows that overlap. Groups are told by a digest of their bytes. Where a seed has more contexts than fit a tile, a
+    group lists the occurrences of the tiles in which it is maximal. Texts that are equal as a whole each give their own.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _digest(F.col("text")).alias("digest"))
+    scanned = _scanned(docs).select("digest", F.explode_outer("seeds").alias("seed")).where("seed is not null").distinct()
+    wanted = scanned.groupBy("digest").agg(F.collect_set("seed").alias("seeds"))
+    own = _Contexts(texts.select("digest", "text").dropDuplicates(["digest"]).join(wanted, "digest"))
+    copies = texts.groupBy("digest").agg((F.count("*") > 1).alias("copied"))
+
+    def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
+        left, right = columns["before"].to_pylist(), columns["behind"].to_pylist()
+        rows, groups, lengths, before = [], [], [], []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            found = list(maximal_repeats(left[a:b], right[a:b])) if b > a + 1 else []
+            # A context by itself is a repeat where it has several places.
+            found += [(len(left[a + k]), len(right[a + k]), [k]) for k in range(b - a) if len(left[a + k]) + len(right[a + k]) >= LENGTH]
+            for x, y, members in found:
+                bytes_ = left[a + members[0]][:x][::-1] + right[a + members[0]][:y]
+                for k in members:
+                    rows.append(a + k)
+                    groups.append(hashlib.blake2b(bytes_, digest_size=16).hexdigest())
+                    lengths.append(x + y)
+                    before.append(x)
+        if rows:
+            keys = [pa.array(columns[c][rows]) for c in _KEY]
+            extra = [pa.array(groups, pa.string()), pa.array(lengths, pa.int64()), pa.array(before, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*keys, *extra], [*_KEY, "group", "length", "x"])
+
+    schema = "seed bigint, c1 bigint, c2 bigint, group string, length bigint, x bigint"
+    found = scan_groups(own.placed, "seed", [], work, schema).distinct()
+    at = own.at_places(found).select("group", "length", "digest", (F.col("place") - F.col("x")).alias("start")).distinct()
+    at = stored(at.join(copies, "digest"), "groups")
+    again = at.groupBy("group").agg(F.count("*").alias("n"), F.bool_or("copied").alias("any")).where("n > 1 or any").select("group")
+    return at.join(again, "group", "left_semi").join(texts.select("digest", "doc_id"), "digest").select("group", "length", "doc_id", "start")
+
+
 def repeat_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs(doc_id, text, …)``.
 

@@ -99,10 +99,41 @@ def test_repeats_against_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "x", 2: "y", 3: None}
 
 
+def test_groups_list_every_occurrence(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    a, b = text(450), text(900)
+    rows = [(1, text(300) + a + text(50)), (2, a + text(200) + a), (3, text(10) + b), (4, b + text(30)), (5, text(2000)), (6, "z" * 100), (7, None)]
+    rows += [(8, text(3) + a), (9, rows[0][1])]
+    groups = collections.defaultdict(set)
+    for r in repeats.repeat_groups(odd(spark, rows)).collect():
+        groups[r["group"], r["length"]].add((r["doc_id"], r["start"]))
+    texts = {d: (t or "").encode() for d, t in rows}
+    everywhere = []
+    for (_, n), places in groups.items():
+        strings = {texts[d][s : s + n] for d, s in places}
+        assert n >= 400 and len(places) > 1 and len(strings) == 1 and len(next(iter(strings))) == n
+        string = next(iter(strings))
+        expected = {(d, i) for d, t in texts.items() for i in range(len(t) - n + 1) if t[i : i + n] == string}
+        assert places == expected
+        everywhere.append(string.decode())
+    assert any(a.startswith(x[:400]) or x in a or a in x for x in everywhere) and any(x in b for x in everywhere)
+
+
+def test_near_copies_are_few_contexts(spark):
+    """Many texts that differ in one place each: what they share is looked at once."""
+    rng = random.Random(10)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    rows = [(i, base[: 20 * i] + "#" + base[20 * i + 1 :]) for i in range(120)]
+    assert rows_of(repeats.repeat_report(odd(spark, rows))) == brute_repeats(rows)
+
+
 def test_crowded_seeds_are_cut_into_tiles(spark, monkeypatch):
     rows = repeat_rows()
     monkeypatch.setattr(repeats, "SAMPLE", 1)
     monkeypatch.setattr(repeats, "PART_ROWS", 4)
+    monkeypatch.setattr(repeats, "PARTS", 1)
+    monkeypatch.setattr(repeats, "REMEMBERED", 3)
     assert rows_of(repeats.repeat_report(odd(spark, rows))) == brute_repeats(rows)
 
 
