@@ -132,10 +132,14 @@ def postings_join(docs: DataFrame, queries: DataFrame, stats: DataFrame | None =
 
 
 def topk_bm25(docs: DataFrame, queries: DataFrame, k: int, stats: DataFrame | None = None) -> DataFrame:
-    """``(query_id, doc_id, score, rank)`` of the k best documents; ties by ``doc_id``."""
+    """``(query_id, doc_id, score, rank)`` of the k best documents; ties by ``doc_id``.
+
+    Weights are added in whole units of the last digit, so the order in which they come does not show.
+    """
+    units = F.round(F.col("weight") * 10.0**DIGITS).cast("long")
     scores = (
         postings_join(docs, queries, stats)
         .groupBy("doc_id", "query_id")
-        .agg(F.round(F.sum("weight"), DIGITS).alias("score"))
+        .agg((F.sum(units) / 10.0**DIGITS).alias("score"))
     )
     return top_k(scores, k)

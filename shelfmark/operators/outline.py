@@ -13,11 +13,13 @@ from pyspark.sql.window import Window
 from ..functions.paths import ancestors, path_order
 from ..functions.rows import explode_computed
 from ..functions.tokens import count_tokens, truncate_tokens
-from ..session import cut_lineage, stored
+from ..session import stored
 
 INDENT = 4
 TOKEN_LIMIT = 150_000
 SMALL_CORPUS_FILES = 200
+#: Parts of a namespace whose first lines are found apart from each other.
+PARTS = 16
 #: Variants from the richest to the leanest: (name, with classes, with methods).
 VARIANTS = (("methods", True, True), ("classes", True, False), ("files", False, False))
 
@@ -93,9 +95,8 @@ def _leveled_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def fit_tree(files: DataFrame, symbols: DataFrame, max_tokens: int = TOKEN_LIMIT) -> DataFrame:
     """``(namespace, variant, n_tokens, outline)``: the richest outline within the limit.
 
-    When even the file outline is too long it is cut after ``max_tokens`` tokens. Lines are
-    sorted over all tasks and their running token counts taken in two steps (per task, then
-    within it), so the lines of a large namespace are never together in one task.
+    When even the file outline is too long it is cut after ``max_tokens`` tokens. Each task then keeps
+    only as many first lines as can be needed, so the lines of a large namespace are never together in one task.
     """
     # Stored once: the sizes, the sampling for the sort and the sort itself all read it.
     lines = stored(_leveled_lines(files, symbols), "outline")
@@ -113,7 +114,10 @@ def fit_tree(files: DataFrame, symbols: DataFrame, max_tokens: int = TOKEN_LIMIT
         variant = F.when(F.col(name) <= max_tokens, F.lit(name)).otherwise(variant)
     choice = sums.select("namespace", level.alias("level"), variant.alias("variant"))
     chosen = lines.join(choice, "namespace").filter(F.col("need") >= F.col("level"))
-    kept = _first_tokens(chosen, max_tokens)
+    # Only outlines that are too long need to be in order before they are put together.
+    bare = lines.filter("tokens = 0").groupBy("namespace").count().agg(F.max("count")).first()[0] or 0
+    fitting = chosen.filter("variant <> 'truncated'")
+    kept = fitting.unionByName(_first_tokens(chosen.filter("variant = 'truncated'"), max_tokens, bare))
     ordered = F.array_sort(F.collect_list(F.struct(path_order(F.col("node_path")).alias("o"), "line")))
     return kept.groupBy("namespace", "variant").agg(
         F.sum("tokens").alias("n_tokens"),
@@ -121,34 +125,27 @@ def fit_tree(files: DataFrame, symbols: DataFrame, max_tokens: int = TOKEN_LIMIT
     )
 
 
-def _first_tokens(lines: DataFrame, max_tokens: int) -> DataFrame:
-    """Lines, in path order, up to ``max_tokens`` tokens per namespace; the last line may be cut."""
-    order = path_order(F.col("node_path"))
-    # The checkpoint pins which partition a row is in: a recomputed range partitioning may differ.
-    ranged = cut_lineage(
-        lines.withColumn("_o", order)
-        .repartitionByRange("namespace", "_o")
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    before = Window.partitionBy("namespace").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("namespace", "_pid")
-        .agg(F.sum("tokens").alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .filter(F.col("_before") < max_tokens)
-        .drop("_sum")
-    )
-    within = Window.partitionBy("namespace", "_pid").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    counted = ranged.join(offsets, ["namespace", "_pid"]).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
-    )
-    room = F.lit(max_tokens) - F.col("_start")
+def _first_tokens(lines: DataFrame, max_tokens: int, bare: int) -> DataFrame:
+    """Lines, in path order, up to ``max_tokens`` tokens per namespace; the last line may be cut.
+
+    A line has a token at least, but for at most ``bare`` lines of a namespace, so no more lines than both
+    together can be among the first. So many are kept by each task, by each part of a namespace, and then of
+    the namespace; what is added up is never longer than that.
+    """
+    most = max_tokens + bare
+    ordered = lines.withColumns({"_o": path_order(F.col("node_path")), "_part": F.pmod(F.xxhash64("node_path"), F.lit(PARTS))})
+    for by in (["namespace", "_part"], ["namespace"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_o"))
+        ordered = ordered.withColumn("_n", place).filter(F.col("_n") <= most)
+    before = Window.partitionBy("namespace").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(max_tokens) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
     return (
-        counted.filter(room > 0)
+        ordered.withColumn("_room", room)
+        .filter("_room > 0")
         .withColumn(
             "line",
-            F.when(F.col("tokens") > room, truncate_tokens(F.col("line"), room.cast("int"))).otherwise(F.col("line")),
+            F.when(F.col("tokens") > F.col("_room"), truncate_tokens(F.col("line"), F.col("_room").cast("int"))).otherwise(F.col("line")),
         )
-        .withColumn("tokens", F.least("tokens", room))
-        .drop("_o", "_pid", "_before", "_start")
+        .withColumn("tokens", F.least("tokens", "_room"))
+        .drop("_o", "_n", "_part", "_room")
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.tokens import terms
@@ -101,6 +103,30 @@ def with_metadata(hits: DataFrame, docs: DataFrame, columns: list[str], at_most:
     return docs.select("doc_id", *columns).join(hits, "doc_id").select(*hits.columns, *columns)
 
 
+def model_scores(pairs: DataFrame, model: Callable[[list[str], list[str]], Sequence[float]], batch_size: int) -> DataFrame:
+    """Adds ``rerank_score`` and ``error`` to ``pairs(…, question, text)`` by a model that may fail.
+
+    The model is called with lists of questions and texts. A failing call gives its rows no score and the error.
+    """
+    schema = T.StructType([*pairs.schema.fields, T.StructField("rerank_score", T.DoubleType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                questions, texts = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("question", "text"))
+                try:
+                    scores, error = [float(x) for x in model(questions, texts)], None
+                    if len(scores) != len(texts):
+                        raise ValueError(f"{len(scores)} scores for {len(texts)} texts")
+                except Exception as e:  # noqa: BLE001 - any error of a model becomes rows
+                    scores, error = [None] * len(texts), f"{type(e).__name__}: {e}"
+                columns = [*part.columns, pa.array(scores, pa.float64()), pa.array([error] * len(texts), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "rerank_score", "error"])
+
+    return pairs.mapInArrow(run, schema)
+
+
 def rerank_topn(
     hits: DataFrame,
     queries: DataFrame,
@@ -108,17 +134,24 @@ def rerank_topn(
     n: int = DEFAULT_RERANKED,
     scorer: Callable[[Column, Column], Column] = token_overlap,
     at_most: int | None = None,
+    model: Callable[[list[str], list[str]], Sequence[float]] | None = None,
+    batch_size: int = 64,
 ) -> DataFrame:
-    """Score the retrieved pairs again and keep the n best of each query.
+    """Score the retrieved pairs again and keep the n best of each query: ``(query_id, doc_id, score, fell_back, rank)``.
 
-    ``scorer`` takes the question and text columns and returns a column: a native
-    expression or a pandas UDF around a model. Only retrieved pairs reach it. ``at_most``
-    bounds the number of hits as in ``with_metadata``.
+    ``scorer`` takes the question and text columns and returns a column, or ``model`` is called with lists of
+    both. Only retrieved pairs reach them. A query of which any pair got no score, as a call has failed,
+    keeps the order of retrieval; see :func:`rerank_fallback`. ``at_most`` bounds the number of hits as
+    in ``with_metadata``.
     """
-    asked = hits.select("query_id", "doc_id").join(queries.select("query_id", "question"), "query_id")
+    asked = hits.select("query_id", "doc_id", "rank").join(queries.select("query_id", "question"), "query_id")
     pairs = with_metadata(asked, docs, ["text"], at_most)
-    scored = pairs.select("query_id", "doc_id", scorer(F.col("question"), F.col("text")).alias("score"))
-    return top_k(scored, n)
+    if model is None:
+        scored = pairs.withColumns({"rerank_score": scorer(F.col("question"), F.col("text")).cast("double"), "error": F.lit(None).cast("string")})
+    else:
+        scored = model_scores(pairs, model, batch_size)
+    failed = F.col("error").isNotNull()
+    return rerank_fallback(scored.select("query_id", "doc_id", "rank", "rerank_score", failed.alias("error")), n)
 
 
 def rerank_fallback(reranked: DataFrame, n: int = DEFAULT_RERANKED) -> DataFrame:

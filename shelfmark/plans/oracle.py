@@ -441,7 +441,7 @@ def _bm25(name: str, docs: str, asked: str, k: int, *needs: str) -> None:
         f"{name}_totals",
     )
     _ranked(
-        f"SELECT query_id, doc_id, round(sum(weight), 12) AS score FROM {name}_weights GROUP BY ALL", k, name, f"{name}_weights"
+        f"SELECT query_id, doc_id, sum(CAST(round(weight * 1e12) AS BIGINT))::DOUBLE / 1e12 AS score FROM {name}_weights GROUP BY ALL", k, name, f"{name}_weights"
     )
 
 

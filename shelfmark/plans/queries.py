@@ -764,7 +764,7 @@ def rerank_topn(spark, sf_dir):
         _questions(spark, sf_dir),
         _documents(spark, sf_dir),
         at_most=_hit_bound(spark, sf_dir),
-    )
+    ).drop("fell_back")
 
 
 @query

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.rows import explode_computed
-from ..functions.tokens import terms
+from ..operators.passages import passage_matches
 from ..session import scratch_path
 
 OWNER = "acme"
@@ -271,39 +270,6 @@ def qrels_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("relevance", F.lit(1))
 
 
-def passage_matches(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """Pairs where the document contains the passage, found by an equi-join instead of all pairs.
-
-    All words of a passage but the first and last are whole words of a document that contains
-    it, so its longest inner word is a join key; a passage without inner words is keyed by its
-    first character. Every candidate is then checked on the whole texts.
-    """
-    inner = lambda t: F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0)))
-    longest = F.transform(inner(terms(F.col("passage"))), lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t")))
-    keyed = passages.filter(F.char_length("passage") > 0).withColumn(
-        "key",
-        F.coalesce(
-            F.array_max(longest)["t"],
-            F.concat(F.lit("\u0001"), F.lower(F.substring("passage", 1, 1))),
-        ),
-    )
-    signature = F.array_distinct(terms(F.col("text")))
-    if not keyed.filter(F.col("key").startswith("\u0001")).isEmpty():
-        letters = F.array_distinct(F.split(F.lower("text"), ""))
-        signature = F.concat(signature, F.transform(letters, lambda c: F.concat(F.lit("\u0001"), c)))
-    candidates = (
-        explode_computed(documents, ["doc_id"], signature, "key")
-        .join(keyed.select("query_id", "key"), "key")
-        .select("doc_id", "query_id")
-    )
-    return (
-        candidates.join(documents, "doc_id")
-        .join(passages, "query_id")
-        .filter(F.col("text").contains(F.col("passage")))
-        .select("query_id", "doc_id")
-    )
-
-
 def jobs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     status = (

@@ -14,7 +14,7 @@ def question_id(question: Column) -> Column:
 def read_benchmark_json(
     spark: SparkSession, path: str, question_field: str = "question", gold_field: str = "context_files", lines: bool = False
 ) -> DataFrame:
-    """``(query_id, question, gold)``. The id is made from the question, so it does not depend on how
+    """``(query_id, question, gold, position)``. The id is made from the question, so it does not depend on how
     files are read. A file is one JSON array, or has one item a ``line``."""
     schema = f"`{question_field}` string, `{gold_field}` array<string>"
     items = spark.read.schema(schema).option("multiLine", not lines).json(path)
@@ -22,6 +22,7 @@ def read_benchmark_json(
         question_id(F.col(question_field)).alias("query_id"),
         F.col(question_field).alias("question"),
         F.col(gold_field).alias("gold"),
+        F.monotonically_increasing_id().alias("position"),
     )
 
 
@@ -35,7 +36,8 @@ def scan_benchmark(items: DataFrame, max_instances: int | None = None) -> tuple[
 
 
 def limit_instances(items: DataFrame, n: int) -> DataFrame:
-    return items.orderBy("query_id").limit(n)
+    """The first items: by their place in the file if that is known, else by id."""
+    return items.orderBy("position" if "position" in items.columns else "query_id").limit(n)
 
 
 def scan_question_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.tokens import terms
 from shelfmark.functions.vectors import embedding_size
-from shelfmark.operators import batching, bm25, dense, evaluation, path_match, ranking
+from shelfmark.operators import batching, bm25, dense, evaluation, passages, path_match, ranking
 from shelfmark.plans import views
 
 
@@ -30,7 +30,7 @@ def brute(corpus, queries, k, metric):
                 "cosine": a @ b / np.linalg.norm(a) / np.linalg.norm(b),
                 "l2": -np.linalg.norm(a - b),
             }[metric]
-            scored.append((-round(float(s), 6), d))
+            scored.append((-round(float(s), 12), d))
         out += [(q, d, rank + 1) for rank, (_, d) in enumerate(sorted(scored)[:k])]
     return sorted(out)
 
@@ -70,8 +70,52 @@ def test_passages_without_inner_words(spark):
     asked = spark.createDataFrame(
         [(1, "lph"), (2, "pha be"), (3, "alpha beta"), (4, ""), (5, "Xl")], "query_id long, passage string"
     )
-    found = sorted(tuple(r) for r in views.passage_matches(docs, asked).select("query_id", "doc_id").collect())
-    assert found == [(1, 1), (1, 2), (2, 1), (3, 1), (5, 2)]
+    for sent in (passages.PASSAGE_BYTES, 0):
+        found = sorted(tuple(r) for r in passages.passage_matches(docs, asked, sent).select("query_id", "doc_id").collect())
+        assert found == [(1, 1), (1, 2), (2, 1), (3, 1), (5, 2)]
+
+
+def test_passages_against_a_search_of_each(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abé ", k=r.randint(1, 5)))
+    docs = [(f"d{i}", "".join(word() for _ in range(r.randint(0, 30)))) for i in range(60)] + [("n", None), ("e", "")]
+    asked = [(i, word()) for i in range(40)] + [(99, None), (98, ""), (97, "ab"), (96, "ab")]
+    found = passages.passage_matches(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(asked, "query_id int, passage string"))
+    assert sorted(map(tuple, found.collect())) == sorted((q, d) for q, p in asked for d, t in docs if p and t and p in t)
+
+
+def test_nearly_equal_scores_are_told_apart(spark):
+    corpus = [(1, [1.0, 0.0]), (2, [1.0, 4e-4]), (3, [1.0, 1e-4]), (4, [0.0, 1.0])]
+    queries = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
+    df = spark.createDataFrame(corpus, "doc_id long, embedding array<double>")
+    for metric in ("cosine", "l2"):  # all of 1 to 3 agree to six digits in cosine
+        found = dense.nearest(df, queries, 3, metric).orderBy("rank").collect()
+        assert [r.doc_id for r in found] == [1, 3, 2]
+    one = spark.createDataFrame([(1, i, 1.0, i) for i in range(1, 1001)], "query_id long, doc_id long, score double, rank int")
+    fused = ranking.hybrid_rrf(one, one.limit(0), 0.5, 1000).orderBy("rank").collect()
+    assert [r.doc_id for r in fused] == list(range(1, 1001))
+
+
+class Judge:
+    """Scores by length, and fails for every call that holds the word poison."""
+
+    def __call__(self, questions, texts):
+        if "poison" in texts:
+            raise RuntimeError("no")
+        return [float(len(t)) for t in texts]
+
+
+def test_a_failing_scorer_leaves_its_queries_as_retrieved(spark):
+    docs = spark.createDataFrame([(i, "poison" if i == 7 else "x" * i) for i in range(12)], "doc_id long, text string")
+    rows = [(q, d, float(20 - d), d - 4 * q + 1) for q in range(3) for d in range(4 * q, 4 * q + 4)]
+    hits = spark.createDataFrame(rows, "query_id long, doc_id long, score double, rank int")
+    asked = spark.createDataFrame([(q, "?") for q in range(3)], "query_id long, question string")
+    found = ranking.rerank_topn(hits, asked, docs, 3, model=Judge(), batch_size=1).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r.fell_back) for r in found] == [
+        *[(0, d, False) for d in (3, 2, 1)], *[(1, d, True) for d in (4, 5, 6)], *[(2, d, False) for d in (11, 10, 9)]
+    ]
+    short = ranking.rerank_topn(hits, asked, docs, 3, model=lambda q, t: [1.0], batch_size=4).collect()
+    assert all(r.fell_back for r in short)
 
 
 def distance(a, b):
