@@ -311,13 +311,17 @@ class _Pass:
         return _summed(rows, size, "u1", lambda n: n > 1)
 
     def _sets(self) -> DataFrame:
-        """``(set, check, parity, size, tokens, places, priors)`` of the distinct sets with prefix words that other sets may have."""
+        """``(set, parity, tokens, places, priors)`` of the distinct sets with prefix words that other sets may have.
+
+        ``places`` has a word's place below the number of words of the set. Here a set goes by the first half of
+        its identity alone: this only brings sets together.
+        """
         size = self.classes
         shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(self._shared_classes()))  # a bit for each class
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                prefix = batch.column(4)
+                prefix = batch.column(3)
                 token = prefix.flatten().to_numpy(zero_copy_only=False)
                 n = np.diff(prefix.offsets.to_numpy())
                 begins = np.repeat(np.cumsum(n) - n, n)
@@ -328,38 +332,39 @@ class _Pass:
                 left = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
                 some = np.flatnonzero(left)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(left[some])]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (token, place.astype(np.int32), prior)]
+                sized = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) << 32, n) | place
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (token, sized, prior)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(pa.array(some)) for i in range(4)), *lists], ["set", "check", "parity", "size", "tokens", "places", "priors"]
+                    [*(batch.column(i).take(pa.array(some)) for i in range(2)), *lists], ["set", "parity", "tokens", "places", "priors"]
                 )
 
-        rows = self.lines.where("prefix is not null").select("set", "check", "parity", "size", "prefix")
-        schema = "set bigint, check bigint, parity bigint, size int, tokens array<bigint>, places array<int>, priors array<bigint>"
-        return rows.mapInArrow(run, schema).dropDuplicates(["set", "check"])
+        rows = self.lines.where("prefix is not null").select("set", "parity", "size", "prefix")
+        schema = "set bigint, parity bigint, tokens array<bigint>, places array<bigint>, priors array<bigint>"
+        return rows.mapInArrow(run, schema).dropDuplicates(["set"])
 
     def prefixes(self, share: int = 1) -> DataFrame:
-        """``(token, set, check, parity, size, place, prior)`` for the prefix of each distinct set; ``prior`` is the token before."""
+        """``(token, set, parity, place, prior)`` for the prefix of each distinct set; ``prior`` is the token before."""
         sets = self.sets
         if share > 1:
             sets = sets.where(F.pmod(F.xxhash64("set"), F.lit(share)) == 0)
-        each = sets.select("set", "check", "parity", "size", F.explode(F.arrays_zip("tokens", "places", "priors")).alias("p"))
-        return each.select(F.col("p.tokens").alias("token"), "set", "check", "parity", "size", F.col("p.places").alias("place"), F.col("p.priors").alias("prior"))
+        each = sets.select("set", "parity", F.explode(F.arrays_zip("tokens", "places", "priors")).alias("p"))
+        return each.select(F.col("p.tokens").alias("token"), "set", "parity", F.col("p.places").alias("place"), F.col("p.priors").alias("prior"))
 
     def chosen(self, sets: DataFrame) -> DataFrame:
-        """``(set, check, first, words)`` of the sets in ``sets(set, check)``: the first line that has each, and its words.
+        """``(set, check, first, words)`` of the sets in ``sets(set)``: the first line that has each, and its words.
 
         A filter of fixed size spares most other lines, an exact join the rest of them.
         """
         rarity = self.rarity
         sets = stored(sets, "wanted-sets")
-        bits = sets.sparkSession.sparkContext.broadcast(digest_filter(sets, "set", "check"))
+        bits = sets.sparkSession.sparkContext.broadcast(digest_filter(sets, "set", "set"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", BATCH_BYTES):
                 own = Lines(batch.column(2))
                 line, token, twin, _ = own.ordered(rarity.value)
                 size, identity, check, _ = sketches(line, token, twin, own.lines)
-                wanted = (size > 0) & in_filter(bits.value, identity, check)
+                wanted = (size > 0) & in_filter(bits.value, identity, identity)
                 full = np.flatnonzero(wanted)
                 doc = np.searchsorted(own.first_line, full, side="right") - 1
                 at = pa.array(doc)
@@ -378,7 +383,7 @@ class _Pass:
                 )
 
         rows = self.docs.mapInArrow(run, "set bigint, check bigint, doc_id bigint, text_key bigint, line int, words binary")
-        found = rows.join(sets, ["set", "check"], "left_semi").groupBy("set", "check")
+        found = rows.join(sets, "set", "left_semi").groupBy("set", "check")
         return found.agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.first("words", ignorenulls=True).alias("words"))
 
 
@@ -392,16 +397,16 @@ def first_of(identity: np.ndarray, check: np.ndarray) -> np.ndarray:
 
 
 def likely_sets(read: _Pass) -> DataFrame:
-    """``(set, check, token)`` of all sets that have another within the filters at some prefix word, with these words.
+    """``(set, token)`` of all sets that have another within the filters at some prefix word, with these words.
 
     Two sets with the same word before this one have met there, and are not compared again.
     """
     a, b = SIMILAR
 
     def work(columns, starts, ends) -> Iterator[pa.RecordBatch]:
-        identity, check, prior = columns["set"], columns["check"], columns["prior"]
+        identity, prior = columns["set"], columns["prior"]
         parity = columns["parity"].view(np.uint64)
-        size, place = columns["size"].astype(np.int32), columns["place"].astype(np.int32)
+        size, place = (columns["place"] >> 32).astype(np.int32), (columns["place"] & (2**32 - 1)).astype(np.int32)
         likely = np.zeros(len(identity), dtype=bool)
         for i, j in index_pairs(starts, ends, columns["side"]):
             # What the sketches leave is little, so that the other filters see few pairs.
@@ -410,18 +415,18 @@ def likely_sets(read: _Pass) -> DataFrame:
             i, j, differing = i[near], j[near], differing[near]
             n, m = size[i], size[j]
             shared = least_shared(n, m)
-            near = ((identity[i] != identity[j]) | (check[i] != check[j])) & (b * np.minimum(n, m) >= a * np.maximum(n, m))
+            near = (identity[i] != identity[j]) & (b * np.minimum(n, m) >= a * np.maximum(n, m))
             near &= np.minimum(n - place[i], m - place[j]) >= shared
             near &= differing <= n + m - 2 * shared
             near &= (prior[i] != prior[j]) | (place[i] == 0) | (place[j] == 0)
             likely[i[near]] = True
             likely[j[near]] = True
         if likely.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[likely]) for x in (identity, check, columns["token"])], ["set", "check", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(identity[likely]), pa.array(columns["token"][likely])], ["set", "token"])
 
     crowded = large_keys(read.prefixes(SAMPLE), "token", SAMPLE)
     placed = tiled(read.prefixes(), crowded, "token", "set")
-    return scan_groups(placed, "token", [], work, "set bigint, check bigint, token bigint").distinct()
+    return scan_groups(placed, "token", [], work, "set bigint, token bigint").distinct()
 
 
 def shared_words(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -437,7 +442,7 @@ def shared_words(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray
 def later_sets(lines: DataFrame, likely: DataFrame) -> DataFrame:
     """``(set, check)`` of the rows of ``lines(set, check, first, words)`` that are similar enough to an earlier row.
 
-    Rows meet at the words of ``likely(set, check, token)`` only, as every similar pair is likely at the first prefix word it shares.
+    Rows meet at the words of ``likely(set, token)`` only, as every similar pair is likely at the first prefix word it shares.
     """
     # Rows without id come first.
     doc = F.coalesce("first.doc_id", F.lit(-(2**63)))
@@ -471,7 +476,7 @@ def later_sets(lines: DataFrame, likely: DataFrame) -> DataFrame:
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(identity[found]), pa.array(check[found])], ["set", "check"])
 
-    rows = flat.join(likely, ["set", "check"]).select("token", "set", "check", "words", "doc_id", "text_key", "line")
+    rows = flat.join(likely, "set").select("token", "set", "check", "words", "doc_id", "text_key", "line")
     crowded = large_keys(likely.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0), "token", SAMPLE)
     placed = tiled(rows, crowded, "token", "set")
     return scan_groups(placed, "token", [], work, "set bigint, check bigint").distinct()
@@ -481,7 +486,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, lines)``: the numbers of the removed lines of each row that has any, sorted."""
     read = _Pass(docs)
     likely = stored(likely_sets(read), "likely-sets")
-    chosen = stored(read.chosen(likely.select("set", "check").distinct()), "likely-lines")
+    chosen = stored(read.chosen(likely.select("set").distinct()), "likely-lines")
     gone = stored(later_sets(chosen, likely), "later-sets").withColumn("gone", F.lit(True))
     lines = read.lines.select("set", "check", "doc_id", "text_key", "line")
     here = F.struct("doc_id", "text_key", "line")
