@@ -129,11 +129,20 @@ def _spans(kind: int, pattern: str, group: int = 0, least: int = 0) -> str:
         unnest(range(1, len(regexp_extract_all(text, {p})) + 1)) AS k FROM d WHERE regexp_matches(text, {p}))) WHERE len(g) >= {least}"""
 
 
+#: Runs of the characters of keys with all signs behind them that may be padding; whether they are shows the next character.
+_KEY_RUN = "[A-Za-z0-9+/_-]{16,}=*"
+_PLAIN_KEY = f"(len(core) = {secrets.WEAK_LENGTH} AND NOT regexp_matches(core, '[_-]') OR len(core) <= {secrets.WEAK_HEX} AND NOT regexp_matches(core, '[^0-9a-f]'))"
+_MIXED_KEY = "(regexp_matches(core, '[0-9]') AND regexp_matches(core, '[A-Za-z]') OR regexp_matches(core, '[a-z][A-Z]'))"
+_ENTROPY = """log2(len(core)) - list_sum(list_transform(list_distinct(string_split(core, '')),
+  lambda c: (len(core) - len(replace(core, c, ''))) * log2(len(core) - len(replace(core, c, ''))))) / len(core)"""
 _NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
 SQL["op10_secrets"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_spans(0, secrets.ASSIGN, 1, secrets.ASSIGN_LEAST)} UNION ALL {_spans(1, secrets.ACCESS)} UNION ALL {_spans(2, secrets.HEX)}),
-weak AS (SELECT * FROM ({_spans(3, secrets.RUN)}) WHERE len(m) = {secrets.WEAK_LENGTH} OR len(m) <= {secrets.WEAK_HEX} AND NOT regexp_matches(m, '[^0-9a-f]')),
+runs AS (SELECT r, s, m, rtrim(m, '=') AS core, substr(text, s + len(m) + 1, 1) AS next FROM ({_spans(3, _KEY_RUN)}) JOIN d USING (r)),
+weak AS (SELECT r, kind, s, e FROM ({_spans(3, secrets.RUN)}) WHERE len(m) = {secrets.WEAK_LENGTH} OR len(m) <= {secrets.WEAK_HEX} AND NOT regexp_matches(m, '[^0-9a-f]')
+  UNION SELECT r, 3, s, s + CASE WHEN len(m) - len(core) IN (1, 2) AND NOT regexp_matches(next, '[A-Za-z0-9+/_-]') THEN len(m) ELSE len(core) END
+  FROM runs WHERE NOT {_PLAIN_KEY} AND NOT regexp_full_match(core, '(?:{secrets.HEX}|{secrets.ACCESS})') AND ({_MIXED_KEY} OR {_ENTROPY} >= {secrets.ENTROPY})),
 parts AS ({_spans(4, secrets.IDENTIFIER)} UNION ALL {_spans(4, secrets.ACCESS)} UNION ALL {_spans(5, secrets.ENDPOINT)}),
 met AS (SELECT w.r, w.kind AS wk, w.s AS ws, w.e AS we, p.kind AS pk, p.s AS ps, p.e AS pe FROM weak w JOIN parts p USING (r)
   WHERE (p.s >= w.e AND p.s - w.e <= {secrets.SCOPE}) OR (p.e <= w.s AND w.s - p.e <= {secrets.SCOPE})),
