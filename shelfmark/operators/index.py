@@ -3,8 +3,8 @@
 Writes only ever add a commit folder, and a commit is rewritten as a whole when it is
 repeated, so a retried or replayed write changes nothing. Nothing is read and
 overwritten in one job. Ids are unique within a commit, so the oldest commit, which holds
-the bulk, is only scanned: reads resolve the versions of the later commits and take their
-ids out of it.
+the bulk, is only scanned: reads resolve the versions of the later commits by their keys and take these
+out of it. Few keys are sent to where the vectors are.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import fits
 from .dense import nearest
 
 VECTOR_SCHEMA = T.StructType(
@@ -42,9 +43,21 @@ def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return best.select(*keys, "_b.*").select(*rows.columns)
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """Keys with a broadcast hint when they are measured to be few, so that what they are looked up in stays where it is."""
+    return F.broadcast(keys) if fits(keys) else keys
+
+
 def upsert_index(current: DataFrame, incoming: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """Insert or replace by key; the last write wins."""
-    return newest(current.unionByName(incoming, allowMissingColumns=True), keys, version)
+    """Insert or replace by key; the last write wins.
+
+    ``current`` has one row per key. Only its rows whose key comes again are compared by version; the
+    others, with their vectors, are passed on as they are, and not moved for an update of few rows.
+    """
+    again = small(incoming.select(*keys).distinct())
+    compared = current.join(again, keys, "left_semi").unionByName(incoming, allowMissingColumns=True)
+    untouched = current.join(again, keys, "left_anti")
+    return untouched.unionByName(newest(compared, keys, version), allowMissingColumns=True).select(*compared.columns)
 
 
 class Index:
@@ -104,10 +117,11 @@ class Index:
             rows = namespace_filter(rows, namespace)
         if len(commits) < 2:
             return rows.drop("commit")
-        first = rows.filter(F.col("commit") == commits[0])
-        later = newest(rows.filter(F.col("commit") > commits[0]), self.KEYS, "commit")
-        untouched = first.join(later.select(*self.KEYS), self.KEYS, "left_anti")
-        return untouched.unionByName(later).drop("commit")
+        first, later = rows.filter(F.col("commit") == commits[0]), rows.filter(F.col("commit") > commits[0])
+        # Which commit is the newest of a chunk is told by keys alone; vectors are read last.
+        newest_of = small(later.groupBy(*self.KEYS).agg(F.max("commit").alias("commit")))
+        untouched = first.join(newest_of.select(*self.KEYS), self.KEYS, "left_anti")
+        return untouched.unionByName(later.join(newest_of, [*self.KEYS, "commit"]).select(*untouched.columns)).drop("commit")
 
     def compact(self, root: str, name: str) -> Index:
         """The newest versions as the only commit of a new index."""

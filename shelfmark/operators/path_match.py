@@ -11,63 +11,74 @@ from ..functions.rows import explode_computed
 from ..session import BROADCAST_ROWS, cut_lineage
 
 MAX_EDIT_DISTANCE = 10
-#: (distance, gram length) of the search rounds. Small distances allow long, rare grams, and
-#: a guess leaves the search with the first round that finds a path for it.
-ROUNDS = ((2, 5), (5, 3), (10, 2))
+#: Distances of the search rounds. A guess leaves the search with the first round that finds a path for it.
+ROUNDS = (2, 5, 10)
 
 
-def _grams(text: Column, q: int) -> Column:
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.char_length(text) - (q - 1), F.lit(1))),
-            lambda i: F.substring(text, i, F.lit(q)),
-        )
+def _bare(path: Column, kind: Column) -> Column:
+    """A path without the namespace it begins with (kind 1), which changes no distance to another one like it."""
+    return F.when(kind == 1, F.substring(path, F.length("namespace") + 2, F.length(path))).otherwise(path)
+
+
+def _pieces(s: Column, distance: int) -> Column:
+    """Twice as many pieces as ``distance + 1``, as far as the string has characters: ``array<struct<piece, pos>>``."""
+    n = F.length(s)
+    count = F.least(n, F.lit(2 * distance + 2))
+    at = lambda i: F.floor(i * n / count).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.substring(s, at(i) + 1, at(i + 1) - at(i)).alias("piece"), at(i).alias("pos"))
     )
 
 
-def _signatures(strings: DataFrame, frequency: DataFrame, q: int, distance: int, widen: bool) -> DataFrame:
-    """The ``q * distance + 1`` rarest grams of each string, as rows ``(namespace, s, sig)``.
+def _index(paths: DataFrame, distance: int) -> DataFrame:
+    """``(namespace, kind, key, pos, file_path, s)``: the ``distance + 1`` rarest pieces of each path, with their places.
 
-    One edit touches at most q grams, so two strings within the distance share one of these,
-    unless both have fewer grams than that. Such short strings also get their length as a
-    signature, on one side with all lengths within the distance.
+    A string within the distance changes at most ``distance`` pieces, so it has at least one of these unchanged,
+    whichever they are. Paths with fewer characters than that are known by their length.
     """
-    needed = q * distance + 1
-    grams = strings.select("namespace", "s", _grams(F.col("s"), q).alias("g"))
-    rows = explode_computed(grams, ["namespace", "s"], "g", "gram")
-    # A string has few grams, so they are sorted as an array of the string.
-    weighed = (
-        rows.join(frequency, ["namespace", "gram"], "left")
-        .groupBy("namespace", "s")
-        .agg(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    keys = ["namespace", "kind", "file_path", "s"]
+    long = paths.filter(F.length("s") > distance)
+    rows = long.select(*keys, F.explode(_pieces(F.col("s"), distance)).alias("p")).select(*keys, "p.piece", "p.pos")
+    counted = rows.groupBy("namespace", "kind", "piece").agg(F.count("*").alias("n"))
+    chosen = rows.join(counted, ["namespace", "kind", "piece"]).groupBy(*keys).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("n", "pos", "piece"))), 1, distance + 1).alias("p")
     )
-    rarest = F.transform(F.slice(F.sort_array("g"), 1, needed), lambda x: F.concat(F.lit("g:"), x["gram"]))
-    rare = explode_computed(weighed, ["namespace", "s"], rarest, "sig")
-    length = F.char_length("s")
-    reach = distance if widen else 0
+    rare = chosen.select(*keys, F.explode("p").alias("p")).select(*keys, F.concat(F.lit("p"), "p.piece").alias("key"), "p.pos")
+    short = paths.filter(F.length("s") <= distance)
+    return rare.unionByName(short.select(*keys, F.concat(F.lit("n"), F.length("s").cast("string")).alias("key"), F.lit(0).alias("pos")))
+
+
+def _looked_up(guesses: DataFrame, distance: int) -> DataFrame:
+    """``(namespace, kind, guess, g, key, pos)``: all substrings that may be a piece of a path within the distance."""
+    n = F.length("g")
+    pieces = 2 * distance + 2
+    low = F.greatest(F.floor((n - distance) / pieces).cast("int"), F.lit(1))
+    high = F.greatest(F.ceil((n + distance) / pieces).cast("int"), low)
+    of_length = lambda size: F.transform(
+        F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.struct(F.concat(F.lit("p"), F.substring("g", i + 1, size)).alias("key"), i.alias("pos"))
+    )
+    parts = F.flatten(F.transform(F.sequence(low, high), of_length))
     lengths = F.transform(
-        F.sequence(F.greatest(length - reach, F.lit(0)), length + reach),
-        lambda n: F.concat(F.lit("n:"), n.cast("string")),
+        F.sequence(F.greatest(n - distance, F.lit(0)), F.least(n + distance, F.lit(distance))),
+        lambda m: F.struct(F.concat(F.lit("n"), m.cast("string")).alias("key"), F.lit(0).alias("pos")),
     )
-    short = grams.filter(F.size("g") < needed).select("namespace", "s", F.explode(lengths).alias("sig"))
-    return rare.unionByName(short)
+    both = F.concat(parts, F.when(n <= 2 * distance, lengths).otherwise(F.filter(lengths, lambda _: F.lit(False))))
+    return explode_computed(guesses, ["namespace", "kind", "guess", "g"], both, "k").select("namespace", "kind", "guess", "g", "k.key", "k.pos")
 
 
-def _round(guesses: DataFrame, paths: DataFrame, distance: int, q: int) -> DataFrame:
+def _round(guesses: DataFrame, paths: DataFrame, distance: int) -> DataFrame:
     """Nearest path within ``distance`` of every guess that has one."""
-    corpus = paths.select("namespace", F.col("file_path").alias("s"))
-    gram_rows = explode_computed(
-        corpus.select("namespace", _grams(F.col("s"), q).alias("g")), ["namespace"], "g", "gram"
-    )
-    frequency = gram_rows.groupBy("namespace", "gram").agg(F.count("*").alias("n"))
-    left = _signatures(guesses.select("namespace", F.col("guess").alias("s")), frequency, q, distance, widen=True)
-    right = _signatures(corpus, frequency, q, distance, widen=False)
-    near_length = F.abs(F.char_length("guess") - F.char_length("file_path")) <= distance
+    wanted = guesses.select("namespace", "kind").distinct()
+    begins = F.startswith("file_path", F.concat("namespace", F.lit("/")))
+    corpus = paths.join(wanted, "namespace").filter((F.col("kind") == 0) | begins)
+    # Guesses of kind 1 meet paths of kind 1; a path of another form is no nearer than its form.
+    index = _index(corpus.withColumn("s", _bare(F.col("file_path"), F.col("kind"))), distance)
+    near = (F.abs(F.length("g") - F.length("s")) <= distance) & (F.abs(F.col("pos") - F.col("at")) <= distance)
     close = (
-        left.withColumnRenamed("s", "guess")
-        .join(right.withColumnRenamed("s", "file_path"), ["namespace", "sig"])
-        .filter(near_length)
-        .withColumn("distance", F.levenshtein("guess", "file_path", distance))
+        _looked_up(guesses, distance)
+        .join(index.withColumnRenamed("pos", "at"), ["namespace", "kind", "key"])
+        .filter(near)
+        .withColumn("distance", F.levenshtein("g", "s", distance))
         .filter("distance >= 0")
     )
     best = close.groupBy("namespace", "guess").agg(F.min(F.struct("distance", "file_path")).alias("b"))
@@ -85,16 +96,17 @@ def nearest_path(guesses: DataFrame, paths: DataFrame, max_distance: int = MAX_E
     exact = wanted.join(
         paths.withColumn("guess", F.col("file_path")), ["namespace", "guess"]
     ).select("namespace", "guess", "file_path", F.lit(0).alias("distance"))
-    found, left = exact, cut_lineage(wanted.join(exact, ["namespace", "guess"], "left_anti"))
-    rounds = [(d, q) for d, q in ROUNDS if d < max_distance] + [
-        (max_distance, next((q for d, q in ROUNDS if d >= max_distance), 1))
-    ]
-    for distance, q in rounds:
+    # Where all paths of a namespace begin with it, guesses that do so too are compared without it.
+    foreign = paths.filter(~F.startswith("file_path", F.concat("namespace", F.lit("/")))).select("namespace", F.lit(True).alias("_foreign")).distinct()
+    kind = F.when(F.startswith("guess", F.concat("namespace", F.lit("/"))) & F.col("_foreign").isNull(), 1).otherwise(0)
+    open_ = wanted.join(exact, ["namespace", "guess"], "left_anti").join(foreign, "namespace", "left")
+    found = exact
+    left = cut_lineage(open_.select("namespace", "guess", kind.alias("kind")).withColumn("g", _bare(F.col("guess"), F.col("kind"))))
+    for distance in [d for d in ROUNDS if d < max_distance] + [max_distance]:
         if max_distance < 1 or left.isEmpty():
             break
-        # Only namespaces that still have open guesses are cut into grams.
-        some = paths.join(left.select("namespace").distinct(), "namespace", "left_semi")
-        hit = cut_lineage(_round(left, some, distance, q))
+        # Only namespaces that still have open guesses are cut into pieces.
+        hit = cut_lineage(_round(left, paths, distance))
         found = found.unionByName(hit)
         left = cut_lineage(left.join(hit, ["namespace", "guess"], "left_anti"))
     return found
