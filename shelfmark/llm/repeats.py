@@ -42,6 +42,8 @@ CHUNK = 1 << 20
 SAMPLE = 32
 #: Contexts with more than one in so many of all occurrences are sent to all tasks; there are at most this many.
 PARTS = 4096
+#: Contexts of a seed that are compared with each other rather than sorted.
+FEW = 24
 #: Contexts that a task remembers to have sent.
 REMEMBERED = 500_000
 
@@ -153,22 +155,99 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int = LENGTH)
                     yield length, behind, group
 
 
+def _table(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as the rows of an array, and their lengths."""
+    data = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in rows]), dtype=np.uint8).reshape(len(rows), width)
+    return data, np.array([len(r) for r in rows])
+
+
+def _agreeing(equal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How long strings agree, given where they do along the last axis and how long both are."""
+    first = np.argmin(equal, axis=-1)
+    return np.minimum(np.where(np.take_along_axis(equal, first[..., None], -1)[..., 0], equal.shape[-1], first), lengths)
+
+
+def _neighbours(data: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """What each string shares with the next one in an order."""
+    own, size = data[order], lengths[order]
+    return _agreeing(own[1:] == own[:-1], np.minimum(size[1:], size[:-1]))
+
+
+class _Least:
+    """The least of any range of some values."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            step, last = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(np.minimum(last[:-step], last[step:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For ranges ``[low, high)`` that are not empty."""
+        level = np.frexp(high - low)[1] - 1
+        out = np.empty(len(low), dtype=np.int64)
+        for k in np.unique(level).tolist():
+            here = level == k
+            out[here] = np.minimum(self.levels[k][low[here]], self.levels[k][high[here] - (1 << k)])
+        return out
+
+
 def reach(left: list[bytes], right: list[bytes], copies: list[bool], least: int = LENGTH) -> list[tuple[int, int]]:
     """How far each occurrence is covered before and behind its anchor by repeats of at least ``least`` bytes.
 
     All repeats of an occurrence hold its anchor, so together they are one run. ``copies`` tells
-    which occurrences stand more than once with the same bytes all around.
+    which occurrences stand more than once with the same bytes all around. The intervals of all common
+    prefixes of one length are scanned together, the longest first: within each, the neighbours in order of
+    the bytes to the left share the most with an occurrence, and the shortest stretch between two in that
+    order tells how much. Occurrences that are few are compared with each other.
     """
-    out = [(len(a), len(b)) if twice and len(a) + len(b) >= least else (0, 0) for a, b, twice in zip(left, right, copies)]
-    if len(left) == 2:
-        before, behind = common(*left), common(*right)
-        groups = [(before, behind, [0, 1])] if before + behind >= least else []
-    else:
-        groups = maximal_repeats(left, right, least)
-    for before, behind, members in groups:
-        for m in members:
-            out[m] = (max(out[m][0], before), max(out[m][1], behind))
-    return out
+    n = len(left)
+    own_left = np.array([len(x) for x in left])
+    own_right = np.array([len(x) for x in right])
+    whole = np.array(copies) & (own_left + own_right >= least)
+    before, behind = np.where(whole, own_left, 0), np.where(whole, own_right, 0)
+    if n > 1:
+        widths = max(1, own_left.max()), max(1, own_right.max())
+        lefts, rights = _table(left, widths[0])[0], _table(right, widths[1])[0]
+        if n <= FEW:
+            x = _agreeing(lefts[:, None] == lefts[None], np.minimum(own_left[:, None], own_left[None]))
+            y = _agreeing(rights[:, None] == rights[None], np.minimum(own_right[:, None], own_right[None]))
+            far = (x + y >= least) & ~np.eye(n, dtype=bool)
+            before = np.maximum(before, np.where(far, x, 0).max(axis=1))
+            behind = np.maximum(behind, np.where(far, y, 0).max(axis=1))
+        else:
+            _scan(left, right, lefts, rights, own_left, own_right, before, behind, least)
+    return list(zip(before.tolist(), behind.tolist()))
+
+
+def _scan(left, right, lefts, rights, own_left, own_right, before, behind, least) -> None:
+    n = len(left)
+    by_right = np.array(sorted(range(n), key=right.__getitem__))
+    by_left = np.array(sorted(range(n), key=left.__getitem__))
+    shared = _neighbours(rights, own_right, by_right)
+    between = _Least(_neighbours(lefts, own_left, by_left))
+    rank = np.empty(n, dtype=np.int64)
+    rank[by_left] = np.arange(n)
+    for length in np.unique(shared)[::-1].tolist():
+        if length + own_left.max() < least:
+            break
+        linked = shared >= length
+        inside = np.zeros(n, dtype=bool)
+        inside[1:] |= linked
+        inside[:-1] |= linked
+        interval = np.concatenate([[0], np.cumsum(~linked)])[inside]
+        some = by_right[inside]
+        order = np.argsort(interval * n + rank[some])
+        some, interval = some[order], interval[order]
+        pair = np.flatnonzero(interval[1:] == interval[:-1])
+        x = np.zeros(len(some), dtype=np.int64)
+        most = between.of(rank[some[pair]], rank[some[pair + 1]])
+        x[pair] = most
+        x[pair + 1] = np.maximum(x[pair + 1], most)
+        far = x + length >= least
+        some, x = some[far], x[far]
+        before[some] = np.maximum(before[some], x)
+        behind[some] = np.maximum(behind[some], length)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

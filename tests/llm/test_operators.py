@@ -99,6 +99,29 @@ def test_repeats_against_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "x", 2: "y", 3: None}
 
 
+def test_reach_against_all_pairs_and_maximal_repeats(monkeypatch):
+    rng = random.Random(14)
+    for n in (2, 3, 9, 40, 120):
+        for least in (4, 9, 14):
+            left = ["".join(rng.choices("ab", k=rng.choice([0, 3, 8]))).encode() for _ in range(n)]
+            right = ["cd" + "".join(rng.choices("ab\0", k=rng.choice([0, 4, 9]))) for _ in range(n)]
+            right = [r.encode() for r in right]
+            copies = [rng.random() < 0.1 for _ in range(n)]
+            expected = [(len(a), len(b)) if c and len(a) + len(b) >= least else (0, 0) for a, b, c in zip(left, right, copies)]
+            maximal = list(expected)
+            for i, j in ((i, j) for i in range(n) for j in range(n) if i != j):
+                x, y = repeats.common(left[i], left[j]), repeats.common(right[i], right[j])
+                if x + y >= least:
+                    expected[i] = (max(expected[i][0], x), max(expected[i][1], y))
+            for x, y, members in repeats.maximal_repeats(left, right, least):
+                for m in members:
+                    maximal[m] = (max(maximal[m][0], x), max(maximal[m][1], y))
+            assert maximal == expected
+            for few in (1, 24, 1000):
+                monkeypatch.setattr(repeats, "FEW", few)
+                assert repeats.reach(left, right, copies, least) == expected
+
+
 def test_groups_list_every_occurrence(spark):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
