@@ -66,23 +66,26 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word, from eight bytes of all words at a time."""
+def word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two independent 64-bit hashes of each word, or the first one only, from eight bytes of all words at a time."""
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
-    first, second = mixed(length.astype(np.uint64), 3), mixed(length.astype(np.uint64), 17)
+    first, second = mixed(length.astype(np.uint64), 3), mixed(length.astype(np.uint64), 17) if both else None
     at, left = start.copy(), np.where(length > SHORT_WORD, 0, length)
     todo = np.flatnonzero(left)
     while len(todo):
         lane = eight[at[todo]] & _LOW_BYTES[np.minimum(left[todo], 8)]
         first[todo] = mixed(first[todo] ^ lane, 5)
-        second[todo] = mixed(second[todo] + lane * np.uint64(0xD6E8FEB86659FD93), 29)
+        if both:
+            second[todo] = mixed(second[todo] + lane * np.uint64(0xD6E8FEB86659FD93), 29)
         at[todo] += 8
         left[todo] -= 8
         todo = todo[left[todo] > 0]
     for i in np.flatnonzero(length > SHORT_WORD).tolist():
         digest = xxhash.xxh3_128_intdigest(data[start[i] : start[i] + length[i]].tobytes())
-        first[i], second[i] = digest & (2**64 - 1), digest >> 64
+        first[i] = digest & (2**64 - 1)
+        if both:
+            second[i] = digest >> 64
     return first, second
 
 
@@ -93,7 +96,7 @@ class Lines:
     and ``twin`` have the line and both hashes of each word.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, both: bool = True):
         column = pc.fill_null(column.cast(pa.large_string()), "")
         n = len(column)
         ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
@@ -118,20 +121,33 @@ class Lines:
         closes[:-1] &= space[1:] | edge[1:-1]
         start, stop = np.flatnonzero(begins), np.flatnonzero(closes) + 1
         self.line = np.searchsorted(line_starts, start, side="right") - 1
-        self.word, self.twin = word_hashes(data, start, stop - start)
+        self.word, self.twin = word_hashes(data, start, stop - start, both)
         self.lines = len(line_starts)
 
-    def ordered(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(line, token, twin, place)`` of the distinct words of each line, rare ones first.
-
-        A token is the rarity of a word above 55 bits of its hash; words with one token are told apart by their other hash.
-        """
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(number, words, twins)``: the number of each word among the distinct ones, and the hashes of these."""
         number, words = pd.factorize(self.word)
         twins = np.zeros(len(words), dtype=np.uint64)
         twins[number] = self.twin
         if not np.array_equal(twins[number], self.twin):  # two words have one first hash
             both, number = np.unique(np.stack([self.word, self.twin], axis=1), axis=0, return_inverse=True)
             words, twins, number = both[:, 0], both[:, 1], number.ravel()
+        return number, words, twins
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(line, token, twin)`` of the distinct words of each line, in any order; the tokens lack the rarity."""
+        number, words, twins = self.numbered()
+        unit = max(1, len(words))
+        key = np.sort(self.line * unit + number)
+        line, number = np.divmod(key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key, unit)
+        return line, (words >> np.uint64(9))[number].view(np.int64), twins[number]
+
+    def ordered(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(line, token, twin, place)`` of the distinct words of each line, rare ones first.
+
+        A token is the rarity of a word above 55 bits of its hash; words with one token are told apart by their other hash.
+        """
+        number, words, twins = self.numbered()
         classes = (words & np.uint64(len(rarity) - 1)).astype(np.int64)
         tokens = rarity[classes].astype(np.uint64) << np.uint64(55) | words >> np.uint64(9)
         order = np.lexsort((twins, tokens))
@@ -240,7 +256,7 @@ def word_rarity(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.uint32)
         for batch in slices(batches, "text", BATCH_BYTES):
-            np.add.at(total, (Lines(batch.column(0)).word & np.uint64(size - 1)).astype(np.int64), 1)
+            np.add.at(total, (Lines(batch.column(0), both=False).word & np.uint64(size - 1)).astype(np.int64), 1)
         found = np.flatnonzero(total)
         rows = list(_chunks(found, total[found].astype("<u4")))
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["chunk", "data"])
@@ -355,14 +371,13 @@ class _Pass:
 
         A filter of fixed size spares most other lines, an exact join the rest of them.
         """
-        rarity = self.rarity
         sets = stored(sets, "wanted-sets")
         bits = sets.sparkSession.sparkContext.broadcast(digest_filter(sets, "set", "set"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", BATCH_BYTES):
                 own = Lines(batch.column(2))
-                line, token, twin, _ = own.ordered(rarity.value)
+                line, token, twin = own.distinct()
                 size, identity, check, _ = sketches(line, token, twin, own.lines)
                 wanted = (size > 0) & in_filter(bits.value, identity, identity)
                 full = np.flatnonzero(wanted)
