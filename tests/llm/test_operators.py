@@ -584,6 +584,60 @@ def test_expectation_maximisation_finds_the_better_labeller():
     assert ((p[back.ravel()] > 0.5) == truth).mean() > 0.93
 
 
+def test_quality_on_held_out_rows(spark):
+    """Cue words from half of the labelled rows, recall on the other half."""
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(table(spark, sf, "documents"), labels.where("half = 0")).collect()}
+    dropped = collections.defaultdict(list)
+    for r in labels.where("half = 1").collect():
+        dropped[r["quality"], r["toxic"]].append(not keep[r["doc_id"]])
+    share = {k: sum(v) / len(v) for k, v in dropped.items()}
+    assert share[1, 1] >= 0.9 and share[0, 0] >= 0.9 and share[0, 1] >= 0.9 and share[1, 0] <= 0.01
+
+
+def test_estimated_accuracies_against_a_walk_over_rows():
+    """Expectation-maximisation over counted patterns, and the same by definition over every row."""
+    rng = np.random.default_rng(16)
+    truth = rng.random(600) < 0.3
+    votes = np.stack([np.where(rng.random(600) < 0.2, 0, np.where(rng.random(600) < p, truth, ~truth) * -1 + 2) for p in (0.9, 0.8, 0.7)], axis=1)
+    patterns, row, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    found, share, _ = quality.posterior(patterns, counts.astype(float), rounds=5)
+    p = [((v == 1).sum() + 0.1) / ((v > 0).sum() + 1.1) if (v > 0).any() else 0.05 for v in votes]
+    for _ in range(5):
+        yes = sum(p) / len(p)
+        right = {}
+        for j in range(3):
+            for y in (0, 1):
+                weight = {k: 0.5 + sum((q if y else 1 - q) for q, v in zip(p, votes) if v[j] == k) for k in (1, 2)}
+                right[j, y] = {0: 1.0, **{k: w / (weight[1] + weight[2]) for k, w in weight.items()}}
+        like = [[np.prod([right[j, y][v[j]] for j in range(3)]) * (yes if y else 1 - yes) for y in (0, 1)] for v in votes]
+        p = [b / (a + b) for a, b in like]
+    assert share == pytest.approx(yes, abs=1e-6) and found[row.ravel()] == pytest.approx(np.array(p), abs=1e-6)
+
+
+def test_quality_from_workers_elsewhere(spark, tmp_path):
+    """Workers that do not know the package: only what is sent is used."""
+    import subprocess
+    import sys
+
+    code = (
+        "import sys, importlib.util as u\n"
+        "sys.path.insert(0, '/root/repo')\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2')"
+        ".config('spark.executorEnv.PYTHONPATH', '/nowhere').getOrCreate()\n"
+        "from shelfmark.session import ship_code\n"
+        "ship_code()\n"
+        "from shelfmark.llm import quality\n"
+        "from shelfmark.llm.common import table\n"
+        "sf = '/root/testdata/sf0.001'\n"
+        "print('rows', quality.classify(table(spark, sf, 'documents'), table(spark, sf, 'labels')).count())\n"
+    )
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in run.stdout, run.stderr[-2000:]
+
+
 def test_quality_on_labelled_rows(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     extra = docs.select("doc_id", "text", F.lit(1).alias("junk"), F.lit("x").alias("toxic"))
