@@ -129,12 +129,14 @@ def scan_groups(
     order: list[str],
     work: Callable[[dict[str, object], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]],
     schema: str,
+    buffer_rows: int = BUFFER_ROWS,
 ) -> DataFrame:
     """Run ``work(columns, starts, ends)`` over the complete groups of ``(key, tile)``.
 
     ``placed`` is the result of :func:`tiled`. Numbers come as numpy arrays, everything else as
     Arrow arrays; within a group rows are sorted by side, then ``order``. Groups stream through a
-    task in key order and only as many rows as a buffer plus one group are held.
+    task in key order and only as many rows as a buffer plus one group are held; ``buffer_rows`` should be small
+    where rows are large.
     """
     names = placed.columns
     by = [key, "tile"]
@@ -148,7 +150,7 @@ def scan_groups(
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows >= BUFFER_ROWS:
+            if rows >= buffer_rows:
                 whole = pa.Table.from_batches(held)
                 k = whole.column(key).combine_chunks().to_numpy(zero_copy_only=False)
                 t = whole.column("tile").combine_chunks().to_numpy(zero_copy_only=False)

@@ -37,7 +37,7 @@ from .groups import index_pairs, large_keys, ranges, scan_groups, tiled
 #: Similarity from which a later line is removed, as a fraction.
 SIMILAR = (4, 5)
 #: The table of counts has a class for each so many bytes of text, within these numbers of bits: it takes 128 MB at most.
-BYTES_A_CLASS, COUNT_BITS = 64, (18, 27)
+BYTES_A_CLASS, COUNT_BITS = 256, (18, 27)
 COUNT_CHUNK = 1 << 12
 #: Bytes of a word's hash that sets are compared by.
 WORD_BYTES = 6
@@ -48,6 +48,8 @@ PARTS = 4096
 #: One in so many sets is used to estimate which words are crowded.
 SAMPLE = 32
 BATCH_BYTES = 1_000_000
+#: Sets with all their words that are gathered at a time.
+WORDY_ROWS = 20_000
 #: Words of pairs that are verified at a time.
 VERIFIED_WORDS = 4_000_000
 
@@ -494,7 +496,7 @@ def later_sets(lines: DataFrame, likely: DataFrame) -> DataFrame:
     rows = flat.join(likely, "set").select("token", "set", "check", "words", "doc_id", "text_key", "line")
     crowded = large_keys(likely.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0), "token", SAMPLE)
     placed = tiled(rows, crowded, "token", "set")
-    return scan_groups(placed, "token", [], work, "set bigint, check bigint").distinct()
+    return scan_groups(placed, "token", [], work, "set bigint, check bigint", WORDY_ROWS).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ CHUNK = 1 << 20
 SAMPLE = 32
 #: Contexts with more than one in so many of all occurrences are sent to all tasks; there are at most this many.
 PARTS = 4096
+#: Contexts that are gathered in a task at a time, besides those of one seed.
+GATHERED = 40_000
 #: Contexts of a seed that are compared with each other rather than sorted.
 FEW = 24
 #: Contexts that a task remembers to have sent.
@@ -390,7 +392,7 @@ def _covered(own: _Contexts) -> DataFrame:
             keys = [pa.array(columns[c][rows]) for c in _KEY]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(before, pa.int64()), pa.array(behind, pa.int64())], [*_KEY, "x", "y"])
 
-    reached = scan_groups(own.placed, "seed", [], work, "seed bigint, c1 bigint, c2 bigint, x bigint, y bigint")
+    reached = scan_groups(own.placed, "seed", [], work, "seed bigint, c1 bigint, c2 bigint, x bigint, y bigint", GATHERED)
     reached = reached.groupBy(*_KEY).agg(F.max("x").alias("x"), F.max("y").alias("y"))
     return own.at_places(reached).select("digest", (F.col("place") - F.col("x")).alias("start"), (F.col("place") + F.col("y")).alias("end"))
 
@@ -470,7 +472,7 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*keys, *extra], [*_KEY, "group", "length", "x"])
 
     schema = "seed bigint, c1 bigint, c2 bigint, group string, length bigint, x bigint"
-    found = scan_groups(own.placed, "seed", [], work, schema).distinct()
+    found = scan_groups(own.placed, "seed", [], work, schema, GATHERED).distinct()
     at = own.at_places(found).select("group", "length", "digest", (F.col("place") - F.col("x")).alias("start")).distinct()
     at = stored(at.join(copies, "digest"), "groups")
     again = at.groupBy("group").agg(F.count("*").alias("n"), F.bool_or("copied").alias("any")).where("n > 1 or any").select("group")
