@@ -305,39 +305,44 @@ def chunk_any(files: DataFrame, max_tokens: int) -> DataFrame:
     return _chunk(files, max_tokens, route_chunker(F.col("file_path")))
 
 
-def merge_small_chunks(chunks: DataFrame, max_tokens: int) -> DataFrame:
+def _merges(limit: int):
+    """The sorted token counts of a file's chunks, headers included, to the runs of them that are put together."""
+
+    @F.pandas_udf("array<struct<first:int,last:int,tok:int>>")
+    def runs(tokens: pd.Series, header: pd.Series) -> pd.Series:
+        out = []
+        for tok, h in zip(tokens, header):
+            own = np.asarray(tok, dtype=np.int64) - h
+            spans = merged([(i, i + 1) for i in range(len(own))], own, h, limit)
+            out.append([{"first": a, "last": b - 1, "tok": int(own[a:b].sum() + h)} for a, b in spans])
+        return pd.Series(out)
+
+    return runs
+
+
+def merge_small_chunks(chunks: DataFrame, max_tokens: int, files: DataFrame | None = None) -> DataFrame:
     """The merge on stored chunk rows ``(file_path, start_pos, end_pos, num_tokens)``, headers counted in.
 
-    A merged chunk spans the gap between its parts. Rows are grouped per file, the unit
-    that one task handles anyway.
+    A merged chunk spans the gap between its parts; it has the id of its place, and its text when ``files`` with the
+    content are given. Rows are grouped per file, the unit that one task handles anyway.
     """
     keys = _keys(chunks)
-    header = count_tokens(F.col("file_path"))
-    zero = F.struct(
-        F.lit(None).cast("struct<s:int,e:int,t:int>").alias("open"),
-        F.array().cast("array<struct<s:int,e:int,t:int>>").alias("done"),
-    )
-
-    def step(acc: Column, c: Column) -> Column:
-        span = acc["open"]
-        extend = span.isNotNull() & (span["t"] + c["t"] < max_tokens - MERGE_SLACK)
-        merged = F.struct(
-            span["s"].alias("s"), c["e"].alias("e"), (span["t"] + c["t"] - F.col("_h")).alias("t")
-        )
-        return F.struct(
-            F.when(extend, merged).otherwise(c).alias("open"),
-            F.when(extend | span.isNull(), acc["done"])
-            .otherwise(F.array_append(acc["done"], span))
-            .alias("done"),
-        )
-
     row = F.struct(F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), F.col("num_tokens").alias("t"))
-    grouped = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_c")).withColumn("_h", header)
-    folded = F.aggregate("_c", zero, step, lambda acc: F.array_append(acc["done"], acc["open"]))
-    merged = explode_computed(grouped, keys, folded, "c")
-    return merged.select(
+    grouped = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_c")).withColumn("_h", count_tokens(F.col("file_path")))
+    found = grouped.withColumn("_r", _merges(max_tokens)(F.transform("_c", lambda c: c["t"]), F.col("_h")))
+    spans = F.transform(
+        "_r", lambda r: F.struct(F.get("_c", r["first"])["s"].alias("s"), F.get("_c", r["last"])["e"].alias("e"), r["tok"].alias("t"))
+    )
+    path, start, end = F.col("file_path"), F.col("start_pos"), F.col("end_pos")
+    rows = explode_computed(found, keys, spans, "c").select(
         *keys, F.col("c.s").alias("start_pos"), F.col("c.e").alias("end_pos"), F.col("c.t").alias("num_tokens")
     )
+    rows = rows.withColumn("chunk_id", paths.chunk_id(path, start, end))
+    if files is None:
+        return rows
+    by = [k for k in ("namespace", "file_path") if k in rows.columns and k in files.columns]
+    joined = rows.join(files.select(*by, F.col("content").alias("_content")), by, "left")
+    return joined.withColumn("text", paths.chunk_content(path, F.col("_content"), start, end)).drop("_content")
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Exact nearest neighbours as blocked matrix products.
 
 Similarities are never written out as pairs: a task multiplies a block of vectors with the
-queries and keeps k candidates per query, and only those are shuffled and ranked.
+queries and keeps k candidates per query, and only those are shuffled and ranked. Vectors of a block lie near
+each other, and by its mean and radius a block is passed over that cannot hold anything better than what a
+query has; bounds are exact, so the rows are those of a comparison with all.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ METRICS = ("cosine", "dot", "l2")
 #: The query matrix is broadcast up to this size; beyond it queries and corpus are cut into blocks.
 QUERY_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 200_000
+#: Rows that are gathered in a task before they are dealt to blocks, blocks they are dealt to, and rows looked at as they come.
+GATHERED_ROWS, PIVOTS, PRUNED_ROWS = 65_536, 64, 1_024
+#: What bounds may be short of by rounding; it is more than the digits that scores are ranked by.
+MARGIN = 1e-9
 _TILE = 4_000_000
 #: Digits behind the point that scores are ranked by: sums of products differ behind these with the order of
 #: their terms, so rows that are equal up to there are ties.
@@ -55,14 +61,40 @@ def _similarities(queries: np.ndarray, block: np.ndarray, metric: str) -> np.nda
     return np.rint(scores * _DIGITS) / _DIGITS
 
 
+class _Block:
+    """Vectors around their mean: how near any of them can be to a query is bounded without looking at them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.center = vectors.mean(axis=0)
+        self.radius = float(np.sqrt(((vectors - self.center) ** 2).sum(axis=1).max()))
+
+    def bound(self, queries: np.ndarray, norms: np.ndarray, metric: str) -> np.ndarray:
+        """No vector of the block is more similar than this to each query. ``queries`` are unit vectors for cosine."""
+        if metric == "dot":
+            return queries @ self.center + norms * self.radius
+        away = np.maximum(np.sqrt(((queries - self.center) ** 2).sum(axis=1)) - self.radius, 0)
+        return -away if metric == "l2" else 1 - away**2 / 2
+
+
+def _blocks(ids: np.ndarray, vectors: np.ndarray) -> list[_Block]:
+    """Rows dealt to the nearest of some of them."""
+    pivots = vectors[:: max(1, len(vectors) // PIVOTS)][:PIVOTS]
+    nearest_pivot = np.argmax(vectors @ pivots.T - (pivots**2).sum(axis=1) / 2, axis=1)
+    order = np.argsort(nearest_pivot, kind="stable")
+    cuts = np.flatnonzero(np.diff(nearest_pivot[order])) + 1
+    return [_Block(ids[rows], vectors[rows]) for rows in np.split(order, cuts)]
+
+
 class _BestK:
-    """The k best ``(score, id)`` per query seen so far; ties by smaller id."""
+    """The k best ``(score, id)`` per query seen so far; ties by smaller id. Counts the blocks it met and passed over."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, exclude_self: bool):
         self.query_ids, self.queries, self.k = query_ids, queries, k
         self.metric, self.exclude_self = metric, exclude_self
         self.scores = np.empty((len(query_ids), 0))
         self.ids = np.empty((len(query_ids), 0), dtype=query_ids.dtype)
+        self.met = self.passed = 0
 
     def _keep(self, scores: np.ndarray, ids: np.ndarray) -> None:
         order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
@@ -70,6 +102,35 @@ class _BestK:
         self.ids = np.take_along_axis(ids, order, axis=1)
 
     def add(self, ids: np.ndarray, block: np.ndarray) -> None:
+        """Look at rows: many at a time in blocks of near ones, those first that promise most. A block that cannot
+        hold anything better than the k best of any query is passed over; queries it cannot serve are left out of it."""
+        if len(ids) < PRUNED_ROWS or self.scores.shape[1] < self.k:
+            first = max(self.k + 1, PRUNED_ROWS)
+            self._add(ids[:first], block[:first])
+            ids, block = ids[first:], block[first:]
+            if not len(ids):
+                return
+        vectors, queries = (_unit(block), _unit(self.queries)) if self.metric == "cosine" else (block, self.queries)
+        norms = np.linalg.norm(queries, axis=1)
+        # The k-th best so far, or nothing as long as there are fewer.
+        parts = _blocks(ids, vectors)
+        bounds = [part.bound(queries, norms, self.metric) for part in parts]
+        for i in sorted(range(len(parts)), key=lambda i: -bounds[i].mean()):
+            full = self.scores.shape[1] >= self.k
+            near = bounds[i] + MARGIN >= self.scores[:, self.k - 1] if full else np.ones(len(queries), dtype=bool)
+            self.met += 1
+            if not near.any():
+                self.passed += 1
+                continue
+            self._add(parts[i].ids, parts[i].vectors, np.flatnonzero(near) if full and not near.all() else None)
+
+    def _add(self, ids: np.ndarray, block: np.ndarray, of: np.ndarray | None = None) -> None:
+        if of is not None:
+            own = _BestK(self.query_ids[of], self.queries[of], self.k, self.metric, self.exclude_self)
+            own.scores, own.ids = self.scores[of], self.ids[of]
+            own._add(ids, block)
+            self.scores[of], self.ids[of] = own.scores, own.ids
+            return
         rows = max(self.k + 1, _TILE // max(1, len(self.query_ids)))
         for at in range(0, len(ids), rows):
             some = ids[at : at + rows]
@@ -124,7 +185,7 @@ def _near_schema(corpus: DataFrame, queries: DataFrame) -> tuple[T.StructType, p
 
 
 def _by_broadcast(
-    corpus: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool
+    corpus: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool, report: bool = False
 ) -> DataFrame:
     spark_schema, arrow_schema = _near_schema(corpus, queries)
     table = _with_vector(queries.toArrow())
@@ -134,12 +195,28 @@ def _by_broadcast(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _BestK(*shared.value, k, metric, exclude_self)
-        for batch in map(_with_vector, batches):
-            if batch.num_rows:
-                best.add(_ids(batch.column("doc_id")), _matrix(batch.column("embedding")))
-        yield from best.table(arrow_schema).to_batches(max_chunksize=10_000)
-
-    return corpus.mapInArrow(search, spark_schema)
+        for ids, vectors in _gathered(batches):
+            best.add(ids, vectors)
+        if report:
+            counts = {"blocks": [best.met], "passed": [best.passed]}
+            yield pa.RecordBatch.from_pydict(counts, schema=pa.schema([("blocks", pa.int64()), ("passed", pa.int64())]))
+        else:
+            yield from best.table(arrow_schema).to_batches(max_chunksize=10_000)
+
+    return corpus.mapInArrow(search, "blocks long, passed long" if report else spark_schema)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows with vectors, some batches together."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in map(_with_vector, batches):
+        if batch.num_rows:
+            held.append((_ids(batch.column("doc_id")), _matrix(batch.column("embedding"))))
+        if sum(len(i) for i, _ in held) >= GATHERED_ROWS:
+            yield np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+            held = []
+    if held:
+        yield np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
 
 
 def _by_blocks(
@@ -198,6 +275,11 @@ def nearest(
     return ranked.withColumn("score", -F.col("score")) if metric == "l2" else ranked
 
 
+def pruning(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """``(blocks, passed)`` per task of a search: how many blocks of rows there were, and how many were passed over."""
+    return _by_broadcast(corpus.select("doc_id", "embedding"), queries.select("query_id", "embedding"), k, metric, False, True)
+
+
 def topk_cosine(corpus: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
     return nearest(corpus, queries, k, "cosine", **options)
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from .ranking import best_per_document, by_score
 
+#: Metrics of two runs that differ by less are the same.
+CLOSE = 1e-9
 METRICS = ("rprec", "p1", "r3", "ndcg3", "map", "mrr")
 CUT = 3
 
@@ -75,12 +77,23 @@ def eval_report(scores: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-def compare_runs(reports: list[DataFrame]) -> DataFrame:
-    """One row per run and metric turned into one row per metric, a column per run."""
-    out = reports[0]
-    for report in reports[1:]:
-        out = out.unionByName(report)
-    return out
+def compare_runs(scores: DataFrame, baseline: str) -> DataFrame:
+    """``(run_id, metric, mean, difference, wins, losses)`` of every run and metric against one run.
+
+    ``scores`` has the metrics of each question and run, ``(run_id, query_id, …)``. The difference of the means and the
+    questions won and lost are over the questions that both runs have.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])).alias("v")
+    each = scores.select("run_id", "query_id", values).select("run_id", "query_id", "v.metric", "v.value")
+    base = each.filter(F.col("run_id") == baseline).select("query_id", "metric", F.col("value").alias("base"))
+    both = each.join(base, ["query_id", "metric"], "left")
+    ahead = F.col("value") - F.col("base")
+    return both.groupBy("run_id", "metric").agg(
+        F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.avg(ahead), 6).alias("difference"),
+        F.sum((ahead > CLOSE).cast("int")).alias("wins"),
+        F.sum((ahead < -CLOSE).cast("int")).alias("losses"),
+    )
 
 
 def extension_share(hits: DataFrame, ext: str = "ext") -> DataFrame:

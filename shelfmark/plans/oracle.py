@@ -595,6 +595,24 @@ _metrics(
     "sparse_judged",
 )
 
+for _name in ("sparse", "dense", "rrf"):
+    _metrics(
+        f"{_name}_run",
+        f"SELECT h.query_id, h.rank, coalesce(r.relevance, 0) AS relevance FROM {_name} h LEFT JOIN qrels_v r USING (query_id, doc_id)",
+        "SELECT query_id, count(*) AS n FROM qrels_v GROUP BY query_id",
+        _name,
+        "qrels_v",
+    )
+_METRIC_NAMES = ("rprec", "p1", "r3", "ndcg3", "map", "mrr")
+cte(
+    "run_values",
+    " UNION ALL ".join(
+        f"SELECT '{run}' AS run_id, query_id, '{m}' AS metric, {m}::DOUBLE AS value FROM {run}_run_scores"
+        for run in ("sparse", "dense", "rrf") for m in _METRIC_NAMES
+    ),
+    "sparse_run_scores", "dense_run_scores", "rrf_run_scores",
+)
+
 # --- outline --------------------------------------------------------------------------
 
 cte(
@@ -789,10 +807,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "chunk_code": compose("SELECT file_path, start_pos, end_pos, num_tokens, text FROM code_chunks", "code_chunks"),
         "merge_small_chunks": compose(
-            """SELECT file_path, min(start_pos) AS start_pos, max(end_pos) AS end_pos,
- CAST(sum(num_tokens - h) + any_value(h) AS BIGINT) AS num_tokens FROM half_numbered JOIN half_merged USING (file_path, u)
- GROUP BY file_path, g""",
+            f"""SELECT * EXCLUDE (content), {CHUNK_ID} AS chunk_id, file_path||chr(10)||chr(10)||substr(content, start_pos + 1, end_pos - start_pos) AS text
+ FROM (SELECT file_path, min(start_pos) AS start_pos, max(end_pos) AS end_pos, CAST(sum(num_tokens - h) + any_value(h) AS BIGINT) AS num_tokens
+ FROM half_numbered JOIN half_merged USING (file_path, u) GROUP BY file_path, g) JOIN (SELECT file_path, content FROM files_v) USING (file_path)""",
             "half_merged",
+            "files_v",
         ),
         "chunk_notebook": compose(
             "SELECT file_path, start_pos, end_pos, num_tokens, text FROM notebook_chunks", "notebook_chunks"
@@ -870,10 +889,11 @@ def oracle_sql() -> dict[str, str]:
             "files_v",
         ),
         "compare_runs": compose(
-            "SELECT * FROM cosine_report UNION ALL SELECT * FROM dot_report UNION ALL SELECT * FROM l2_report",
-            "cosine_report",
-            "dot_report",
-            "l2_report",
+            """SELECT r.run_id, metric, round(avg(r.value), 6) AS mean, round(avg(r.value - b.value), 6) AS difference,
+ CAST(sum(CASE WHEN r.value - b.value > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
+ CAST(sum(CASE WHEN r.value - b.value < -1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS losses
+ FROM run_values r LEFT JOIN run_values b USING (query_id, metric) WHERE b.run_id = 'sparse' GROUP BY r.run_id, metric""",
+            "run_values",
         ),
         # G
         "assign_batches": compose("SELECT chunk_id, batch_id, batch_no, pos FROM batched", "batched"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -514,8 +515,8 @@ def chunk_code(spark, sf_dir):
 @query
 def merge_small_chunks(spark, sf_dir):
     chunks = _text_chunks(spark, sf_dir, TEXT_TOKENS // 2)
-    return chunking.merge_small_chunks(chunks.drop("url"), TEXT_TOKENS).select(
-        "file_path", "start_pos", "end_pos", "num_tokens"
+    return chunking.merge_small_chunks(chunks.drop("url"), TEXT_TOKENS, _files(spark, sf_dir)).select(
+        "file_path", "start_pos", "end_pos", "num_tokens", "chunk_id", "text"
     )
 
 
@@ -688,9 +689,13 @@ def extension_share(spark, sf_dir):
 
 @query
 def compare_runs(spark, sf_dir):
-    return evaluation.compare_runs(
-        [evaluation.eval_report(_vector_scores(spark, sf_dir, m), m) for m in dense.METRICS]
-    )
+    """Dense and fused retrieval of the benchmark passages against sparse retrieval, question by question."""
+    qrels = views.qrels_v(spark, sf_dir)
+    sparse, found = _sparse_hits(spark, sf_dir), _dense_hits(spark, sf_dir)
+    runs = {"sparse": sparse, "dense": found, "rrf": ranking.hybrid_rrf(found, sparse, ALPHA, DEPTH)}
+    totals = evaluation.relevant_counts(qrels)
+    scores = [stored(evaluation.per_query(evaluation.join_qrels(hits, qrels), totals), "run").withColumn("run_id", F.lit(name)) for name, hits in runs.items()]
+    return evaluation.compare_runs(reduce(DataFrame.unionByName, scores), "sparse")
 
 
 # --- G. window functions ----------------------------------------------------------------

@@ -75,6 +75,22 @@ def test_passages_without_inner_words(spark):
         assert found == [(1, 1), (1, 2), (2, 1), (3, 1), (5, 2)]
 
 
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_blocks_that_cannot_serve_are_passed_over(spark, monkeypatch, metric):
+    monkeypatch.setattr(dense, "PRUNED_ROWS", 64)
+    r = np.random.default_rng(15)
+    centers = r.normal(size=(20, 8)) * 5
+    rows = [(int(i), (centers[i % 20] + r.normal(size=8) * 0.05).tolist()) for i in range(6000)]
+    asked = [(int(i), (centers[i] + r.normal(size=8) * 0.05).tolist()) for i in range(3)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<float>").repartition(2)
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    found = dense.nearest(corpus, queries, 5, metric)
+    assert sorted((x.query_id, x.doc_id, x["rank"]) for x in found.collect()) == brute(rows, asked, 5, metric)
+    counts = dense.pruning(corpus, queries, 5, metric).collect()
+    blocks, passed = (sum(x[c] for x in counts) for c in ("blocks", "passed"))
+    assert blocks > 50 and passed > blocks / 3
+
+
 def test_passages_against_a_search_of_each(spark):
     r = random.Random(12)
     word = lambda: "".join(r.choices("abé ", k=r.randint(1, 5)))
