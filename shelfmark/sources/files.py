@@ -21,18 +21,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import file_url
 
-#: Folders that the driver looks for before tasks take over, and tasks at least.
+#: Folders that the driver looks for before tasks take over, and tasks at least and at most.
 PLANNED_FOLDERS = 1_000
-TASKS = 32
+TASKS, MOST_TASKS = 16, 128
 FLUSH_BYTES = 16 << 20
 
 
 class FolderShare(InputPartition):
-    """One part in so many of the files below a folder, or of those directly in it."""
+    """One part in so many of the files below some folders, and those directly in others."""
 
-    def __init__(self, folder: str, deep: bool, part: int, parts: int):
-        super().__init__((folder, deep, part))
-        self.folder, self.deep, self.part, self.parts = folder, deep, part, parts
+    def __init__(self, deep: list[str], flat: list[str], part: int, parts: int):
+        super().__init__(part)
+        self.deep, self.flat, self.part, self.parts = deep, flat, part, parts
 
 
 class TreeReader(DataSourceReader):
@@ -79,14 +79,17 @@ class TreeReader(DataSourceReader):
             done += level
             level = below
         parts = -(-TASKS // max(1, len(level)))
-        shares = [FolderShare(folder, False, 0, 1) for folder in done]
-        return shares + [FolderShare(folder, True, i, parts) for folder in sorted(level) for i in range(parts)]
+        groups = min(MOST_TASKS, len(level))
+        level = sorted(level)
+        shares = [FolderShare(level[g::groups], [], i, parts) for g in range(groups) for i in range(parts)]
+        return [*shares, FolderShare([], done, 0, 1)] if done else shares
 
     def _files(self, share: FolderShare) -> Iterator[str]:
-        waiting = [share.folder]
+        waiting = [(folder, True) for folder in share.deep] + [(folder, False) for folder in share.flat]
         while waiting:
-            folders, names = self._entries(waiting.pop())
-            waiting += folders if share.deep else []
+            folder, deep = waiting.pop()
+            folders, names = self._entries(folder)
+            waiting += [(below, True) for below in folders] if deep else []
             yield from (n for n in names if share.parts == 1 or zlib.crc32(n.encode(errors="surrogateescape")) % share.parts == share.part)
 
     def read(self, partition: FolderShare) -> Iterator[pa.RecordBatch]:
