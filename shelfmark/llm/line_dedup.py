@@ -275,7 +275,8 @@ class _Pass:
         self.classes = 1 << class_bits(docs)
         self.rarity = docs.sparkSession.sparkContext.broadcast(word_rarity(docs, self.classes))  # a byte for each class
         self.lines = stored(self._lines(), "lines")
-        self.sets = stored(self._sets(), "sets")
+        # A bit for each class.
+        self.shared = docs.sparkSession.sparkContext.broadcast(np.packbits(self._shared_classes()))
 
     def _lines(self) -> DataFrame:
         """``(set, check, parity, size, doc_id, text_key, line, prefix)`` for every line that has words, lines numbered from 0.
@@ -328,14 +329,13 @@ class _Pass:
         rows = self.lines.where("prefix is not null").select("prefix").mapInArrow(count, "chunk int, data binary")
         return _summed(rows, size, "u1", lambda n: n > 1)
 
-    def _sets(self) -> DataFrame:
+    def _sets(self, share: int) -> DataFrame:
         """``(set, parity, tokens, places, priors)`` of the distinct sets with prefix words that other sets may have.
 
         ``places`` has a word's place below the number of words of the set. Here a set goes by the first half of
-        its identity alone: this only brings sets together.
+        its identity alone: this only brings sets together. One in ``share`` of the sets is taken.
         """
-        size = self.classes
-        shared = self.docs.sparkSession.sparkContext.broadcast(np.packbits(self._shared_classes()))  # a bit for each class
+        size, shared = self.classes, self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -357,15 +357,14 @@ class _Pass:
                 )
 
         rows = self.lines.where("prefix is not null").select("set", "parity", "size", "prefix")
+        if share > 1:
+            rows = rows.where(F.pmod(F.xxhash64("set"), F.lit(share)) == 0)
         schema = "set bigint, parity bigint, tokens array<bigint>, places array<bigint>, priors array<bigint>"
         return rows.mapInArrow(run, schema).dropDuplicates(["set"])
 
     def prefixes(self, share: int = 1) -> DataFrame:
         """``(token, set, parity, place, prior)`` for the prefix of each distinct set; ``prior`` is the token before."""
-        sets = self.sets
-        if share > 1:
-            sets = sets.where(F.pmod(F.xxhash64("set"), F.lit(share)) == 0)
-        each = sets.select("set", "parity", F.explode(F.arrays_zip("tokens", "places", "priors")).alias("p"))
+        each = self._sets(share).select("set", "parity", F.explode(F.arrays_zip("tokens", "places", "priors")).alias("p"))
         return each.select(F.col("p.tokens").alias("token"), "set", "parity", F.col("p.places").alias("place"), F.col("p.priors").alias("prior"))
 
     def chosen(self, sets: DataFrame) -> DataFrame:
