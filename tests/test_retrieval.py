@@ -257,3 +257,26 @@ def test_embedding_sizes(spark):
     models = ["text-embedding-3-large", "voyage-3-lite", "voyage-9", "text-embedding-004", "other"]
     df = spark.createDataFrame([(m,) for m in models], "m string")
     assert [r.s for r in df.select(embedding_size(F.col("m"), 64).alias("s")).collect()] == [3072, 512, 1024, 768, 64]
+
+
+def test_bm25_deals_documents_to_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    docs = bm25.term_frame(views.table(spark, sf_dir, "documents"))
+    asked = views.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), terms(F.col("text")).alias("terms")
+    ).unionByName(spark.createDataFrame([(None, ["the"]), (None, ["of"])], "query_id long, terms array<string>"))
+    one = bm25.topk_bm25(docs, asked, 5).collect()
+    rows = bm25.postings_join(docs, asked).count()
+    monkeypatch.setattr(bm25, "SCORED_ROWS", 500)
+    assert bm25.postings_join(docs, asked).rdd.getNumPartitions() == -(-rows // 500) > 16
+    two = bm25.topk_bm25(docs, asked, 5).collect()
+    key = lambda r: (r.query_id is None, r.query_id, r["rank"])
+    assert sorted(one, key=key) == sorted(two, key=key)
+
+
+def test_compare_runs_reads_each_run_from_one_place(spark, sf_dir, monkeypatch):
+    from shelfmark.plans import queries
+
+    labels, stored = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, label: labels.append(label) or stored(df, label))
+    assert queries.REGISTRY["compare_runs"](spark, sf_dir).count() == 3 * len(evaluation.METRICS)
+    assert [labels.count(name) for name in ("qrels", "sparse", "dense")] == [1, 1, 1]
