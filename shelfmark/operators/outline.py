@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.paths import ancestors, path_order
 from ..functions.rows import explode_computed
 from ..functions.tokens import count_tokens, truncate_tokens
-from ..session import stored
+from ..session import fits, stored
 
 INDENT = 4
 TOKEN_LIMIT = 150_000
@@ -112,7 +112,9 @@ def fit_tree(files: DataFrame, symbols: DataFrame, max_tokens: int = TOKEN_LIMIT
     for i, (name, _, _) in reversed(list(enumerate(VARIANTS))):
         level = F.when(F.col(name) <= max_tokens, i).otherwise(level)
         variant = F.when(F.col(name) <= max_tokens, F.lit(name)).otherwise(variant)
-    choice = sums.select("namespace", level.alias("level"), variant.alias("variant"))
+    choice = stored(sums.select("namespace", level.alias("level"), variant.alias("variant")), "variants")
+    # A row per namespace; sent to the lines, as those of a large namespace would meet in one task.
+    choice = F.broadcast(choice) if fits(choice) else choice
     chosen = lines.join(choice, "namespace").filter(F.col("need") >= F.col("level"))
     # Only outlines that are too long need to be in order before they are put together.
     bare = lines.filter("tokens = 0").groupBy("namespace").count().agg(F.max("count")).first()[0] or 0
