@@ -388,3 +388,23 @@ def test_notebooks_and_two_commits_are_rebuilt(spark):
     rebuilt = chunking.hydrate_text(chunking.drop_stored_text(chunks), docs)
     columns = ["namespace", "chunk_id", "text"]
     assert rebuilt.count() == 3 and rebuilt.select(columns).exceptAll(chunks.select(columns)).isEmpty()
+
+
+def test_tokens_that_declare_nothing_are_not_searched_for_names(spark):
+    body = "package p;\nclass A {\n" + "".join(f"  int m{i}(int a) {{ if (a > 0) {{ call(a); }} ; return {i}; }}\n" for i in range(3)) + "}\n"
+    df = files(spark, [("a.java", body), ("b.go", "package b\ntype T struct {\n}\nfunc (t *T) go_on() { ; { } }\nfunc f() { }\n")])
+    rows = symbols.extract_symbols(df).collect()
+    assert {(r.class_name, r.method_name) for r in rows if r.file_path == "a.java"} == {("A", None), ("A", "m0"), ("A", "m1"), ("A", "m2")}
+    assert {(r.class_name, r.method_name) for r in rows if r.file_path == "b.go"} == {("T", None), ("T", "go_on"), (None, "f")}
+    plan = symbols.extract_symbols(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_language" in plan  # found once for all syntaxes
+
+
+def test_files_within_the_limit_are_not_walked_line_by_line(spark, monkeypatch):
+    limit = 30
+    df = files(spark, [("a.py", "x = 1\n\n\ny = 2\n"), ("b.py", "\n \n"), ("c.py", "def f():\n" + "    a = 1\n" * 30)])
+    rows = chunking.chunk_code(df, limit).collect()
+    assert [(r.start_pos, r.end_pos) for r in rows if r.file_path == "a.py"] == [(0, 13)]
+    assert not [r for r in rows if r.file_path == "b.py"] and len([r for r in rows if r.file_path == "c.py"]) > 3
+    monkeypatch.setattr(chunking, "blocks", lambda *_: 1 / 0)
+    assert chunking.chunk_code(df.where("file_path <> 'c.py'"), limit).count() == 1
