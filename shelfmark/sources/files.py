@@ -4,7 +4,7 @@ Spark's own file sources skip names that start with ``_`` or ``.`` and empty fil
 ``__init__.py`` would be lost. This source reads a mounted tree in two levels: the driver goes down only
 until there are enough folders to share out, and tasks list what lies below theirs, apply the path rules
 before anything is opened, and read. Where there are few folders, several tasks list the same one and
-divide its files by the hash of their paths.
+divide its files and the folders in it by the hash of their paths.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +22,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import file_url
 
-#: Folders that the driver looks for before tasks take over, and tasks at least and at most.
-PLANNED_FOLDERS = 1_000
+#: Folders that the driver looks for before tasks take over, how many it names at most, and tasks at least and at most.
+PLANNED_FOLDERS, MOST_FOLDERS = 1_000, 20_000
 TASKS, MOST_TASKS = 16, 128
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 4 << 20
 
 
 class FolderShare(InputPartition):
-    """One part in so many of the files below some folders, and those directly in others."""
+    """One part in so many of what is in some folders, with all that is below it, and the files directly in others."""
 
     def __init__(self, deep: list[str], flat: list[str], part: int, parts: int):
         super().__init__(part)
@@ -71,26 +72,34 @@ class TreeReader(DataSourceReader):
         return folders, names
 
     def partitions(self) -> list[FolderShare]:
-        done, level = [], [""]
+        done, level, tasks = [], [""], TASKS
         while level and len(done) + len(level) < PLANNED_FOLDERS:
-            below = [folder for above in level for folder in self._entries(above)[0]]
+            below = list(islice((folder for above in level for folder in self._entries(above)[0]), MOST_FOLDERS + 1))
             if not below:
                 break
+            if len(below) > MOST_FOLDERS:  # tasks divide them
+                tasks = MOST_TASKS
+                break
             done += level
             level = below
-        parts = -(-TASKS // max(1, len(level)))
+        parts = -(-tasks // max(1, len(level)))
         groups = min(MOST_TASKS, len(level))
         level = sorted(level)
         shares = [FolderShare(level[g::groups], [], i, parts) for g in range(groups) for i in range(parts)]
         return [*shares, FolderShare([], done, 0, 1)] if done else shares
 
     def _files(self, share: FolderShare) -> Iterator[str]:
-        waiting = [(folder, True) for folder in share.deep] + [(folder, False) for folder in share.flat]
+        own = lambda path: share.parts == 1 or zlib.crc32(path.encode(errors="surrogateescape")) % share.parts == share.part
+        waiting = list(share.deep)
+        shared = set(waiting)
         while waiting:
-            folder, deep = waiting.pop()
-            folders, names = self._entries(folder)
-            waiting += [(below, True) for below in folders] if deep else []
-            yield from (n for n in names if share.parts == 1 or zlib.crc32(n.encode(errors="surrogateescape")) % share.parts == share.part)
+            folder = waiting.pop()
+            below, names = self._entries(folder)
+            divided = folder in shared
+            waiting += filter(own, below) if divided else below
+            yield from filter(own, names) if divided else names
+        for folder in share.flat:
+            yield from self._entries(folder)[1]
 
     def read(self, partition: FolderShare) -> Iterator[pa.RecordBatch]:
         paths, contents, size = [], [], 0

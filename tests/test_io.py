@@ -320,3 +320,32 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Fake())
+
+
+def test_wide_trees_are_divided_by_the_tasks(spark, tmp_path, monkeypatch):
+    wanted = []
+    for i in range(60):
+        for name in (f"wide/d{i}/a.txt", f"wide/d{i}/deep/b.txt", f"wide/c{i}.txt"):
+            path = tmp_path / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(b"x")
+            wanted.append(name)
+    monkeypatch.setattr(files, "MOST_FOLDERS", 10)
+    reader = files.TreeReader({"path": str(tmp_path)})
+    shares = reader.partitions()
+    assert {name for s in shares for name in [*s.deep, *s.flat]} == {"", "wide"}
+    assert sorted(f for s in shares for f in reader._files(s)) == sorted(wanted)
+    assert len([s for s in shares if list(reader._files(s))]) > files.TASKS
+
+
+def test_lines_of_a_large_outline_are_not_sent_by_namespace(spark):
+    f = spark.createDataFrame([("o/r", f"o/r/f{i}.py") for i in range(40)], "namespace string, file_path string")
+    s = spark.createDataFrame([("o/r", "o/r/f0.py", "C", None)], "namespace string, file_path string, class_name string, method_name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = outline.fit_tree(f, s, 20)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
