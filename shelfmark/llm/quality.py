@@ -300,21 +300,28 @@ def fit(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.iloc[np.random.default_rng(0).permutation(np.argsort([hash_row(i) for i in rows["indices"]], kind="stable"))]
     yes = rows["yes"].to_numpy()
     sizes = rows["indices"].str.len().to_numpy()
-    place = np.concatenate(rows["indices"].to_numpy()).astype(np.int32)
+    place = np.concatenate(rows["indices"].to_numpy()).astype(np.int32, copy=False)
     x = np.concatenate(rows["weights"].to_numpy())
     n = len(rows)
     del rows
-    common = np.bincount(place, minlength=1 << FEATURE_BITS)[place] >= LEAST_ROWS
-    sizes = np.bincount(np.repeat(np.arange(n), sizes)[common], minlength=n)
+    # Some rows at a time, so that what is only needed for a step stays small.
+    blocks = [(a, min(a + FIT_ROWS, n)) for a in range(0, n, FIT_ROWS)]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    count = np.zeros(1 << FEATURE_BITS, dtype=np.int64)
+    for a, b in blocks:
+        count += np.bincount(place[ends[a] : ends[b]], minlength=1 << FEATURE_BITS)
+    common = (count >= LEAST_ROWS)[place]
+    sizes = np.array([np.count_nonzero(common[a:b]) for a, b in zip(ends, ends[1:])], dtype=np.int64)
     place, x = place[common], x[common]
     # Both answers weigh the same in total, if there are any of both.
     balance = np.where(yes > 0.5, 0.5 / max(yes.mean(), 1e-3), 0.5 / max(1 - yes.mean(), 1e-3))
-    used, column = np.unique(place, return_inverse=True)
-    column = column.astype(np.int32)
+    # Features by their number among those used: through a table, as sorting all of them takes several times their size.
+    used = np.flatnonzero(count >= LEAST_ROWS)
+    number = np.zeros(1 << FEATURE_BITS, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    column = number[place]
     del place, common
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    # Some rows at a time, so that what is only needed for a step stays small.
-    blocks = [(a, min(a + FIT_ROWS, n)) for a in range(0, n, FIT_ROWS)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         value, gradient = RIDGE / 2 * (w[:-1] @ w[:-1]), np.append(RIDGE * w[:-1], 0.0)

@@ -657,3 +657,18 @@ def test_signals_of_texts():
     signals, *_ = quality.Reader(["bad"]).read(pa.array(["THE!! A!!", None, "x x x x bad"]))
     assert signals["words"].tolist() == [2, 0, 5] and signals["upper"][0] == 1 and signals["echo"][2] == pytest.approx(0.6)
     assert signals["cues"][2] == pytest.approx(0.2) and pd.Series(signals["symbols"]).notna().all()
+
+
+def test_training_takes_little_more_than_its_rows():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    indices = [np.unique(r.integers(0, 3_000, 4_000)).astype(np.int32) for _ in range(600)]
+    rows = pd.DataFrame({"question": "q", "indices": indices, "weights": [r.random(len(i)) for i in indices], "yes": r.random(600)})
+    values = sum(map(len, indices))
+    tracemalloc.start()
+    found = quality.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.place[0]) == 3_000
+    assert peak < 40 * values
