@@ -672,3 +672,27 @@ def test_training_takes_little_more_than_its_rows():
     tracemalloc.stop()
     assert len(found.place[0]) == 3_000
     assert peak < 40 * values
+
+
+def test_copies_of_a_line_in_many_batches_meet_as_one_set(spark, monkeypatch):
+    """Sets go to the join by prefix words without a shuffle of their own, once a batch, and are one set there."""
+    monkeypatch.setattr(line_dedup, "BATCH_BYTES", 64)
+    rows = line_rows() + [(200 + i, "one two three four five six") for i in range(9)] + [(300, "one two three four five six seven")]
+    docs, expected = odd(spark, rows), plain_lines(rows)
+    found = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs).collect()}
+    assert found == {d: ",".join(map(str, expected[d])) for d, _ in rows}
+    assert "Exchange" not in line_dedup._Pass(docs).prefixes()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_a_set_are_no_pairs():
+    columns = {"set": np.array([7, 4, 4, 7, 7, 4, 9]), "side": np.array([0, 0, 0, 1, 1, 0, 0])}
+    kept, starts, ends = line_dedup.once(columns, np.array([0, 5]), np.array([5, 7]))
+    assert kept["set"].tolist() == [7, 4, 7, 4, 9] and kept["side"].tolist() == [0, 0, 1, 0, 0]
+    assert starts.tolist() == [0, 3] and ends.tolist() == [3, 5]
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**48, 40, dtype=np.uint64)
+    a, b, empty = line_dedup.parities(np.concatenate([words[:30], words[3:33]]), np.array([30, 30, 0]))
+    assert 0 < np.bitwise_count(a ^ b) <= 6 and empty == 0
