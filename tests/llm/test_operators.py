@@ -696,3 +696,51 @@ def test_parities_bound_the_difference_of_sets():
     words = rng.integers(0, 2**48, 40, dtype=np.uint64)
     a, b, empty = line_dedup.parities(np.concatenate([words[:30], words[3:33]]), np.array([30, 30, 0]))
     assert 0 < np.bitwise_count(a ^ b) <= 6 and empty == 0
+
+
+def test_long_lines_that_share_rare_words_only_are_not_sent_whole(spark):
+    """The words before the first that two lines share differ; with the sketch of all their words most of these lines were taken for likely."""
+    rng = random.Random(5)
+    rows = [(d, " ".join(f"w{i}" for i in rng.sample(range(1000), 110))) for d in range(120)]
+    near = rows[3][1].split()
+    rng.shuffle(near)
+    rows.append((200, " ".join([*near[:-2], "other", "words"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.likely_sets(line_dedup._Pass(docs)).select("set").distinct().count() < 40
+    found = {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs).collect()}
+    assert found == {d: "0" if d == 200 else "" for d, _ in rows}
+
+
+def test_pairs_by_size_are_all_that_can_be_similar():
+    """Whole groups, and tiles of two parts: each pair that the words from the shared one on allow comes once, no other side with its own."""
+    rng = np.random.default_rng(2)
+    n = 300
+    size = rng.integers(1, 40, n)
+    place = (rng.random(n) * line_dedup.prefix_length(size)).astype(np.int64)
+    starts, ends = np.array([0, 100, 101]), np.array([100, 101, n])
+    side = np.where(np.arange(n) < 101, 0, rng.integers(1, 3, n))
+    order, pairs = line_dedup.size_pairs(starts, ends, side, size, place)
+    found = [frozenset(order[[i, j]].tolist()) for a, b in pairs for i, j in zip(a, b)]
+    possible = {
+        frozenset((i, j))
+        for a, b in zip(starts.tolist(), ends.tolist())
+        for i in range(a, b)
+        for j in range(i + 1, b)
+        if (side[i] == 0 or side[i] != side[j]) and min(size[i] - place[i], size[j] - place[j]) >= line_dedup.least_shared(size[i], size[j])
+    }
+    assert len(found) == len(set(found)) and possible <= set(found) and len(possible) > 1000
+    assert all(side[i] == 0 or side[i] != side[j] for i, j in map(tuple, found))
+
+
+def test_rows_of_crowded_words_meet_in_one_tile_each():
+    rng = np.random.default_rng(3)
+    token, identity = np.array([5] * 60 + [7] * 10 + [9] * 40), rng.integers(0, 2**62, 110)
+    columns = [token, identity, identity, np.full(110, 4 << line_dedup.SIZE_SHIFT), identity]
+    meet, dealt, _, place, _ = line_dedup.dealt_to_tiles(columns, np.array([5, 9]), np.array([4, 2]))
+    assert sorted(dealt[meet == 7].tolist()) == sorted(identity[60:70].tolist())
+    side, rows = place >> line_dedup.SIDE_SHIFT, {}
+    for m, s, i in zip(meet.tolist(), side.tolist(), dealt.tolist()):
+        rows.setdefault(m, []).append((s, i))
+    pairs = [frozenset((i, j)) for g in rows.values() for k, (s, i) in enumerate(g) for t, j in g[k + 1 :] if s == t == 0 or s + t == 3]
+    wanted = [frozenset((i, j)) for a, b in ((0, 60), (60, 70), (70, 110)) for k, i in enumerate(identity[a:b].tolist()) for j in identity[a + k + 1 : b].tolist()]
+    assert len(pairs) == len(wanted) and set(pairs) == set(wanted)
