@@ -91,6 +91,34 @@ def test_blocks_that_cannot_serve_are_passed_over(spark, monkeypatch, metric):
     assert blocks > 50 and passed > blocks / 3
 
 
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_many_queries_in_groups_of_near_ones(spark, monkeypatch, metric):
+    for name, value in {"GROUP_ROWS": 16, "PRUNED_ROWS": 32, "PIVOTS": 8, "_TILE": 200, "_PAIRS": 7}.items():
+        monkeypatch.setattr(dense, name, value)
+    r = np.random.default_rng(16)
+    centers = r.normal(size=(12, 8))
+    rows = [(f"v{i}", (centers[i % 12] + r.normal(size=8) * 0.3).tolist()) for i in range(300)]
+    rows += [(f"longer{i}", rows[i % 5][1]) for i in range(60)] + [("odd", [float("nan")] * 8), ("none", None)]
+    corpus = spark.createDataFrame(rows, "doc_id string, embedding array<float>").repartition(3)
+    known = [x for x in rows if x[0] not in ("odd", "none")]
+    for limit in (dense.QUERY_BYTES, 500):
+        found = dense.nearest(corpus, corpus.withColumnRenamed("doc_id", "query_id"), 5, metric, query_bytes=limit, block_rows=90)
+        assert sorted((x.query_id, x.doc_id, x["rank"]) for x in found.collect()) == brute(known, known, 5, metric)
+
+
+def test_distances_of_copies_are_zero(spark):
+    one = np.random.default_rng(17).normal(size=64)
+    near = one + 1e-5
+    rows = [(i, (near if i % 2 else one).tolist()) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    found = dense.topk_l2(corpus, corpus.selectExpr("doc_id as query_id", "embedding"), 25, exclude_self=True).collect()
+    same = lambda i: [x for x in range(40) if x % 2 == i % 2 and x != i]
+    for i in range(40):
+        mine = sorted((x["rank"], x.doc_id, x.score) for x in found if x.query_id == i)
+        assert [d for _, d, _ in mine[:19]] == same(i) and {s for *_, s in mine[:19]} == {0.0}
+        assert {round(s, 10) for *_, s in mine[19:]} == {8e-5}
+
+
 def test_passages_against_a_search_of_each(spark):
     r = random.Random(12)
     word = lambda: "".join(r.choices("abé ", k=r.randint(1, 5)))
