@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from shelfmark.operators import dense
 from shelfmark.plans import queries as q
 from tests.compare import connect, differences
 
@@ -48,7 +49,7 @@ def hits_of(spark, tables, name):
     return found
 
 
-@pytest.mark.parametrize("name, metric", [("topk_cosine", "cosine"), ("topk_dot", "dot"), ("topk_l2", "l2"), ("retrieve_dense", "cosine")])
+@pytest.mark.parametrize("name, metric", [("topk_cosine", "cosine"), ("topk_dot", "dot"), ("topk_l2", "l2"), ("retrieve_dense", "cosine"), ("knn_cross", "cosine")])
 def test_every_vector_is_a_question(spark, tables, vectors, name, metric):
     assert hits_of(spark, tables, name) == nearest_ids(vectors, metric)
     assert differences(spark, connect(tables), QUERIES[name], SQL[name], tables) == []
@@ -57,3 +58,25 @@ def test_every_vector_is_a_question(spark, tables, vectors, name, metric):
 def test_hits_of_every_vector_are_ranked(spark, tables, vectors):
     assert {i: sorted(d) for i, d in hits_of(spark, tables, "rank_hits").items()} == {i: sorted(d) for i, d in nearest_ids(vectors, "cosine").items()}
     assert differences(spark, connect(tables), QUERIES["rank_hits"], SQL["rank_hits"], tables) == []
+
+
+def test_blocks_are_not_sent_more_often_than_needed():
+    # 51 282 vectors of 64 numbers as questions against themselves, with the sizes of knn_cross.
+    n, c = 51_282, 8 * 64 * 51_282
+    assert dense.block_counts(c, n, 100_000, 300, 6) == (5, 5)
+    # Few rows are not cut any finer than asked for, many no coarser than a task can hold.
+    assert dense.block_counts(150_000, 500, 100_000, 300, 6) == (2, 2)
+    assert dense.block_counts(20 * dense.QUERY_BYTES, 30 * dense.CORPUS_BLOCK_ROWS, 100_000, 300, 6) == (20, 30)
+    assert dense.block_counts(2 * dense.QUERY_BYTES, 0, 2 * dense.QUERY_BYTES - 1, 300, 6) == (2, 1)
+
+
+def test_block_form_over_many_blocks(spark, tables, vectors, monkeypatch):
+    sent = []
+    by_blocks = dense._by_blocks
+    monkeypatch.setattr(dense, "_by_blocks", lambda *a: sent.append(a[-2:]) or by_blocks(*a))
+    corpus = spark.createDataFrame(list(zip(IDS, vectors.tolist())), "doc_id long, embedding array<float>")
+    asked = corpus.withColumnRenamed("doc_id", "query_id")
+    found = dense.topk_cosine(corpus, asked, q.K, exclude_self=True, query_bytes=48, block_rows=1)
+    rows = found.orderBy("query_id", "rank").collect()
+    assert {i: [r.doc_id for r in rows if r.query_id == i] for i in IDS} == nearest_ids(vectors, "cosine")
+    assert sent[0][0] < len(IDS) / 2 and sent[0][1] < len(IDS) / 2
