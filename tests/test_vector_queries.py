@@ -1,5 +1,7 @@
 """The queries over ``embeddings`` ask with every vector of the table: rows of their own, none with an id divisible by 20."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -80,3 +82,32 @@ def test_block_form_over_many_blocks(spark, tables, vectors, monkeypatch):
     rows = found.orderBy("query_id", "rank").collect()
     assert {i: [r.doc_id for r in rows if r.query_id == i] for i in IDS} == nearest_ids(vectors, "cosine")
     assert sent[0][0] < len(IDS) / 2 and sent[0][1] < len(IDS) / 2
+
+
+def expected_metrics(vectors):
+    """The six metrics of each id, those of equal labels being relevant."""
+    label, out = dict(zip(IDS, LABELS)), {}
+    for i, found in nearest_ids(vectors, "cosine").items():
+        n = LABELS.count(label[i]) - 1
+        rel = [int(label[d] == label[i]) for d in found]
+        ranks = [r for r, x in enumerate(rel, 1) if x]
+        gain = lambda ranks: sum(1 / math.log2(r + 1) for r in ranks if r <= 3)
+        out[i] = {
+            "rprec": sum(rel[:n]) / n,
+            "p1": rel[0],
+            "r3": sum(rel[:3]) / n,
+            "ndcg3": gain(ranks) / gain(range(1, n + 1)),
+            "map": sum(at / r for at, r in enumerate(ranks, 1)) / n,
+            "mrr": 1 / ranks[0] if ranks else 0,
+        }
+    return out
+
+
+@pytest.mark.parametrize(
+    "name, metric",
+    [("eval_rprec", "rprec"), ("eval_p1", "p1"), ("eval_recall3", "r3"), ("eval_ndcg3", "ndcg3"), ("eval_map", "map"), ("eval_mrr", "mrr")],
+)
+def test_metrics_are_over_every_vector(spark, tables, vectors, name, metric):
+    values = [m[metric] for m in expected_metrics(vectors).values()]
+    assert QUERIES[name](spark, tables).first()[metric] == pytest.approx(sum(values) / len(IDS), abs=1e-6)
+    assert differences(spark, connect(tables), QUERIES[name], SQL[name], tables) == []
