@@ -111,3 +111,13 @@ def test_metrics_are_over_every_vector(spark, tables, vectors, name, metric):
     values = [m[metric] for m in expected_metrics(vectors).values()]
     assert QUERIES[name](spark, tables).first()[metric] == pytest.approx(sum(values) / len(IDS), abs=1e-6)
     assert differences(spark, connect(tables), QUERIES[name], SQL[name], tables) == []
+
+
+def test_the_report_has_every_vector(spark, tables, vectors):
+    rows = {r.query_id: r for r in QUERIES["write_eval_report"](spark, tables).collect()}
+    expected, near = expected_metrics(vectors), nearest_ids(vectors, "cosine")
+    assert sorted(rows) == IDS
+    for i, r in rows.items():
+        assert [int(d) for d in r.documents.split(",")] == near[i]
+        assert [r[m] for m in ("rprec", "map", "mrr")] == pytest.approx([expected[i][m] for m in ("rprec", "map", "mrr")], abs=1e-6)
+    assert differences(spark, connect(tables), QUERIES["write_eval_report"], SQL["write_eval_report"], tables) == []
