@@ -400,6 +400,27 @@ def test_tokens_that_declare_nothing_are_not_searched_for_names(spark):
     assert "_language" in plan  # found once for all syntaxes
 
 
+def test_symbols_look_up_the_language_once_and_fold_in_two_ways(spark):
+    paths = spark.range(40).selectExpr("concat('f', id % 4, '.py') AS file_path", "'class A: pass' AS content").distinct()
+    plan = symbols.extract_symbols(paths)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(".pyw") == 1  # the table of extensions: no filter below takes it along
+    assert plan.count("aggregate(") == 2  # one fold for indentation, one for braces and ends of all languages
+    assert symbols.extract_symbols(paths).count() == 4
+
+
+def test_symbols_of_odd_rows(spark):
+    rows = [(None, "class A: pass"), ("a.py", None), ("b.py", ""), ("c.java", None), ("d.java", "int class_ = 1; // interface"), ("e", "class A: pass")]
+    rows += [("f.js", "class A {\n  func(b) { class C { d() { } } }\n}\nclass E"), ("f.js", "class A { }"), ("g.rb", "def a\n  class B\n  end\nend\ndef c; end")]
+    rows += [("h.rs", 'struct S;\nimpl S { fn f() { { } } fn g(); { fn h() { } } }'), ("i.py", "if a:\n\tclass\tB:\n\t\tasync  def\tc(x): pass\n\tdef d():\n\t\tclass E: pass")]
+    found = [tuple(r) for r in symbols.extract_symbols(files(spark, rows).coalesce(1)).collect()]
+    of = lambda path: sorted((c or "", m or "") for p, c, m in found if p == path)
+    assert {p for p, _, _ in found} == {"f.js", "g.rb", "h.rs", "i.py"}
+    assert of("f.js") == [("A", ""), ("A", ""), ("E", ""), ("b", "func")]  # what a receiver looks like is taken for one
+    assert of("g.rb") == [("", "a"), ("", "c")]
+    assert of("h.rs") == [("S", ""), ("S", "f"), ("S", "g"), ("S", "h")]
+    assert of("i.py") == [("", "d"), ("B", ""), ("B", "c")]
+
+
 def test_files_within_the_limit_are_not_walked_line_by_line(spark, monkeypatch):
     limit = 30
     df = files(spark, [("a.py", "x = 1\n\n\ny = 2\n"), ("b.py", "\n \n"), ("c.py", "def f():\n" + "    a = 1\n" * 30)])
