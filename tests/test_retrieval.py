@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.tokens import terms
 from shelfmark.functions.vectors import embedding_size
-from shelfmark.operators import batching, bm25, dense, evaluation, passages, path_match, ranking
+from shelfmark.operators import batching, bm25, dense, evaluation, passages, path_match, ranking, retrieval
 from shelfmark.plans import views
 
 
@@ -308,3 +308,15 @@ def test_compare_runs_reads_each_run_from_one_place(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "stored", lambda df, label: labels.append(label) or stored(df, label))
     assert queries.REGISTRY["compare_runs"](spark, sf_dir).count() == 3 * len(evaluation.METRICS)
     assert [labels.count(name) for name in ("qrels", "sparse", "dense")] == [1, 1, 1]
+
+
+def test_names_of_files_are_cut_into_words_at_once(spark):
+    rows = [("a/MyFile.py", "class FooBar:\n    def get_it2Now(self): pass\ndef top(): pass"), (None, "class A: pass"), ("n.py", None), ("r.md", "class A:"), ("n.py", "x")]
+    docs = retrieval.path_documents(spark.createDataFrame(rows, "file_path string, content string"))
+    found = sorted(((r.doc_id or "", r.terms) for r in docs.collect()))
+    words = ["a", "my", "file", "py", "foo", "bar", "foo", "bar", "get", "it2", "now", "top"]
+    assert found == [("", None), ("a/MyFile.py", words), ("n.py", ["n", "py"]), ("n.py", ["n", "py"]), ("r.md", ["r", "md"])]
+    paths = spark.range(40).selectExpr("concat('f', id % 4, '.py') AS file_path", "'class A: pass' AS content").distinct()
+    plan = retrieval.path_documents(paths)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(".pyw") == 1  # the table of extensions is looked up once a file
+    assert plan.count("[\\p{L}\\p{N}]+,") == 1  # and all words come from one pattern
