@@ -30,8 +30,7 @@ def symbol_nodes(symbols: DataFrame, classes: bool, methods: bool) -> DataFrame:
     A method's class is part of its path, so it is a node wherever the method is. ``need`` is
     1 for a class listed for itself and 0 for what only the methods ask for.
     """
-    path, cls, fun = F.col("file_path"), F.col("class_name"), F.col("method_name")
-    depth = F.size(F.split(path, "/"))
+    path, cls, fun, depth = F.col("file_path"), F.col("class_name"), F.col("method_name"), F.col("_depth")
     public = fun.isNotNull() & ~fun.startswith("_") & F.lit(methods)
     listed = fun.isNull() & F.lit(classes)
 
@@ -41,13 +40,13 @@ def symbol_nodes(symbols: DataFrame, classes: bool, methods: bool) -> DataFrame:
             F.struct(node_path.alias("node_path"), at.alias("depth"), name.alias("name"), need.alias("need")),
         )
 
-    nodes = F.array_compact(
-        F.array(
-            node(cls.isNotNull() & (listed | public), F.concat_ws("/", path, cls), depth, cls, fun.isNull().cast("int")),
-            node(public, F.concat_ws("/", path, cls, fun), F.when(cls.isNull(), depth).otherwise(depth + 1), fun, F.lit(0)),
-        )
+    # A null is no node, and is left out where the array becomes rows.
+    nodes = F.array(
+        node(cls.isNotNull() & (listed | public), F.concat_ws("/", path, cls), depth, cls, fun.isNull().cast("int")),
+        node(public, F.concat_ws("/", path, cls, fun), F.when(cls.isNull(), depth).otherwise(depth + 1), fun, F.lit(0)),
     )
-    return explode_computed(symbols, ["namespace"], nodes, "a").select("namespace", "a.*")
+    deep = symbols.withColumn("_depth", F.size(F.split(path, "/")))
+    return explode_computed(deep, ["namespace"], nodes, "a").select("namespace", "a.*")
 
 
 def path_ancestors(paths: DataFrame, path: str = "file_path") -> DataFrame:
@@ -86,9 +85,10 @@ def _leveled_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
     below = symbol_nodes(symbols, True, True).groupBy("namespace", "node_path", "depth", "name").agg(
         F.max("need").alias("need")
     )
-    line = _line(F.col("name"), F.col("depth"))
+    # The indentation has no tokens; without a depth there is no line.
+    shown = F.when(F.col("depth").isNotNull(), F.col("name"))
     return nodes.unionByName(below).select(
-        "namespace", "node_path", "need", line.alias("line"), count_tokens(line).alias("tokens")
+        "namespace", "node_path", "need", _line(F.col("name"), F.col("depth")).alias("line"), count_tokens(shown).alias("tokens")
     )
 
 
@@ -105,19 +105,21 @@ def fit_tree(files: DataFrame, symbols: DataFrame, max_tokens: int = TOKEN_LIMIT
         *[
             F.sum(F.when(F.col("need") >= level, F.col("tokens")).otherwise(0)).alias(name)
             for level, (name, _, _) in enumerate(VARIANTS)
-        ]
+        ],
+        F.count_if(F.col("tokens") == 0).alias("bare"),
     )
     level = F.lit(len(VARIANTS) - 1)
     variant = F.lit("truncated")
     for i, (name, _, _) in reversed(list(enumerate(VARIANTS))):
         level = F.when(F.col(name) <= max_tokens, i).otherwise(level)
         variant = F.when(F.col(name) <= max_tokens, F.lit(name)).otherwise(variant)
-    choice = stored(sums.select("namespace", level.alias("level"), variant.alias("variant")), "variants")
+    choice = stored(sums.select("namespace", level.alias("level"), variant.alias("variant"), "bare"), "variants")
+    bare = choice.agg(F.max("bare")).first()[0] or 0
+    choice = choice.drop("bare")
     # A row per namespace; sent to the lines, as those of a large namespace would meet in one task.
     choice = F.broadcast(choice) if fits(choice) else choice
     chosen = lines.join(choice, "namespace").filter(F.col("need") >= F.col("level"))
     # Only outlines that are too long need to be in order before they are put together.
-    bare = lines.filter("tokens = 0").groupBy("namespace").count().agg(F.max("count")).first()[0] or 0
     fitting = chosen.filter("variant <> 'truncated'")
     kept = fitting.unionByName(_first_tokens(chosen.filter("variant = 'truncated'"), max_tokens, bare))
     ordered = F.array_sort(F.collect_list(F.struct(path_order(F.col("node_path")).alias("o"), "line")))

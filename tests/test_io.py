@@ -349,3 +349,30 @@ def test_lines_of_a_large_outline_are_not_sent_by_namespace(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_nodes_of_outlines_are_cut_from_paths_once(spark):
+    names = "namespace string, file_path string, class_name string, method_name string"
+    rows = [("n", "a/b.py", "A", None), ("n", "a/b.py", "A", "m"), ("n", "a/b.py", "A", "_m"), ("n", "a/b.py", None, "f"), ("n", "c.py", "B", "_g"), (None, "c.py", "C", None), ("n", "d.py", None, None)]
+    s = spark.createDataFrame(rows, names).repartition(2)
+    nodes = outline.symbol_nodes(s, True, True)
+    assert sorted((r.namespace or "", r.node_path, r.depth, r.name, r.need) for r in nodes.collect()) == [
+        ("", "c.py/C", 1, "C", 1), ("n", "a/b.py/A", 2, "A", 0), ("n", "a/b.py/A", 2, "A", 1), ("n", "a/b.py/A/m", 3, "m", 0), ("n", "a/b.py/f", 2, "f", 0)
+    ]
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "lambda" not in plan
+    paths = spark.createDataFrame([("n", "a/b.py"), ("n", "a//c"), ("n", ""), (None, "a/b.py"), ("n", "a/b.py")], "namespace string, file_path string")
+    above = outline.path_ancestors(paths)
+    assert sorted((r.namespace or "", r.node_path, r.depth, r.name) for r in above.collect()) == [
+        ("", "a", 0, "a"), ("", "a/b.py", 1, "b.py"), ("n", "", 0, ""), ("n", "a", 0, "a"), ("n", "a/", 1, ""), ("n", "a//c", 2, "c"), ("n", "a/b.py", 1, "b.py")
+    ]
+    assert above._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_lines_without_tokens_are_counted_with_the_sizes(spark):
+    paths = spark.createDataFrame([("n", f"d//{i}.py") for i in range(6)] + [("m", "x.py")], "namespace string, file_path string")
+    s = spark.createDataFrame([("n", "d//1.py", "A", None)], "namespace string, file_path string, class_name string, method_name string")
+    found = {r.namespace: (r.variant, r.n_tokens, r.outline) for r in outline.fit_tree(paths, s, 4).collect()}
+    assert found == {"m": ("methods", 3, "x.py"), "n": ("truncated", 4, "d\n    \n        0.py")}
+    empty = outline.fit_tree(paths.limit(0), s.limit(0), 4)
+    assert empty.count() == 0
